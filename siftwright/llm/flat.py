@@ -10,6 +10,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 SLICE_BYTES = 2 << 20
@@ -57,7 +58,7 @@ def _joined(held: list[pa.RecordBatch]) -> pa.RecordBatch:
 
 
 def _lengths(column: pa.Array) -> np.ndarray:
-    return np.asarray(pa.compute.fill_null(pa.compute.binary_length(column), 0)).astype(np.int64)
+    return np.asarray(pc.fill_null(pc.binary_length(column), 0)).astype(np.int64)
 
 
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
@@ -67,7 +68,7 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
 
 def bytes_of(batch: pa.RecordBatch, column: str = "text") -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a text column; null is empty."""
-    values = pa.compute.fill_null(batch.column(column), "").cast(pa.large_string())
+    values = pc.fill_null(batch.column(column), "").cast(pa.large_string())
     offsets = np.frombuffer(values.buffers()[1], np.int64)[values.offset : values.offset + len(values) + 1]
     data = values.buffers()[2]
     flat = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
