@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from siftwright.llm import bpe, transport
+from siftwright.llm import bpe, decontaminate, transport
 from siftwright.session import table
 
 TOKENIZER = "piece_bpe_32k.model"
@@ -15,6 +15,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows in every document, by suffix arrays of the documents."""
+    found = decontaminate.contamination(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
 def op8_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text stored as a transport stream and read back."""
     return transport.digest_documents(documents(spark, sf_dir))
@@ -26,7 +32,10 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_decontaminate": op3_decontaminate,
     "op8_transport_stream": op8_transport_stream,
     "op9_sentencepiece": op9_sentencepiece,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_decontaminate": decontaminate.ORACLE,
+}
