@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from siftwright.llm import bpe, decontaminate, transport
+from siftwright.llm import bpe, decontaminate, pii, transport
 from siftwright.session import table
 
 TOKENIZER = "piece_bpe_32k.model"
@@ -21,6 +21,11 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every text."""
+    return pii.digest_documents(documents(spark, sf_dir))
+
+
 def op8_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text stored as a transport stream and read back."""
     return transport.digest_documents(documents(spark, sf_dir))
@@ -33,6 +38,7 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_decontaminate": op3_decontaminate,
+    "op7_personal_data": op7_personal_data,
     "op8_transport_stream": op8_transport_stream,
     "op9_sentencepiece": op9_sentencepiece,
 }
