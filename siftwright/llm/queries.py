@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from siftwright.llm import bpe, decontaminate, pii, transport
+from siftwright.llm import bpe, decontaminate, lines, pii, transport
 from siftwright.session import table
 
 TOKENIZER = "piece_bpe_32k.model"
@@ -15,6 +16,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that many sites share."""
+    cleaned = lines.remove_boilerplate(documents(spark, sf_dir).select("doc_id", "text", "source"))
+    return cleaned.select("doc_id", "n_lines_removed", F.sha2("text", 256).alias("text_sha256"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows in every document, by suffix arrays of the documents."""
     found = decontaminate.contamination(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
@@ -37,11 +44,13 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_line_dedup": op2_line_dedup,
     "op3_decontaminate": op3_decontaminate,
     "op7_personal_data": op7_personal_data,
     "op8_transport_stream": op8_transport_stream,
     "op9_sentencepiece": op9_sentencepiece,
 }
 ORACLES: dict[str, str] = {
+    "op2_line_dedup": lines.ORACLE,
     "op3_decontaminate": decontaminate.ORACLE,
 }
