@@ -151,3 +151,20 @@ def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
     flat = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
     return flat, np.concatenate([[0], np.cumsum(lengths)])
+
+
+@lru_cache(maxsize=1)
+def _letter_table() -> np.ndarray:
+    table = np.full(0x110000, 32, np.uint32)
+    for i in range(0x10000):
+        c = chr(i)
+        if c.isalpha():
+            low = c.lower()
+            table[i] = ord(low) if len(low) == 1 else i
+    table[0x20000:0x30000] = np.arange(0x20000, 0x30000)
+    return table
+
+
+def letters(points: np.ndarray) -> np.ndarray:
+    """Lower-cased letters; everything else becomes a space."""
+    return _letter_table()[points]
