@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwright.llm import bpe, decontaminate, lines, pii, toxicity, transport
+from siftwright.llm import bpe, decontaminate, lines, pii, quality, toxicity, transport
 from siftwright.session import table
 
 TOKENIZER = "piece_bpe_32k.model"
@@ -34,6 +34,12 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every text, learned from the labelled rows outside the held-out fifth."""
+    docs = documents(spark, sf_dir)
+    return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every text."""
     return pii.digest_documents(documents(spark, sf_dir))
@@ -53,6 +59,7 @@ QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op3_decontaminate": op3_decontaminate,
     "op4_toxicity": op4_toxicity,
+    "op6_quality": op6_quality,
     "op7_personal_data": op7_personal_data,
     "op8_transport_stream": op8_transport_stream,
     "op9_sentencepiece": op9_sentencepiece,
