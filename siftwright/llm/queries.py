@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwright.llm import bpe, decontaminate, lines, pii, quality, toxicity, transport
+from siftwright.llm import bpe, decontaminate, labelled, language, lines, pii, quality, toxicity, transport
 from siftwright.session import table
 
 TOKENIZER = "piece_bpe_32k.model"
@@ -16,6 +16,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every text, learned from the rows outside the held-out fifth."""
+    docs = documents(spark, sf_dir)
+    found = language.identify(docs, language.train(docs))
+    return found.select("doc_id", labelled.held_out().alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the lines that many sites share."""
     cleaned = lines.remove_boilerplate(documents(spark, sf_dir).select("doc_id", "text", "source"))
@@ -56,6 +63,7 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_language": op1_language,
     "op2_line_dedup": op2_line_dedup,
     "op3_decontaminate": op3_decontaminate,
     "op4_toxicity": op4_toxicity,
