@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwright.llm import bpe, decontaminate, labelled, language, lines, pii, quality, toxicity, transport
+from siftwright.llm import bpe, decontaminate, labelled, language, lines, pii, quality, substring, toxicity, transport
 from siftwright.session import table
 
 TOKENIZER = "piece_bpe_32k.model"
@@ -41,6 +41,11 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated passages of every document, by content-defined chunks."""
+    return substring.describe(documents(spark, sf_dir))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every text, learned from the labelled rows outside the held-out fifth."""
     docs = documents(spark, sf_dir)
@@ -67,6 +72,7 @@ QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op3_decontaminate": op3_decontaminate,
     "op4_toxicity": op4_toxicity,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_quality": op6_quality,
     "op7_personal_data": op7_personal_data,
     "op8_transport_stream": op8_transport_stream,
