@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwright.llm import bpe, decontaminate, labelled, language, lines, pii, quality, substring, toxicity, transport
+from siftwright.llm import bpe, decontaminate, labelled, language, lines, nearsets, pii, quality, substring, toxicity, transport
 from siftwright.session import table
 
 TOKENIZER = "piece_bpe_32k.model"
@@ -67,6 +67,11 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER))
 
 
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of two-word shingles are similar."""
+    return nearsets.near_duplicates(documents(spark, sf_dir), width=2)
+
+
 QUERIES = {
     "op1_language": op1_language,
     "op2_line_dedup": op2_line_dedup,
@@ -77,6 +82,7 @@ QUERIES = {
     "op7_personal_data": op7_personal_data,
     "op8_transport_stream": op8_transport_stream,
     "op9_sentencepiece": op9_sentencepiece,
+    "op10_near_duplicates": op10_near_duplicates,
 }
 ORACLES: dict[str, str] = {
     "op2_line_dedup": lines.ORACLE,
