@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -83,6 +84,7 @@ QUERIES = {
     "op8_transport_stream": op8_transport_stream,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_near_duplicates": op10_near_duplicates,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {
     "op2_line_dedup": lines.ORACLE,
