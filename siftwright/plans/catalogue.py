@@ -1,10 +1,584 @@
-"""Registered queries over the driver tables and their DuckDB equivalents."""
+"""Registered queries over the driver tables and their DuckDB equivalents.
+
+The tables stand in for evidence tables: embeddings for vectors (label for path), documents for files, events for jobs,
+conversations for chat, orders for votes. Every column is aliased alike on both sides.
+"""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from siftwright.functions import embedders, predicates, scalars, texts, vectors
+from siftwright.operators import cache, detections, evaluate, fusion, graph, grouping, lineage, nested, similarity, state
+from siftwright.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name, with its SQL."""
+
+    def add(function):
+        QUERIES[function.__name__] = function
+        if sql is not None:
+            ORACLES[function.__name__] = sql
+        return function
+
+    return add
+
+
+def _vector(spark: SparkSession, sf_dir: str, vec_id: int = 0) -> list[float]:
+    row = table(spark, sf_dir, "embeddings").where(F.col("vec_id") == vec_id).select("embedding").first()
+    return list(row[0])
+
+
+_SIM = "list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[])"
+
+
+@query(f"""
+WITH q AS (SELECT embedding FROM embeddings WHERE vec_id = 0),
+s AS (SELECT e.vec_id, {_SIM} AS sim FROM embeddings e, q)
+SELECT vec_id, round(sim, 6) AS similarity, row_number() OVER (ORDER BY sim DESC, vec_id) AS rank, sim >= 0.2 AS is_match FROM s ORDER BY sim DESC, vec_id LIMIT 10""")
+def knn_topk(spark, sf_dir):
+    """VX1, VX3, SO1, FL22, WN3: top-k by cosine, flagged."""
+    scored = similarity.with_similarity(table(spark, sf_dir, "embeddings"), _vector(spark, sf_dir))
+    found = similarity.flag_matches(similarity.top_k(scored, 10, "vec_id"), 0.2)
+    return found.select("vec_id", F.round("similarity", 6).alias("similarity"), "rank", "is_match")
+
+
+@query(f"""
+WITH q AS (SELECT embedding FROM embeddings WHERE vec_id = 0),
+s AS (SELECT e.label, e.vec_id, {_SIM} AS sim FROM embeddings e, q),
+b AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY sim DESC, vec_id) AS rn FROM s)
+SELECT label, vec_id, round(sim, 6) AS similarity, row_number() OVER (ORDER BY sim DESC, vec_id) AS rank, sim >= 0.2 AS is_match FROM b WHERE rn = 1 ORDER BY sim DESC, vec_id LIMIT 5""")
+def best_per_group_topk(spark, sf_dir):
+    """VX2, AG4, WN1: best chunk per path, top-k paths."""
+    found = similarity.search(table(spark, sf_dir, "embeddings"), _vector(spark, sf_dir), 5, 0.2, "label", "vec_id")
+    return found.select("label", "vec_id", F.round("similarity", 6).alias("similarity"), "rank", "is_match")
+
+
+@query("""
+WITH s AS (SELECT q.vec_id AS query, e.vec_id AS target, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 12) AS sim FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY sim DESC, target) AS rank FROM s)
+SELECT query, target, round(sim, 6) AS similarity, rank FROM r WHERE rank <= 10 AND sim >= 0.2""")
+def batch_knn_join_threshold(spark, sf_dir):
+    """JN5, WN2, VX10, VX11: every stated query against the whole gallery, top 10, threshold."""
+    vectors_ = table(spark, sf_dir, "embeddings")
+    found = similarity.batch_neighbours(vectors_.where("vec_id % 100 = 0"), vectors_, 10, "vec_id", "vec_id", least=0.2)
+    return found.select("query", "target", F.round("similarity", 6).alias("similarity"), "rank")
+
+
+@query("""
+WITH s AS (SELECT q.vec_id AS query, e.vec_id AS target, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 12) AS sim FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0 AND e.vec_id <> q.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY sim DESC, target) AS rank FROM s)
+SELECT query, string_agg(target::VARCHAR, ',' ORDER BY sim DESC, target) FILTER (WHERE rank <= 5 AND sim >= 0.2) AS targets FROM r GROUP BY query""")
+def matches_per_query(spark, sf_dir):
+    """AG11: list of matching targets per query."""
+    vectors_ = table(spark, sf_dir, "embeddings")
+    queries = vectors_.where("vec_id % 100 = 0")
+    hits = similarity.batch_neighbours(queries, vectors_, 5, "vec_id", "vec_id", exclude_self=True)
+    found = similarity.matches_per_query(queries, hits, "vec_id", 0.2)
+    return found.select("query", F.when(F.size("targets") > 0, F.array_join("targets", ",")).alias("targets"))
+
+
+@query("""SELECT vec_id, round(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]), 6) AS squared, 1.0::DOUBLE AS length FROM embeddings""")
+def normalise_vectors(spark, sf_dir):
+    """VX12: L2 normalisation."""
+    v = F.col("embedding")
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(vectors.dot(v, v), 6).alias("squared"), F.round(vectors.norm(vectors.normalised(v)), 6).alias("length"))
+
+
+_HAM = " + ".join(f"bit_count(xor(('0x'||substr(d.h,{8 * i + 1},8))::BIGINT, ('0x'||substr(q.h,{8 * i + 1},8))::BIGINT))::INTEGER" for i in range(8))
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, sha256(text) AS h FROM documents), q AS (SELECT h FROM d WHERE doc_id = 0),
+s AS (SELECT d.doc_id, {_HAM} AS distance FROM d, q)
+SELECT doc_id, distance, round(1 - distance / 256, 4) AS similarity, row_number() OVER (ORDER BY round(1 - distance / 256, 4) DESC, doc_id) AS rank FROM s ORDER BY similarity DESC, doc_id LIMIT 10""")
+def hamming_topk(spark, sf_dir):
+    """VX6, VX8: top-k by Hamming similarity of 256-bit hashes."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("pdq_hash"))
+    wanted = docs.where("doc_id = 0").first().pdq_hash
+    found = similarity.hash_search(docs, wanted, 10, "doc_id")
+    return found.select("doc_id", vectors.hamming(F.col("pdq_hash"), F.lit(wanted)).alias("distance"), "similarity", "rank")
+
+
+@query(f"""
+WITH e AS (SELECT vec_id, embedding, CASE WHEN vec_id % 2 = 0 THEN sha256(vec_id::VARCHAR) ELSE '' END AS h FROM embeddings),
+q AS (SELECT embedding, sha256('0') AS h FROM embeddings WHERE vec_id = 0),
+s AS (SELECT e.vec_id, round({_SIM}, 4) AS clip, CASE WHEN e.h <> '' THEN round(1 - ({_HAM.replace("d.h", "e.h")}) / 256, 4) END AS pdq FROM e, q WHERE e.vec_id <> 0),
+f AS (SELECT vec_id, CASE WHEN pdq IS NULL THEN round(clip, 4) ELSE round((0.6 * clip + 0.4 * pdq) / (0.6 + 0.4), 4) END AS similarity, clip, pdq FROM s)
+SELECT vec_id, similarity, clip, pdq, row_number() OVER (ORDER BY similarity DESC, vec_id) AS rank, similarity >= 0.3 AS is_match FROM f ORDER BY similarity DESC, vec_id LIMIT 10""")
+def fused_score_topk(spark, sf_dir):
+    """VX4, VX5, VX7, AG5, JN9: combined search with renormalised weights where a hash is missing."""
+    pool = table(spark, sf_dir, "embeddings").withColumn("pdq_hash", F.when(F.col("vec_id") % 2 == 0, F.sha2(F.col("vec_id").cast("string"), 256)).otherwise(""))
+    found = similarity.series_search(pool, "combined", _vector(spark, sf_dir), hashlib.sha256(b"0").hexdigest(), 10, 0.3, "vec_id", exclude=F.col("vec_id") == 0)
+    return found.select("vec_id", "similarity", F.col("score_clip").alias("clip"), F.col("score_pdq").alias("pdq"), "rank", "is_match")
+
+
+@query("""SELECT sha256(text) AS sha256, min(doc_id) AS representative, count(*) AS members FROM documents GROUP BY text HAVING count(*) > 1""")
+def content_hash_groups(spark, sf_dir):
+    """VX15, AG9, AG10, SE6: exact duplicates by content hash, smallest id first."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"))
+    return grouping.hash_groups(docs, "sha256", "doc_id").where("members > 1")
+
+
+@query("""SELECT d.doc_id, g.representative, g.chars FROM documents d JOIN (SELECT text, min(doc_id) AS representative, length(any_value(text)) AS chars FROM documents GROUP BY text) g USING (text)""")
+def clone_per_hash(spark, sf_dir):
+    """DM14: computed once per hash, spread over its files."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"), F.length("text").cast("bigint").alias("chars"))
+    once = docs.groupBy("sha256").agg(F.min("doc_id").alias("representative"), F.max("chars").alias("chars"))
+    return grouping.clone_to_members(once, docs.select("doc_id", "sha256"), "sha256").select("doc_id", "representative", "chars")
+
+
+_WEIGHT = "CASE o_orderpriority WHEN '1-URGENT' THEN 3 WHEN '2-HIGH' THEN 2 ELSE 1 END"
+
+
+@query(f"""SELECT o_custkey AS query, o_orderstatus AS match, sum({_WEIGHT})::BIGINT AS votes, array_to_string(list_sort(list(DISTINCT o_orderpriority)), ',') AS voters FROM orders GROUP BY 1, 2 HAVING sum({_WEIGHT}) >= 3""")
+def weighted_votes(spark, sf_dir):
+    """AG6: weighted votes per (query, match)."""
+    weight = F.when(F.col("o_orderpriority") == "1-URGENT", 3).when(F.col("o_orderpriority") == "2-HIGH", 2).otherwise(1)
+    votes = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("query"), F.col("o_orderstatus").alias("match"), F.col("o_orderpriority").alias("voter"), weight.alias("weight"))
+    return fusion.weighted_votes(votes, "query", "match", "voter", "weight", 3).withColumn("voters", F.array_join("voters", ","))
+
+
+@query("""SELECT o_orderpriority AS voter, count(DISTINCT o_custkey::VARCHAR || o_orderstatus) AS total_matches, count(DISTINCT o_custkey) AS queries_with_matches FROM orders GROUP BY 1
+UNION ALL SELECT NULL, count(*), count(DISTINCT o_custkey) FROM (SELECT DISTINCT o_custkey, o_orderstatus, o_orderpriority FROM orders)""")
+def run_statistics(spark, sf_dir):
+    """AG7: matches and queries with matches per pipeline and overall."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("query"), F.col("o_orderstatus").alias("match"), F.col("o_orderpriority").alias("voter"))
+    return fusion.run_statistics(orders, "query", "match", "voter")
+
+
+@query("""SELECT user_id, sum(CASE WHEN value > 50 THEN w ELSE 0 END) > sum(w) / 2 AS positive FROM (SELECT user_id, value, CASE event_type WHEN 'purchase' THEN 3.0 WHEN 'click' THEN 2.0 ELSE 1.0 END AS w FROM events) GROUP BY user_id""")
+def majority_vote(spark, sf_dir):
+    """AG8: weighted majority per item."""
+    w = F.when(F.col("event_type") == "purchase", 3.0).when(F.col("event_type") == "click", 2.0).otherwise(1.0)
+    votes = table(spark, sf_dir, "events").select("user_id", F.coalesce(F.col("value") > 50, F.lit(False)).alias("vote"), w.alias("weight"))
+    return fusion.majority_vote(votes, "user_id", "vote", "weight")
+
+
+_JOBS = "SELECT event_id AS uid, user_id, ts AS start, CASE WHEN event_id % 10 < 3 THEN event_id - event_id % 10 END AS root FROM events"
+
+
+def _jobs(spark, sf_dir):
+    root = F.when(F.col("event_id") % 10 < 3, F.col("event_id") - F.col("event_id") % 10)
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("uid"), "user_id", F.col("ts").alias("start"), root.alias("root"))
+
+
+@query(f"""
+WITH j AS ({_JOBS}), r AS (SELECT DISTINCT root AS r FROM j WHERE root IS NOT NULL),
+p AS (SELECT j.*, coalesce(root, r, uid) AS pipeline FROM j LEFT JOIN r ON j.uid = r.r)
+SELECT uid, pipeline, row_number() OVER (PARTITION BY pipeline ORDER BY start, uid) AS member, epoch_us(max(start) OVER (PARTITION BY pipeline)) AS group_start_us FROM p""")
+def pipeline_partition(spark, sf_dir):
+    """AG12, WN5: jobs by pipeline, groups by latest start, members by start."""
+    return grouping.pipelines(_jobs(spark, sf_dir)).select("uid", "pipeline", "member", F.unix_micros(F.col("group_start").cast("timestamp")).alias("group_start_us"))
+
+
+@query(f"""WITH j AS ({_JOBS}) SELECT uid, root, user_id FROM j WHERE user_id = (SELECT min(user_id) FROM j) AND (root = 10 OR uid % 7 = 0)""")
+def jobs_of_pipeline(spark, sf_dir):
+    """SO3, SO4: a user's jobs of a pipeline, by start."""
+    jobs = _jobs(spark, sf_dir)
+    user = jobs.agg(F.min("user_id")).first()[0]
+    return jobs.where((F.col("user_id") == user) & ((F.col("root") == 10) | (F.col("uid") % 7 == 0))).orderBy("start", "uid").select("uid", "root", "user_id")
+
+
+@query("""SELECT event_id, (props->>'$.k')::DOUBLE AS k FROM events WHERE (props->>'$.k')::DOUBLE >= 50 AND (props->>'$.k')::DOUBLE < 80""")
+def metadata_numeric_filter(spark, sf_dir):
+    """FL1-FL4, FL8, FL9: numeric clauses over metadata maps, keys case-insensitive."""
+    rows = table(spark, sf_dir, "events").withColumn("metadata", F.from_json("props", "map<string,string>"))
+    kept = rows.where(predicates.metadata_predicate(F.col("metadata"), "K >= 50, k < 80"))
+    return kept.select("event_id", F.element_at("metadata", "k").cast("double").alias("k"))
+
+
+@query("""SELECT p_partkey, '(' || (p_size - p_size % 8) || '-' || (p_size - p_size % 8 + 7) || ')' AS age FROM part WHERE p_size - p_size % 8 + 7 <= 23 AND (CASE WHEN p_partkey % 2 = 0 THEN 'Male' ELSE 'Female' END) = 'Female'""")
+def age_bucket_filter(spark, sf_dir):
+    """FL5-FL7, FL11, FN-age: age by the upper bound of its bucket, gender without case."""
+    low = F.col("p_size") - F.col("p_size") % 8
+    age = F.concat(F.lit("("), low.cast("string"), F.lit("-"), (low + 7).cast("string"), F.lit(")"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", age.alias("age"), F.create_map(F.lit("Age"), age, F.lit("Gender"), F.when(F.col("p_partkey") % 2 == 0, "Male").otherwise("Female")).alias("metadata"))
+    return rows.where(predicates.metadata_predicate(F.col("metadata"), predicates.compose_age_gender("female", "<=", "23"))).select("p_partkey", "age")
+
+
+@query("""SELECT event_type AS path, min(event_id) AS ordinal FROM events WHERE (props->>'$.k')::DOUBLE > 90 GROUP BY 1""")
+def metadata_filter_paths(spark, sf_dir):
+    """FL1, SE3: ordered distinct paths of the items that meet the criteria."""
+    items = table(spark, sf_dir, "events").select(F.col("event_type").alias("path"), F.col("event_id").alias("ordinal"), F.from_json("props", "map<string,string>").alias("metadata"))
+    return predicates.filter_by_metadata(items, "k > 90")
+
+
+@query("""SELECT bool_or(event_type IN ('Age')) OR false AS present FROM events""")
+def age_gender_gate(spark, sf_dir):
+    """FL10: whether any row has age or gender metadata."""
+    items = table(spark, sf_dir, "events").select(F.from_json("props", "map<string,string>").alias("metadata"))
+    return predicates.has_age_gender(items)
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_quantity BETWEEN 5 AND 10 OR l_quantity >= 49.5""")
+def pattern_range_filter(spark, sf_dir):
+    """FL12-FL16: any of several numeric range patterns over the first number of a text."""
+    rows = table(spark, sf_dir, "lineitem").withColumn("text", F.concat(F.lit("quantity: "), F.col("l_quantity").cast("string")))
+    return rows.where(predicates.output_filter(F.col("text"), ["5..10", ">=49.5"], "numeric_range")).select("l_orderkey", "l_linenumber", "l_quantity")
+
+
+@query("""SELECT doc_id FROM documents WHERE contains(text, 'the and') OR regexp_matches(text, 'est.*la')""")
+def pattern_text_filter(spark, sf_dir):
+    """FL12, FL13, FL17: substring and regex patterns."""
+    text = F.col("text")
+    kept = predicates.output_filter(text, ["the and"]) | predicates.output_filter(text, ["est.*la"], "regex")
+    return table(spark, sf_dir, "documents").where(kept).select("doc_id")
+
+
+@query("""SELECT doc_id, CASE WHEN length(text) > 50 THEN left(text, 50) || '...' ELSE text END AS title, CASE WHEN length(text) > 280 THEN left(text, 277) || '…' ELSE text END AS preview FROM documents WHERE contains(lower(text), 'that')""")
+def content_search_preview(spark, sf_dir):
+    """FL19-FL21, FL27, FN2, FN27: case-insensitive search with title and preview."""
+    docs = table(spark, sf_dir, "documents").where(predicates.pattern_predicate(F.col("text"), "THAT", case_sensitive=False))
+    return docs.select("doc_id", scalars.title(F.col("text")).alias("title"), scalars.preview(F.col("text")).alias("preview"))
+
+
+@query("""SELECT conv_id, turn, CASE WHEN contains(lower(text), 'the') THEN 'keyword_match' WHEN regexp_matches(text, '[/\\\\][\\w\\-\\.]+[/\\\\]?') THEN 'path_detected' WHEN regexp_matches(lower(text), 'weather|joke') THEN 'non_forensic' ELSE 'no_match' END AS reason FROM conversations""")
+def request_gate(spark, sf_dir):
+    """FL25: request gate."""
+    gate = predicates.request_gate(F.col("text"), ["the"], ["weather|joke"])
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", gate["reason"].alias("reason"))
+
+
+@query("""SELECT event_type AS path, max(CASE WHEN json_keys(props)[1] = 'k' THEN 1 ELSE 0 END)::BIGINT AS has_k FROM events GROUP BY 1""")
+def metadata_projection(spark, sf_dir):
+    """FL26, SE5: metadata keys as columns."""
+    items = table(spark, sf_dir, "events").select(F.col("event_type").alias("path"), F.from_json("props", "map<string,string>").alias("metadata"))
+    wide = predicates.metadata_columns(items)
+    return wide.groupBy("path").agg(F.max(F.col("k").isNotNull().cast("bigint")).alias("has_k"))
+
+
+@query("""SELECT a.conv_id, a.turn, s.turns FROM conversations a JOIN (SELECT conv_id, count(*) AS turns FROM conversations GROUP BY 1 HAVING bool_or(role = 'system')) s USING (conv_id) WHERE a.role = 'assistant'""")
+def toolcall_history_join(spark, sf_dir):
+    """JN1, SO5, SO6: messages of a type with their conversation."""
+    chat = table(spark, sf_dir, "conversations")
+    messages = chat.select(F.col("conv_id").alias("conversation_id"), F.col("turn").alias("timestamp"), F.col("turn").alias("message_id"), F.col("role").alias("message_type"))
+    conversations = chat.groupBy(F.col("conv_id").alias("conversation_id")).agg(F.count("*").alias("title"), F.bool_or(F.col("role") == "system").alias("ok")).where("ok")
+    found = state.tool_call_history(messages, conversations, kind="assistant")
+    return found.select(F.col("conversation_id").alias("conv_id"), F.col("timestamp").alias("turn"), F.col("title").alias("turns"))
+
+
+@query("""SELECT n AS messages, count(*) AS conversations FROM (SELECT conv_id, count(*) AS n FROM conversations GROUP BY 1) GROUP BY 1""")
+def message_count_hist(spark, sf_dir):
+    """AG1, AG2, AG18: derived message counters."""
+    counts = state.message_counts(table(spark, sf_dir, "conversations").withColumnRenamed("conv_id", "conversation_id"))
+    return counts.groupBy(F.col("message_count").alias("messages")).agg(F.count("*").alias("conversations"))
+
+
+@query("""SELECT count(*) FILTER (WHERE q = 1 AND n >= 500) AS tp, count(*) FILTER (WHERE q = 0 AND n >= 500) AS fp, count(*) FILTER (WHERE q = 0 AND n < 500) AS tn, count(*) FILTER (WHERE q = 1 AND n < 500) AS fn,
+round(avg(CASE WHEN (q = 1) = (n >= 500) THEN 1.0 ELSE 0.0 END), 6) AS accuracy,
+round(count(*) FILTER (WHERE q = 1 AND n >= 500) / count(*) FILTER (WHERE n >= 500), 6) AS precision, round(count(*) FILTER (WHERE q = 1 AND n >= 500) / count(*) FILTER (WHERE q = 1), 6) AS recall,
+round(2 * count(*) FILTER (WHERE q = 1 AND n >= 500) / (2 * count(*) FILTER (WHERE q = 1 AND n >= 500) + count(*) FILTER (WHERE q = 0 AND n >= 500) + count(*) FILTER (WHERE q = 1 AND n < 500)), 6) AS f1,
+round(count(*) FILTER (WHERE q = 1 AND n >= 500) / count(*) FILTER (WHERE q = 1), 6) AS tpr, round(count(*) FILTER (WHERE q = 0 AND n >= 500) / count(*) FILTER (WHERE q = 0), 6) AS fpr
+FROM (SELECT l.quality AS q, length(d.text) AS n FROM labels l JOIN documents d USING (doc_id))""")
+def retrieval_metrics(spark, sf_dir):
+    """AG13: confusion counts and rates."""
+    rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents"), "doc_id").select((F.col("quality") == 1).alias("truth"), (F.length("text") >= 500).alias("predicted"))
+    return evaluate.confusion(rows, "truth", "predicted")
+
+
+@query("""
+WITH s AS (SELECT q.vec_id AS query, q.label AS ql, e.label AS el, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 12) AS sim FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0 AND e.vec_id <> q.vec_id),
+b AS (SELECT query, any_value(ql) AS label, max(sim) AS best FROM s GROUP BY 1),
+t AS (SELECT round(0.40 + i * 0.02, 2)::DOUBLE AS threshold, label % 2 = 0 AS truth, best >= round(0.40 + i * 0.02, 2) AS predicted FROM b, range(20) r(i))
+SELECT threshold, count(*) FILTER (WHERE truth AND predicted) AS tp, count(*) FILTER (WHERE NOT truth AND predicted) AS fp, count(*) FILTER (WHERE NOT truth AND NOT predicted) AS tn, count(*) FILTER (WHERE truth AND NOT predicted) AS fn FROM t GROUP BY 1""")
+def threshold_sweep(spark, sf_dir):
+    """AG14: confusion counts over a grid of thresholds."""
+    vectors_ = table(spark, sf_dir, "embeddings")
+    queries = vectors_.where("vec_id % 100 = 0")
+    hits = similarity.batch_neighbours(queries, vectors_, 1, "vec_id", "vec_id", exclude_self=True)
+    return evaluate.threshold_sweep(queries.select(F.col("vec_id").alias("query"), (F.col("label") % 2 == 0).alias("truth")), hits).select("threshold", "tp", "fp", "tn", "fn")
+
+
+@query("""
+WITH s AS (SELECT q.vec_id AS query, q.label AS name, e.label AS hit, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 12) DESC, e.vec_id) AS rank FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0 AND e.vec_id <> q.vec_id)
+SELECT round(avg(ok), 6) AS accuracy FROM (SELECT query, max(CASE WHEN hit = name THEN 1.0 ELSE 0.0 END) AS ok FROM s WHERE rank <= 5 GROUP BY 1)""")
+def top_n_accuracy(spark, sf_dir):
+    """FN10, FN11: top-n identity accuracy."""
+    vectors_ = table(spark, sf_dir, "embeddings")
+    queries = vectors_.where("vec_id % 100 = 0")
+    hits = similarity.batch_neighbours(queries, vectors_, 5, "vec_id", "vec_id", exclude_self=True).join(vectors_.select(F.col("vec_id").alias("target"), F.col("label").alias("name")), "target")
+    return evaluate.top_n_accuracy(queries.select(F.col("vec_id").alias("query"), F.col("label").alias("name")), hits, 5)
+
+
+@query("""SELECT doc_id, doc_id IN (SELECT doc_id FROM labels) AS truth FROM documents""")
+def gallery_membership(spark, sf_dir):
+    """JN15: whether a query's identity is in the gallery."""
+    return evaluate.in_gallery(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels"), "doc_id")
+
+
+@query("""SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)""")
+def cache_anti_join(spark, sf_dir):
+    """JN4, SE2, DM1: what the cache lacks."""
+    return cache.missing(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels"), ["doc_id"])
+
+
+@query("""SELECT doc_id, text FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)""")
+def path_semi_join(spark, sf_dir):
+    """JN3, PL2, SC2: restriction to a path list."""
+    return cache.present(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"), ["doc_id"])
+
+
+@query("""SELECT (SELECT count(*) FROM (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels)) = 0 AND (SELECT count(*) FROM (SELECT doc_id FROM labels EXCEPT SELECT doc_id FROM documents)) = 0 AS equal""")
+def set_equality(spark, sf_dir):
+    """SE1: whether two key sets are the same."""
+    return grouping.set_equal(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id")
+
+
+@query("""SELECT doc_id FROM labels UNION SELECT doc_id FROM documents WHERE doc_id < 50""")
+def union_if_absent(spark, sf_dir):
+    """SE4, SE6, SE7: rows added where their key is absent."""
+    return grouping.union_if_absent(table(spark, sf_dir, "labels").select("doc_id"), table(spark, sf_dir, "documents").where("doc_id < 50").select("doc_id"), "doc_id")
+
+
+@query("""
+SELECT o.o_orderkey AS output_path, coalesce(a.v, b.v, c.v, d.v) AS found, CASE WHEN a.v IS NOT NULL THEN 1 WHEN b.v IS NOT NULL THEN 2 WHEN c.v IS NOT NULL THEN 3 WHEN d.v IS NOT NULL THEN 4 END AS found_in
+FROM orders o LEFT JOIN (SELECT l_orderkey AS k, min(l_partkey) AS v FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) a ON a.k = o.o_orderkey
+LEFT JOIN (SELECT l_orderkey AS k, min(l_partkey) AS v FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1) b ON b.k = o.o_orderkey
+LEFT JOIN (SELECT l_orderkey AS k, min(l_suppkey) AS v FROM lineitem WHERE l_linenumber = 4 GROUP BY 1) c ON c.k = o.o_orderkey
+LEFT JOIN (SELECT l_orderkey AS k, min(l_suppkey) AS v FROM lineitem WHERE l_linenumber = 1 GROUP BY 1) d ON d.k = o.o_orderkey""")
+def lookup_cascade(spark, sf_dir):
+    """JN7, JN8: first hit of four lookups."""
+    items = table(spark, sf_dir, "lineitem")
+    tables = [(items.where("l_returnflag = 'R'"), "l_orderkey", "l_partkey", None), (items.where("l_returnflag = 'A'"), "l_orderkey", "l_partkey", None), (items.where("l_linenumber = 4"), "l_orderkey", "l_suppkey", None), (items.where("l_linenumber = 1"), "l_orderkey", "l_suppkey", None)]
+    return lineage.lookup_cascade(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("output_path")), "output_path", tables)
+
+
+@query("""SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1""")
+def latest_step_upsert(spark, sf_dir):
+    """NX5, NX7, SK3, DM7: latest version per key."""
+    return grouping.latest(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"]).select("user_id", "event_id", "event_type")
+
+
+@query("""SELECT event_id, user_id FROM events WHERE event_id % 5 = 0 AND user_id NOT IN (SELECT user_id FROM events WHERE event_id % 97 = 1) UNION ALL SELECT event_id, user_id FROM events WHERE event_id % 97 = 1""")
+def snapshot_replace(spark, sf_dir):
+    """NX6, SK8: new rows of a key replace all its stored ones."""
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id")
+    return grouping.replace_snapshot(rows.where("event_id % 5 = 0"), rows.where("event_id % 97 = 1"), ["user_id"])
+
+
+@query("""SELECT event_id, 'text.json.remainder' AS container, 0::BIGINT AS ordinal, 'json_object' AS output_type FROM events""")
+def flatten_props(spark, sf_dir):
+    """NX1-NX4, WN4, FN18: responses to rows."""
+    jobs = table(spark, sf_dir, "events").select("event_id", F.to_json(F.struct(F.struct(F.lit("text").alias("output_type"), F.col("props").alias("value")).alias("root"))).alias("response"))
+    return nested.flatten_responses(jobs, "event_id").select("event_id", "container", F.col("ordinal").cast("bigint").alias("ordinal"), "output_type")
+
+
+@query("""SELECT o_orderkey AS step_job_id, row_number() OVER (PARTITION BY o_orderkey ORDER BY l_linenumber, 'part/' || l_partkey) - 1 AS ordinal, 'part/' || l_partkey AS path, l_linenumber::VARCHAR AS line FROM orders JOIN lineitem ON l_orderkey = o_orderkey""")
+def batch_items(spark, sf_dir):
+    """NX12, NX14, NX15: files of batch responses."""
+    file = F.struct(F.concat(F.lit("part/"), F.col("l_partkey").cast("string")).alias("path"), F.struct(F.col("l_linenumber").cast("string").alias("line")).alias("metadata"))
+    listed = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("step_job_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", file.alias("f")))), lambda x: x["f"]).alias("files"))
+    jobs = listed.join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("step_job_id")), "step_job_id", "left_semi").select("step_job_id", F.to_json(F.struct(F.lit("batchfile").alias("output_type"), "files")).alias("response"))
+    return nested.batch_items(jobs).select("step_job_id", F.col("ordinal").cast("bigint").alias("ordinal"), "path", F.element_at("metadata", "line").alias("line"))
+
+
+@query("""SELECT c_custkey, 'u_' || left(sha256(c_custkey::VARCHAR), 16) AS scope, 'kb:file-' || left(sha256(c_name), 16) AS node, replace(replace(c_name, '/', '_'), ' ', '_') AS slug, c_mktsegment || '_arfaS' AS collection, regexp_replace(c_name, '[^A-Za-z0-9_.-]', '_', 'g') AS segment FROM customer""")
+def scope_name_functions(spark, sf_dir):
+    """FN5-FN9, FN14, FN15: scopes, node ids, slugs, collection names."""
+    c = table(spark, sf_dir, "customer")
+    return c.select("c_custkey", scalars.user_scope(F.col("c_custkey")).alias("scope"), scalars.node_id(F.col("c_name"), "file").alias("node"), scalars.endpoint_slug(F.col("c_name")).alias("slug"), scalars.collection_name(F.col("c_mktsegment"), F.lit("arcface"), F.lit("facenet"), F.lit(False)).alias("collection"), scalars.segment(F.col("c_name")).alias("segment"))
+
+
+@query("""SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'Fail' WHEN 'O' THEN 'Ongoing' ELSE 'Unknown' END AS action, CASE o_orderstatus WHEN 'F' THEN 'Failed' ELSE 'Running' END AS job FROM orders""")
+def status_functions(spark, sf_dir):
+    """FN12, FN29, FN31: status mappings."""
+    raw = F.when(F.col("o_orderstatus") == "F", "FAILED ").when(F.col("o_orderstatus") == "O", "queued").otherwise("p")
+    return table(spark, sf_dir, "orders").select("o_orderkey", scalars.action_status(raw).alias("action"), scalars.job_status(raw).alias("job"))
+
+
+@query("""SELECT event_id, round(1 / (1 + exp(-(value - 50) / 20)), 6) AS confidence, CASE WHEN 1 / (1 + exp(-(value - 50) / 20)) < 0.4 THEN 'likely fake' WHEN 1 / (1 + exp(-(value - 50) / 20)) < 0.6 THEN 'uncertain' WHEN 1 / (1 + exp(-(value - 50) / 20)) < 0.8 THEN 'weakly real' ELSE 'likely real' END AS prediction FROM events WHERE value IS NOT NULL""")
+def confidence_bands(spark, sf_dir):
+    """VX23, VX29: sigmoid and bands."""
+    p = scalars.sigmoid((F.col("value") - 50) / 20)
+    return table(spark, sf_dir, "events").where("value IS NOT NULL").select("event_id", F.round(p, 6).alias("confidence"), scalars.probability_band(p).alias("prediction"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, round(greatest(p, 1 - p), 6) AS confidence, CASE WHEN greatest(p, 1 - p) > 0.8 THEN 'likely ' || s WHEN greatest(p, 1 - p) > 0.6 THEN 'weakly ' || s ELSE 'uncertain' END AS prediction
+FROM (SELECT l_orderkey, l_linenumber, 1 / (1 + exp(-(l_quantity / 10 - 2.5 - l_discount * 20))) AS p, CASE WHEN l_quantity / 10 > 2.5 + l_discount * 20 THEN 'real' ELSE 'fake' END AS s FROM lineitem)""")
+def softmax_bands(spark, sf_dir):
+    """VX28: softmax over two logits."""
+    band = scalars.softmax_band(F.col("l_quantity") / 10, F.lit(2.5) + F.col("l_discount") * 20)
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(band["confidence"], 6).alias("confidence"), band["prediction"].alias("prediction"))
+
+
+@query("""SELECT conv_id, turn, next_turn FROM (SELECT *, lead(role) OVER w AS next_role, lead(turn) OVER w AS next_turn FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user' AND next_role = 'assistant'""")
+def adjacent_pair_lead(spark, sf_dir):
+    """WN7: a row directly followed by a matching one."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
+    found = grouping.adjacent_pairs(rows, "conv_id", "turn", F.col("role") == "user", F.col("next.role") == "assistant")
+    return found.select("conv_id", "turn", F.col("next.turn").alias("next_turn"))
+
+
+@query("""
+WITH j AS (SELECT event_id AS uid, event_type AS endpoint FROM events), m AS (SELECT CASE conv_id % 3 WHEN 0 THEN 'click' WHEN 1 THEN 'view' END AS endpoint, count(*) AS n FROM conversations GROUP BY 1)
+SELECT j.uid, j.endpoint, coalesce(m.n, 0) AS messages, CASE WHEN j.uid % 2 = 0 THEN 1 ELSE 0 END::BIGINT AS log_lines FROM j LEFT JOIN m USING (endpoint)""")
+def audit_join(spark, sf_dir):
+    """JN16, FL31, JN13: audit trail of jobs, messages and logs; messages are counted per endpoint before the join."""
+    events = table(spark, sf_dir, "events")
+    jobs = events.select(F.col("event_id").alias("uid"), F.col("event_type").alias("endpoint"))
+    chat = table(spark, sf_dir, "conversations").select(F.when(F.col("conv_id") % 3 == 0, "click").when(F.col("conv_id") % 3 == 1, "view").alias("endpoint"))
+    counted = chat.where("endpoint IS NOT NULL").groupBy("endpoint").agg(F.count("*").alias("messages"))
+    logs = events.where("event_id % 2 = 0").groupBy(F.col("event_id").alias("uid")).agg(F.count("*").alias("log_lines"))
+    return jobs.join(counted, "endpoint", "left").join(logs, "uid", "left").select("uid", "endpoint", F.coalesce("messages", F.lit(0)).alias("messages"), F.coalesce("log_lines", F.lit(0)).alias("log_lines"))
+
+
+@query("""SELECT event_id, event_type AS level, CASE event_type WHEN 'error' THEN 40 ELSE 20 END AS number, event_id::VARCHAR AS job_id, 'value ' || event_id AS message FROM events WHERE event_id % 3 <> 0""")
+def log_lines(spark, sf_dir):
+    """SC32, FN40, FN41, FL21: structured log lines, unparsable ones dropped."""
+    line = F.when(F.col("event_id") % 3 != 0, F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(" | "), F.col("event_type"), F.lit("  | job_id="), F.col("event_id").cast("string"), F.lit(" | engine | value "), F.col("event_id").cast("string"))).otherwise("broken line")
+    rows = state.log_table(table(spark, sf_dir, "events").select(line.alias("value")))
+    return rows.select(F.col("job_id").cast("bigint").alias("event_id"), "level", scalars.log_level(F.col("level")).alias("number"), "job_id", "message")
+
+
+@query("""SELECT page_id, len(regexp_extract_all(html, '(?i)<a\\b[^>]*href="([^"]*)"', 1))::BIGINT AS links FROM pages""")
+def page_links(spark, sf_dir):
+    """SC28: links of pages."""
+    return table(spark, sf_dir, "pages").select("page_id", F.size(texts.page_links(F.col("html"))).cast("bigint").alias("links"))
+
+
+@query()
+def html_text(spark, sf_dir):
+    """SC28, FN39: visible text of pages."""
+    return table(spark, sf_dir, "pages").select("page_id", texts.visible_text(F.col("html")).alias("text"))
+
+
+@query()
+def chunk_documents(spark, sf_dir):
+    """FN1, WN6: recursive chunks of every text."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), "text")
+    return texts.chunk_table(docs).groupBy("path").agg(F.count("*").alias("chunks"), F.max(F.length("chunk_text")).alias("longest"))
+
+
+@query()
+def semantic_text_search(spark, sf_dir):
+    """VX2, UD5, VX13 from end to end with the hashing embedder: chunk, embed, best chunk per path, top-k, flag."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), "text")
+    embedded = texts.chunk_table(docs).withColumn("embedding", embedders.embedder()("chunk_text"))
+    wanted = embedders.hash_embed(["the and that with"])[0].tolist()
+    found = similarity.search(embedded, wanted, 5, 0.45, "path", "chunk_index")
+    return found.select("path", "chunk_index", F.round("similarity", 6).alias("similarity"), "rank", "is_match")
+
+
+@query()
+def nms_boxes(spark, sf_dir):
+    """VX17-VX20, AG15: suppression per image."""
+    n = F.col("l_linenumber").cast("double")
+    boxes = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("image"), F.col("l_linenumber").alias("box_id"), (n * 3).alias("x1"), (n * 2).alias("y1"), (n * 3 + F.col("l_quantity")).alias("x2"), (n * 2 + F.col("l_quantity")).alias("y2"), F.col("l_discount").alias("score"))
+    return detections.suppress(boxes, 0.5)
+
+
+@query("""SELECT l_orderkey AS image, l_linenumber AS box_id, round(coalesce(i / nullif(a + b - i, 0), 0), 6) AS iou FROM (SELECT *, greatest(0, least(x2, 20) - greatest(x1, 5)) * greatest(0, least(y2, 20) - greatest(y1, 5)) AS i, (x2 - x1) * (y2 - y1) AS a, 225.0 AS b FROM (SELECT l_orderkey, l_linenumber, l_linenumber * 3.0 AS x1, l_linenumber * 2.0 AS y1, l_linenumber * 3.0 + l_quantity AS x2, l_linenumber * 2.0 + l_quantity AS y2 FROM lineitem))""")
+def box_overlap(spark, sf_dir):
+    """VX17: intersection over union."""
+    n = F.col("l_linenumber").cast("double")
+    box = [n * 3, n * 2, n * 3 + F.col("l_quantity"), n * 2 + F.col("l_quantity")]
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("image"), F.col("l_linenumber").alias("box_id"), F.round(detections.iou(box, [F.lit(5.0), F.lit(5.0), F.lit(20.0), F.lit(20.0)]), 6).alias("iou"))
+
+
+@query("""SELECT image, cx, cy, area > 0.5 * 2500 AS is_headshot FROM (SELECT l_orderkey AS image, l_linenumber * 3.0 + l_quantity / 2 AS cx, l_linenumber * 2.0 + l_quantity / 2 AS cy, l_quantity * l_quantity AS area, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity * l_quantity DESC, l_linenumber) AS rn FROM lineitem) WHERE rn = 1""")
+def largest_face(spark, sf_dir):
+    """VX27: largest box per image."""
+    n = F.col("l_linenumber").cast("double")
+    boxes = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("image"), F.col("l_linenumber").alias("box_id"), (n * 3).alias("x1"), (n * 2).alias("y1"), (n * 3 + F.col("l_quantity")).alias("x2"), (n * 2 + F.col("l_quantity")).alias("y2"), F.lit(50.0).alias("width"), F.lit(50.0).alias("height"))
+    return detections.largest_face(boxes)
+
+
+def _graph_inputs(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    uid = F.col("o_orderkey").cast("string").alias("uid")
+    jobs = orders.select(uid, F.col("o_orderpriority").alias("endpoint"), F.lit('["scan/files"]').alias("endpointChain"), F.when(F.col("o_orderstatus") == "F", "failed").otherwise("completed").alias("status"), F.col("o_orderdate").cast("string").alias("startTime"), F.lit(None).cast("string").alias("endTime"))
+    inputs = orders.select(uid, F.concat(F.lit("/in/"), F.col("o_custkey").cast("string")).alias("path"))
+    hits = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("uid"), F.concat(F.lit("/out/"), F.col("l_linenumber").cast("string"), F.lit(".png")).alias("path"), F.col("l_linenumber").cast("bigint").alias("rank"), F.col("l_discount").alias("similarity"), F.lit("model").alias("model")).join(jobs.select("uid"), "uid", "left_semi")
+    return jobs, inputs, hits
+
+
+@query("""
+WITH o AS (SELECT o_orderkey::VARCHAR AS uid FROM orders), h AS (SELECT l_orderkey::VARCHAR AS uid, count(*) AS n FROM lineitem GROUP BY 1)
+SELECT uid, 'instrument' AS kind, 2::BIGINT AS n FROM o UNION ALL SELECT uid, 'wasInformedBy', 1 FROM o UNION ALL SELECT uid, 'object', 1 FROM o UNION ALL SELECT o.uid, 'search_hit', h.n FROM o JOIN h USING (uid)""")
+def graph_edges(spark, sf_dir):
+    """NX16: edges of the provenance graph per kind."""
+    return graph.edges(*_graph_inputs(spark, sf_dir)).groupBy("uid", "kind").agg(F.count("*").alias("n"))
+
+
+@query()
+def graph_export(spark, sf_dir):
+    """NX16, SK6, SE8: one JSON-LD document per job."""
+    inputs = _graph_inputs(spark, sf_dir)
+    return graph.documents(graph.nodes(*inputs), graph.edges(*inputs))
+
+
+@query("SELECT NULL::VARCHAR AS uid, NULL::VARCHAR AS source, NULL::VARCHAR AS target, NULL::VARCHAR AS kind WHERE false")
+def graph_validation(spark, sf_dir):
+    """NX17: edges without a node; none."""
+    inputs = _graph_inputs(spark, sf_dir)
+    return graph.invalid(graph.nodes(*inputs), graph.edges(*inputs))
+
+
+@query("""SELECT conv_id, turn, 'search' AS name, conv_id::VARCHAR AS conv FROM conversations WHERE role = 'assistant'""")
+def tool_call_parse(spark, sf_dir):
+    """FN24-FN26: tool calls in model answers."""
+    body = F.concat(F.lit('{"name": "search", "arguments": {"conv": '), F.col("conv_id").cast("string"), F.lit("}}"))
+    answer = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("Sure. <tool_code>"), body, F.lit("</tool_code>"))).otherwise(F.concat(F.lit("calling "), body, F.lit(" now")))
+    rows = table(spark, sf_dir, "conversations").where("role = 'assistant'").select("conv_id", "turn", F.explode(texts.parse_tool_calls()(answer)).alias("c"))
+    return rows.select("conv_id", "turn", F.col("c.name").alias("name"), F.get_json_object("c.arguments", "$.conv").alias("conv"))
+
+
+@query("""SELECT event_id, event_type AS input_dir, user_id::VARCHAR AS similarity_threshold FROM events""")
+def argument_names(spark, sf_dir):
+    """FN23: argument names to parameter names."""
+    given = F.create_map(F.lit("Folder"), F.col("event_type"), F.lit("threshold"), F.col("user_id").cast("string"))
+    new = texts.normalised_arguments(given)
+    return table(spark, sf_dir, "events").select("event_id", F.element_at(new, "input_dir").alias("input_dir"), F.element_at(new, "similarity_threshold").alias("similarity_threshold"))
+
+
+def _cache_tables(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    stored = docs.where("doc_id % 2 = 0").select(F.concat(F.lit("/old/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.sha2("text", 256).alias("sha256"))
+    wanted = docs.where("doc_id % 3 = 0").select(F.concat(F.lit("/new/"), F.col("doc_id").cast("string"), F.lit(".TXT")).alias("path"), F.sha2("text", 256).alias("sha256"))
+    return stored, wanted
+
+
+@query("""SELECT '/new/' || doc_id || '.TXT' AS path, '/old/' || doc_id || '.txt' AS old_path FROM documents WHERE doc_id % 6 = 0""")
+def relocate_by_name(spark, sf_dir):
+    """JN10, DM2, FN3: moved files by case-folded name."""
+    stored, wanted = _cache_tables(spark, sf_dir)
+    return cache.moves_by_name(wanted, stored)
+
+
+@query("""
+WITH n AS (SELECT text, count(*) AS want FROM documents WHERE doc_id % 3 = 0 GROUP BY 1), s AS (SELECT text, count(*) AS have FROM documents WHERE doc_id % 2 = 0 GROUP BY 1)
+SELECT sum(CASE WHEN have IS NULL THEN want ELSE 0 END)::BIGINT AS new, sum(CASE WHEN have IS NULL THEN 0 ELSE least(want, have) END)::BIGINT AS relocated, sum(CASE WHEN have IS NULL THEN 0 ELSE want - least(want, have) END)::BIGINT AS cloned FROM n LEFT JOIN s USING (text)""")
+def relocate_or_clone(spark, sf_dir):
+    """JN11, DM3: moved or copied files by content."""
+    stored, wanted = _cache_tables(spark, sf_dir)
+    return cache.move_counts(wanted, stored)
+
+
+@query("""SELECT n_name AS source, count(*) AS n FROM (SELECT n_name, row_number() OVER (PARTITION BY n_name ORDER BY c_custkey) AS rn FROM customer JOIN nation ON c_nationkey = n_nationkey) WHERE rn <= 5 GROUP BY 1""")
+def sample_per_source(spark, sf_dir):
+    """SC30, SO12: at most n rows per source, a sampling operator."""
+    rows = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return grouping.limited(rows, ["n_name"], "c_custkey", 5).groupBy(F.col("n_name").alias("source")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT p_partkey, p_brand, CASE p_brand WHEN 'Brand#11' THEN 1 WHEN 'Brand#22' THEN 2 ELSE 10000 END AS menu_rank FROM part""")
+def menu_order(spark, sf_dir):
+    """SO15, FL29: rank table with unknown entries last."""
+    ranks = spark.createDataFrame([("Brand#11", 1), ("Brand#22", 2)], "p_brand string, rank int")
+    ordered = grouping.menu_order(table(spark, sf_dir, "part").select("p_brand", "p_partkey"), ranks, "p_brand")
+    return ordered.select("p_partkey", "p_brand", F.coalesce("rank", F.lit(10000)).alias("menu_rank"))
+
+
+@query("""SELECT event_id, least(95, (100 * (user_id % 50)) // 40)::BIGINT AS percent FROM events""")
+def progress(spark, sf_dir):
+    """AG19, FN31: percent done."""
+    return table(spark, sf_dir, "events").select("event_id", scalars.percent_done(F.col("user_id") % 50, F.lit(40)).alias("percent"))
