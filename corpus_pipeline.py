@@ -17,18 +17,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwright.llm import bpe, decontaminate, language, lines, nearsets
+from siftwright.llm import bpe, decontaminate, flat, language, lines, nearsets
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents that a language model of the corpus accepts."""
     model = language.train(docs)
-    return language.identify(docs, model, tuple(docs.columns)).where(~F.col("rejected")).select(*docs.columns)
+    prefix = "_" * (1 + max((len(c) - len(c.lstrip("_")) for c in docs.columns), default=0))
+    return language.identify(docs, model, tuple(docs.columns), prefix).where(~F.col(f"{prefix}rejected")).select(*docs.columns)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take lines that many sites share out of every document."""
-    return lines.remove_boilerplate(docs).select(*docs.columns)
+    return lines.remove_boilerplate(docs, into=flat.free_name(docs, "n_lines_removed")).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

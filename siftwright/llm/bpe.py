@@ -272,17 +272,17 @@ def decode(p: Pieces, ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray,
 
 def encode_documents(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Token ids and decoded text of every row: ``keep`` columns, ids array<int>, decoded string."""
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", ids array<int>, decoded string"
+    schema = flat.schema_of(docs, keep, "ids array<int>, decoded string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces(path)
-        for batch in flat.slices(batches):
-            ids, bounds = encode(p, flat.texts_of(batch))
+        for batch in flat.slices(batches, "_text"):
+            ids, bounds = encode(p, flat.texts_of(batch, "_text"))
             data, offsets = decode(p, ids, bounds)
             decoded = pa.LargeStringArray.from_buffers(batch.num_rows, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)).cast(pa.string())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids)), decoded], names=[*keep, "ids", "decoded"])
 
-    return flat.map_batches(docs.select(*keep, docs[text].alias("text")), run, schema)
+    return flat.map_batches(docs.select(*keep, docs[text].alias("_text")), run, schema)
 
 
 def digest_documents(docs: DataFrame, path: str) -> DataFrame:

@@ -238,13 +238,13 @@ def _blocks(benchmark: DataFrame, window: int) -> Iterator[Items]:
         yield items_of([(r.id, r.text) for r in block.toLocalIterator()], window)
 
 
-def find_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """All columns of ``docs`` and a struct ``overlap``: n_words, hit (intervals of word places), items (their ids),
+def find_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, into: str = "overlap") -> DataFrame:
+    """All columns of ``docs`` and a struct column ``into`` (a column of that name is replaced): n_words, hit (intervals of word places), items (their ids),
     longest, longest_item and longest_at (length, item and place of the longest verbatim match)."""
-    overlap = "overlap struct<n_words:bigint,hit:array<struct<start:bigint,end:bigint>>,items:array<string>,longest:bigint,longest_item:string,longest_at:bigint>"
+    overlap = f"{into} struct<n_words:bigint,hit:array<struct<start:bigint,end:bigint>>,items:array<string>,longest:bigint,longest_item:string,longest_at:bigint>"
     kind = pa.struct([("n_words", pa.int64()), ("hit", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.string())), ("longest", pa.int64()), ("longest_item", pa.string()), ("longest_at", pa.int64())])
-    plain = [c for c in docs.columns if c != "overlap"]
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in plain), overlap])
+    plain = [c for c in docs.columns if c != into]
+    schema = flat.schema_of(docs, plain, overlap)
     out = docs.select(*plain)
     for block in _blocks(benchmark, window):
         shared = docs.sparkSession.sparkContext.broadcast(block)
@@ -253,7 +253,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
             items = shared.value
             for batch in flat.slices(batches, most=SHARD_BYTES):
                 found = search(*flat.bytes_of(batch), items)
-                earlier = batch.column("overlap").to_pylist() if "overlap" in batch.schema.names else None
+                earlier = batch.column(into).to_pylist() if into in batch.schema.names else None
                 rows = []
                 for k in range(batch.num_rows):
                     a, b = found["interval_bounds"][k : k + 2]
@@ -267,7 +267,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
                         hit, ids = merged(hit + [(x["start"], x["end"]) for x in old["hit"]]), sorted({*ids, *old["items"]})
                         best = max(best, (old["longest"], old["longest_item"], old["longest_at"]), key=lambda x: x[0])
                     rows.append({"n_words": int(found["n_words"][k]), "hit": [{"start": x, "end": y} for x, y in hit], "items": ids, "longest": best[0], "longest_item": best[1], "longest_at": best[2]})
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in plain), pa.array(rows, kind)], names=[*plain, "overlap"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in plain), pa.array(rows, kind)], names=[*plain, into])
 
         out = flat.map_batches(out, run, schema)
     return out
@@ -284,9 +284,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the documents of which at least a twentieth of the words lie in benchmark windows."""
-    o = F.col("overlap")
+    into = flat.free_name(docs, "overlap")
+    o = F.col(into)
     n_hit = F.aggregate(o["hit"], F.lit(0).cast("bigint"), lambda a, x: a + x["end"] - x["start"])
-    return find_overlaps(docs, benchmark).where(~((n_hit > 0) & (20 * n_hit >= o["n_words"]))).drop("overlap")
+    return find_overlaps(docs, benchmark, into=into).where(~((n_hit > 0) & (20 * n_hit >= o["n_words"]))).drop(into)
 
 
 def items_digest(ids: list[str]) -> str:

@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 SLICE_BYTES = 2 << 20
 _U = np.uint64
@@ -25,7 +26,20 @@ def bounded_batches(spark: SparkSession, rows: int = 500, size: str = "8m") -> N
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
-def map_batches(df: DataFrame, function, schema: str) -> DataFrame:
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores before it where the table has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def schema_of(df: DataFrame, columns: Iterable[str], added: str) -> T.StructType:
+    """A schema of some of a table's columns and of added ones in DDL."""
+    return T.StructType([*(df.schema[c] for c in columns), *T.StructType.fromDDL(added).fields])
+
+
+def map_batches(df: DataFrame, function, schema: str | T.StructType) -> DataFrame:
     """mapInArrow with bounded batches."""
     bounded_batches(df.sparkSession)
     return df.mapInArrow(function, schema)

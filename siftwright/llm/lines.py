@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftwright.llm import flat
 from siftwright.session import materialise
 
 LEAST_SITES = 5
@@ -56,15 +57,16 @@ def _matching(lines: DataFrame, chosen: DataFrame) -> DataFrame:
     return salted.join(chosen.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["h1", "h2", "salt"]).drop("salt")
 
 
-def remove_boilerplate(docs: DataFrame, least_sites: int = LEAST_SITES) -> DataFrame:
-    """``docs`` with boilerplate lines taken out of ``text``, and ``n_lines_removed``."""
+def remove_boilerplate(docs: DataFrame, least_sites: int = LEAST_SITES, into: str = "n_lines_removed") -> DataFrame:
+    """``docs`` with boilerplate lines taken out of ``text``, and their number in a column ``into``."""
     chosen = boilerplate(docs, least_sites).select("h1", "h2")
     drops = _matching(_lines(docs).select("row", "row2", "place", "h1", "h2"), chosen).groupBy("row", "row2").agg(F.collect_set("place").alias("_places"))
-    keyed = docs.withColumns(dict(zip(("_row", "_row2"), _row_key())))
-    joined = keyed.join(drops.withColumnsRenamed({"row": "_row", "row2": "_row2"}), ["_row", "_row2"], "left").drop("_row", "_row2")
-    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains("_places", i)), "\n")
-    removed = F.when(F.col("_places").isNull(), 0).otherwise(F.size("_places")).cast("bigint")
-    return joined.withColumns({"n_lines_removed": removed, "text": F.when(F.col("_places").isNull(), F.col("text")).otherwise(kept)}).drop("_places")
+    one, two, gone = (flat.free_name(docs, x) for x in ("_row", "_row2", "_places"))
+    keyed = docs.withColumns(dict(zip((one, two), _row_key())))
+    joined = keyed.join(drops.withColumnsRenamed({"row": one, "row2": two, "_places": gone}), [one, two], "left").drop(one, two)
+    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains(gone, i)), "\n")
+    removed = F.when(F.col(gone).isNull(), 0).otherwise(F.size(gone)).cast("bigint")
+    return joined.withColumns({into: removed, "text": F.when(F.col(gone).isNull(), F.col("text")).otherwise(kept)}).drop(gone)
 
 
 ORACLE = f"""

@@ -193,11 +193,12 @@ def describe(docs: DataFrame) -> DataFrame:
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with repeated spans cut out of ``text``."""
+    key, cut = flat.free_name(docs, "_row"), flat.free_name(docs, "_spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in flat.slices(batches):
             out = []
-            for text, spans in zip(batch.column("text").to_pylist(), batch.column("_spans").to_pylist()):
+            for text, spans in zip(batch.column("text").to_pylist(), batch.column(cut).to_pylist()):
                 if text and spans:
                     raw, at, kept = text.encode(), 0, []
                     for s in spans:
@@ -205,9 +206,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                         at = s["end"]
                     text = b"".join([*kept, raw[at:]]).decode()
                 out.append(text)
-            names = [c for c in batch.schema.names if c != "_spans"]
+            names = [c for c in batch.schema.names if c != cut]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if c == "text" else batch.column(c) for c in names], names=names)
 
-    found = repeated_spans(docs).select(F.col("row").alias("_row"), F.col("spans").alias("_spans"))
-    joined = docs.withColumn("_row", F.xxhash64("doc_id", "text")).join(found, "_row", "left").drop("_row")
-    return flat.map_batches(joined, run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))
+    found = repeated_spans(docs).select(F.col("row").alias(key), F.col("spans").alias(cut))
+    joined = docs.withColumn(key, F.xxhash64("doc_id", "text")).join(found, key, "left").drop(key)
+    return flat.map_batches(joined, run, docs.schema)

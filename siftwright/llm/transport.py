@@ -208,7 +208,7 @@ def padded(text: bytes) -> bytes:
 
 def store_documents(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns, n_bytes and a transport stream per row of ``docs``."""
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", n_bytes bigint, media binary"
+    schema = flat.schema_of(docs, keep, "n_bytes bigint, media binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in flat.slices(batches):
@@ -220,7 +220,7 @@ def store_documents(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> Dat
 
 def access_units(media: DataFrame, column: str = "media", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """One row per elementary packet: ``keep``, pid, ordinal, stamp, random_access, complete, data."""
-    schema = ", ".join(f"`{c}` {media.schema[c].dataType.simpleString()}" for c in keep) + ", pid int, ordinal int, stamp bigint, random_access boolean, complete boolean, data binary"
+    schema = flat.schema_of(media, keep, "pid int, ordinal int, stamp bigint, random_access boolean, complete boolean, data binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in flat.slices(batches, column):
