@@ -89,7 +89,7 @@ def decoded_images(files: DataFrame) -> DataFrame:
 
 def texts(files: DataFrame, most: int = TEXT_CHARS) -> DataFrame:
     """path and text of files with content: UTF-8, at most ``most`` characters; undecodable bytes are dropped."""
-    text = F.replace(F.try_validate_utf8(F.decode("content", "UTF-8")), F.lit("�"), F.lit(""))
+    text = F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("\ufffd"), F.lit(""))
     return files.select("path", F.coalesce(F.substring(text, 1, most), F.lit("")).alias("text"))
 
 
