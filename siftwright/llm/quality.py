@@ -27,6 +27,9 @@ WORD_BITS = 14
 RANK = 8
 FIT_ROWS = 6_000
 EPOCHS = 12
+#: Batches that a fit takes at least, however few its rows.
+LEAST_STEPS = 600
+BATCH = 128
 THRESHOLD = 0.3
 _INSIDE = np.ones(256, bool)
 _INSIDE[[9, 10, 11, 12, 13, 32]] = False
@@ -124,8 +127,9 @@ def fit(row: np.ndarray, column: np.ndarray, value: np.ndarray, label: np.ndarra
     weights = np.concatenate([machine.linear[:, None], machine.factors], axis=1)
     first, second = np.zeros_like(weights), np.zeros_like(weights)
     step = 0
-    for epoch in range(EPOCHS):
-        for chosen in np.array_split(random.permutation(n), max(1, n // 128)):
+    batches = max(1, n // BATCH)
+    for _ in range(max(EPOCHS, -(-LEAST_STEPS // batches))):
+        for chosen in np.array_split(random.permutation(n), batches):
             if not len(chosen):
                 continue
             lengths = bounds[chosen + 1] - bounds[chosen]
