@@ -5,11 +5,12 @@ signature of ``PLACES`` tokens. Each of ``TREES`` independent trees sends a clas
 tokens under the tree's own order; at a node that is too large to compare, classes branch again by a new order. Two
 classes of similarity 0.8 share a path of one tree with a chance of over 0.9, of any of five trees with one of over 0.99999.
 
-Nodes are worked on in two ways. Star rounds first compare every class of a node with one pivot of it, which takes a group
-of many near copies together in linear work. Then what is left of a node, pairs from different components so far, is
-compared exhaustively where that is little work, and branches again where it is not; after ``DEPTH`` levels the node is
-dealt into blocks and all pairs of blocks are compared, so nothing is dropped. Candidates pass a signature estimate and
-are then confirmed on their full sets. Components come from alternating large-star and small-star steps.
+Nodes are worked on in two passes. The first compares every class of a node with two pivots of it and confirms candidates
+on their full sets: linear work that takes a group of many near copies together. The second looks at the components so far
+that share a node: exhaustively by signature estimates where that is little work, else after branching again; after
+``DEPTH`` levels the node is dealt into blocks and all pairs of blocks are compared, so nothing is dropped. Components that
+may be linked form groups, and all classes of a group are compared on their full sets, block by block. Tasks tell spanning
+forests of what they find, never all pairs. Components come from alternating large-star and small-star steps.
 
 Everything is DataFrame joins and aggregations with partial sums; Python tasks see slices of texts, signatures or pairs
 of bounded size. No links, components or signatures reach the driver.
@@ -36,13 +37,17 @@ TREES = 5
 BRANCHES = 2
 PLACES = 64
 DEPTH = 6
-STAR_ROUNDS = 2
 #: A node is compared exhaustively when its pairs outside its largest component are at most this many.
 NODE_PAIRS = 1 << 18
 #: Least share of equal signature bytes for a candidate: four standard deviations below the similarity sought.
 ESTIMATE = 0.6
 SIMILAR = 80
 SEND_AT_MOST = 1_000_000
+#: Classes of a block, and columns of a slice of the membership matrix, when groups are compared on their full sets.
+BLOCK = 256
+SLICE_COLUMNS = 4096
+#: Rows of small tables (pairs, links, labels) that one task handles, so that few rows don't make many files.
+TASK_ROWS = 50_000
 _U = np.uint64
 _SPACE = np.ones(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = False
@@ -110,77 +115,103 @@ def _binary(rows: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(np.arange(len(rows) + 1, dtype=np.int32) * raw.shape[1]), pa.py_buffer(raw)])
 
 
-def _signs(batch: pa.RecordBatch, name: str = "sign") -> np.ndarray:
-    return np.frombuffer(b"".join(batch.column(name).to_pylist()), np.uint32).reshape(-1, PLACES)
+def _signs(batch: pa.RecordBatch | pa.Table, name: str = "sign", kind: type = np.uint32) -> np.ndarray:
+    return np.frombuffer(b"".join(batch.column(name).to_pylist()), kind).reshape(-1, PLACES)
 
 
-def _branches(key: str, trees: int):
-    """Rows (node, cid, comp) for the lowest tokens of every class; ``key`` holds what the order depends on besides the tree."""
+def paths(tokens: np.ndarray, origin: np.ndarray, trees: int) -> np.ndarray:
+    """Nodes of every signature, ``trees * BRANCHES`` columns: in each tree those of the lowest tokens by its order."""
+    placed = tokens.astype(_U) | (np.arange(PLACES, dtype=_U) << _U(40))
+    out = []
+    for tree in range(trees):
+        order = flat.mix(placed ^ flat.mix(origin + _U((tree + 1) * 0xA24BAED4963EE407 & (1 << 64) - 1))[:, None])
+        lowest = np.partition(order, BRANCHES - 1, axis=1)[:, :BRANCHES]
+        out.append(flat.mix(lowest + origin[:, None] + _U(tree)).view(np.int64))
+    return np.concatenate(out, axis=1)
+
+
+def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The signature of every class, its bytes for estimates, and its nodes in the first level of the trees."""
+    for batch in batches:
+        if batch.num_rows:
+            tokens = _signs(batch)
+            yield pa.RecordBatch.from_arrays([batch.column("cid"), batch.column("n"), batch.column("sign"), _binary(tokens.astype(np.uint8)), _binary(paths(tokens, np.zeros(len(tokens), _U), TREES))], names=["cid", "n", "sign", "bytes", "nodes"])
+
+
+def _first_nodes(classes: DataFrame) -> DataFrame:
+    """Rows (node, cid, n) of the first level."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            tokens = _signs(batch).astype(_U) | (np.arange(PLACES, dtype=_U) << _U(40))
-            origin = np.asarray(batch.column(key)).view(_U) if key else np.zeros(batch.num_rows, _U)
-            for tree in range(trees):
-                order = flat.mix(tokens ^ flat.mix(origin + _U((tree + 1) * 0xA24BAED4963EE407 & (1 << 64) - 1))[:, None])
-                lowest = np.partition(order, BRANCHES - 1, axis=1)[:, :BRANCHES]
-                nodes = flat.mix(lowest + origin[:, None] + _U(tree)).view(np.int64)
-                for b in range(BRANCHES):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(nodes[:, b])), batch.column("cid"), batch.column("comp")], names=["node", "cid", "comp"])
+            if batch.num_rows:
+                nodes = np.frombuffer(b"".join(batch.column("nodes").to_pylist()), np.int64)
+                at = pa.array(np.repeat(np.arange(batch.num_rows), TREES * BRANCHES))
+                yield pa.RecordBatch.from_arrays([pa.array(nodes), batch.column("cid").take(at), batch.column("n").take(at)], names=["node", "cid", "n"])
 
-    return run
+    return flat.map_batches(classes.select("cid", "n", "nodes"), run, "node bigint, cid bigint, n bigint")
 
 
-_NODE = "node bigint, cid bigint, comp bigint"
+def _deeper(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Rows (node, cid, comp) one level below rows of large nodes, by a new order."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                nodes = paths(_signs(batch), np.asarray(batch.column("node")).view(_U), 1)
+                for k in range(BRANCHES):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(nodes[:, k])), batch.column("cid"), batch.column("comp")], names=["node", "cid", "comp"])
 
-def _spread(nodes: DataFrame) -> DataFrame:
-    """Nodes with more than one component: node, n, largest (rows of the largest component)."""
-    per = nodes.groupBy("node", "comp").agg(F.count("*").alias("k"))
-    return per.groupBy("node").agg(F.sum("k").alias("n"), F.max("k").alias("largest"), F.count("*").alias("comps")).where(F.col("comps") > 1)
+    return flat.map_batches(rows.select("node", "cid", "comp").join(classes.select("cid", "sign"), "cid").select("node", "cid", "comp", "sign"), run, "node bigint, cid bigint, comp bigint")
+
+
+def _sized(small: str, large: str):
+    return 100 * F.least(small, large) >= SIMILAR * F.greatest(small, large)
 
 
-def _star(classes: DataFrame, level: int) -> DataFrame:
-    """Pairs (a, b): each class of a node and the node's pivot, where their components differ."""
-    nodes = flat.map_batches(classes.select("cid", "comp", "sign"), _branches("", TREES), _NODE)
-    rank = F.xxhash64(F.lit(level), "cid")
-    pivot = nodes.groupBy("node").agg(F.min(rank).alias("rank"), F.min("comp").alias("low"), F.max("comp").alias("high")).where(F.col("low") != F.col("high"))
-    ranked = nodes.withColumn("rank", rank).join(pivot.select("node", F.col("rank").alias("least")), "node")
-    heads = ranked.where(F.col("rank") == F.col("least")).select("node", F.col("cid").alias("head"), F.col("comp").alias("head_comp"))
-    pairs = ranked.join(heads, "node").where(F.col("comp") != F.col("head_comp"))
-    return pairs.select(F.least("cid", "head").alias("a"), F.greatest("cid", "head").alias("b")).distinct()
+def _active(classes: DataFrame) -> DataFrame:
+    """First-level rows of nodes with several classes, and the two pivots of the node (by a hash order)."""
+    nodes, rank = _first_nodes(classes), F.xxhash64("cid")
+    stats = nodes.groupBy("node").agg(F.count("*").alias("rows"), F.min_by("cid", rank).alias("p1"), F.min_by("n", rank).alias("n1"), F.max_by("cid", rank).alias("p2"), F.max_by("n", rank).alias("n2"))
+    return materialise(nodes.join(stats.where("rows > 1").drop("rows"), "node"))
+
+
+def _star(active: DataFrame) -> DataFrame:
+    """Pairs (a, b): each class of a node and the node's pivots, where their sizes allow the similarity sought."""
+    ends = active.select("cid", "n", F.explode(F.array(F.struct(F.col("p1").alias("p"), F.col("n1").alias("pn")), F.struct(F.col("p2").alias("p"), F.col("n2").alias("pn")))).alias("e")).select("cid", "n", "e.*")
+    return ends.where((F.col("cid") != F.col("p")) & _sized("n", "pn")).select(F.least("cid", "p").alias("a"), F.greatest("cid", "p").alias("b")).distinct()
+
+
+def _spread(nodes: DataFrame) -> DataFrame:
+    """Nodes with more than one component: node, n, pairs (a bound of the pairs outside the largest component)."""
+    per = nodes.groupBy("node", "comp").agg(F.count("*").alias("k"))
+    spread = per.groupBy("node").agg(F.sum("k").alias("rows"), F.max("k").alias("largest"), F.count("*").alias("comps")).where(F.col("comps") > 1)
+    return spread.select("node", "rows", (F.col("rows") * (F.col("rows") - F.col("largest"))).alias("pairs"))
 
 
 def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs whose sizes and signatures allow the similarity sought."""
-    slim = classes.select("cid", "n", "sign")
-    both = pairs.join(slim.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("sign").alias("sa")), "a").join(slim.select(F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("sign").alias("sb")), "b")
+    """Pairs whose signatures allow the similarity sought."""
+    slim = classes.select("cid", "bytes")
+    both = pairs.join(slim.select(F.col("cid").alias("a"), F.col("bytes").alias("sa")), "a").join(slim.select(F.col("cid").alias("b"), F.col("bytes").alias("sb")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                near = (_signs(batch, "sa") == _signs(batch, "sb")).mean(axis=1) >= ESTIMATE
+                near = (_signs(batch, "sa", np.uint8) == _signs(batch, "sb", np.uint8)).mean(axis=1) >= ESTIMATE
                 yield batch.select(["a", "b"]).filter(pa.array(near))
 
-    fits = both.where((100 * F.least("na", "nb") >= SIMILAR * F.greatest("na", "nb")))
-    return flat.map_batches(fits.select("a", "b", "sa", "sb"), run, "a bigint, b bigint")
+    return flat.map_batches(both.select("a", "b", "sa", "sb"), run, "a bigint, b bigint")
+
+
+def _tasks(rows: int) -> int:
+    return max(1, -(-rows // TASK_ROWS))
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     """Pairs whose full shingle sets have the similarity sought."""
     pairs = materialise(pairs)
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    if pairs.count() <= SEND_AT_MOST // 2:
-        wanted = F.broadcast(wanted)
-    texts = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi")
-
-    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches):
-            sets, offsets = shingle_sets(batch, width)
-            raw = memoryview(sets.view(np.uint8))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([bytes(raw[8 * a : 8 * b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())], pa.binary())], names=["cid", "members"])
+    many = pairs.count()
+    pairs = pairs.coalesce(_tasks(many))
+    sets = _sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), 2 * many, width)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -191,88 +222,191 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
                 keep.append(100 * common >= SIMILAR * (len(one) + len(two) - common) and common > 0)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    sets = flat.map_batches(texts, sets_of, "cid bigint, members binary")
     both = pairs.join(sets.select(F.col("cid").alias("a"), F.col("members").alias("ma")), "a").join(sets.select(F.col("cid").alias("b"), F.col("members").alias("mb")), "b")
     return flat.map_batches(both.select("a", "b", "ma", "mb"), compare, "a bigint, b bigint")
 
 
-def _exhaustive(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components that share a node and whose signatures allow the similarity sought."""
-    full = rows.join(classes.select("cid", "n", "sign"), "cid").select("node", "cid", "comp", "n", "sign")
-    dealt = full.repartition("node").sortWithinPartitions("node")
+def _sets(docs: DataFrame, wanted: DataFrame, many: int, width: int) -> DataFrame:
+    """cid and members (sorted shingle hashes) of the wanted documents."""
+    texts = docs.select("doc_id", "text").join(F.broadcast(wanted) if many <= SEND_AT_MOST else wanted, "doc_id", "left_semi")
+
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches):
+            sets, offsets = shingle_sets(batch, width)
+            raw = memoryview(sets.view(np.uint8))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([bytes(raw[8 * a : 8 * b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())], pa.binary())], names=["cid", "members"])
+
+    return flat.map_batches(texts, sets_of, "cid bigint, members binary")
+
+
+def _in_runs(key: str, function):
+    """A mapInArrow function that hands over the rows of whole runs of equal keys; its input is sorted by the key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
+        held: list[pa.Table] = []
         for batch in batches:
-            whole = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-            node = np.asarray(whole["node"])
-            if not len(node):
+            if not batch.num_rows:
                 continue
-            last = int(np.searchsorted(node, node[-1])) if node[0] != node[-1] else 0
-            held = whole.slice(last)
+            keys = np.asarray(batch.column(key))
+            rows = pa.Table.from_batches([batch])
+            first = int(np.searchsorted(keys != keys[0], True))
+            last = int(np.searchsorted(keys == keys[-1], True))
+            if held and held[-1][key][-1].as_py() != keys[0]:
+                yield from function(pa.concat_tables(held))
+                held = []
+            if keys[0] == keys[-1]:
+                held.append(rows)
+                continue
+            if held:
+                yield from function(pa.concat_tables([*held, rows.slice(0, first)]))
+                rows = rows.slice(first)
+                last -= first
             if last:
-                yield from _compared(whole.slice(0, last))
-        if held is not None and held.num_rows:
-            yield from _compared(held)
+                yield from function(rows.slice(0, last))
+            held = [rows.slice(last)]
+        if held:
+            yield from function(pa.concat_tables(held))
+
+    return run
 
-    return flat.map_batches(dealt, run, "a bigint, b bigint").distinct()
+
+def _near_components(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of components with classes that share a node and whose signatures allow the similarity sought. Of the
+    components of a node only a spanning forest is told."""
+    full = rows.join(classes.select("cid", "n", "bytes"), "cid").select("node", "comp", "n", "bytes")
+    dealt = full.repartition("node").sortWithinPartitions("node")
+    return flat.map_batches(dealt, _in_runs("node", _compared), "a bigint, b bigint").distinct()
+
+
+class Forest:
+    """Union-find over numbers; ``links`` are the unions that joined something."""
+
+    def __init__(self) -> None:
+        self.parent: dict[int, int] = {}
+        self.links: list[tuple[int, int]] = []
+
+    def find(self, x: int) -> int:
+        up = self.parent
+        while (p := up.get(x, x)) != x:
+            up[x] = x = up.get(p, p)
+        return x
+
+    def join(self, x: int, y: int) -> None:
+        a, b = self.find(x), self.find(y)
+        if a != b:
+            self.parent[max(a, b)] = min(a, b)
+            self.links.append((min(x, y), max(x, y)))
+
+    def batch(self) -> Iterator[pa.RecordBatch]:
+        if self.links:
+            found = np.array(self.links)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[:, 0])), pa.array(np.ascontiguousarray(found[:, 1]))], names=["a", "b"])
 
 
 def _compared(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-    node, cid, comp, size = (np.asarray(rows[c]) for c in ("node", "cid", "comp", "n"))
-    signs = _signs(rows.combine_chunks().to_batches()[0]).astype(np.uint8)
+    node, comp, size = (np.asarray(rows[c]) for c in ("node", "comp", "n"))
+    signs = _signs(rows, "bytes", np.uint8)
     heads = np.append(np.flatnonzero(np.append(True, node[1:] != node[:-1])), len(node))
-    left, right = [], []
+    forest = Forest()
     for a, b in zip(heads[:-1].tolist(), heads[1:].tolist()):
         own = comp[a:b]
         if b - a < 2 or (own == own[0]).all():
             continue
         kinds, many = np.unique(own, return_counts=True)
         for i in np.flatnonzero(own != kinds[many.argmax()]).tolist():
-            fits = (own != own[i]) & (100 * np.minimum(size[a:b], size[a + i]) >= SIMILAR * np.maximum(size[a:b], size[a + i]))
-            at = np.flatnonzero(fits)
+            at = np.flatnonzero((own != own[i]) & (100 * np.minimum(size[a:b], size[a + i]) >= SIMILAR * np.maximum(size[a:b], size[a + i])))
             at = at[(signs[a + at] == signs[a + i]).mean(axis=1) >= ESTIMATE]
-            left.append(np.full(len(at), cid[a + i]))
-            right.append(cid[a + at])
-    if left:
-        one, two = np.concatenate(left), np.concatenate(right)
-        pairs = np.unique(np.stack([np.minimum(one, two), np.maximum(one, two)], axis=1), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], names=["a", "b"])
-
-
-def _remaining(classes: DataFrame) -> DataFrame:
-    """Candidate pairs of all nodes, node by node: exhaustively, by deeper branches, or by blocks."""
-    nodes = flat.map_batches(classes.select("cid", "comp", "sign"), _branches("", TREES), _NODE)
-    found = None
+            for other in np.unique(own[at]).tolist():
+                forest.join(int(own[i]), other)
+    yield from forest.batch()
+
+
+def _near(active: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs of components that may be linked, from all nodes: node by node, by deeper branches, or by blocks."""
+    nodes = active.select("node", "cid").join(labels, "cid").select("node", "cid", "comp")
+    light = None
     for level in range(DEPTH + 1):
-        # a node's size and components decide once per level; nodes of one component need no comparison
-        spread = _spread(nodes).withColumn("pairs", F.col("n") * (F.col("n") - F.col("largest")))
-        live = materialise(nodes.join(spread.select("node", "n", "pairs"), "node"))
-        part = _exhaustive(live.where(F.col("pairs") <= NODE_PAIRS).select("node", "cid", "comp"), classes)
-        found = part if found is None else found.unionByName(part)
+        live = materialise(nodes.join(_spread(nodes), "node"))
+        part = live.where(F.col("pairs") <= NODE_PAIRS).select("node", "cid", "comp")
+        light = part if light is None else light.unionByName(part)
         large = live.where(F.col("pairs") > NODE_PAIRS)
         if not large.take(1):
-            return found
+            return _near_components(light, classes)
         if level < DEPTH:
-            nodes = flat.map_batches(large.select("node", "cid", "comp").join(classes.select("cid", "sign"), "cid").select("node", "cid", "comp", "sign"), _branches("node", 1), _NODE)
-    blocks = F.ceil(F.col("n") / 256).cast("bigint")
-    own = F.pmod(F.xxhash64("cid"), F.col("blocks"))
-    dealt = large.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-    paired = dealt.select(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("node"), "cid", "comp")
-    return found.unionByName(_exhaustive(paired, classes))
+            nodes = _deeper(large, classes)
+    return _near_components(light.unionByName(_block_pairs(large, "node", "rows").select(F.col("block").alias("node"), "cid", "comp")), classes)
+
+
+def _block_pairs(rows: DataFrame, group: str, size: str) -> DataFrame:
+    """Rows dealt to all pairs of blocks of their group: every two rows of a group meet in a block of about 2 * BLOCK rows."""
+    dealt = rows.withColumn("blocks", F.ceil(F.col(size) / BLOCK).cast("bigint")).withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    return dealt.withColumn("block", F.xxhash64(group, F.least("own", "other"), F.greatest("own", "other"))).drop("blocks", "own", "other")
+
+
+def _links_between(near: DataFrame, labels: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """Confirmed links between the components of each group of near components. All their classes are compared on their
+    full sets, in blocks; of the links found in a block a spanning forest is told."""
+    groups = components(near)
+    label = groups.select(F.col("u").alias("comp"), F.col("v").alias("group")).unionByName(groups.select(F.col("v").alias("comp"), F.col("v").alias("group")).distinct())
+    rows = materialise(labels.join(label, "comp").select("cid", "comp", "group").coalesce(_tasks(labels.count())))
+    rows = rows.join(rows.groupBy("group").agg(F.count("*").alias("size")), "group")
+    sets = _sets(docs, rows.select(F.col("cid").alias("doc_id")), rows.count(), width)
+    dealt = _block_pairs(rows.join(sets, "cid"), "group", "size").select("block", "cid", "comp", "members")
+    return flat.map_batches(dealt.repartition("block").sortWithinPartitions("block"), _in_runs("block", _linked), "a bigint, b bigint").distinct()
+
+
+def _linked(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    blocks = np.asarray(rows["block"])
+    heads = np.append(np.flatnonzero(np.append(True, blocks[1:] != blocks[:-1])), len(blocks))
+    cid, comp, members = np.asarray(rows["cid"]), np.asarray(rows["comp"]), rows["members"].to_pylist()
+    forest = Forest()
+    for a, b in zip(heads[:-1].tolist(), heads[1:].tolist()):
+        if (comp[a:b] == comp[a]).all():
+            continue
+        common, sizes = shared_counts([np.frombuffer(m, _U) for m in members[a:b]])
+        union = sizes[:, None] + sizes[None, :] - common
+        one, two = np.nonzero(np.triu(100 * common >= SIMILAR * union, 1) & (comp[a:b][:, None] != comp[a:b][None, :]))
+        local = Forest()
+        for x, y in zip(one.tolist(), two.tolist()):
+            local.join(int(comp[a + x]), int(comp[a + y]))
+        for x, y in local.links:
+            forest.join(x, y)
+    yield from forest.batch()
+
+
+def shared_counts(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(common members of every two sets, sizes), by products of slices of the membership matrix."""
+    sizes = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, column, many = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    keep = many[column] > 1
+    owner, column = owner[keep], np.cumsum(many > 1)[column[keep]] - 1
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    common = np.diag(sizes).astype(np.float32)
+    np.fill_diagonal(common, 0)
+    for low in range(0, int((many > 1).sum()), SLICE_COLUMNS):
+        a, b = np.searchsorted(column, (low, low + SLICE_COLUMNS))
+        part = np.zeros((len(sets), SLICE_COLUMNS), np.float32)
+        part[owner[a:b], column[a:b] - low] = 1
+        common += part @ part.T
+    return common.round().astype(np.int64), sizes
 
 
 def components(links: DataFrame) -> DataFrame:
     """Connected components of links (a, b): one row (u, v) per linked id other than its component's smallest, v."""
-    edges = materialise(links.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    links = materialise(links)
+    few = _tasks(links.count())
+    edges = materialise(links.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct().coalesce(few))
     state = None
     while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).coalesce(few)
         lowest = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where(F.col("v") > F.col("u")).join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where(F.col("v") > F.col("u")).join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(few).distinct().coalesce(few)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = materialise(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        edges = materialise(small.unionByName(least.select("u", F.col("m").alias("v"))).coalesce(few).distinct().coalesce(few))
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state or not now[0]:
             return edges
@@ -284,21 +418,23 @@ def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
     texts = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), "text")
     described = materialise(flat.map_batches(texts, _describe(width), "doc_id bigint, n bigint, c1 bigint, c2 bigint, sign binary"))
     filled = described.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    groups = materialise(filled.groupBy("c1", "c2").agg(F.min("doc_id").alias("cid"), F.min("n").alias("n"), F.max("sign").alias("sign")))
-    labelled = groups.select("cid", "n", "sign", F.col("cid").alias("comp"))
-    links = None
-    for level in range(STAR_ROUNDS + 1):
-        candidates = _estimated(_star(labelled, level), groups) if level < STAR_ROUNDS else _remaining(labelled).distinct()
-        found = _confirmed(candidates, texts, width)
-        links = found if links is None else found.unionByName(links)
-        joined = components(links)
-        links = joined.select(F.col("u").alias("a"), F.col("v").alias("b"))
-        labelled = materialise(groups.join(joined, groups["cid"] == joined["u"], "left").select("cid", "n", "sign", F.coalesce("v", "cid").alias("comp")))
-    belongs = labelled.select("cid", "comp").join(groups.select("c1", "c2", "cid"), "cid").select("c1", "c2", "comp")
+    groups = filled.groupBy("c1", "c2").agg(F.min("doc_id").alias("cid"), F.min("n").alias("n"), F.max("sign").alias("sign"))
+    classes = materialise(flat.map_batches(groups.select("cid", "n", "sign"), _summaries, "cid bigint, n bigint, sign binary, bytes binary, nodes binary"))
+    active = _active(classes)
+    joined = components(_confirmed(_estimated(_star(active), classes), texts, width))
+    labels = materialise(_labels(classes, joined))
+    between = _links_between(_near(active, classes, labels), labels, texts, width)
+    joined = components(joined.select(F.col("u").alias("a"), F.col("v").alias("b")).unionByName(between))
     slim = described.select("doc_id", "n", "c1", "c2")
-    out = slim.join(belongs, ["c1", "c2"], "left")
+    own = filled.groupBy("c1", "c2").agg(F.min("doc_id").alias("u")).join(joined, "u", "left").select("c1", "c2", F.coalesce("v", "u").alias("comp"))
     component = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("comp")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    out = slim.join(own, ["c1", "c2"], "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def _labels(classes: DataFrame, joined: DataFrame) -> DataFrame:
+    """cid and comp: the component known so far."""
+    return classes.select("cid").join(joined, classes["cid"] == joined["u"], "left").select("cid", F.coalesce("v", "cid").alias("comp"))
 
 
 def keep_one(docs: DataFrame, width: int = 5) -> DataFrame:
