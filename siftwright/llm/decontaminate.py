@@ -30,7 +30,7 @@ from siftwright.llm import flat
 
 WINDOW = 13
 BLOCK_CHARS = 4_000_000
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 _WORD = np.zeros(256, bool)
 _WORD[0x30:0x3A] = _WORD[0x41:0x5B] = _WORD[0x61:0x7B] = _WORD[0x80:] = True
 

@@ -38,7 +38,7 @@ BRANCHES = 2
 PLACES = 64
 DEPTH = 6
 #: A node is compared exhaustively when its pairs outside its largest component are at most this many.
-NODE_PAIRS = 1 << 18
+NODE_PAIRS = 1 << 22
 #: Least share of equal signature bytes for a candidate: four standard deviations below the similarity sought.
 ESTIMATE = 0.6
 SIMILAR = 80
@@ -324,16 +324,18 @@ def _compared(rows: pa.Table) -> Iterator[pa.RecordBatch]:
 def _near(active: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs of components that may be linked, from all nodes: node by node, by deeper branches, or by blocks."""
     nodes = active.select("node", "cid").join(labels, "cid").select("node", "cid", "comp")
-    light = None
+    light = before = None
     for level in range(DEPTH + 1):
         live = materialise(nodes.join(_spread(nodes), "node"))
         part = live.where(F.col("pairs") <= NODE_PAIRS).select("node", "cid", "comp")
         light = part if light is None else light.unionByName(part)
         large = live.where(F.col("pairs") > NODE_PAIRS)
-        if not large.take(1):
+        many = large.count()
+        if not many:
             return _near_components(light, classes)
-        if level < DEPTH:
-            nodes = _deeper(large, classes)
+        if level == DEPTH or before is not None and many >= before:
+            break  # deep enough, or a dense group that branches don't take apart
+        nodes, before = _deeper(large, classes), many
     return _near_components(light.unionByName(_block_pairs(large, "node", "rows").select(F.col("block").alias("node"), "cid", "comp")), classes)
 
 
