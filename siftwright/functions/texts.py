@@ -18,34 +18,34 @@ def split_recursively(text: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OV
     ``overlap`` characters of the chunk before."""
     mark = next((s for s in separators if s == "" or s in text), "")
     finer = separators[separators.index(mark) + 1 :] if mark in separators else ()
-    parts = list(text) if mark == "" else [p for p in text.split(mark) if p]
+    # a separator stays before the part that follows it, so that chunks are verbatim pieces of the text
+    parts = list(text) if mark == "" else [p for p in re.split(f"(?={re.escape(mark)})", text) if p]
     out: list[str] = []
     small: list[str] = []
     for part in parts:
         if len(part) <= size:
             small.append(part)
             continue
-        out += _merge(small, mark, size, overlap)
+        out += _merge(small, size, overlap)
         small = []
         out += split_recursively(part, size, overlap, finer) if finer else [part]
-    return out + _merge(small, mark, size, overlap)
+    return out + _merge(small, size, overlap)
 
 
-def _merge(parts: list[str], mark: str, size: int, overlap: int) -> list[str]:
+def _merge(parts: list[str], size: int, overlap: int) -> list[str]:
     out: list[str] = []
     held: list[str] = []
     length = 0
     for part in parts:
-        more = len(part) + (len(mark) if held else 0)
-        if held and length + more > size:
-            out.append(mark.join(held).strip())
-            while held and (length > overlap or length + len(part) + len(mark) > size):
-                length -= len(held[0]) + (len(mark) if len(held) > 1 else 0)
+        if held and length + len(part) > size:
+            out.append("".join(held).strip())
+            while held and (length > overlap or length + len(part) > size):
+                length -= len(held[0])
                 held = held[1:]
-        length += len(part) + (len(mark) if held else 0)
+        length += len(part)
         held.append(part)
     if held:
-        out.append(mark.join(held).strip())
+        out.append("".join(held).strip())
     return [x for x in out if x]
 
 
