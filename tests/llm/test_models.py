@@ -62,6 +62,36 @@ def test_toxicity(tables):
     assert found.where("score < 0 OR score > 1").count() == 0
 
 
+def test_toxicity_keeps_every_clear_ngram(spark):
+    random.seed(5)
+    word = lambda: "".join(random.choices("abcdefghijklmnopqrstuvwxyz", k=9))
+    bad, plain = [word() for _ in range(40)], [word() for _ in range(400)]
+    texts = [" ".join([*random.choices(plain, k=6), x]) for x in bad for _ in range(40)]
+    clean = [" ".join(random.choices(plain, k=7)) for _ in range(6000)]
+    docs = spark.createDataFrame(list(enumerate(texts + clean)), "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(k, int(k < len(texts))) for k in range(len(texts) + len(clean))], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    assert len(model.slots) > 700
+    assert (model.scores(bad) > 0.5).all() and (model.scores([*plain, ""]) < 0.5).all()
+
+
+def test_toxicity_fit(monkeypatch):
+    monkeypatch.setattr(toxicity, "BLOCK", 64)
+    rng = np.random.default_rng(4)
+    sizes = rng.integers(0, 6, 300)
+    rows, label, ratios = np.repeat(np.arange(300), sizes), rng.integers(0, 2, 300).astype(float), rng.normal(size=40)
+    columns = rng.integers(0, 40, len(rows)).astype(np.int32)
+    weights, b = toxicity.fit(ratios, sizes, columns, label)
+    # where the penalised likelihood is highest, each n-gram's gradient is the penalty of what it adds to the slope
+    p = 1 / (1 + np.exp(-(np.bincount(rows, weights[columns], 300) + b)))
+    gradient = ratios * np.bincount(columns, (label - p)[rows], 40)
+    slope = gradient.sum() / toxicity.PENALTY
+    assert np.allclose(gradient, toxicity.PENALTY * (weights / ratios - slope), atol=1e-4) and abs((label - p).sum()) < 1e-3
+    # the last n-gram is in no fitted row
+    weights, _ = toxicity.fit(np.array([2.0, -1.5, 3.0]), np.ones(200, int), (np.arange(200) % 2).astype(np.int32), (np.arange(200) % 2 == 0).astype(float))
+    assert weights[0] > 0 > weights[1] and weights[2] > 0
+
+
 def test_quality(tables):
     docs, labels = tables
     found = quality.score(docs, quality.train(docs, labels))
