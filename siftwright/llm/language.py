@@ -4,8 +4,8 @@ Per language, n-grams of up to ``ORDER`` letters are counted over every training
 with a language). Lower orders use continuation counts, and every order interpolates with the next lower one. A model is a
 sorted array of n-gram hashes per order with one column of log probabilities per language, and a sorted array of context
 hashes with back-off weights. A text gets the language of the lowest cross-entropy per letter. It is rejected where that
-cross-entropy lies above what the calibration rows of that language (at most about ``CALIBRATION_ROWS``, a documented
-bound) show, with a margin.
+cross-entropy lies above what the training rows of that language show, with a margin; a language whose rows have no letters
+has the highest limit of the others.
 
 Hashes have ``BITS`` bits, so that a model has at most ORDER * 2**BITS entries per language: that bounds what is sent to
 the tasks, however large the corpus. The counts themselves are gathered by aggregation and grow with the corpus.
@@ -29,7 +29,6 @@ from siftwright.llm import flat, labelled
 
 ORDER = 4
 BITS = 22
-CALIBRATION_ROWS = 20_000
 MARGIN = 1.25
 SHARPNESS = 12.0
 UNKNOWN = "und"
@@ -201,12 +200,11 @@ def train(docs: DataFrame) -> Model:
     if not merged.num_rows:
         return Model([])
     model = estimate(names, {k: np.asarray(merged[k]) for k in merged.column_names})
-    return calibrated(rows, model, sum(sizes.values()))
+    return calibrated(rows, model)
 
 
-def calibrated(rows: DataFrame, model: Model, total: int) -> Model:
-    """Set each language's rejection limit to MARGIN times the highest cross-entropy of its calibration rows."""
-    sample = labelled.bounded_sample(rows, CALIBRATION_ROWS, total).select("text", "lang")
+def calibrated(rows: DataFrame, model: Model) -> Model:
+    """Set each language's rejection limit to MARGIN times the highest cross-entropy of its training rows."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,8 +215,9 @@ def calibrated(rows: DataFrame, model: Model, total: int) -> Model:
             keep = pa.array(letters > 0)
             yield pa.RecordBatch.from_arrays([batch.column("lang").filter(keep), pa.array(own).filter(keep)], names=["lang", "entropy"])
 
-    found = flat.map_batches(sample, run, "lang string, entropy double").groupBy("lang").agg(F.max("entropy").alias("most")).collect()
-    model.limits = {r.lang: MARGIN * r.most for r in found}
+    found = flat.map_batches(rows.select("text", "lang"), run, "lang string, entropy double").groupBy("lang").agg(F.max("entropy").alias("most")).collect()
+    limits = {r.lang: MARGIN * r.most for r in found}
+    model.limits = {x: limits.get(x, max(limits.values(), default=np.inf)) for x in model.names}
     return model
 
 

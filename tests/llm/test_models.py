@@ -44,6 +44,14 @@ def test_language_probabilities_sum_to_one(spark):
     assert len(context) == language.ORDER - 1 and 0.5 < total <= 1.0001
 
 
+def test_language_every_language_can_reject(spark, monkeypatch):
+    monkeypatch.setattr(language, "CALIBRATION_ROWS", 1, raising=False)  # a sample that rare languages are not in
+    rows = [(k, "the cat sat on the mat", "en") for k in range(60)] + [(k, "der hund lief nach haus", "de") for k in range(60, 70)] + [(k, "123 456", "nn") for k in range(70, 90)]
+    model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.names == ["de", "en", "nn"] == sorted(model.limits)
+    assert all(np.isfinite(x) for x in model.limits.values()) and model.limits["nn"] == max(model.limits.values())
+
+
 def test_language_odd_rows(odd, empty, spark):
     model = language.train(odd)
     rows = language.identify(odd, model).collect()
