@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -29,13 +31,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared checkpoint folder of the session.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: the one in ``spark.checkpoint.dir``. A local session that names
+    none gets a temporary folder; on a cluster that is an error, as executors would not see each other's files."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="siftwright-")
+
 
-    The folder is the one in ``spark.checkpoint.dir``; only where the session names none (local tests) is a temporary
-    one used. Checkpoint files survive the loss of an executor.
-    """
+def materialise(df: DataFrame) -> DataFrame:
+    """Cut lineage by a checkpoint in the shared folder, whose files survive the loss of an executor."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="siftwright-checkpoint-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
+
+
+class Held:
+    """Tables kept on the executors' disks while a ``with`` block uses them several times. What a lost executor kept is
+    computed anew from its lineage; results that outlive the block must not depend on it."""
+
+    def __init__(self) -> None:
+        self.frames: list[DataFrame] = []
+
+    def __enter__(self) -> Held:
+        return self
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        self.frames.append(df.persist(StorageLevel.DISK_ONLY))
+        return self.frames[-1]
+
+    def __exit__(self, *_) -> None:
+        for df in self.frames:
+            df.unpersist()
