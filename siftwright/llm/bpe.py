@@ -3,7 +3,9 @@
 The symbols of many words lie in one flat numpy array. In every round each word merges its leftmost pair of lowest rank,
 all words at once; then the array is compacted and words without a mergeable pair leave it. Words are cut wherever no
 piece of the vocabulary holds the two neighbouring characters, so no merge can cross a cut, and equal words of a slice
-are encoded once. Words of over ``LONG`` symbols (no cuts in hundreds of characters) take a heap, in O(n log n).
+are encoded once. A word of over ``LONG`` symbols (no cuts in hundreds of characters) has rounds of its own, which merge
+all its pairs of the lowest rank that do not overlap, from the left as far as no merge makes a pair of that rank or a
+lower one: the same merges in the same order, in few rounds.
 
 Defined results: null and empty texts give only the begin and end ids and decode to the empty text; every row is encoded
 by itself, so repeated rows, ties and other columns have no effect; an empty table gives no rows. Texts of any length are
@@ -13,7 +15,6 @@ encoded whole. Characters outside the vocabulary become byte pieces.
 from __future__ import annotations
 
 import hashlib
-import heapq
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -111,17 +112,15 @@ class Pieces:
             todo, at = todo[go], at[go]
         return out
 
-    @property
-    def pair_map(self) -> dict[int, int]:
-        if not hasattr(self, "_map"):
-            full = self._keys != _EMPTY
-            self._map = dict(zip(self._keys[full].tolist(), self._ids[full].tolist()))
-        return self._map
-
 
 @lru_cache(maxsize=2)
-def pieces(path: str) -> Pieces:
-    return Pieces(path)
+def pieces(model: str) -> Pieces:
+    """The vocabulary of a model file, or of a public tokenizer by its name, looked up where the task runs."""
+    if "/" in model:
+        return Pieces(model)
+    import public_tokenizers
+
+    return Pieces(public_tokenizers.path(model))
 
 
 def _rounds(p: Pieces, symbols: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -166,35 +165,51 @@ def _rounds(p: Pieces, symbols: np.ndarray, starts: np.ndarray, lengths: np.ndar
     return out[order], np.bincount(owner, minlength=len(lengths))
 
 
-def _heap(p: Pieces, symbols: list[int]) -> list[int]:
-    """Merged symbols of one long word: the same merges in the same order, from a heap of pairs."""
-    pairs, rank, n = p.pair_map, p.rank, len(symbols)
-    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    queue = []
-
-    def offer(i: int) -> None:
-        j = after[i]
-        if j < n and (new := pairs.get(symbols[i] << 32 | symbols[j])) is not None:
-            queue.append((int(rank[new]), i, symbols[i], symbols[j], new)) if start else heapq.heappush(queue, (int(rank[new]), i, symbols[i], symbols[j], new))
-
-    start = True
-    for i in range(n - 1):
-        offer(i)
-    heapq.heapify(queue)
-    start = False
-    while queue:
-        _, i, left, right, new = heapq.heappop(queue)
-        j = after[i] if symbols[i] == left else n
-        if j >= n or symbols[j] != right:
-            continue
-        symbols[i], symbols[j] = new, -1
-        after[i] = after[j]
-        if after[i] < n:
-            before[after[i]] = i
-        offer(i)
-        if before[i] >= 0:
-            offer(before[i])
-    return [x for x in symbols if x >= 0]
+def _long_rounds(p: Pieces, sym: np.ndarray) -> np.ndarray:
+    """Merged symbols of one long word."""
+    n = len(sym)
+    sym = sym.copy()
+    after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+    made = np.append(p.merged(sym[:-1], sym[1:]), np.int32(-1))
+    rank = np.where(made >= 0, p.rank[made], NONE)
+    alive = np.ones(n, bool)
+    gone = 0
+    while True:
+        least = rank.min(initial=NONE)
+        if least == NONE:
+            return sym[alive]
+        hits = np.flatnonzero(rank == least)
+        # pairs that follow one another share a symbol: every other one of such a run can merge
+        new = np.ones(len(hits), bool)
+        new[1:] = after[hits[:-1]] != hits[1:]
+        hits = hits[(np.arange(len(hits)) - np.maximum.accumulate(np.where(new, np.arange(len(hits)), 0))) % 2 == 0]
+        second, third = after[hits], np.minimum(after[np.minimum(after[hits], n - 1)], n)
+        left = before[hits]
+        left_symbol = sym[left]
+        joined = np.zeros(len(hits), bool)  # the pair before was merged in this round and ends here
+        joined[1:] = after[second[:-1]] == hits[1:]
+        left_symbol[1:][joined[1:]] = made[hits[:-1]][joined[1:]]
+        over = lambda found, ok: np.where(ok & (found >= 0), p.rank[found], NONE)
+        low = np.minimum(over(p.merged(left_symbol, made[hits]), left >= 0), over(p.merged(made[hits], sym[np.minimum(third, n - 1)]), third < n))
+        stop = np.flatnonzero(low <= least)
+        if len(stop):
+            hits, second, third = hits[: stop[0] + 1], second[: stop[0] + 1], third[: stop[0] + 1]
+        sym[hits] = made[hits]
+        alive[second], rank[second] = False, NONE
+        after[hits] = third
+        before[third[third < n]] = hits[third < n]
+        left = before[hits]
+        for side in (hits, left[left >= 0]):
+            right = after[side]
+            found = np.where(right < n, p.merged(sym[side], sym[np.minimum(right, n - 1)]), np.int32(-1))
+            made[side] = found
+            rank[side] = np.where(found >= 0, p.rank[found], NONE)
+        gone += len(second)
+        if 2 * gone > n:  # compact
+            keep = np.flatnonzero(alive)
+            sym, made, rank = sym[keep], made[keep], rank[keep]
+            n, gone = len(keep), 0
+            after, before, alive = np.arange(1, n + 1), np.arange(-1, n - 1), np.ones(n, bool)
 
 
 def encode(p: Pieces, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -221,7 +236,7 @@ def encode(p: Pieces, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         begin[short] = np.cumsum(size) - size
         tail, used = [out], len(out)
         for k in np.flatnonzero(~short):
-            found = np.array(_heap(p, symbols[at[k] : at[k] + lengths[k]].tolist()), np.int32)
+            found = _long_rounds(p, symbols[at[k] : at[k] + lengths[k]])
             begin[k], sizes[k] = used, len(found)
             used += len(found)
             tail.append(found)
@@ -270,12 +285,12 @@ def decode(p: Pieces, ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray,
     return data[keep], offsets - np.concatenate([[0], np.cumsum(led)])
 
 
-def encode_documents(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def encode_documents(docs: DataFrame, model: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Token ids and decoded text of every row: ``keep`` columns, ids array<int>, decoded string."""
     schema = flat.schema_of(docs, keep, "ids array<int>, decoded string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = pieces(path)
+        p = pieces(model)
         for batch in flat.slices(batches, "_text"):
             ids, bounds = encode(p, flat.texts_of(batch, "_text"))
             data, offsets = decode(p, ids, bounds)
@@ -285,11 +300,11 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", keep: tuple
     return flat.map_batches(docs.select(*keep, docs[text].alias("_text")), run, schema)
 
 
-def digest_documents(docs: DataFrame, path: str) -> DataFrame:
+def digest_documents(docs: DataFrame, model: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = pieces(path)
+        p = pieces(model)
         for batch in flat.slices(batches):
             ids, bounds = encode(p, flat.texts_of(batch))
             data, offsets = decode(p, ids, bounds)

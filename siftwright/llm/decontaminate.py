@@ -6,8 +6,9 @@ in it. That gives each suffix's longest verbatim match with its location, and th
 
 A word takes its rank in the benchmark's vocabulary and 0 outside it; 0 also ends documents and items, so no match runs
 through it. Several ranks are packed into one 64-bit key, and suffixes are ordered by their keys, ties by the next keys.
-The benchmark is dealt into blocks of bounded size; a block is what a task holds, and documents pass one block after
-another.
+The benchmark is dealt into compressed blocks of bounded size, which go to every task; a task unpacks one at a time and
+searches it in all the documents that it holds, so documents pass once. Benchmarks of more than ``PASS_CHARS`` characters
+take several passes.
 
 Defined results: a null or empty text has no words and no hits; a null or word-free item has no window; items that share
 an id count once; repeated rows and ties each give their own row; columns other than text are carried along untouched;
@@ -17,7 +18,8 @@ empty tables give no rows or no hits. Texts of any length are searched whole.
 from __future__ import annotations
 
 import hashlib
-import math
+import pickle
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,7 +32,10 @@ from siftwright.llm import flat
 
 WINDOW = 13
 BLOCK_CHARS = 4_000_000
+PASS_CHARS = 1_000_000_000
 SHARD_BYTES = 2 << 20
+#: Shards that a task holds while it goes through several blocks.
+SHARDS = 16
 _WORD = np.zeros(256, bool)
 _WORD[0x30:0x3A] = _WORD[0x41:0x5B] = _WORD[0x61:0x7B] = _WORD[0x80:] = True
 
@@ -202,21 +207,36 @@ def search(data: np.ndarray, offsets: np.ndarray, items: Items) -> dict[str, obj
         low, high = array.bounds(whole, size, False), array.bounds(whole, size, True)
         found = high > low
         low, count, size, owner = low[found], (high - low)[found], size[found], items.owner[whole[found]]
+        # equal windows have the same range of the array; those of one size have no place in common
+        window, first, which = np.unique(low * (items.longest + 1) + size, return_index=True, return_inverse=True)
+        low, count, size = low[first], count[first], size[first]
         place = array.places[flat.ranges(low, count)]
-        width = np.repeat(size, count)
-        edge = np.zeros(len(ranks) + 1, np.int64)
-        np.add.at(edge, place, 1)
-        np.add.at(edge, place + width, -1)
+        edge = np.bincount(place, minlength=len(ranks) + 1) - np.bincount(place + np.repeat(size, count), minlength=len(ranks) + 1)
         hit = np.zeros(len(ranks) + 1, bool)
         hit[1:] = np.cumsum(edge)[:-1] > 0
         starts, ends = np.flatnonzero(hit[1:] & ~hit[:-1]), np.flatnonzero(hit[:-1] & ~hit[1:])
         ends = np.append(ends, len(ranks)) if len(ends) < len(starts) else ends
-        pairs = np.unique(document[place] * len(items.ids) + np.repeat(owner, count))
-        pair_document, pair_item = pairs // len(items.ids), pairs % len(items.ids)
+        pair_document, pair_item = _items_of_documents(np.unique(document[place] * len(window) + np.repeat(np.arange(len(window)), count)), len(window), which, owner, len(items.ids))
     of = document[starts]
     return {"n_words": counts, "starts": starts - begin[of], "ends": ends - begin[of], "interval_bounds": np.searchsorted(of, np.arange(n + 1)), "items": pair_item, "item_bounds": np.searchsorted(pair_document, np.arange(n + 1)), "longest": best, "longest_item": best_item, "longest_at": best_at}
 
 
+def _items_of_documents(seen: np.ndarray, windows: int, which: np.ndarray, owner: np.ndarray, many: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (document, item) of distinct (document, window) codes; ``which`` and ``owner`` have the windows' items."""
+    pairs = np.unique(which * many + owner)
+    bounds = np.searchsorted(pairs // many, np.arange(windows + 1))
+    document, window = seen // windows if windows else seen, seen % windows if windows else seen
+    each = np.diff(bounds)[window]
+    out = [np.zeros(0, np.int64)]
+    cuts = np.searchsorted(np.cumsum(each), np.arange(1 << 20, int(each.sum()) + (1 << 20), 1 << 20), "right")
+    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(seen)]):
+        if b > a:
+            item = pairs[flat.ranges(bounds[window[a:b]], each[a:b])] % many
+            out.append(np.unique(np.repeat(document[a:b], each[a:b]) * many + item))
+    found = np.unique(np.concatenate(out))
+    return found // max(many, 1), found % max(many, 1)
+
+
 def merged(intervals: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """The union of half-open intervals."""
     out: list[tuple[int, int]] = []
@@ -228,14 +248,39 @@ def merged(intervals: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _blocks(benchmark: DataFrame, window: int) -> Iterator[Items]:
-    """The benchmark in blocks of about BLOCK_CHARS characters, one at a time."""
+def _passes(benchmark: DataFrame) -> Iterator[list[bytes]]:
+    """The benchmark in lists of compressed blocks: about BLOCK_CHARS characters a block, PASS_CHARS a list."""
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    parts = max(1, math.ceil(total / BLOCK_CHARS))
-    for k in range(parts):
-        block = items if parts == 1 else items.where(F.pmod(F.xxhash64("id", "text"), F.lit(parts)) == k)
-        yield items_of([(r.id, r.text) for r in block.toLocalIterator()], window)
+    blocks, rows, size = [], [], 0
+    for r in items.toLocalIterator():
+        rows.append((r.id, r.text))
+        size += len(r.text)
+        if size >= BLOCK_CHARS:
+            blocks.append(_packed(rows))
+            rows, size = [], 0
+        if len(blocks) * BLOCK_CHARS >= PASS_CHARS:
+            yield blocks
+            blocks = []
+    if rows:
+        blocks.append(_packed(rows))
+    if blocks:
+        yield blocks
+
+
+def _packed(rows: list[tuple[str, str]]) -> bytes:
+    return zlib.compress(pickle.dumps(rows), 1)
+
+
+def _tasks_over(batches: Iterator[pa.RecordBatch], blocks: int) -> Iterator[list[pa.RecordBatch]]:
+    """Shards in the groups that a task goes through at once: one by one while there is a single block."""
+    held = []
+    for batch in flat.slices(batches, most=SHARD_BYTES):
+        held.append(batch)
+        if len(held) >= (SHARDS if blocks > 1 else 1):
+            yield held
+            held = []
+    if held:
+        yield held
 
 
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, into: str = "overlap") -> DataFrame:
@@ -246,33 +291,42 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
     plain = [c for c in docs.columns if c != into]
     schema = flat.schema_of(docs, plain, overlap)
     out = docs.select(*plain)
-    for block in _blocks(benchmark, window):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
+    for blocks in list(_passes(benchmark)) or [[_packed([])]]:
+        shared = docs.sparkSession.sparkContext.broadcast(blocks)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            items = shared.value
-            for batch in flat.slices(batches, most=SHARD_BYTES):
-                found = search(*flat.bytes_of(batch), items)
-                earlier = batch.column(into).to_pylist() if into in batch.schema.names else None
-                rows = []
-                for k in range(batch.num_rows):
-                    a, b = found["interval_bounds"][k : k + 2]
-                    hit = list(zip(found["starts"][a:b].tolist(), found["ends"][a:b].tolist()))
-                    a, b = found["item_bounds"][k : k + 2]
-                    ids = [items.ids[i] for i in found["items"][a:b]]
-                    longest = int(found["longest"][k])
-                    best = (longest, items.ids[found["longest_item"][k]] if longest else None, int(found["longest_at"][k]) if longest else None)
-                    if earlier:
-                        old = earlier[k]
-                        hit, ids = merged(hit + [(x["start"], x["end"]) for x in old["hit"]]), sorted({*ids, *old["items"]})
-                        best = max(best, (old["longest"], old["longest_item"], old["longest_at"]), key=lambda x: x[0])
-                    rows.append({"n_words": int(found["n_words"][k]), "hit": [{"start": x, "end": y} for x, y in hit], "items": ids, "longest": best[0], "longest_item": best[1], "longest_at": best[2]})
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in plain), pa.array(rows, kind)], names=[*plain, into])
+            packed = shared.value
+            items = items_of(pickle.loads(zlib.decompress(packed[0])), window)
+            for held in _tasks_over(batches, len(packed)):
+                rows = [batch.column(into).to_pylist() if into in batch.schema.names else [None] * batch.num_rows for batch in held]
+                for k, block in enumerate(packed):
+                    items = items if len(packed) == 1 else items_of(pickle.loads(zlib.decompress(block)), window)
+                    rows = [_overlaps(batch, items, earlier) for batch, earlier in zip(held, rows)]
+                for batch, found in zip(held, rows):
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in plain), pa.array(found, kind)], names=[*plain, into])
 
         out = flat.map_batches(out, run, schema)
     return out
 
 
+def _overlaps(batch: pa.RecordBatch, items: Items, earlier: list[dict | None]) -> list[dict]:
+    """What every document of a shard has in common with a block, put together with what earlier blocks gave."""
+    found = search(*flat.bytes_of(batch), items)
+    rows = []
+    for k, old in enumerate(earlier):
+        a, b = found["interval_bounds"][k : k + 2]
+        hit = list(zip(found["starts"][a:b].tolist(), found["ends"][a:b].tolist()))
+        a, b = found["item_bounds"][k : k + 2]
+        ids = [items.ids[i] for i in found["items"][a:b]]
+        longest = int(found["longest"][k])
+        best = (longest, items.ids[found["longest_item"][k]] if longest else None, int(found["longest_at"][k]) if longest else None)
+        if old:
+            hit, ids = merged(hit + [(x["start"], x["end"]) for x in old["hit"]]), sorted({*ids, *old["items"]})
+            best = max(best, (old["longest"], old["longest_item"], old["longest_at"]), key=lambda x: x[0])
+        rows.append({"n_words": int(found["n_words"][k]), "hit": [{"start": x, "end": y} for x, y in hit], "items": ids, "longest": best[0], "longest_item": best[1], "longest_at": best[2]})
+    return rows
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Per document: words, hit words, items with occurring windows, their digest, the verdict, and the longest match."""
     o = F.col("overlap")

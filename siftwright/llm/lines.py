@@ -3,7 +3,8 @@
 Every line hash gets a HyperLogLog sketch of the sites (sources) that it occurs on; the sketches merge by aggregation, on
 the map side first, so a line that fills a third of all rows costs one small sketch per task. Lines whose estimate lies
 within ``MARGIN`` of the threshold get an exact distinct count. Lines on at least ``least_sites`` sites are boilerplate
-and are removed from every document.
+and are removed from every document. While their hashes are few they go to every task and documents are cleaned where they
+are read; only with more of them are the places of their lines shuffled, to be joined to the documents.
 
 Defined results: a null text stays null and has no lines; a null source is a site of its own; blank lines (white space
 only) are never boilerplate and stay; a document all of whose lines go becomes the empty text; repeated rows count once
@@ -12,11 +13,16 @@ per site and are all cleaned alike; lines are compared exactly. An empty table g
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwright.llm import flat
-from siftwright.session import materialise
+from siftwright.session import Held, materialise
 
 LEAST_SITES = 5
 MARGIN = 0.25
@@ -37,15 +43,15 @@ def _lines(docs: DataFrame) -> DataFrame:
     return split.where(F.col("line").rlike(r"\S")).select("row", "row2", "place", "site", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
 
 
-def boilerplate(docs: DataFrame, least_sites: int = LEAST_SITES) -> DataFrame:
+def boilerplate(docs: DataFrame, hold: Held, least_sites: int = LEAST_SITES) -> DataFrame:
     """Hashes of lines on at least ``least_sites`` sites: h1, h2, sites."""
     lines = _lines(docs).select("row", "h1", "h2", "site")
     spread = lines.groupBy("h1", "h2").agg(F.hll_sketch_agg("site", SKETCH_BITS).alias("sketch")).select("h1", "h2", F.hll_sketch_estimate("sketch").alias("estimate"))
-    spread = materialise(spread.where(F.col("estimate") >= least_sites * (1 - MARGIN)))
+    spread = hold(spread.where(F.col("estimate") >= least_sites * (1 - MARGIN)))
     sure = spread.where(F.col("estimate") > least_sites * (1 + MARGIN)).select("h1", "h2", F.col("estimate").alias("sites"))
     near = spread.where(F.col("estimate") <= least_sites * (1 + MARGIN)).select("h1", "h2")
     exact = _matching(lines, near).groupBy("h1", "h2", "site").agg(F.lit(1).alias("one")).groupBy("h1", "h2").agg(F.count("*").alias("sites"))
-    return materialise(sure.unionByName(exact.where(F.col("sites") >= least_sites)))
+    return hold(sure.unionByName(exact.where(F.col("sites") >= least_sites)))
 
 
 def _matching(lines: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -59,14 +65,72 @@ def _matching(lines: DataFrame, chosen: DataFrame) -> DataFrame:
 
 def remove_boilerplate(docs: DataFrame, least_sites: int = LEAST_SITES, into: str = "n_lines_removed") -> DataFrame:
     """``docs`` with boilerplate lines taken out of ``text``, and their number in a column ``into``."""
-    chosen = boilerplate(docs, least_sites).select("h1", "h2")
+    with Held() as hold:
+        chosen = boilerplate(docs, hold, least_sites).select("h1", "h2")
+        if chosen.count() <= SEND_AT_MOST:
+            return _cleaned(docs, into, _by_hash(docs.sparkSession, chosen))
+        chosen = materialise(chosen)
     drops = _matching(_lines(docs).select("row", "row2", "place", "h1", "h2"), chosen).groupBy("row", "row2").agg(F.collect_set("place").alias("_places"))
     one, two, gone = (flat.free_name(docs, x) for x in ("_row", "_row2", "_places"))
     keyed = docs.withColumns(dict(zip((one, two), _row_key())))
     joined = keyed.join(drops.withColumnsRenamed({"row": one, "row2": two, "_places": gone}), [one, two], "left").drop(one, two)
-    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains(gone, i)), "\n")
-    removed = F.when(F.col(gone).isNull(), 0).otherwise(F.size(gone)).cast("bigint")
-    return joined.withColumns({into: removed, "text": F.when(F.col(gone).isNull(), F.col("text")).otherwise(kept)}).drop(gone)
+
+    def by_place(batch: pa.RecordBatch) -> Iterator[tuple[list[str], set[int]]]:
+        for text, places in zip(batch.column("text").to_pylist(), batch.column(gone).to_pylist()):
+            yield (text or "").split("\n"), set(places or ())
+
+    return _cleaned(joined, into, by_place).drop(gone)
+
+
+def _by_hash(spark: SparkSession, chosen: DataFrame):
+    """For every text of a batch its lines and the places of those whose hash is among the chosen ones."""
+    rows = chosen.toArrow()
+    pairs = np.stack([np.asarray(rows["h1"].cast(pa.int64())), np.asarray(rows["h2"].cast(pa.int64()))], axis=1) if rows.num_rows else np.zeros((0, 2), np.int64)
+    seed = spark.range(1).select(F.xxhash64(F.lit(1))).first()[0] & (1 << 64) - 1  # hashing goes on from the number's hash
+    shared = spark.sparkContext.broadcast(pairs)
+
+    def run(batch: pa.RecordBatch) -> Iterator[tuple[list[str], set[int]]]:
+        known = _known(shared.value)
+        for text in batch.column("text").to_pylist():
+            lines = (text or "").split("\n")
+            found = set()
+            for k, line in enumerate(lines):
+                raw = line.encode()
+                second = known.get(xxhash.xxh64_intdigest(raw, 42))
+                if second and xxhash.xxh64_intdigest(raw, seed) in second:
+                    found.add(k)
+            yield lines, found
+
+    return run
+
+
+_held: list = [None, {}]
+
+
+def _known(pairs: np.ndarray) -> dict[int, set[int]]:
+    """First hash -> second hashes, built once per task process."""
+    if _held[0] is not pairs:
+        index: dict[int, set[int]] = {}
+        for one, two in pairs.view(np.uint64).tolist():
+            index.setdefault(one, set()).add(two)
+        _held[:] = [pairs, index]
+    return _held[1]
+
+
+def _cleaned(docs: DataFrame, into: str, gone) -> DataFrame:
+    """``docs`` without the lines at the places that ``gone`` tells for every text of a batch, and their number."""
+    plain = [c for c in docs.columns if c != into]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in flat.slices(batches):
+            texts, many = batch.column("text").to_pylist(), []
+            for k, (lines, places) in enumerate(gone(batch)):
+                many.append(len(places))
+                if places:
+                    texts[k] = "\n".join(x for i, x in enumerate(lines) if i not in places)
+            yield pa.RecordBatch.from_arrays([*(pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in plain), pa.array(many, pa.int64())], names=[*plain, into])
+
+    return flat.map_batches(docs.select(*plain), run, flat.schema_of(docs, plain, f"{into} bigint"))
 
 
 ORACLE = f"""

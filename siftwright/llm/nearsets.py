@@ -7,18 +7,19 @@ classes of similarity 0.8 share a path of one tree with a chance of over 0.9, of
 
 Nodes are worked on in two passes. The first compares every class of a node with two pivots of it and confirms candidates
 on their full sets: linear work that takes a group of many near copies together. The second looks at the components so far
-that share a node: exhaustively by signature estimates where that is little work, else after branching again; after
-``DEPTH`` levels the node is dealt into blocks and all pairs of blocks are compared, so nothing is dropped. Components that
-may be linked form groups, and all classes of a group are compared on their full sets, block by block. Tasks tell spanning
-forests of what they find, never all pairs. Components come from alternating large-star and small-star steps.
+that share a node. Signature estimates tell which classes of a node may be linked to a class of another component, and
+those classes are compared on their full sets, node by node. A node of few classes outside its largest component is
+compared exhaustively, the largest component dealt over tasks; other large nodes branch again; after ``DEPTH`` levels a
+node is dealt into blocks and all pairs of blocks are compared, so nothing is dropped. Tasks tell spanning forests of the
+links that they find, never all pairs. Components come from alternating large-star and small-star steps.
 
-Everything is DataFrame joins and aggregations with partial sums; Python tasks see slices of texts, signatures or pairs
+Everything is DataFrame joins and aggregations with partial sums; Python tasks see slices of texts, signatures or sets
 of bounded size. No links, components or signatures reach the driver.
 
 Defined results: null, empty and word-free texts have an empty set and are linked with nothing; a text with fewer words
 than a shingle has one shingle; rows with equal sets are one class, so repeated rows share a component; a row without a
-doc_id is linked with nothing and has no component id; rows that share a doc_id are linked through their own texts. An
-empty table gives no rows. Other columns don't matter.
+doc_id is linked with nothing and has no component id; rows that share a doc_id but not their text are classes of their
+own, linked through their own texts. An empty table gives no rows. Other columns don't matter.
 """
 
 from __future__ import annotations
@@ -27,24 +28,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftwright.llm import flat
-from siftwright.session import materialise
+from siftwright.session import Held, materialise
 
 TREES = 5
 BRANCHES = 2
 PLACES = 64
 DEPTH = 6
-#: A node is compared exhaustively when its pairs outside its largest component are at most this many.
+#: A node is compared exhaustively when its pairs outside its largest component are at most this many; above NODE_ROWS
+#: classes its largest component is dealt over several tasks, each with all classes of the others.
 NODE_PAIRS = 1 << 22
+NODE_ROWS = 4096
 #: Least share of equal signature bytes for a candidate: four standard deviations below the similarity sought.
 ESTIMATE = 0.6
 SIMILAR = 80
 SEND_AT_MOST = 1_000_000
-#: Classes of a block, and columns of a slice of the membership matrix, when groups are compared on their full sets.
-BLOCK = 256
+#: Classes and shingles of a block when classes are compared on their full sets, and columns of a slice of the membership
+#: matrix. Every two classes of a larger node meet in a block of twice that size.
+BLOCK = 512
+BLOCK_SHINGLES = 1 << 22
 SLICE_COLUMNS = 4096
 #: Rows of small tables (pairs, links, labels) that one task handles, so that few rows don't make many files.
 TASK_ROWS = 50_000
@@ -57,7 +62,7 @@ _SHIFTS = _random.integers(0, 2**32, PLACES, dtype=np.uint32)
 
 
 def shingle_sets(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(48-bit shingle hashes, offsets): the sorted distinct shingles of every text."""
+    """(64-bit shingle hashes, offsets): the sorted distinct shingles of every text."""
     data, offsets = flat.bytes_of(batch)
     *_, hashes, bounds = flat.words_of(data, offsets, _SPACE)
     words = np.diff(bounds)
@@ -65,11 +70,11 @@ def shingle_sets(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndar
     starts = flat.ranges(bounds[:-1], many)
     owner = np.repeat(np.arange(len(words)), many)
     found = flat.segment_hashes(hashes, starts, starts + np.minimum(words, width)[owner])
-    keys = np.sort(owner.astype(_U) << _U(48) | found >> _U(16))
-    new = np.ones(len(keys), bool)
-    new[1:] = keys[1:] != keys[:-1]
-    keys = keys[new]
-    return keys & _U((1 << 48) - 1), np.searchsorted(keys >> _U(48), np.arange(len(words) + 1).astype(_U))
+    order = np.lexsort((found, owner))
+    found = found[order]
+    new = np.ones(len(found), bool)
+    new[1:] = (found[1:] != found[:-1]) | (owner[1:] != owner[:-1])
+    return found[new], np.searchsorted(owner[new], np.arange(len(words) + 1))
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,20 +99,30 @@ def signatures(sets: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def _describe(width: int):
+def digests(sets: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+    """Two longs per set, equal for equal sets."""
+    out = []
+    for seed in (3, 5):
+        sums = np.zeros(len(sets) + 1, _U)
+        np.cumsum(flat.mix(sets ^ flat.mix(np.array([seed], _U))), out=sums[1:])
+        out.append(flat.mix(sums[offsets[1:]] - sums[offsets[:-1]]).view(np.int64))
+    return out
+
+
+_ROW_KEY = ("doc_id", "t1", "t2")
+
+
+def _described(docs: DataFrame, width: int) -> DataFrame:
+    """Per row: doc_id, a 128-bit text hash (t1, t2), set size n, set digest (c1, c2), signature."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
             sets, offsets = shingle_sets(batch, width)
-            counts = np.diff(offsets)
-            digest = []
-            for seed in (3, 5):
-                sums = np.zeros(len(sets) + 1, _U)
-                np.cumsum(flat.mix(sets + _U(seed << 50)), out=sums[1:])
-                digest.append(flat.mix(sums[offsets[1:]] - sums[offsets[:-1]]).view(np.int64))
-            signs = signatures(sets, offsets)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts), pa.array(digest[0]), pa.array(digest[1]), _binary(signs)], names=["doc_id", "n", "c1", "c2", "sign"])
+            one, two = digests(sets, offsets)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in _ROW_KEY), pa.array(np.diff(offsets)), pa.array(one), pa.array(two), _binary(signatures(sets, offsets))], names=[*_ROW_KEY, "n", "c1", "c2", "sign"])
 
-    return run
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"), "text")
+    return flat.map_batches(keyed, run, "doc_id bigint, t1 bigint, t2 bigint, n bigint, c1 bigint, c2 bigint, sign binary")
 
 
 def _binary(rows: np.ndarray) -> pa.Array:
@@ -135,7 +150,8 @@ def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
             tokens = _signs(batch)
-            yield pa.RecordBatch.from_arrays([batch.column("cid"), batch.column("n"), batch.column("sign"), _binary(tokens.astype(np.uint8)), _binary(paths(tokens, np.zeros(len(tokens), _U), TREES))], names=["cid", "n", "sign", "bytes", "nodes"])
+            plain = ["cid", "doc_id", "c1", "c2", "n", "sign"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in plain), _binary(tokens.astype(np.uint8)), _binary(paths(tokens, np.zeros(len(tokens), _U), TREES))], names=[*plain, "bytes", "nodes"])
 
 
 def _first_nodes(classes: DataFrame) -> DataFrame:
@@ -168,11 +184,11 @@ def _sized(small: str, large: str):
     return 100 * F.least(small, large) >= SIMILAR * F.greatest(small, large)
 
 
-def _active(classes: DataFrame) -> DataFrame:
+def _active(classes: DataFrame, hold: Held) -> DataFrame:
     """First-level rows of nodes with several classes, and the two pivots of the node (by a hash order)."""
     nodes, rank = _first_nodes(classes), F.xxhash64("cid")
     stats = nodes.groupBy("node").agg(F.count("*").alias("rows"), F.min_by("cid", rank).alias("p1"), F.min_by("n", rank).alias("n1"), F.max_by("cid", rank).alias("p2"), F.max_by("n", rank).alias("n2"))
-    return materialise(nodes.join(stats.where("rows > 1").drop("rows"), "node"))
+    return hold(nodes.join(stats.where("rows > 1").drop("rows"), "node"))
 
 
 def _star(active: DataFrame) -> DataFrame:
@@ -182,10 +198,10 @@ def _star(active: DataFrame) -> DataFrame:
 
 
 def _spread(nodes: DataFrame) -> DataFrame:
-    """Nodes with more than one component: node, n, pairs (a bound of the pairs outside the largest component)."""
+    """Nodes with more than one component: node, rows, major (the largest component), pairs (a bound of the pairs outside it)."""
     per = nodes.groupBy("node", "comp").agg(F.count("*").alias("k"))
-    spread = per.groupBy("node").agg(F.sum("k").alias("rows"), F.max("k").alias("largest"), F.count("*").alias("comps")).where(F.col("comps") > 1)
-    return spread.select("node", "rows", (F.col("rows") * (F.col("rows") - F.col("largest"))).alias("pairs"))
+    spread = per.groupBy("node").agg(F.sum("k").alias("rows"), F.max("k").alias("largest"), F.max_by("comp", F.struct("k", "comp")).alias("major"), F.count("*").alias("comps")).where(F.col("comps") > 1)
+    return spread.select("node", "rows", "major", (F.col("rows") * (F.col("rows") - F.col("largest"))).alias("pairs"))
 
 
 def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -206,12 +222,12 @@ def _tasks(rows: int) -> int:
     return max(1, -(-rows // TASK_ROWS))
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, hold: Held) -> DataFrame:
     """Pairs whose full shingle sets have the similarity sought."""
-    pairs = materialise(pairs)
+    pairs = hold(pairs)
     many = pairs.count()
     pairs = pairs.coalesce(_tasks(many))
-    sets = _sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), 2 * many, width)
+    sets = _sets(docs, classes, pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), 2 * many, width)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -226,17 +242,22 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     return flat.map_batches(both.select("a", "b", "ma", "mb"), compare, "a bigint, b bigint")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, many: int, width: int) -> DataFrame:
-    """cid and members (sorted shingle hashes) of the wanted documents."""
-    texts = docs.select("doc_id", "text").join(F.broadcast(wanted) if many <= SEND_AT_MOST else wanted, "doc_id", "left_semi")
+def _sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, many: int, width: int) -> DataFrame:
+    """cid and members (sorted shingle hashes) of the wanted classes, from one document of each."""
+    keys = classes.join(wanted, "cid", "left_semi").select("doc_id", "c1", "c2", "cid")
+    keys = F.broadcast(keys) if many <= SEND_AT_MOST else keys
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
             sets, offsets = shingle_sets(batch, width)
             raw = memoryview(sets.view(np.uint8))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([bytes(raw[8 * a : 8 * b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())], pa.binary())], names=["cid", "members"])
+            one, two = digests(sets, offsets)
+            members = pa.array([bytes(raw[8 * a : 8 * b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(one), pa.array(two), members], names=["doc_id", "c1", "c2", "members"])
 
-    return flat.map_batches(texts, sets_of, "cid bigint, members binary")
+    texts = docs.select("doc_id", "text").join(keys.select("doc_id"), "doc_id", "left_semi")
+    found = flat.map_batches(texts, sets_of, "doc_id bigint, c1 bigint, c2 bigint, members binary").join(keys, ["doc_id", "c1", "c2"])
+    return found.groupBy("cid").agg(F.first("members").alias("members"))  # repeated rows have equal sets
 
 
 def _in_runs(key: str, function):
@@ -270,12 +291,15 @@ def _in_runs(key: str, function):
     return run
 
 
-def _near_components(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of components with classes that share a node and whose signatures allow the similarity sought. Of the
-    components of a node only a spanning forest is told."""
-    full = rows.join(classes.select("cid", "n", "bytes"), "cid").select("node", "comp", "n", "bytes")
+def _promising(rows: DataFrame, classes: DataFrame, hold: Held) -> DataFrame:
+    """Of rows (node, cid, comp) those with a class of another component in their node whose signature allows the
+    similarity sought; nodes left with the same classes count once."""
+    full = rows.join(classes.select("cid", "n", "bytes"), "cid").select("node", "cid", "comp", "n", "bytes")
     dealt = full.repartition("node").sortWithinPartitions("node")
-    return flat.map_batches(dealt, _in_runs("node", _compared), "a bigint, b bigint").distinct()
+    found = hold(flat.map_batches(dealt, _in_runs("node", _estimates), "node bigint, cid bigint, comp bigint, n bigint"))
+    print_ = F.sum(F.xxhash64("cid").cast("decimal(20,0)")).alias("print")
+    once = found.groupBy("node").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles"), print_).groupBy("rows", "shingles", "print").agg(F.min("node").alias("node"))
+    return found.drop("n").join(once.select("node", "rows", "shingles"), "node")
 
 
 class Forest:
@@ -303,11 +327,12 @@ class Forest:
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[:, 0])), pa.array(np.ascontiguousarray(found[:, 1]))], names=["a", "b"])
 
 
-def _compared(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+def _estimates(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    """The rows of each node with a near one of another component, by signature estimates."""
     node, comp, size = (np.asarray(rows[c]) for c in ("node", "comp", "n"))
     signs = _signs(rows, "bytes", np.uint8)
     heads = np.append(np.flatnonzero(np.append(True, node[1:] != node[:-1])), len(node))
-    forest = Forest()
+    near = np.zeros(len(node), bool)
     for a, b in zip(heads[:-1].tolist(), heads[1:].tolist()):
         own = comp[a:b]
         if b - a < 2 or (own == own[0]).all():
@@ -316,45 +341,59 @@ def _compared(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         for i in np.flatnonzero(own != kinds[many.argmax()]).tolist():
             at = np.flatnonzero((own != own[i]) & (100 * np.minimum(size[a:b], size[a + i]) >= SIMILAR * np.maximum(size[a:b], size[a + i])))
             at = at[(signs[a + at] == signs[a + i]).mean(axis=1) >= ESTIMATE]
-            for other in np.unique(own[at]).tolist():
-                forest.join(int(own[i]), other)
-    yield from forest.batch()
+            near[a + at] = True
+            near[a + i] |= len(at) > 0
+    keep = np.flatnonzero(near)
+    if len(keep):
+        yield pa.RecordBatch.from_arrays([pa.array(node[keep]), pa.array(np.asarray(rows["cid"])[keep]), pa.array(comp[keep]), pa.array(size[keep])], names=["node", "cid", "comp", "n"])
 
 
-def _near(active: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of components that may be linked, from all nodes: node by node, by deeper branches, or by blocks."""
+def _near(active: DataFrame, classes: DataFrame, labels: DataFrame, hold: Held) -> DataFrame:
+    """Rows (node, cid, comp, rows, shingles) of classes that may be linked to another component of their node."""
     nodes = active.select("node", "cid").join(labels, "cid").select("node", "cid", "comp")
     light = before = None
     for level in range(DEPTH + 1):
-        live = materialise(nodes.join(_spread(nodes), "node"))
-        part = live.where(F.col("pairs") <= NODE_PAIRS).select("node", "cid", "comp")
+        live = hold(nodes.join(_spread(nodes), "node"))
+        part = _dealt(live.where(F.col("pairs") <= NODE_PAIRS))
         light = part if light is None else light.unionByName(part)
         large = live.where(F.col("pairs") > NODE_PAIRS)
         many = large.count()
         if not many:
-            return _near_components(light, classes)
+            return _promising(light, classes, hold)
         if level == DEPTH or before is not None and many >= before:
             break  # deep enough, or a dense group that branches don't take apart
         nodes, before = _deeper(large, classes), many
-    return _near_components(light.unionByName(_block_pairs(large, "node", "rows").select(F.col("block").alias("node"), "cid", "comp")), classes)
+    blocks = F.ceil(F.col("rows") / (NODE_ROWS // 2)).cast("bigint")
+    return _promising(light.unionByName(_block_pairs(large, "node", blocks).select(F.col("block").alias("node"), "cid", "comp")), classes, hold)
+
+
+def _dealt(live: DataFrame) -> DataFrame:
+    """Rows (node, cid, comp) of light nodes. The largest component of a node with many classes is dealt over tasks, and
+    the few others go to each of them."""
+    parts = F.ceil(F.col("rows") / NODE_ROWS).cast("bigint")
+    own = F.array(F.pmod(F.xxhash64("cid"), parts))
+    part = F.explode(F.when(F.col("comp") == F.col("major"), own).otherwise(F.sequence(F.lit(0).cast("bigint"), parts - 1)))
+    few, many = live.where(F.col("rows") <= NODE_ROWS), live.where(F.col("rows") > NODE_ROWS)
+    split = many.select("node", "cid", "comp", part.alias("part")).select(F.xxhash64("node", "part").alias("node"), "cid", "comp")
+    return few.select("node", "cid", "comp").unionByName(split)
 
 
-def _block_pairs(rows: DataFrame, group: str, size: str) -> DataFrame:
-    """Rows dealt to all pairs of blocks of their group: every two rows of a group meet in a block of about 2 * BLOCK rows."""
-    dealt = rows.withColumn("blocks", F.ceil(F.col(size) / BLOCK).cast("bigint")).withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")))
+def _block_pairs(rows: DataFrame, group: str, blocks: Column) -> DataFrame:
+    """Rows dealt to all pairs of the blocks of their group, so that every two rows of a group meet in one."""
+    dealt = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
     return dealt.withColumn("block", F.xxhash64(group, F.least("own", "other"), F.greatest("own", "other"))).drop("blocks", "own", "other")
 
 
-def _links_between(near: DataFrame, labels: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """Confirmed links between the components of each group of near components. All their classes are compared on their
-    full sets, in blocks; of the links found in a block a spanning forest is told."""
-    groups = components(near)
-    label = groups.select(F.col("u").alias("comp"), F.col("v").alias("group")).unionByName(groups.select(F.col("v").alias("comp"), F.col("v").alias("group")).distinct())
-    rows = materialise(labels.join(label, "comp").select("cid", "comp", "group").coalesce(_tasks(labels.count())))
-    rows = rows.join(rows.groupBy("group").agg(F.count("*").alias("size")), "group")
-    sets = _sets(docs, rows.select(F.col("cid").alias("doc_id")), rows.count(), width)
-    dealt = _block_pairs(rows.join(sets, "cid"), "group", "size").select("block", "cid", "comp", "members")
+def _links_between(near: DataFrame, classes: DataFrame, docs: DataFrame, width: int, hold: Held) -> DataFrame:
+    """Confirmed links between the components of nodes: their classes are compared on full sets, in blocks; of the links
+    found in a block a spanning forest is told."""
+    near = hold(near)
+    many = near.count()
+    near = near.coalesce(_tasks(many))
+    sets = _sets(docs, classes, near.select("cid").distinct(), many, width)
+    blocks = F.greatest(F.ceil(F.col("rows") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("bigint")
+    dealt = _block_pairs(near, "node", blocks).select("block", "cid", "comp").join(sets, "cid")
     return flat.map_batches(dealt.repartition("block").sortWithinPartitions("block"), _in_runs("block", _linked), "a bigint, b bigint").distinct()
 
 
@@ -398,9 +437,10 @@ def shared_counts(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 def components(links: DataFrame) -> DataFrame:
     """Connected components of links (a, b): one row (u, v) per linked id other than its component's smallest, v."""
-    links = materialise(links)
-    few = _tasks(links.count())
-    edges = materialise(links.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct().coalesce(few))
+    with Held() as hold:
+        links = hold(links)
+        few = _tasks(links.count())
+        edges = materialise(links.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct().coalesce(few))
     state = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).coalesce(few)
@@ -415,22 +455,39 @@ def components(links: DataFrame) -> DataFrame:
         state = now
 
 
-def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable over links) and kept of every row."""
+def _resolved(docs: DataFrame, width: int) -> DataFrame:
+    """Per row: doc_id, t1, t2, n, and component_id (null for rows that are linked with nothing)."""
     texts = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), "text")
-    described = materialise(flat.map_batches(texts, _describe(width), "doc_id bigint, n bigint, c1 bigint, c2 bigint, sign binary"))
+    described = materialise(_described(texts, width).withColumn("rid", F.monotonically_increasing_id()))
     filled = described.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    groups = filled.groupBy("c1", "c2").agg(F.min("doc_id").alias("cid"), F.min("n").alias("n"), F.max("sign").alias("sign"))
-    classes = materialise(flat.map_batches(groups.select("cid", "n", "sign"), _summaries, "cid bigint, n bigint, sign binary, bytes binary, nodes binary"))
-    active = _active(classes)
-    joined = components(_confirmed(_estimated(_star(active), classes), texts, width))
-    labels = materialise(_labels(classes, joined))
-    between = _links_between(_near(active, classes, labels), labels, texts, width)
-    joined = components(joined.select(F.col("u").alias("a"), F.col("v").alias("b")).unionByName(between))
-    slim = described.select("doc_id", "n", "c1", "c2")
-    own = filled.groupBy("c1", "c2").agg(F.min("doc_id").alias("u")).join(joined, "u", "left").select("c1", "c2", F.coalesce("v", "u").alias("comp"))
-    component = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("comp")).otherwise(F.col("doc_id"))
-    out = slim.join(own, ["c1", "c2"], "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    # a class goes by a row number, as documents with different texts may share a doc_id
+    keys = [F.min("rid").alias("cid"), F.min("doc_id").alias("doc_id")]
+    with Held() as hold:
+        groups = filled.groupBy("c1", "c2").agg(*keys, F.min("n").alias("n"), F.max("sign").alias("sign"))
+        classes = hold(flat.map_batches(groups, _summaries, "cid bigint, doc_id bigint, c1 bigint, c2 bigint, n bigint, sign binary, bytes binary, nodes binary"))
+        active = _active(classes, hold)
+        joined = components(_confirmed(_estimated(_star(active), classes), classes, texts, width, hold))
+        labels = hold(_labels(classes, joined))
+        between = _links_between(_near(active, classes, labels, hold), classes, texts, width, hold)
+        joined = components(joined.select(F.col("u").alias("a"), F.col("v").alias("b")).unionByName(between))
+        members = joined.unionByName(joined.select(F.col("v").alias("u"), "v").distinct()).withColumnsRenamed({"u": "cid", "v": "comp"})
+        linked = members.join(classes.select("cid", "doc_id"), "cid")
+        lowest = hold(linked.join(linked.groupBy("comp").agg(F.min("doc_id").alias("lowest")), "comp").select("cid", "lowest"))
+        lowest = _stored(lowest)
+    own = filled.groupBy("c1", "c2").agg(*keys).join(lowest, "cid", "left").select("c1", "c2", F.coalesce("lowest", "doc_id").alias("component_id"))
+    inside = (F.col("n") > 0) & F.col("doc_id").isNotNull()
+    rows = described.select(*_ROW_KEY, "n", "c1", "c2").join(own, ["c1", "c2"], "left")
+    return rows.select(*_ROW_KEY, "n", F.when(inside, F.col("component_id")).alias("component_id"))
+
+
+def _stored(held: DataFrame) -> DataFrame:
+    """A held table in the shared folder, in few files where it has few rows."""
+    return materialise(held.coalesce(_tasks(held.count())))
+
+
+def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id reachable over links) and kept of every row."""
+    out = _resolved(docs, width).select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
@@ -440,8 +497,27 @@ def _labels(classes: DataFrame, joined: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, width: int = 5) -> DataFrame:
-    """``docs`` with one document of each group of near duplicates: the one with the smallest id."""
-    dropped = materialise(near_duplicates(docs, width).where(~F.col("kept")).select("doc_id").distinct())
-    again = docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") > 1)
-    once = docs if not again.take(1) else docs.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).unionByName(docs.where(F.col("doc_id").isNull()))
-    return once.join(F.broadcast(dropped) if dropped.count() <= SEND_AT_MOST else dropped, "doc_id", "left_anti")
+    """``docs`` with one document of each group of near duplicates: the one with the smallest id; of several rows with that
+    id the one with the smallest text hash, and of equal ids and texts the one with the smallest hash of all its columns.
+    Rows that share an id but are no near duplicates all stay, as do rows without an id or words."""
+    own = [flat.free_name(docs, x) for x in ("_id", "_t1", "_t2")]
+    key, renamed = F.struct(*_ROW_KEY), dict(zip(_ROW_KEY, own))
+    with Held() as hold:
+        rows = hold(_resolved(docs, width).where("component_id IS NOT NULL"))
+        first = rows.groupBy("component_id").agg(F.min(key).alias("first"), F.count("*").alias("rows")).where("rows > 1")
+        dropped = rows.join(first.drop("rows"), "component_id").where(key != F.col("first")).select(*_ROW_KEY).distinct()
+        repeated = rows.groupBy(*_ROW_KEY).agg(F.count("*").alias("rows")).where("rows > 1").select(*_ROW_KEY)
+        gone, again = (_stored(hold(x.withColumnsRenamed(renamed))) for x in (dropped, repeated))
+    keyed = docs.withColumns(dict(zip(own, (F.col("doc_id").cast("bigint"), F.xxhash64("text"), F.xxhash64(F.lit(1), "text")))))
+    left = keyed.join(_small(gone), own, "left_anti")
+    if again.isEmpty():
+        return left.select(*docs.columns)
+    hashed = [c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    whole = F.min_by(F.struct(*docs.columns), F.xxhash64(*hashed)).alias("whole")
+    once = left.join(_small(again), own, "left_semi").groupBy(*own).agg(whole).select("whole.*")
+    return left.join(_small(again), own, "left_anti").select(*docs.columns).unionByName(once)
+
+
+def _small(rows: DataFrame) -> DataFrame:
+    """Keys, sent to every task while they are few."""
+    return F.broadcast(rows) if rows.count() <= SEND_AT_MOST else rows

@@ -3,8 +3,9 @@
 Regular expressions propose spans, checksums confirm them (Luhn for cards, mod-97 for bank account numbers, octet ranges
 for addresses), and words close to a span move its score. Matches come from ``regexp_extract_all`` and their places from
 the lengths of the pieces that ``split`` leaves between them, so every text is scanned a fixed number of times, whatever
-its length. Repeats inside the patterns are possessive where nothing that follows could use a shorter one: the same
-matches, with no stack growth on long runs.
+its length. Repeats inside the patterns are possessive where nothing that follows could use a shorter one, and a run is
+tried from its start alone (or where the last match ended): the same matches, in linear time and with no stack growth on
+long runs.
 
 Defined results: null and empty texts have no spans; each row stands by itself, so repeated rows and ties have no effect;
 other columns are carried along; an empty table gives no rows. Offsets are code points, end exclusive.
@@ -17,8 +18,8 @@ from pyspark.sql import functions as F
 
 # Patterns of the base kinds and of the added kind, in the order in which they are reported.
 PATTERNS = {
-    "email": r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
-    "ip": r"[0-9]++(?:\.[0-9]++){3}",
+    "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
+    "ip": r"(?:(?<![0-9])|\G)[0-9]++(?:\.[0-9]++){3}",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "iban": r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
@@ -36,6 +37,8 @@ RAISING = {
 }
 LOWERING = r"(?i)example|sample|test|version|dummy|order|isbn"
 NEAR = 40
+#: Matches whose places are summed up at a time.
+GROUP = 256
 #: Score of a span that its pattern and checksum confirm, before context.
 CONFIRMED = {"email": 0.7, "ip": 0.5, "card": 0.8, "phone": 0.5, "iban": 0.9}
 _OCTETS = r"0*(?:[0-9]|[1-9][0-9]|1[0-9][0-9]|2[0-4][0-9]|25[0-5])(?:\.0*(?:[0-9]|[1-9][0-9]|1[0-9][0-9]|2[0-4][0-9]|25[0-5])){3}"
@@ -83,7 +86,7 @@ def _matches(text: Column, kind: str) -> Column:
     gaps = F.zip_with(F.slice(pieces, 1, many), F.slice(pieces, 2, many), lambda p, q: F.struct(p.alias("before"), q.alias("after")))
     paired = F.zip_with(values, gaps, lambda v, g: F.struct(v.alias("value"), g["before"].alias("before"), g["after"].alias("after")))
     empty = F.array().cast("array<struct<kind:string,start:int,end:int,value:string,score:double>>")
-    first = F.struct(F.lit(0).alias("at"), empty.alias("found"))
+    width = lambda m: F.length(m["before"]) + F.length(m["value"])
 
     def step(state: Column, m: Column) -> Column:
         start = state["at"] + F.length(m["before"])
@@ -91,9 +94,13 @@ def _matches(text: Column, kind: str) -> Column:
         span = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), m["value"].alias("value"), _score(kind, m["before"], m["after"]).alias("score"))
         return F.struct(end.alias("at"), F.when(confirmed(kind, m["value"]), F.concat(state["found"], F.array(span))).otherwise(state["found"]).alias("found"))
 
-    found = F.aggregate(paired, first, step, lambda state: state["found"])
+    # places are sums of what stands before: of whole groups of matches first, then within each group
+    groups = F.transform(F.sequence(F.lit(0), F.floor((many - 1) / GROUP).cast("int")), lambda g: F.slice(paired, g * GROUP + 1, F.lit(GROUP)))
+    sizes = F.transform(groups, lambda g: F.aggregate(g, F.lit(0), lambda a, m: a + width(m)))
+    begins = F.aggregate(sizes, F.array(F.lit(0)), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
+    within = F.zip_with(groups, F.slice(begins, 1, F.size(sizes)), lambda g, at: F.aggregate(g, F.struct(at.alias("at"), empty.alias("found")), step, lambda state: state["found"]))
     likely = F.contains(text, F.lit(HINTS[kind])) if kind in HINTS else F.lit(True)
-    return F.when(likely, found).otherwise(empty)
+    return F.when(likely & (many > 0), F.flatten(within)).otherwise(empty)
 
 
 def find_personal_data(docs: DataFrame, text: str = "text") -> DataFrame:

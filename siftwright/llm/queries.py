@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwright.llm import bpe, decontaminate, labelled, language, lines, nearsets, pii, quality, substring, toxicity, transport
+from siftwright.llm import bpe, decontaminate, labelled, language, lines, nearsets, pii, pipeline, quality, substring, toxicity, transport
 from siftwright.session import table
 
-TOKENIZER = "piece_bpe_32k.model"
-
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
@@ -65,7 +61,7 @@ def op8_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text encoded and decoded."""
-    return bpe.digest_documents(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER))
+    return bpe.digest_documents(documents(spark, sf_dir), pipeline.TOKENIZER)
 
 
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,7 +80,7 @@ QUERIES = {
     "op8_transport_stream": op8_transport_stream,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_near_duplicates": op10_near_duplicates,
-    "pipeline": corpus_pipeline.run,
+    "pipeline": pipeline.run,
 }
 ORACLES: dict[str, str] = {
     "op2_line_dedup": lines.ORACLE,

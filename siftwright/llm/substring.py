@@ -6,9 +6,10 @@ neighbourhood. Chunks are counted by digest; of a digest that occurs again, the
 smallest row key stays (the first one inside it) and all others are repeats. Runs of neighbouring repeats of at least
 ``LEAST_RUN`` bytes are removed.
 
-Counting is one aggregation by digest with partial sums. The digests that repeat are then summed up in a bitmap of
-2**BITMAP_BITS bits, the only thing that is sent to the tasks: it lets through the chunks that may repeat, and a join by
-digest, frequent digests salted, decides.
+Counting is one aggregation by digest with partial sums. The digests that repeat are then summed up in a bitmap of eight
+bits a digest, 2**BITMAP_BITS bits at most, the only thing that is sent to the tasks: it lets through the chunks that may
+repeat, and a join by digest, frequent digests salted, decides. Runs are told by a window over each document's repeats, in
+order of their places. Documents are told apart by 128-bit row keys.
 
 Defined results: null and empty texts have no chunks; equal rows count as one document; a document that repeats itself
 loses the later copies; a text without cuts is cut every ``MOST`` bytes; cuts never fall inside a character; other
@@ -22,7 +23,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwright.llm import flat
@@ -32,9 +33,11 @@ GEAR = 16
 REACH = 20
 MOST = 512
 LEAST_RUN = 80
-BITMAP_BITS = 24
+BITMAP_BITS = 28
 SALTS = 32
 FREQUENT = 2_000
+#: Frequent digests up to this many (13 bytes each) are sent to every task; with more of them all digests are salted.
+SEND_AT_MOST = 100_000
 _PAD = REACH + GEAR
 _TOP = np.uint32(2**32 - 1)
 
@@ -90,6 +93,9 @@ def cuts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return starts, np.append(starts[1:], n)
 
 
+_KEY = ("row", "row2")
+
+
 def _chunker(wanted=None):
     """Chunks of every row; with a bitmap only those that it lets through."""
 
@@ -102,34 +108,42 @@ def _chunker(wanted=None):
             two = (flat.segment_hashes(flat.byte_values(False, 22)[data], starts, ends) >> np.uint64(32)).astype(np.uint32).view(np.int32)
             own = np.searchsorted(offsets, starts, "right") - 1
             if bitmap is not None:
-                slot = one & ((1 << BITMAP_BITS) - 1)
+                slot = one & (8 * len(bitmap) - 1)
                 keep = np.flatnonzero(bitmap[slot >> 3] >> (slot & 7).astype(np.uint8) & 1)
                 starts, ends, one, two, own = starts[keep], ends[keep], one[keep], two[keep], own[keep]
-            rows = np.asarray(batch.column("row"))[own]
+            rows = [pa.array(np.asarray(batch.column(k))[own]) for k in _KEY]
             begin = starts - offsets[own]
-            yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(one), pa.array(two), pa.array(begin.astype(np.int32)), pa.array((ends - starts).astype(np.int32))], names=["row", "d1", "d2", "start", "size"])
+            yield pa.RecordBatch.from_arrays([*rows, pa.array(one), pa.array(two), pa.array(begin.astype(np.int32)), pa.array((ends - starts).astype(np.int32))], names=[*_KEY, "d1", "d2", "start", "size"])
 
     return run
 
 
-_CHUNK = "row bigint, d1 bigint, d2 int, start int, size int"
+_CHUNK = "row bigint, row2 bigint, d1 bigint, d2 int, start int, size int"
+
+
+def _row_key() -> list[Column]:
+    """A 128-bit key of a row by its id and text; equal rows share it."""
+    return [F.xxhash64("doc_id", "text").alias("row"), F.xxhash64(F.lit(1), "doc_id", "text").alias("row2")]
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.xxhash64("doc_id", "text").alias("row"), "text").where(F.length("text") > 0)
+    return docs.select(*_row_key(), "text").where(F.length("text") > 0)
 
 
 def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """Digests that occur again: d1, d2, n, first (smallest row key), shared (in more than one document)."""
-    counted = flat.map_batches(_keyed(docs), _chunker(), _CHUNK).groupBy("d1", "d2").agg(F.count("*").alias("n"), F.min("row").alias("first"), F.max("row").alias("last"))
-    return materialise(counted.where(F.col("n") > 1).select("d1", "d2", "n", "first", (F.col("first") != F.col("last")).alias("shared")))
+    """Digests that occur again: d1, d2, n, first (smallest row key and place), shared (in more than one document)."""
+    place = F.struct(*_KEY, "start")
+    counted = flat.map_batches(_keyed(docs), _chunker(), _CHUNK).groupBy("d1", "d2").agg(F.count("*").alias("n"), F.min(place).alias("first"), F.max(place).alias("last"))
+    shared = (F.col("first.row") != F.col("last.row")) | (F.col("first.row2") != F.col("last.row2"))
+    return materialise(counted.where(F.col("n") > 1).select("d1", "d2", "n", "first", shared.alias("shared")))
 
 
 def _bitmap(repeated: DataFrame) -> np.ndarray:
-    """Bits of the digests' low bits: at most 2**BITMAP_BITS bits, whatever the number of digests."""
-    low = repeated.select((F.col("d1").bitwiseAND(F.lit((1 << BITMAP_BITS) - 1)) + 1).alias("slot"))
+    """Bits of the digests' low bits: eight a digest, at most 2**BITMAP_BITS, whatever the number of digests."""
+    bits = min(BITMAP_BITS, max(16, (8 * repeated.count()).bit_length()))
+    low = repeated.select((F.col("d1").bitwiseAND(F.lit((1 << bits) - 1)) + 1).alias("slot"))
     parts = low.groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
-    out = np.zeros(1 << BITMAP_BITS >> 3, np.uint8)
+    out = np.zeros(1 << bits >> 3, np.uint8)
     for r in parts.toLocalIterator():
         at = (r.bucket - 1) * 4096
         out[at : at + len(r.bits)] = np.frombuffer(r.bits, np.uint8)
@@ -137,63 +151,50 @@ def _bitmap(repeated: DataFrame) -> np.ndarray:
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """Per document with long repeats: row, spans (array of start, end in bytes, to be removed), n_shared_bytes."""
+    """Per document with long repeats: row, row2, spans (array of start, end in bytes, to be removed), n_shared_bytes."""
     repeated = repeated_chunks(docs)
     wanted = docs.sparkSession.sparkContext.broadcast(_bitmap(repeated))
     found = flat.map_batches(_keyed(docs), _chunker(wanted), _CHUNK)
     frequent = repeated.where(F.col("n") > FREQUENT).select("d1", "d2", F.lit(True).alias("frequent"))
-    if frequent.count() <= 100_000:
+    if frequent.count() <= SEND_AT_MOST:
         found = found.join(F.broadcast(frequent), ["d1", "d2"], "left").withColumn("salt", F.when(F.col("frequent"), F.pmod("row", F.lit(SALTS))).otherwise(0).cast("int")).drop("frequent")
         salts = F.when(F.col("n") > FREQUENT, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     else:
         found = found.withColumn("salt", F.pmod("row", F.lit(SALTS)).cast("int"))
         salts = F.sequence(F.lit(0), F.lit(SALTS - 1))
     joined = found.join(repeated.select("d1", "d2", "first", "shared", F.explode(salts).alias("salt")), ["d1", "d2", "salt"])
-    listed = joined.groupBy("row").agg(F.collect_set(F.struct("start", "size", "d1", "d2", "shared", (F.col("first") == F.col("row")).alias("home"))).alias("chunks"))
-    return flat.map_batches(listed, _runs, "row bigint, spans array<struct<start:int,end:int>>, n_shared_bytes bigint")
-
-
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-    for batch in batches:
-        rows, spans, shared = [], [], []
-        for row, chunks in zip(batch.column("row").to_pylist(), batch.column("chunks").to_pylist()):
-            drop, common, met = [], [], set()
-            for c in sorted(chunks, key=lambda c: c["start"]):
-                piece, digest = (c["start"], c["start"] + c["size"]), (c["d1"], c["d2"])
-                if c["shared"]:
-                    _extend(common, piece)
-                if not c["home"] or digest in met:
-                    _extend(drop, piece)
-                met.add(digest)
-            drop = [x for x in drop if x[1] - x[0] >= LEAST_RUN]
-            n = sum(b - a for a, b in common if b - a >= LEAST_RUN)
-            if drop or n:
-                rows.append(row)
-                spans.append([{"start": a, "end": b} for a, b in drop])
-                shared.append(n)
-        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(spans, kind), pa.array(shared, pa.int64())], names=["row", "spans", "n_shared_bytes"])
-
-
-def _extend(runs: list[tuple[int, int]], piece: tuple[int, int]) -> None:
-    if runs and runs[-1][1] == piece[0]:
-        runs[-1] = (runs[-1][0], piece[1])
-    else:
-        runs.append(piece)
+    drop = F.struct(*_KEY, "start") != F.col("first")
+    chunks = joined.select(*_KEY, "start", (F.col("start") + F.col("size")).alias("end"), drop.alias("drop"), "shared").dropDuplicates([*_KEY, "start"])
+    return _runs(chunks)
+
+
+def _runs(chunks: DataFrame) -> DataFrame:
+    """Spans of neighbouring chunks to be dropped, and bytes in runs of shared ones, of each document: a chunk begins a run
+    where the chunk before it in the document ends elsewhere or isn't of the kind."""
+    places = Window.partitionBy(*_KEY).orderBy("start")
+    kinds = ("drop", "shared")
+    after = F.lag("end").over(places) == F.col("start")
+    begins = {f"{k}_begins": F.when(F.col(k) & ~F.coalesce(after & F.lag(k).over(places), F.lit(False)), 1).otherwise(0) for k in kinds}
+    numbered = chunks.withColumns(begins).withColumns({f"{k}_run": F.sum(f"{k}_begins").over(places) for k in kinds})
+    kind = F.explode(F.array(*(F.when(F.col(k), F.struct(F.lit(k == "drop").alias("drop"), F.col(f"{k}_run").alias("run"))) for k in kinds)))
+    each = numbered.select(*_KEY, "start", "end", kind.alias("of")).where("of IS NOT NULL").select(*_KEY, "start", "end", "of.*")
+    runs = each.groupBy(*_KEY, "drop", "run").agg(F.min("start").alias("start"), F.max("end").alias("end")).where(F.col("end") - F.col("start") >= LEAST_RUN)
+    spans = F.array_sort(F.collect_list(F.when(F.col("drop"), F.struct("start", "end"))))
+    return runs.groupBy(*_KEY).agg(spans.alias("spans"), F.coalesce(F.sum(F.when(~F.col("drop"), F.col("end") - F.col("start"))), F.lit(0)).cast("bigint").alias("n_shared_bytes"))
 
 
 def describe(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_bytes, n_shared_bytes, n_removed_bytes, spans (removed, as start:end), repeated."""
-    slim = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n_bytes"))
+    slim = docs.select("doc_id", *_row_key(), F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n_bytes"))
     removed = F.coalesce(F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, s: a + s["end"] - s["start"]), F.lit(0).cast("bigint"))
     written = F.coalesce(F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ","), F.lit(""))
     shared = F.coalesce("n_shared_bytes", F.lit(0).cast("bigint"))
-    return slim.join(repeated_spans(docs), "row", "left").select("doc_id", "n_bytes", shared.alias("n_shared_bytes"), removed.alias("n_removed_bytes"), written.alias("spans"), (shared > 0).alias("repeated"))
+    return slim.join(repeated_spans(docs), [*_KEY], "left").select("doc_id", "n_bytes", shared.alias("n_shared_bytes"), removed.alias("n_removed_bytes"), written.alias("spans"), (shared > 0).alias("repeated"))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with repeated spans cut out of ``text``."""
-    key, cut = flat.free_name(docs, "_row"), flat.free_name(docs, "_spans")
+    one, two, cut = (flat.free_name(docs, x) for x in ("_row", "_row2", "_spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in flat.slices(batches):
@@ -209,6 +210,6 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             names = [c for c in batch.schema.names if c != cut]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if c == "text" else batch.column(c) for c in names], names=names)
 
-    found = repeated_spans(docs).select(F.col("row").alias(key), F.col("spans").alias(cut))
-    joined = docs.withColumn(key, F.xxhash64("doc_id", "text")).join(found, key, "left").drop(key)
+    found = repeated_spans(docs).select(F.col("row").alias(one), F.col("row2").alias(two), F.col("spans").alias(cut))
+    joined = docs.withColumns(dict(zip((one, two), _row_key()))).join(found, [one, two], "left").drop(one, two)
     return flat.map_batches(joined, run, docs.schema)

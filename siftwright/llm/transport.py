@@ -1,8 +1,8 @@
 """Operator 8: media columns as MPEG transport streams.
 
 ``mux`` stores bytes as private PES packets in a single-program transport stream; ``demux`` parses any transport stream:
-program association and map tables (CRC checked), continuity counters, elementary packets put together again, timestamps
-and random-access points. Both work on whole packet matrices of numpy bytes, one stream at a time.
+program association and map tables (CRC checked), continuity counters, elementary packets put together again, timestamps,
+clock references and random-access points. Both work on whole packet matrices of numpy bytes, one stream at a time.
 
 Defined results: null and empty payloads store one padded block of zeros; equal texts give equal streams; repeated rows
 and other columns have no effect; an empty table gives no rows. Bytes past the last whole packet and packets without the
@@ -29,6 +29,10 @@ MAP_PID, DATA_PID = 0x1000, 0x0100
 PRIVATE_STREAM, PRIVATE_TYPE = 0xBD, 0x06
 UNIT_BYTES = 16384
 UNIT_TICKS = 3600
+#: How long a unit's clock reference is ahead of its timestamp.
+AHEAD_TICKS = 9000
+#: Bytes of the adaptation field of a unit's first packet (flags and clock reference), and what payload stands after it.
+ADAPTATION, FIRST = 7, 188 - 4 - 8
 BLOCK = 64
 
 
@@ -64,29 +68,35 @@ def _stamp(ticks: int) -> bytes:
     return bytes([0x21 | t >> 29 & 14, t >> 22 & 255, t >> 14 & 254 | 1, t >> 7 & 255, t << 1 & 254 | 1])
 
 
+def _clock(ticks: int) -> np.ndarray:
+    """A clock reference of 90 kHz ticks, without the extension of finer ticks."""
+    return np.frombuffer(((ticks & (1 << 33) - 1) << 15 | 0x7E00).to_bytes(6, "big"), np.uint8)
+
+
 def mux(payload: bytes) -> bytes:
     """A transport stream of one program whose private stream holds the payload in units with timestamps."""
     parts, counter = [_tables()], 0
     for k, at in enumerate(range(0, max(len(payload), 1), UNIT_BYTES)):
         unit = payload[at : at + UNIT_BYTES]
-        head = bytes([0, 0, 1, PRIVATE_STREAM]) + (len(unit) + 8).to_bytes(2, "big") + bytes([0x80, 0x80, 5]) + _stamp(k * UNIT_TICKS)
+        head = bytes([0, 0, 1, PRIVATE_STREAM]) + (len(unit) + 8).to_bytes(2, "big") + bytes([0x80, 0x80, 5]) + _stamp(k * UNIT_TICKS + AHEAD_TICKS)
         data = np.frombuffer(head + unit, np.uint8)
-        n = 1 + max(0, -(-(len(data) - 182) // 184))
+        n = 1 + max(0, -(-(len(data) - FIRST) // 184))
         block = np.full((n, PACKET), 0xFF, np.uint8)
         block[:, 0], block[:, 1], block[:, 2] = SYNC, DATA_PID >> 8, DATA_PID & 255
         block[0, 1] |= 0x40
         block[:, 3] = 0x10 | (counter + np.arange(n)) & 15
         counter = (counter + n) & 15
         block[0, 3] |= 0x20
-        block[0, 4], block[0, 5] = 1, 0x40
+        block[0, 4], block[0, 5] = ADAPTATION, 0x50
+        block[0, 6:12] = _clock(k * UNIT_TICKS)
         if n == 1:
             block[0, 4] = 183 - len(data)
             block[0, PACKET - len(data) :] = data
         else:
-            block[0, 6:] = data[:182]
-            whole = (len(data) - 182) // 184
-            block[1 : 1 + whole, 4:] = data[182 : 182 + 184 * whole].reshape(whole, 184)
-            if rest := len(data) - 182 - 184 * whole:
+            block[0, PACKET - FIRST :] = data[:FIRST]
+            whole = (len(data) - FIRST) // 184
+            block[1 : 1 + whole, 4:] = data[FIRST : FIRST + 184 * whole].reshape(whole, 184)
+            if rest := len(data) - FIRST - 184 * whole:
                 block[-1, 3] |= 0x20
                 block[-1, 4] = 183 - rest
                 if rest < 183:
@@ -98,13 +108,14 @@ def mux(payload: bytes) -> bytes:
 
 @dataclass
 class Unit:
-    """One elementary packet: its stream, timestamp, random-access flag and payload."""
+    """One elementary packet: its stream, timestamp, random-access flag, payload, and the clock reference it came with."""
 
     pid: int
     stamp: int | None
     random_access: bool
     data: bytes
     complete: bool = True
+    clock: int | None = None
 
 
 @dataclass
@@ -180,11 +191,12 @@ def _elementary(rows: np.ndarray, pid: int, out: Stream) -> None:
         broken = (count[1:] != due) & ~again[1:] & ~jump[1:]
         out.continuity_errors += int(broken.sum())
     take = filled & ~again
-    rows, at, flags = rows[take], at[take], flags[take]
+    timed = adapted & (rows[:, 4] >= ADAPTATION) & ((rows[:, 5] & 0x10) > 0)
+    rows, at, flags, timed = rows[take], at[take], flags[take], timed[take]
     heads = np.flatnonzero(rows[:, 1] & 0x40)
     if not len(heads):
         return
-    rows, at, flags = rows[heads[0] :], at[heads[0] :], flags[heads[0] :]
+    rows, at, flags, timed = rows[heads[0] :], at[heads[0] :], flags[heads[0] :], timed[heads[0] :]
     data = rows[np.arange(PACKET) >= at[:, None]].tobytes()
     ends = np.concatenate([[0], np.cumsum(PACKET - at)])
     bounds = [*(heads - heads[0]).tolist(), len(rows)]
@@ -198,7 +210,8 @@ def _elementary(rows: np.ndarray, pid: int, out: Stream) -> None:
             p = unit[9:14]
             stamp = (p[0] >> 1 & 7) << 30 | p[1] << 22 | p[2] >> 1 << 15 | p[3] << 7 | p[4] >> 1
         body = unit[9 + unit[8] : 6 + size if size else len(unit)]
-        out.units.append(Unit(pid, stamp, bool(flags[a]), body, not size or len(unit) >= 6 + size))
+        clock = int.from_bytes(rows[a, 6:12].tobytes(), "big") >> 15 if timed[a] else None
+        out.units.append(Unit(pid, stamp, bool(flags[a]), body, not size or len(unit) >= 6 + size, clock))
 
 
 def padded(text: bytes) -> bytes:
@@ -219,16 +232,16 @@ def store_documents(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> Dat
 
 
 def access_units(media: DataFrame, column: str = "media", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """One row per elementary packet: ``keep``, pid, ordinal, stamp, random_access, complete, data."""
-    schema = flat.schema_of(media, keep, "pid int, ordinal int, stamp bigint, random_access boolean, complete boolean, data binary")
+    """One row per elementary packet: ``keep``, pid, ordinal, stamp, clock, random_access, complete, data."""
+    schema = flat.schema_of(media, keep, "pid int, ordinal int, stamp bigint, clock bigint, random_access boolean, complete boolean, data binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in flat.slices(batches, column):
             rows = [(i, k, u) for i, m in enumerate(batch.column(column).to_pylist()) for k, u in enumerate(demux(m or b"").units)]
             at = pa.array([i for i, _, _ in rows], pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c).take(at) for c in keep), pa.array([u.pid for *_, u in rows], pa.int32()), pa.array([k for _, k, _ in rows], pa.int32()), pa.array([u.stamp for *_, u in rows], pa.int64()), pa.array([u.random_access for *_, u in rows], pa.bool_()), pa.array([u.complete for *_, u in rows], pa.bool_()), pa.array([u.data for *_, u in rows], pa.binary())],
-                names=[*keep, "pid", "ordinal", "stamp", "random_access", "complete", "data"],
+                [*(batch.column(c).take(at) for c in keep), pa.array([u.pid for *_, u in rows], pa.int32()), pa.array([k for _, k, _ in rows], pa.int32()), pa.array([u.stamp for *_, u in rows], pa.int64()), pa.array([u.clock for *_, u in rows], pa.int64()), pa.array([u.random_access for *_, u in rows], pa.bool_()), pa.array([u.complete for *_, u in rows], pa.bool_()), pa.array([u.data for *_, u in rows], pa.binary())],
+                names=[*keep, "pid", "ordinal", "stamp", "clock", "random_access", "complete", "data"],
             )
 
     return flat.map_batches(media.select(*keep, column), run, schema)
@@ -247,7 +260,7 @@ def digest_documents(docs: DataFrame) -> DataFrame:
                 found = demux(media)
                 back = b"".join(u.data for u in found.units)
                 stamps = [u.stamp for u in found.units]
-                feature = f"programs={len(found.programs)};streams={','.join(f'{k}:{v}' for k, v in found.streams.items())};packets={found.packets};lost={found.lost};continuity={found.continuity_errors};tables={found.table_errors};units={len(stamps)};stamps={min(stamps)}-{max(stamps)};access={sum(u.random_access for u in found.units)}"
+                feature = f"programs={len(found.programs)};streams={','.join(f'{k}:{v}' for k, v in found.streams.items())};packets={found.packets};lost={found.lost};continuity={found.continuity_errors};tables={found.table_errors};units={len(stamps)};stamps={min(stamps)}-{max(stamps)};clocks={sum(u.clock is not None for u in found.units)};access={sum(u.random_access for u in found.units)}"
                 rows.append((key, len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-BLOCK:]), len(media), hashlib.sha256(media).hexdigest(), feature))
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64() if k in (0, 1, 2, 4, 5) else pa.string()) for k, x in enumerate(zip(*rows))], names=names)
 

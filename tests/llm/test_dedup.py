@@ -6,8 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-import corpus_pipeline
-from siftwright.llm import decontaminate, flat, lines, nearsets, substring
+from siftwright.llm import decontaminate, flat, lines, nearsets, pipeline, substring
 
 
 def shingles(text, width):
@@ -62,6 +61,7 @@ def test_near_duplicates_equal_brute_force(spark, corpus, width):
 
 def test_deep_branches_and_blocks(spark, corpus, monkeypatch):
     monkeypatch.setattr(nearsets, "NODE_PAIRS", 3)
+    monkeypatch.setattr(nearsets, "NODE_ROWS", 6)
     monkeypatch.setattr(nearsets, "DEPTH", 1)
     monkeypatch.setattr(nearsets, "BLOCK", 3)
     monkeypatch.setattr(nearsets, "_star", lambda active: active.select(F.col("cid").alias("a"), F.col("cid").alias("b")).where("false"))
@@ -71,6 +71,57 @@ def test_deep_branches_and_blocks(spark, corpus, monkeypatch):
     assert found == {i: c for i, (_, c) in components(texts, 2).items()}
 
 
+def test_large_components_are_dealt(spark, corpus, monkeypatch):
+    monkeypatch.setattr(nearsets, "NODE_ROWS", 4)
+    monkeypatch.setattr(nearsets, "BLOCK", 2)
+    df = spark.createDataFrame(list(corpus.items()), "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in nearsets.near_duplicates(df, 2).collect()}
+    assert found == {i: c for i, (_, c) in components(corpus, 2).items()}
+    live = spark.createDataFrame([(1, k, 7 if k < 20 else k, 23, 7) for k in range(23)], "node long, cid long, comp long, rows long, major long")
+    dealt = nearsets._dealt(live).collect()
+    assert sorted(r.cid for r in dealt if r.comp == 7) == list(range(20))
+    assert all(sum(r.cid == k for r in dealt) == 6 for k in (20, 21, 22)) and len({r.node for r in dealt}) == 6
+
+
+def true_links(docs, width):
+    """All pairs of different sets with the similarity sought, from an inverted index over all documents."""
+    sets, by = {}, collections.defaultdict(list)
+    for r in docs.select("doc_id", "text").collect():
+        found = shingles(r.text, width)
+        if found and found not in sets:
+            sets[found] = r.doc_id
+    members = list(sets)
+    for k, m in enumerate(members):
+        for x in m:
+            by[x].append(k)
+    links = []
+    for k, m in enumerate(members):
+        common = collections.Counter(j for x in m for j in by[x] if j < k)
+        links += [(sets[m], sets[members[j]]) for j, n in common.items() if 100 * n >= 80 * (len(m) + len(members[j]) - n)]
+    return links
+
+
+@pytest.mark.parametrize("width", [2, 5])
+def test_near_duplicates_recall_on_documents(spark, width):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = {r.doc_id: r.component_id for r in nearsets.near_duplicates(docs, width).collect()}
+    links = true_links(docs, width)
+    recall = sum(found[a] == found[b] for a, b in links) / len(links)
+    print(f"width {width}: {len(links)} true links, recall {recall:.4f}")
+    assert len(links) > 50 and recall >= 0.99
+
+
+def test_keep_one_keeps_unrelated_texts_of_one_id(spark):
+    base = [passage(60, k) for k in range(4)]
+    rows = [(1, base[0], "a"), (1, base[1], "b"), (2, base[0] + " more", "c"), (3, base[2], "d"), (3, base[2], "e"), (3, base[2], "e"), (4, base[3], "f"), (4, base[3] + " end", "g"), (None, base[0], "h"), (5, None, "i"), (5, "", "j")]
+    for parts in (1, 4):
+        df = spark.createDataFrame(rows, "doc_id long, text string, note string").repartition(parts)
+        kept = [(r.doc_id, r.text) for r in nearsets.keep_one(df, 5).collect()]
+        assert sorted((i, t) for i, t in kept if i in (1, 2, 3)) == sorted([(1, base[0]), (1, base[1]), (3, base[2])])
+        assert sum(i == 4 for i, _ in kept) == 1 and (None, base[0]) in kept and sum(i == 5 for i, _ in kept) == 2
+        assert [r.note for r in nearsets.keep_one(df, 5).where("doc_id = 3").collect()] == [r.note for r in nearsets.keep_one(df.repartition(2), 5).where("doc_id = 3").collect()]
+
+
 def test_runs_of_equal_keys():
     rng = random.Random(3)
     for _ in range(30):
@@ -142,6 +193,14 @@ def test_contamination_equals_brute_force(spark, monkeypatch):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {r.doc_id for r in rows if not r.contaminated}
 
 
+def test_items_that_share_a_short_window(spark):
+    items = [(f"i{k}", "the") for k in range(300)] + [("long", "the " * 40)]
+    texts = ["the " * 3000, "nothing", "the end"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r.doc_id: r for r in decontaminate.contamination(docs, spark.createDataFrame(items, "item_id string, text string")).collect()}
+    assert [(rows[k].n_hit, rows[k].n_items) for k in range(3)] == [(3000, 301), (0, 0), (1, 300)]
+
+
 def test_longest_matches():
     items = decontaminate.items_of([("a", "one two three four five"), ("b", "four five six")])
     batch = pa.RecordBatch.from_arrays([pa.array(["zero two three four nine", "five six", "nothing here"])], names=["text"])
@@ -197,6 +256,65 @@ def test_substring_dedup_finds_passages(spark):
         assert cut[k] == t if not found[k].spans else len(cut[k].encode()) == found[k].n_bytes - found[k].n_removed_bytes
 
 
+def plain_cuts(raw):
+    """Chunk starts in plain Python: hashes lower than all within REACH bytes, at the start of a character."""
+    gear = substring._gear().tolist()
+    whole = (1 << 32) - 1
+    rolled = [sum(gear[raw[i - k]] << k for k in range(min(substring.GEAR, i + 1))) & whole for i in range(len(raw))]
+    rolled = [h if raw[i] & 0xC0 != 0x80 else whole for i, h in enumerate(rolled)]
+    r = substring.REACH
+    return [i for i, h in enumerate(rolled) if i == 0 or h < whole and all(h < x for x in rolled[max(0, i - r) : i]) and all(h <= x for x in rolled[i + 1 : i + r + 1])]
+
+
+def test_substring_spans_match_plain_python(spark):
+    rng = random.Random(6)
+    shared = [passage(n, n) for n in (9, 30, 60)]
+    texts = [" é ".join(rng.choice([passage(rng.randint(1, 40), 50 + rng.randint(0, 30)), rng.choice(shared)]) for _ in range(rng.randint(0, 6))) for _ in range(40)]
+    rows = list(enumerate(texts)) + [(3, texts[3])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    keys = {r.doc_id: (r.row, r.row2) for r in df.select("doc_id", *substring._row_key()).collect()}
+    chunks = {}
+    for k, t in enumerate(texts):
+        raw = t.encode()
+        starts = plain_cuts(raw)
+        chunks[k] = [(a, b, raw[a:b]) for a, b in zip(starts, [*starts[1:], len(raw)])]
+        assert all(b - a <= substring.MOST for a, b, _ in chunks[k])
+    where = collections.defaultdict(list)
+    for k, own in chunks.items():
+        for a, _, piece in own:
+            where[piece].append((keys[k], a))
+    where[None] = []
+    for a, _, piece in chunks[3]:
+        where[piece].append((keys[3], a))  # the repeated row
+
+    def runs(pieces):
+        out = []
+        for a, b in pieces:
+            if out and out[-1][1] == a:
+                out[-1][1] = b
+            else:
+                out.append([a, b])
+        return [(a, b) for a, b in out if b - a >= substring.LEAST_RUN]
+
+    found = {r.doc_id: r for r in substring.describe(df).collect()}
+    assert any(r.spans for r in found.values())
+    for k, own in chunks.items():
+        drop = runs([(a, b) for a, b, piece in own if len(where[piece]) > 1 and min(where[piece]) != (keys[k], a)])
+        common = runs([(a, b) for a, b, piece in own if len({key for key, _ in where[piece]}) > 1])
+        assert found[k].spans == ",".join(f"{a}:{b}" for a, b in drop) and found[k].n_shared_bytes == sum(b - a for a, b in common)
+
+
+def test_substring_joins_without_broadcast(spark, monkeypatch):
+    shared = passage(60, 1)
+    df = spark.createDataFrame([(k, f"{passage(30, 100 + k)} {shared}") for k in range(8)], "doc_id long, text string")
+    wanted = sorted(map(tuple, substring.describe(df).collect()))
+    monkeypatch.setattr(substring, "SEND_AT_MOST", -1)
+    monkeypatch.setattr(substring, "FREQUENT", 2)
+    assert sorted(map(tuple, substring.describe(df).collect())) == wanted
+    monkeypatch.setattr(nearsets, "SEND_AT_MOST", -1)
+    assert sorted(r.doc_id for r in nearsets.keep_one(df.unionByName(df), 2).collect()) == list(range(8))
+
+
 def test_chunks_resist_shifts():
     text = passage(2000, 9)
     cuts = []
@@ -220,9 +338,30 @@ def test_pipeline_stages_on_odd_rows(spark, odd, empty, tmp_path):
     bench.write.parquet(f"{tmp_path}/benchmark.parquet")
     for table in (odd, empty):
         docs = table
-        for name, stage in corpus_pipeline.STAGES:
+        for name, stage in pipeline.STAGES:
             before = docs.count()
             docs = stage(spark, docs, str(tmp_path)).cache()
             assert docs.count() <= before
             assert docs.columns == table.columns or name == "sentencepiece"
-    assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "line_dedup", "near_dedup", "decontamination", "sentencepiece"]
+    assert [n for n, _ in pipeline.STAGES] == ["language_id", "line_dedup", "near_dedup", "decontamination", "sentencepiece"]
+
+
+def test_pipeline_run(spark, tmp_path):
+    rng = random.Random(4)
+    vocabulary = [passage(1, k) for k in range(300)]
+    text = lambda: " ".join(rng.choice(vocabulary) for _ in range(60))
+    own = [text() for _ in range(60)]
+    item = " ".join(passage(1, 1000 + k) for k in range(20))
+    line = "the same line on every site"
+    rows = [(k, f"{t}\n{line}", "xx", f"s{k % 7}") for k, t in enumerate(own)]
+    rows += [(100, own[0] + " more", "xx", "s1"), (101, f"{text()} {item}", "xx", "s2"), (102, None, "xx", "s3"), (103, "123 456", "xx", "s4"), (104, own[1], "xx", "s5")]
+    spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([("q", item)], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    found = {r.doc_id: r for r in pipeline.run(spark, str(tmp_path)).collect()}
+    assert sorted(found) == list(range(60))
+    import public_tokenizers
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(pipeline.TOKENIZER))
+    for k, r in found.items():
+        assert r.ids == library.encode(own[k], add_bos=True, add_eos=True) and r.n_tokens == len(r.ids)

@@ -1,6 +1,10 @@
+import collections
 import random
+import re
+import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from siftwright.llm import labelled, language, quality, toxicity
@@ -22,34 +26,115 @@ def test_language_held_out(tables):
     docs, _ = tables
     model = language.train(docs)
     rows = language.identify(docs, model, ("doc_id", "lang")).collect()
-    assert sum(r.lang == r.lang_pred for r in rows) / len(rows) > 0.97
+    held = [r for r in rows if zlib.crc32(str(r.doc_id).encode()) % 5 == 0 and r.lang is not None]
+    assert sum(r.lang == r.lang_pred for r in held) / len(held) > 0.97
     assert sum(r.rejected for r in rows) <= 2
-    entropy, _ = model.entropies(["Привет мир как твои дела сегодня"])
-    assert entropy.min() > max(model.limits.values())
+    entropy, letters = language.Reader(model).entropies(["Привет мир как твои дела сегодня"])
+    assert entropy.min() > max(x[np.searchsorted(language.LENGTHS, letters[0], "right")] for x in model.limits.values())
+    sure = [r for r in held if r.score > 0.9]
+    assert sum(r.lang == r.lang_pred for r in sure) / len(sure) > 0.98  # the score is calibrated
 
 
-def test_language_probabilities_sum_to_one(spark):
-    rows = spark.createDataFrame([(k, t, "xx") for k, t in enumerate(["abcab cab", "bca abc", "cabbage", "abba"] * 4)], "doc_id long, text string, lang string")
+def plain_sequence(text):
+    out = ""
+    for c in text:
+        c = c.lower() if c.isalpha() else " "
+        out += "" if c == " " and (out[-1:] or " ") == " " else c
+    return "   " + out
+
+
+def plain_kneser_ney(texts, alphabet):
+    """A function from three letters and a next one to its probability, in plain Python."""
+    weights = {4: collections.Counter(s[i - 3 : i + 1] for s in map(plain_sequence, texts) for i in range(3, len(s)))}
+    for n in (3, 2, 1):
+        weights[n] = collections.Counter(g[1:] for g in weights[n + 1])
+
+    def chance(n, context, letter):
+        if n == 0:
+            return 1 / alphabet
+        context = context[len(context) - n + 1 :] if n > 1 else ""
+        own = {g: w for g, w in weights[n].items() if g[: n - 1] == context}
+        if not own:
+            return chance(n - 1, context, letter)
+        once, twice = (sum(w == k for w in weights[n].values()) for k in (1, 2))
+        d = min(0.95, max(0.1, once / max(once + 2 * twice, 1)))
+        mass = sum(own.values())
+        return max(own.get(context + letter, 0) - d, 0) / mass + sum(min(d, w) for w in own.values()) / mass * chance(n - 1, context, letter)
+
+    return lambda context, letter: chance(4, context, letter)
+
+
+CORPUS = {"xx": ["abcab cab", "bca abc, CAB!", "cabbage", "abba a"], "yy": ["zu zuzu", "uzz baz", "zab"]}
+
+
+def corpus_rows(spark):
+    return spark.createDataFrame([(k, t, x) for k, (x, t) in enumerate((x, t) for x, texts in CORPUS.items() for t in texts * 3)], "doc_id long, text string, lang string")
+
+
+def test_language_equals_plain_kneser_ney(spark):
+    rows = corpus_rows(spark)
     model = language.train(rows)
-    letters = [ord(c) for c in " abceg"]
-    context = [ord("c"), ord("a"), ord("b")]
-    total = 0.0
-    for c in letters:
-        entropy = {}
-        for text in ("cab", "cab" + chr(c)):
-            e, n = model.entropies([text])
-            entropy[text] = (e[0, 0] * n[0], n[0])
-        if c != 32:
-            total += np.exp(-(entropy["cab" + chr(c)][0] - entropy["cab"][0]))
-    assert len(context) == language.ORDER - 1 and 0.5 < total <= 1.0001
-
-
-def test_language_every_language_can_reject(spark, monkeypatch):
-    monkeypatch.setattr(language, "CALIBRATION_ROWS", 1, raising=False)  # a sample that rare languages are not in
+    counted = [(r.text, r.lang) for r in rows.where(~labelled.held_out()).collect()]
+    alphabet = len({c for t, _ in counted for c in plain_sequence(t)}) + 1
+    texts = ["abc", "cab zu", "uzz", "q?a", "zzz abba", "b"]
+    entropy, letters = language.Reader(model).entropies(texts)
+    for k, name in enumerate(model.names):
+        chance = plain_kneser_ney([t for t, x in counted if x == name], alphabet)
+        for i, text in enumerate(texts):
+            s = plain_sequence(text)
+            wanted = -sum(np.log(chance(s[j - 3 : j], s[j])) for j in range(3, len(s))) / (len(s) - 3)
+            assert letters[i] == len(s) - 3 and np.isclose(entropy[i, k], wanted, rtol=1e-5)
+    # probabilities of the next letter add up to one; a letter that was never seen has the last share
+    known = sorted({c for t, _ in counted for c in plain_sequence(t)})
+    for context in ("   ", "  a", "cab", "qqq"):
+        rows = np.array([[ord(c) for c in context + x] for x in [*known, "q"]])
+        assert np.allclose(np.exp(model.chances(rows).astype(float)).sum(axis=0), 1, atol=1e-4)
+
+
+def test_language_pruned_probabilities_sum_to_one(spark):
+    grams = collections.Counter((0, s[i - 3 : i + 1]) for s in map(plain_sequence, CORPUS["xx"]) for i in range(3, len(s)))
+    counts = spark.createDataFrame([(k, g, n) for (k, g), n in grams.items()], "language int, gram string, weight long")
+    entries, alphabet = language.probabilities(counts, prune=0.05)
+    model = language.Model(["xx"], language._voices(entries.toArrow().combine_chunks(), 1), -np.log(alphabet))
+    assert entries.count() < language.probabilities(counts)[0].count()
+    letters = sorted({c for _, g in grams for c in g})
+    for context in ("   ", "cab", "abb"):
+        rows = np.array([[ord(c) for c in context + x] for x in [*letters, "q"]])
+        assert np.isclose(np.exp(model.chances(rows).astype(float)).sum(), 1, atol=1e-4)
+
+
+def test_language_counts_match_plain_python(monkeypatch):
+    random.seed(8)
+    texts = ["".join(random.choices("abcé漢字 \n.", k=random.randint(0, 80))) for _ in range(40)] + [None, "".join(map(chr, range(0x4E00, 0x4E00 + 9000)))]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(["l%d" % (k % 2) for k in range(len(texts))]), pa.array([k % 3 == 0 for k in range(len(texts))])], names=["text", "lang", "apart"])
+    wanted = collections.Counter()
+    for k, t in enumerate(texts):
+        s = plain_sequence(t or "")
+        wanted.update((2 * (k % 2) + (k % 3 == 0), s[i - 3 : i + 1]) for i in range(3, len(s)))
+    for bits, table in ((15, 1 << 22), (13, 1 << 22), (15, 16)):
+        monkeypatch.setattr(language, "_BITS", bits)
+        monkeypatch.setattr(language, "TABLE", table)
+        got = collections.Counter()
+        for out in language._count(["l0", "l1"])(iter([batch.slice(0, 20), batch.slice(20)])):
+            for g, gram, n in zip(*(out.column(c).to_pylist() for c in ("group", "gram", "count"))):
+                got[g, gram] += n
+        assert got == wanted
+
+
+def test_language_every_language_can_reject(spark):
     rows = [(k, "the cat sat on the mat", "en") for k in range(60)] + [(k, "der hund lief nach haus", "de") for k in range(60, 70)] + [(k, "123 456", "nn") for k in range(70, 90)]
     model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     assert model.names == ["de", "en", "nn"] == sorted(model.limits)
-    assert all(np.isfinite(x) for x in model.limits.values()) and model.limits["nn"] == max(model.limits.values())
+    assert all(np.isfinite(x).all() for x in model.limits.values()) and model.limits["nn"].max() == max(x.max() for x in model.limits.values())
+
+
+def test_language_one_wrong_label_moves_no_limit(spark):
+    random.seed(3)
+    words = ["".join(random.choices("aeioulmnrst", k=5)) for _ in range(60)]
+    rows = [(k, " ".join(random.choices(words, k=30)), "en") for k in range(12_000)]
+    wrong = [(20_000 + k, "zxq qzx xzq zzq" * 10, "en") for k in range(2)]
+    limits = [language.train(spark.createDataFrame(r, "doc_id long, text string, lang string").repartition(4)).limits["en"][2] for r in (rows, rows + wrong)]
+    assert limits[1] < 1.05 * limits[0]
 
 
 def test_language_odd_rows(odd, empty, spark):
@@ -127,8 +212,6 @@ def test_classifiers_odd_rows(operator, odd, empty, spark):
 
 
 def test_held_out_rule(spark):
-    import zlib
-
     ids = [1, 2, 33, 4567, -8]
     rows = spark.createDataFrame([(i,) for i in ids] + [(None,)], "doc_id long").select("doc_id", labelled.held_out().alias("h")).collect()
     assert all(r.h == (r.doc_id is None or zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
@@ -143,3 +226,50 @@ def test_grams_match_plain_python():
         s = "".join(c.lower() if c.isalpha() else " " for c in f" {t} ")
         wanted += sum(" " not in s[i + 1 : i + n - 1] for n in toxicity.ORDERS for i in range(len(s) - n + 1))
     assert got == wanted
+
+
+def plain_grams(text):
+    s = "".join(c.lower() if c.isalpha() else " " for c in f" {text} ")
+    return {s[i : i + n] for n in toxicity.ORDERS for i in range(len(s) - n + 1) if " " not in s[i + 1 : i + n - 1]}
+
+
+def test_toxicity_ratios_match_plain_python(spark):
+    random.seed(12)
+    words = ["".join(random.choices("abcdef", k=5)) for _ in range(25)]
+    texts = [(k, " ".join(random.choices(words[:15] if k % 3 else words[10:], k=8)), int(k % 3 == 0)) for k in range(600)]
+    docs = spark.createDataFrame([(k, t) for k, t, _ in texts], "doc_id long, text string").repartition(3)
+    model = toxicity.train(docs, spark.createDataFrame([(k, x) for k, _, x in texts], "doc_id long, toxic int"))
+    train = [(t, x) for k, t, x in texts if zlib.crc32(str(k).encode()) % 5]
+    counts = [collections.Counter(g for t, x in train if x == y for g in plain_grams(t)) for y in (0, 1)]
+    sizes = [sum(x == y for _, x in train) for y in (0, 1)]
+    ratios = {g: np.log((counts[1][g] + 1) / (sizes[1] + 2)) - np.log((counts[0][g] + 1) / (sizes[0] + 2)) for g in {*counts[0], *counts[1]}}
+    clear = {g: r for g, r in ratios.items() if abs(r) / np.sqrt(1 / (counts[1][g] + 1) + 1 / (counts[0][g] + 1)) >= toxicity.CLEAR}
+    assert len(model.slots) == len(clear) > 50
+    for t, _ in train[:20]:
+        owner, at = toxicity.Features(model.slots).present([t])
+        assert len(at) == len(plain_grams(t) & set(clear)) == len(set(at.tolist()))
+        assert np.isclose(model.scores([t])[0], 1 / (1 + np.exp(-(model.weights[at].sum() + model.intercept))))
+
+
+def test_quality_features_match_plain_python():
+    texts = ["The Cat sat on the MAT.\nThe cat sat!", "", "  \n", "ÀB 12 @@## été " * 9, "one"]
+    chars = [None, 0, 3, len(texts[3]), 99]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(chars, pa.int64())], names=["text", "n_chars"])
+    row, column, value = quality.features(batch)
+    for k, text in enumerate(texts):
+        raw = text.encode()
+        words = [w for w in re.split(rb"[ \t\n\r\x0b\x0c]+", raw) if w]
+        distinct = {w.lower() for w in words}
+        own = {c: v for r, c, v in zip(row.tolist(), column.tolist(), value.tolist()) if r == k and c >= 1 << quality.WORD_BITS}
+        hashed = [v for r, c, v in zip(row.tolist(), column.tolist(), value.tolist()) if r == k and c < 1 << quality.WORD_BITS]
+        assert len(hashed) == len(distinct) and np.allclose(hashed, 1 / np.sqrt(max(len(distinct), 1)))
+        size, upper, lower = max(len(raw), 1), sum(65 <= b <= 90 for b in raw), sum(97 <= b <= 122 for b in raw)
+        foreign, blank, newline = sum(b >= 128 for b in raw), sum(b in b" \t\r\x0b\x0c" for b in raw), raw.count(b"\n")
+        marks = sum(33 <= b < 127 and not chr(b).isalnum() and chr(b) not in ".,;:'\"?()-" for b in raw)
+        some = max(len(words), 1)
+        stated = {
+            "length": len(raw), "symbols": marks / size, "upper": upper / max(upper + lower + foreign + sum(b < 32 and b not in b"\t\n\r\x0b\x0c" for b in raw), 1), "digits": sum(48 <= b <= 57 for b in raw) / size,
+            "blank": (blank + newline) / size, "lines": 100 * newline / some, "distinct": len(distinct) / some, "word": (size - blank - newline) / some, "foreign": foreign / size,
+            "stored": 0 if chars[k] is None else 1 if chars[k] == len(text) else 2,
+        }
+        assert own == {quality._PLACE[n] + sum(x >= e for e in quality._EDGES[n]): 1.0 for n, x in stated.items()}

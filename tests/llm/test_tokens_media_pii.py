@@ -1,6 +1,9 @@
+import hashlib
 import os
 import random
 import re
+import time
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -51,7 +54,7 @@ def test_transport_round_trips():
         found = transport.demux(transport.mux(payload))
         assert b"".join(u.data for u in found.units) == payload
         assert (found.lost, found.continuity_errors, found.table_errors, found.programs, found.streams) == (0, 0, 0, {1: 0x1000}, {0x100: 6})
-        assert [u.stamp for u in found.units] == [3600 * k for k in range(len(found.units))] and all(u.random_access for u in found.units)
+        assert [u.stamp for u in found.units] == [9000 + 3600 * k for k in range(len(found.units))] and all(u.random_access for u in found.units)
 
 
 def test_transport_damage():
@@ -120,9 +123,59 @@ def test_padding(n):
     assert len(transport.padded(b"x" * n)) == max(64, -(-n // 64) * 64)
 
 
-def test_merge_rounds_equal_heap():
+def test_rounds_of_long_words_equal_library():
+    random.seed(21)
     p = bpe.pieces(PATH)
-    text = "abthethe" * 20
-    symbols = p.symbol[p.kind[np.array([ord(c) for c in text])]]
-    rounds, _ = bpe._rounds(p, symbols, np.array([0]), np.array([len(symbols)]))
-    assert rounds.tolist() == bpe._heap(p, symbols.tolist())
+    letters = [c for c in "abcdefghijklmnopqrstuvwxyzABCDEFXYZ0123456789+/=_-" if p.kind[ord(c)]]
+    words = ["".join(random.choices(letters[: random.choice([2, 3, 5, 26, 50])], k=n)) for n in (257, 300, 513, 1000, 4000) for _ in range(6)]
+    words += ["a" * 5001, "ab" * 3000, "the" * 2000, "=" * 700, "aab" * 900, "".join(random.choices(letters, k=60_000))]
+    same_as_library(words)
+    for text in words[:20]:
+        symbols = p.symbol[p.kind[np.array([ord(c) for c in text])]]
+        rounds, _ = bpe._rounds(p, symbols, np.array([0]), np.array([len(symbols)]))
+        assert rounds.tolist() == bpe._long_rounds(p, symbols).tolist()
+
+
+def test_transport_digests_equal_plain_python(spark):
+    texts = [None, "", "x", "é" * 40, "abc" * 9000]
+    rows = {r.doc_id: r for r in transport.digest_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for k, text in enumerate(texts):
+        raw = (text or "").encode()
+        payload = raw + bytes(-len(raw) % 64 or (0 if raw else 64))
+        media = transport.mux(payload)
+        assert (rows[k].n_bytes, rows[k].payload_bytes, rows[k].media_bytes) == (len(raw), len(payload), len(media)) and len(media) % 188 == 0
+        assert rows[k].payload_sha256 == hashlib.sha256(payload).hexdigest() and rows[k].media_sha256 == hashlib.sha256(media).hexdigest()
+        assert rows[k].tail_crc32 == zlib.crc32(payload[-64:])
+
+
+def test_clock_references():
+    media = transport.mux(os.urandom(70_000))
+    packets = [media[k : k + 188] for k in range(0, len(media), 188)]
+    begins = [x for x in packets if x[1] & 0x40 and (x[1] & 31) << 8 | x[2] == transport.DATA_PID]
+    for k, x in enumerate(begins):
+        field = x[6:12]  # base of 33 bits, six reserved bits, extension of nine bits
+        base = field[0] << 25 | field[1] << 17 | field[2] << 9 | field[3] << 1 | field[4] >> 7
+        assert x[5] & 0x50 == 0x50 and x[4] >= 7 and base == 3600 * k and field[4] & 0x7E == 0x7E and field[5] == 0
+    assert [u.clock for u in transport.demux(media).units] == [3600 * k for k in range(len(begins))]
+
+
+def test_personal_data_in_long_runs(spark):
+    runs = ["a" * 1_000_000 + " x@y.zz", "a" * 1_000_000 + "@", "7" * 1_000_000 + ".", "1." * 500_000, "+1" + "-" * 1_000_000, ("ab@" * 300_000), "A1" * 500_000, "1.2.3.4 " * 100_000]
+    for k, text in enumerate(runs):
+        df = spark.createDataFrame([(k, text + " user@host.org")], "doc_id long, text string")
+        began = time.perf_counter()
+        row = pii.digest_documents(df).collect()[0]
+        assert row.n_email >= 1 and time.perf_counter() - began < 10, (k, time.perf_counter() - began)
+        spans = [f"{n}:{m.start()}:{m.end()}" for n, p in LINEAR.items() for m in re.finditer(p, text + " user@host.org") if valid(n, m[0])]
+        assert row.base_sha256 == hashlib.sha256(",".join(spans).encode()).hexdigest()
+
+
+#: The same matches as PATTERNS, found in linear time.
+LINEAR = {"email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(\.[A-Za-z0-9-]++)++", "ip": r"(?<![0-9])[0-9]++(\.[0-9]++){3}", "card": r"[0-9](?:[\x20-]?[0-9])++", "phone": PATTERNS["phone"]}
+
+
+def test_matches_after_a_match(spark):
+    texts = ["a@b.c_d@e.f", "a@b.c%x@y.z.", "1.2.3.4.5.6.7.8", "a@b.cd@e.f", "1.2.3.4@b.c"] * 3
+    rows = pii.digest_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for r in rows:
+        assert [x for x in r.spans.split(",") if x] == [f"{k}:{m.start()}:{m.end()}" for k, p in PATTERNS.items() for m in re.finditer(p, texts[r.doc_id]) if valid(k, m[0])]
