@@ -76,6 +76,11 @@ def _score(kind: str, before: Column, after: Column) -> Column:
     return F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), moved)), 2)
 
 
+def _once(value: Column, function) -> Column:
+    """``function`` of a value that is worked out once, however often the function uses it."""
+    return F.element_at(F.transform(F.array(value), function), 1)
+
+
 def _matches(text: Column, kind: str) -> Column:
     """Confirmed matches of a kind as an array of (kind, start, end, value, score), by start.
 
@@ -94,13 +99,16 @@ def _matches(text: Column, kind: str) -> Column:
         span = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), m["value"].alias("value"), _score(kind, m["before"], m["after"]).alias("score"))
         return F.struct(end.alias("at"), F.when(confirmed(kind, m["value"]), F.concat(state["found"], F.array(span))).otherwise(state["found"]).alias("found"))
 
+    def placed(groups: Column) -> Column:
+        sizes = F.transform(groups, lambda g: F.aggregate(g, F.lit(0), lambda a, m: a + width(m)))
+        begins = F.aggregate(sizes, F.array(F.lit(0)), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
+        return F.flatten(F.zip_with(groups, F.slice(begins, 1, F.size(groups)), lambda g, at: F.aggregate(g, F.struct(at.alias("at"), empty.alias("found")), step, lambda state: state["found"])))
+
     # places are sums of what stands before: of whole groups of matches first, then within each group
-    groups = F.transform(F.sequence(F.lit(0), F.floor((many - 1) / GROUP).cast("int")), lambda g: F.slice(paired, g * GROUP + 1, F.lit(GROUP)))
-    sizes = F.transform(groups, lambda g: F.aggregate(g, F.lit(0), lambda a, m: a + width(m)))
-    begins = F.aggregate(sizes, F.array(F.lit(0)), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
-    within = F.zip_with(groups, F.slice(begins, 1, F.size(sizes)), lambda g, at: F.aggregate(g, F.struct(at.alias("at"), empty.alias("found")), step, lambda state: state["found"]))
+    grouped = _once(paired, lambda p: F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / GROUP).cast("int")), lambda g: F.slice(p, g * GROUP + 1, F.lit(GROUP))))
+    within = _once(grouped, placed)
     likely = F.contains(text, F.lit(HINTS[kind])) if kind in HINTS else F.lit(True)
-    return F.when(likely & (many > 0), F.flatten(within)).otherwise(empty)
+    return F.when(likely & (many > 0), within).otherwise(empty)
 
 
 def find_personal_data(docs: DataFrame, text: str = "text") -> DataFrame:
