@@ -8,7 +8,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# The forms of numbers and clauses.
 _NUMBER = r"[-+]?\d*\.\d+|\d+"
+_CLAUSE = r"^\s*(\S+)\s*(<=|>=|<|>)\s*(.+)\s*$"
 _OPS = {"<": lambda a, b: a < b, ">": lambda a, b: a > b, "<=": lambda a, b: a <= b, ">=": lambda a, b: a >= b, "==": lambda a, b: a == b}
 
 
@@ -36,7 +38,7 @@ def parse_clause(clause: str, strict: bool = False) -> tuple[str, str | None, st
     ``Age:>5`` and ``Age=>5`` compare. With ``strict`` the operator binds first, the key keeps its colon or equals sign,
     and such a clause holds for no row.
     """
-    if m := re.match(r"^\s*(\S+)\s*(<=|>=|<|>)\s*(.+)\s*$", clause):
+    if m := re.match(_CLAUSE, clause):
         key = m[1] if strict else m[1].rstrip(":=")
         return key.strip(), m[2], m[3].strip()
     for mark in ":=":
@@ -90,14 +92,13 @@ def compose_age_gender(gender: str | None, op: str | None, age: str | None) -> s
 
 def range_predicate(value: Column, pattern: str) -> Column:
     """``lo..hi`` inclusive, or an operator and a number; anything else holds for no value."""
-    if ".." in pattern:
-        low, high = (_number(x) for x in pattern.split("..", 1))
-        return value.between(low, high) if low is not None and high is not None else F.lit(False)
-    for op in (">=", "<=", ">", "<", "=="):
-        if pattern.startswith(op):
-            number = _number(pattern[len(op) :])
-            return _OPS[op](value, F.lit(number)) if number is not None else F.lit(False)
-    return F.lit(False)
+    low, dots, high = pattern.partition("..")
+    if dots:
+        bounds = [_number(low), _number(high)]
+        return F.lit(False) if None in bounds else value.between(*bounds)
+    found = re.match(r"([<>]=?|==)(.*)", pattern, re.S)
+    number = _number(found[2]) if found else None
+    return F.lit(False) if number is None else _OPS[found[1]](value, F.lit(number))
 
 
 def parse_pattern(text: str) -> tuple[str, str | float | int]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Status words, suffixes, levels and the form of log lines.
 SUCCESS = ("completed", "success", "succeeded")
 FAIL = ("failed", "error")
 ONGOING = ("running", "pending", "queued")
@@ -218,3 +219,11 @@ def softmax_band(real: Column, fake: Column) -> Column:
 def file_fingerprint(length: Column, modified: Column) -> Column:
     """Cheap fingerprint of a file from its size and modification time (Spark's file source has no creation time)."""
     return F.sha1(F.concat_ws("-", length.cast("string"), F.unix_timestamp(modified).cast("string")))
+
+
+def filter_id(request: Column, parameters: Column) -> Column:
+    """The saved filter that a job's parameters (``filterId``, ``filter_id``, ``_meta.filterId``) or else its ``file_filter``
+    input name; both are JSON texts."""
+    p, i = F.try_parse_json(parameters), F.try_parse_json(request)
+    named = [F.try_variant_get(v, path, "string") for v, path in ((p, "$.filterId"), (p, "$.filter_id"), (p, "$._meta.filterId"), (i, "$.file_filter.filter_id"))]
+    return F.coalesce(*(F.when(x != "", x) for x in named))

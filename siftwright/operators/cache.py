@@ -6,10 +6,11 @@ already changed are restated on the set of all rows, with the smallest path winn
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwright.functions import scalars
+from siftwright.sources import files
 
 
 def missing(requested: DataFrame, cached: DataFrame, key: list[str]) -> DataFrame:
@@ -46,19 +47,26 @@ def moves_by_content(requested: DataFrame, cached: DataFrame) -> DataFrame:
     new = missing(requested.select("path", "sha256").where(F.coalesce("sha256", F.lit("")) != "").distinct(), cached, ["path"])
     still = requested.select(F.col("path").alias("old_path")).distinct().withColumn("kept", F.lit(True))
     old = cached.where(F.coalesce("sha256", F.lit("")) != "").select(F.col("path").alias("old_path"), "sha256").distinct().join(still, "old_path", "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
-    w = Window.partitionBy("sha256")
-    new = new.withColumn("place", F.row_number().over(w.orderBy("path")))
-    old = old.withColumn("place", F.row_number().over(w.orderBy("kept", "old_path"))).withColumn("free", F.sum((~F.col("kept")).cast("int")).over(w))
-    # the n-th new path relocates the n-th free row; further ones copy the first row
-    pairs = new.join(old.select("sha256", "old_path", "free", F.col("place").alias("old_place")), "sha256")
-    chosen = pairs.where(F.col("old_place") == F.when(F.col("place") <= F.col("free"), F.col("place")).otherwise(1))
-    return chosen.select("path", "old_path", F.when(F.col("place") <= F.col("free"), "relocate").otherwise("clone").alias("action"))
+    # the n-th new path relocates the n-th free row; further ones copy the first row: each new row has one partner
+    new = _placed(new, "sha256", "path")
+    old = _placed(old, "sha256", "kept", "old_path")
+    free = old.groupBy("sha256").agg(F.count_if(~F.col("kept")).alias("free"))
+    wanted = new.join(free, "sha256").withColumn("relocates", F.col("place") <= F.col("free"))
+    moved = wanted.where("relocates").join(old.select("sha256", "place", "old_path"), ["sha256", "place"])
+    copied = wanted.where("NOT relocates").join(old.where("place = 1").select("sha256", "old_path"), "sha256")
+    return moved.select("path", "old_path", F.lit("relocate").alias("action")).unionByName(copied.select("path", "old_path", F.lit("clone").alias("action")))
+
+
+def _placed(rows: DataFrame, group: str, *order: str) -> DataFrame:
+    """``rows`` with their place from 1 within their group: sorted over all tasks by group and order, so that a frequent
+    group is dealt over many."""
+    numbered = files.numbered(rows, F.col(group), *(F.col(c) for c in order))
+    first = numbered.groupBy(group).agg(F.min("ordinal").alias("_first"))
+    return numbered.join(first, group).withColumn("place", F.col("ordinal") - F.col("_first") + 1).drop("ordinal", "_first")
 
 
 def _matched(new: DataFrame, old: DataFrame, on: str) -> DataFrame:
-    a = new.withColumn("place", F.row_number().over(Window.partitionBy(on).orderBy("path")))
-    b = old.withColumn("place", F.row_number().over(Window.partitionBy(on).orderBy("old_path")))
-    return a.join(b, [on, "place"]).select("path", "old_path")
+    return _placed(new, on, "path").join(_placed(old, on, "old_path"), [on, "place"]).select("path", "old_path")
 
 
 def apply_moves(cached: DataFrame, moves: DataFrame) -> DataFrame:

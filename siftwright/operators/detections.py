@@ -81,3 +81,20 @@ def largest_face(boxes: DataFrame, image: str = "image") -> DataFrame:
 def per_image(boxes: DataFrame, image: str = "image") -> DataFrame:
     """Detections of every image as one sorted list."""
     return boxes.groupBy(image).agg(F.array_sort(F.collect_list(F.struct("box_id", *CORNERS, "score"))).alias("detections"))
+
+
+def mask_pixels(logits: DataFrame, threshold: float, dilate: int, key: str = "image") -> DataFrame:
+    """Pixels (key, x, y) that any label's logit (key, label, x, y, logit) marks, grown by ``dilate`` pixels to all sides.
+
+    A probability counts from the threshold on in steps of 1/255, as in a mask of bytes.
+    """
+    marked = logits.where(F.floor(255 / (1 + F.exp(-F.col("logit")))) > int(threshold * 255)).select(key, "x", "y").distinct()
+    steps = [F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in range(-dilate, dilate + 1) for dy in range(-dilate, dilate + 1)]
+    grown = marked.select(key, "x", "y", F.explode(F.array(*steps)).alias("d"))
+    return grown.select(key, (F.col("x") + F.col("d.dx")).alias("x"), (F.col("y") + F.col("d.dy")).alias("y")).distinct()
+
+
+def blackened(pixels: DataFrame, mask: DataFrame, value: str, key: str = "image") -> DataFrame:
+    """Pixels (key, x, y, value) with 0 where the mask covers them."""
+    joined = pixels.join(mask.withColumn("_masked", F.lit(True)), [key, "x", "y"], "left")
+    return joined.withColumn(value, F.when(F.col("_masked"), 0).otherwise(F.col(value))).drop("_masked")

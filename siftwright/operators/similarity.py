@@ -1,7 +1,7 @@
 """Vector search: top-k, best chunk per path, batch nearest neighbours, hash search.
 
-Query sides are small by contract (a search has one query, a batch a stated list), so they are broadcast only after their
-size is checked; larger query sides are joined in salted blocks. Every ranking names a tie-breaking column.
+Query sides are small by contract (a search has one query, a batch a stated list). They pass in blocks of bounded size,
+one scan of the gallery each. Every ranking names a tie-breaking column.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from siftwright.functions import vectors
 
 #: Queries that one task may hold: rows times dimensions stay below this.
 BLOCK_VALUES = 4_000_000
+#: Similarities that a task holds at a time.
+SCORES = 4_000_000
 
 
 def with_similarity(candidates: DataFrame, query: list[float], vector: str = "embedding") -> DataFrame:
@@ -66,6 +68,21 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.where(length == 0, 1, length)
 
 
+def _best(queries: np.ndarray, ids: np.ndarray, found: np.ndarray, k: int, exclude_self: bool) -> pd.DataFrame:
+    """The k best ids of every query from a matrix of similarities; ids are in order, and the first of equal ones count."""
+    if exclude_self:
+        found[queries[:, None] == ids[None, :]] = -np.inf
+    k = min(k, len(ids))
+    least = np.partition(found, len(ids) - k, axis=1)[:, len(ids) - k, None]
+    # all above the k-th value, and of those equal to it the first ones that still have room
+    above, equal = found > least, found == least
+    chosen = above | equal & (np.cumsum(equal, axis=1) <= k - above.sum(axis=1, keepdims=True))
+    query, at = np.nonzero(chosen)
+    value = found[query, at]
+    rows = pd.DataFrame({"query": queries[query], "target": ids[at], "similarity": value})
+    return rows[np.isfinite(value)]
+
+
 def batch_neighbours(queries: DataFrame, gallery: DataFrame, k: int, key: str, target: str, vector: str = "embedding", least: float | None = None, exclude_self: bool = False) -> DataFrame:
     """For every query its k nearest gallery rows: query, target, similarity, rank (ties by target).
 
@@ -85,14 +102,10 @@ def batch_neighbours(queries: DataFrame, gallery: DataFrame, k: int, key: str, t
                     continue
                 ids = frame["target"].to_numpy()
                 order = np.argsort(ids, kind="stable")
-                ids = ids[order]
-                found = (wanted @ _unit(np.stack(frame["vector"].to_numpy()[order]).astype(float)).T).round(12)
-                if exclude_self:
-                    found = np.where(own[:, None] == ids[None, :], -np.inf, found)
-                best = np.argsort(-found, axis=1, kind="stable")[:, :k]
-                value = np.take_along_axis(found, best, axis=1).ravel()
-                rows = pd.DataFrame({"query": np.repeat(own, best.shape[1]), "target": ids[best].ravel(), "similarity": value})
-                yield rows[np.isfinite(value)]
+                ids, units = ids[order], _unit(np.stack(frame["vector"].to_numpy()[order]).astype(float))
+                step = max(1, SCORES // len(ids))
+                for low in range(0, len(own), step):
+                    yield _best(own[low : low + step], ids, (wanted[low : low + step] @ units.T).round(12), k, exclude_self)
 
         part = gallery.select(F.col(target).alias("target"), F.col(vector).alias("vector")).where(F.col("vector").isNotNull()).mapInPandas(score, schema)
         out = part if out is None else out.unionByName(part)

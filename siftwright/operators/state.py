@@ -86,9 +86,9 @@ def filters_of_jobs(jobs: DataFrame, filters: DataFrame) -> DataFrame:
 
 def audit_trail(jobs: DataFrame, messages: DataFrame, logs: DataFrame) -> DataFrame:
     """Per job: its messages of the same endpoint (a job without one has none) and its log lines from its start on."""
-    called = jobs.select("uid", "endpoint").where(F.col("endpoint").isNotNull()).join(messages.select(F.col("tool_call_endpoint").alias("endpoint"), "message_id"), "endpoint").groupBy("uid").agg(F.count("message_id").alias("messages"))
+    called = messages.where(F.col("tool_call_endpoint").isNotNull()).groupBy(F.col("tool_call_endpoint").alias("endpoint")).agg(F.count("message_id").alias("messages"))
     logged = jobs.select("uid", "startTime").join(logs.select(F.col("job_id").alias("uid"), "timestamp"), "uid").where(F.col("timestamp").isNull() | (F.col("timestamp") >= F.col("startTime"))).groupBy("uid").agg(F.count("*").alias("log_lines"))
-    out = jobs.join(called, "uid", "left").join(logged, "uid", "left")
+    out = jobs.join(called, "endpoint", "left").join(logged, "uid", "left")
     return out.select("uid", "endpoint", F.coalesce("messages", F.lit(0)).alias("messages"), F.coalesce("log_lines", F.lit(0)).alias("log_lines"))
 
 
@@ -102,3 +102,48 @@ def log_table(lines: DataFrame, job: str | None = None, start: str | None = None
     rows = lines.select(scalars.log_record(F.col("value")).alias("r")).where(F.col("r").isNotNull()).select("r.*")
     rows = rows if job is None else rows.where(F.col("job_id") == job)
     return rows if start is None else rows.where(F.col("timestamp").isNull() | (F.col("timestamp") >= F.lit(start).cast("timestamp")))
+
+
+def newest_first(rows: DataFrame, created: str, tie: str, owner: str | None = None, column: str = "owner_id") -> DataFrame:
+    """Cases or saved filters, newest first; those of one owner where one is named."""
+    return (rows.where(F.col(column) == owner) if owner else rows).orderBy(F.desc(created), tie)
+
+
+#: Fields of a job that others read, in order.
+JOB_FIELDS = ("uid", "modelUid", "taskUid", "endpoint", "endpointChain", "pipelineRootJobId", "pipelineMetadataFilterCriteria", "startTime", "endTime", "status", "statusText", "request", "response", "taskSchema", "caseNotes")
+
+
+def job_fields(jobs: DataFrame) -> DataFrame:
+    """The flat fields of jobs; columns that a table of an older form lacks are null."""
+    return jobs.select(*(F.col(c) if c in jobs.columns else F.lit(None).cast("string").alias(c) for c in JOB_FIELDS))
+
+
+def with_criteria(jobs: DataFrame, uid: str, criteria: str, most: int = 4000) -> DataFrame:
+    """Jobs with the metadata criteria of one of them set, cut to ``most`` characters; a blank uid changes nothing."""
+    return jobs.withColumn("pipelineMetadataFilterCriteria", F.when((F.col("uid") == uid.strip()) & F.lit(uid.strip() != ""), criteria[:most]).otherwise(F.col("pipelineMetadataFilterCriteria")))
+
+
+def resolved_filters(calls: DataFrame, save: bool = True) -> DataFrame:
+    """What filter each tool call (input_filter, output_filter, paths, patterns) ends up with: ``filter_id``, or
+    ``composite``: whether one is to be made of its paths and patterns.
+
+    One saved filter counts as it is, as do two equal ones; two different ones make a composite, or leave the input's where
+    nothing is saved; without any, given paths or patterns make one.
+    """
+    one, two = F.col("input_filter"), F.col("output_filter")
+    given = (F.size(F.coalesce("paths", F.array().cast("array<string>"))) > 0) | (F.size(F.coalesce("patterns", F.array().cast("array<string>"))) > 0)
+    differ = one.isNotNull() & two.isNotNull() & (one != two)
+    made = F.lit(save) & (differ | (F.coalesce(one, two).isNull() & given))
+    return calls.withColumns({"composite": made, "filter_id": F.when(~made, F.coalesce(one, two))})
+
+
+def collections_of(names: DataFrame, ensemble: bool, column: str = "name") -> DataFrame:
+    """Base names of full collection names ``base_xxS`` or ``base_xxE``: those of ensembles without repeats."""
+    chosen = names.where(F.endswith(column, F.lit("E" if ensemble else "S"))).select(F.regexp_replace(column, "_[^_]*$", "").alias("collection"))
+    return chosen.distinct() if ensemble else chosen
+
+
+def call_results(calls: DataFrame, results: DataFrame, key: str = "call_id") -> DataFrame:
+    """Tool calls with their result or error, and whether they completed."""
+    joined = calls.join(results.select(key, "result", "error"), key, "left")
+    return joined.withColumn("completed", F.col("result").isNotNull())

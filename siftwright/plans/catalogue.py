@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -180,12 +181,12 @@ def pipeline_partition(spark, sf_dir):
     return grouping.pipelines(_jobs(spark, sf_dir)).select("uid", "pipeline", "member", F.unix_micros(F.col("group_start").cast("timestamp")).alias("group_start_us"))
 
 
-@query(f"""WITH j AS ({_JOBS}) SELECT uid, root, user_id FROM j WHERE user_id = (SELECT min(user_id) FROM j) AND (root = 10 OR uid % 7 = 0)""")
+@query(f"""WITH j AS ({_JOBS}) SELECT uid, root, user_id FROM j WHERE user_id = (SELECT user_id FROM j WHERE uid = '10') AND (root = '10' OR uid = '10')""".replace("event_id AS uid", "event_id::VARCHAR AS uid").replace("- event_id % 10 END AS root", "- event_id % 10 END::VARCHAR AS root"))
 def jobs_of_pipeline(spark, sf_dir):
-    """SO3, SO4: a user's jobs of a pipeline, by start."""
-    jobs = _jobs(spark, sf_dir)
-    user = jobs.agg(F.min("user_id")).first()[0]
-    return jobs.where((F.col("user_id") == user) & ((F.col("root") == 10) | (F.col("uid") % 7 == 0))).orderBy("start", "uid").select("uid", "root", "user_id")
+    """SO4: a user's jobs of a pipeline root and the root itself, oldest first."""
+    jobs = _jobs(spark, sf_dir).select(F.col("uid").cast("string").alias("uid"), F.col("root").cast("string").alias("root"), "user_id", F.col("user_id").alias("userId"), F.col("start").alias("startTime"))
+    user = jobs.where("uid = '10'").first().userId
+    return state.jobs_of_pipeline(jobs, user, "10").select("uid", "root", "user_id")
 
 
 @query("""SELECT event_id, (props->>'$.k')::DOUBLE AS k FROM events WHERE (props->>'$.k')::DOUBLE >= 50 AND (props->>'$.k')::DOUBLE < 80""")
@@ -212,11 +213,12 @@ def metadata_filter_paths(spark, sf_dir):
     return predicates.filter_by_metadata(items, "k > 90")
 
 
-@query("""SELECT bool_or(event_type IN ('Age')) OR false AS present FROM events""")
+@query("""SELECT c_mktsegment AS segment, bool_or(c_acctbal < 0) AS present FROM customer GROUP BY 1""")
 def age_gender_gate(spark, sf_dir):
-    """FL10: whether any row has age or gender metadata."""
-    items = table(spark, sf_dir, "events").select(F.from_json("props", "map<string,string>").alias("metadata"))
-    return predicates.has_age_gender(items)
+    """FL10: whether any row has age or gender metadata; here customers in debt have it, and each segment is a gate."""
+    rows = table(spark, sf_dir, "customer").select("c_mktsegment", F.when(F.col("c_acctbal") < 0, F.create_map(F.lit("aGe"), F.lit("(1-2)"))).otherwise(F.create_map(F.lit("agenda"), F.lit("x"))).alias("metadata"))
+    gates = [predicates.has_age_gender(rows.where(F.col("c_mktsegment") == x)).select(F.lit(x).alias("segment"), "present") for x in sorted(r[0] for r in rows.select("c_mktsegment").distinct().collect())]
+    return reduce(DataFrame.unionByName, gates)
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_quantity BETWEEN 5 AND 10 OR l_quantity >= 49.5""")
@@ -323,7 +325,7 @@ def cache_anti_join(spark, sf_dir):
 
 @query("""SELECT doc_id, text FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)""")
 def path_semi_join(spark, sf_dir):
-    """JN3, PL2, SC2: restriction to a path list."""
+    """JN3, PL2: restriction to a path list."""
     return cache.present(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"), ["doc_id"])
 
 
@@ -333,10 +335,10 @@ def set_equality(spark, sf_dir):
     return grouping.set_equal(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id")
 
 
-@query("""SELECT doc_id FROM labels UNION SELECT doc_id FROM documents WHERE doc_id < 50""")
+@query("""SELECT doc_id FROM labels UNION SELECT doc_id FROM documents""")
 def union_if_absent(spark, sf_dir):
     """SE4, SE6, SE7: rows added where their key is absent."""
-    return grouping.union_if_absent(table(spark, sf_dir, "labels").select("doc_id"), table(spark, sf_dir, "documents").where("doc_id < 50").select("doc_id"), "doc_id")
+    return grouping.union_if_absent(table(spark, sf_dir, "labels").select("doc_id"), table(spark, sf_dir, "documents").select("doc_id"), "doc_id")
 
 
 @query("""
@@ -358,18 +360,37 @@ def latest_step_upsert(spark, sf_dir):
     return grouping.latest(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"]).select("user_id", "event_id", "event_type")
 
 
-@query("""SELECT event_id, user_id FROM events WHERE event_id % 5 = 0 AND user_id NOT IN (SELECT user_id FROM events WHERE event_id % 97 = 1) UNION ALL SELECT event_id, user_id FROM events WHERE event_id % 97 = 1""")
+@query("""SELECT event_id, user_id FROM events WHERE event_type <> 'purchase' AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase') UNION ALL SELECT event_id, user_id FROM events WHERE event_type = 'purchase'""")
 def snapshot_replace(spark, sf_dir):
-    """NX6, SK8: new rows of a key replace all its stored ones."""
-    rows = table(spark, sf_dir, "events").select("event_id", "user_id")
-    return grouping.replace_snapshot(rows.where("event_id % 5 = 0"), rows.where("event_id % 97 = 1"), ["user_id"])
+    """NX6, SK8: new rows of a key replace all its stored ones; purchases are new, all other events stored."""
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
+    stored, new = (rows.where(c).drop("event_type") for c in ("event_type <> 'purchase'", "event_type = 'purchase'"))
+    return grouping.replace_snapshot(stored, new, ["user_id"])
 
 
-@query("""SELECT event_id, 'text.json.remainder' AS container, 0::BIGINT AS ordinal, 'json_object' AS output_type FROM events""")
+#: Responses of every shape, by a condition on events, with what they flatten to: container, ordinal, output_type, payload.
+_SHAPES = {
+    "event_type = 'click'": ("""'{"root":{"output_type":"batchfile","files":[{"path":"' || event_id || '"},"bare"]}}'""", [("root.files", 0, "file", """'{"path":"' || event_id || '"}'"""), ("root.files", 1, "file", """'{"_item":"bare"}'""")]),
+    "event_type = 'view'": ("""'{"output_type":"batchtext","transcripts_dir":"/t","texts":["' || event_id || '"]}'""", [("root", 0, "batchtext_meta", """'{"transcripts_dir":"/t"}'"""), ("root.texts", 0, "text", """'{"value":"' || event_id || '"}'""")]),
+    "event_type = 'purchase'": ("""'{"output_type":"text","value":"{\\"hits\\":[1,{\\"a\\":2}],\\"none\\":[],\\"rows\\":[],\\"n\\":' || event_id || '}"}'""", [("text.json.hits", 0, "json_item", "'1'"), ("text.json.hits", 1, "json_item", """'{"a":2}'"""), ("text.json.remainder", 0, "json_object", """'{"n":' || event_id || ',"none":[]}'""")]),
+    "event_type = 'signup'": ("""'{"output_type":"text","value":"plain ' || event_id || '"}'""", [("text.raw", 0, "text", """'{"value":"plain ' || event_id || '"}'""")]),
+    "event_type = 'error' AND coalesce(value, 0) > 20": ("""'{"output_type":"batchdirectory","directories":["/d/' || event_id || '"]}'""", [("root.directories", 0, "directory", """'{"path":"/d/' || event_id || '"}'""")]),
+}
+_OTHER = ("""'not json ' || event_id""", [("raw", 0, "unknown", """'{"value":"not json ' || event_id || '"}'""")])
+
+
+def _shape_sql() -> str:
+    rows = [(k, c, n, t, p) for k, (_, out) in _SHAPES.items() for c, n, t, p in out]
+    rows += [("NOT (" + " OR ".join(_SHAPES) + ")", c, n, t, p) for c, n, t, p in _OTHER[1]]
+    return " UNION ALL ".join(f"SELECT event_id, '{c}' AS container, {n}::BIGINT AS ordinal, '{t}' AS output_type, {p} AS payload FROM events WHERE {where}" for where, c, n, t, p in rows)
+
+
+@query(_shape_sql())
 def flatten_props(spark, sf_dir):
-    """NX1-NX4, WN4, FN18: responses to rows."""
-    jobs = table(spark, sf_dir, "events").select("event_id", F.to_json(F.struct(F.struct(F.lit("text").alias("output_type"), F.col("props").alias("value")).alias("root"))).alias("response"))
-    return nested.flatten_responses(jobs, "event_id").select("event_id", "container", F.col("ordinal").cast("bigint").alias("ordinal"), "output_type")
+    """NX1-NX4, WN4, FN18: responses of every shape to rows."""
+    shape = F.expr("CASE " + " ".join(f"WHEN {k} THEN " + x.replace("\\", "\\\\") for k, (x, _) in _SHAPES.items()) + f" ELSE {_OTHER[0]} END")
+    jobs = table(spark, sf_dir, "events").select("event_id", shape.alias("response"))
+    return nested.flatten_responses(jobs, "event_id").withColumn("ordinal", F.col("ordinal").cast("bigint"))
 
 
 @query("""SELECT o_orderkey AS step_job_id, row_number() OVER (PARTITION BY o_orderkey ORDER BY l_linenumber, 'part/' || l_partkey) - 1 AS ordinal, 'part/' || l_partkey AS path, l_linenumber::VARCHAR AS line FROM orders JOIN lineitem ON l_orderkey = o_orderkey""")
@@ -419,16 +440,17 @@ def adjacent_pair_lead(spark, sf_dir):
 
 
 @query("""
-WITH j AS (SELECT event_id AS uid, event_type AS endpoint FROM events), m AS (SELECT CASE conv_id % 3 WHEN 0 THEN 'click' WHEN 1 THEN 'view' END AS endpoint, count(*) AS n FROM conversations GROUP BY 1)
-SELECT j.uid, j.endpoint, coalesce(m.n, 0) AS messages, CASE WHEN j.uid % 2 = 0 THEN 1 ELSE 0 END::BIGINT AS log_lines FROM j LEFT JOIN m USING (endpoint)""")
+WITH m AS (SELECT CASE role WHEN 'assistant' THEN 'click' WHEN 'user' THEN 'view' END AS endpoint, count(*) AS n FROM conversations GROUP BY 1)
+SELECT e.event_id::VARCHAR AS uid, e.event_type AS endpoint, coalesce(m.n, 0) AS messages, CASE WHEN e.value > 20 THEN 1 ELSE 0 END::BIGINT AS log_lines FROM events e LEFT JOIN m ON m.endpoint = e.event_type""")
 def audit_join(spark, sf_dir):
-    """JN16, FL31, JN13: audit trail of jobs, messages and logs; messages are counted per endpoint before the join."""
+    """JN16, FL31: audit trail of jobs: messages of the job's endpoint, log lines of the job from its start on."""
     events = table(spark, sf_dir, "events")
-    jobs = events.select(F.col("event_id").alias("uid"), F.col("event_type").alias("endpoint"))
-    chat = table(spark, sf_dir, "conversations").select(F.when(F.col("conv_id") % 3 == 0, "click").when(F.col("conv_id") % 3 == 1, "view").alias("endpoint"))
-    counted = chat.where("endpoint IS NOT NULL").groupBy("endpoint").agg(F.count("*").alias("messages"))
-    logs = events.where("event_id % 2 = 0").groupBy(F.col("event_id").alias("uid")).agg(F.count("*").alias("log_lines"))
-    return jobs.join(counted, "endpoint", "left").join(logs, "uid", "left").select("uid", "endpoint", F.coalesce("messages", F.lit(0)).alias("messages"), F.coalesce("log_lines", F.lit(0)).alias("log_lines"))
+    uid = F.col("event_id").cast("string")
+    jobs = events.select(uid.alias("uid"), F.col("event_type").alias("endpoint"), F.col("ts").alias("startTime"))
+    chat = table(spark, sf_dir, "conversations").select(F.when(F.col("role") == "assistant", "click").when(F.col("role") == "user", "view").alias("tool_call_endpoint"), F.concat_ws("-", "conv_id", "turn").alias("message_id"))
+    at = F.when(F.col("value") > 20, F.col("ts") + F.expr("INTERVAL 1 SECOND")).otherwise(F.col("ts") - F.expr("INTERVAL 1 SECOND"))
+    logs = events.select(uid.alias("job_id"), at.alias("timestamp"))
+    return state.audit_trail(jobs, chat, logs)
 
 
 @query("""SELECT event_id, event_type AS level, CASE event_type WHEN 'error' THEN 40 ELSE 20 END AS number, event_id::VARCHAR AS job_id, 'value ' || event_id AS message FROM events WHERE event_id % 3 <> 0""")
@@ -516,11 +538,12 @@ def graph_export(spark, sf_dir):
     return graph.documents(graph.nodes(*inputs), graph.edges(*inputs))
 
 
-@query("SELECT NULL::VARCHAR AS uid, NULL::VARCHAR AS source, NULL::VARCHAR AS target, NULL::VARCHAR AS kind WHERE false")
+@query("""SELECT l_orderkey::VARCHAR AS uid, 'kb:action-' || l_orderkey || '-2' AS source, 'kb:file-' || left(sha256('/out/' || l_linenumber || '.png'), 16) AS target, 'search_hit' AS kind FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_returnflag = 'R' AND l_linenumber NOT IN (SELECT x.l_linenumber FROM lineitem x WHERE x.l_orderkey = lineitem.l_orderkey AND x.l_returnflag <> 'R') GROUP BY ALL""")
 def graph_validation(spark, sf_dir):
-    """NX17: edges without a node; none."""
-    inputs = _graph_inputs(spark, sf_dir)
-    return graph.invalid(graph.nodes(*inputs), graph.edges(*inputs))
+    """NX17: edges without a node; files of returned items have none, unless another item of the order has the file."""
+    jobs, inputs, hits = _graph_inputs(spark, sf_dir)
+    kept = table(spark, sf_dir, "lineitem").where("l_returnflag <> 'R'").select(F.col("l_orderkey").cast("string").alias("uid"), F.concat(F.lit("/out/"), F.col("l_linenumber").cast("string"), F.lit(".png")).alias("path"))
+    return graph.invalid(graph.nodes(jobs, inputs, hits.join(kept, ["uid", "path"], "left_semi")), graph.edges(jobs, inputs, hits))
 
 
 @query("""SELECT conv_id, turn, 'search' AS name, conv_id::VARCHAR AS conv FROM conversations WHERE role = 'assistant'""")
@@ -541,13 +564,15 @@ def argument_names(spark, sf_dir):
 
 
 def _cache_tables(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    stored = docs.where("doc_id % 2 = 0").select(F.concat(F.lit("/old/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.sha2("text", 256).alias("sha256"))
-    wanted = docs.where("doc_id % 3 = 0").select(F.concat(F.lit("/new/"), F.col("doc_id").cast("string"), F.lit(".TXT")).alias("path"), F.sha2("text", 256).alias("sha256"))
+    """Every document is either cached or wanted, by its source; a part of the wanted ones are cached elsewhere as well."""
+    docs = table(spark, sf_dir, "documents").withColumn("sha256", F.sha2("text", 256))
+    name = lambda folder, suffix: F.concat(F.lit(folder), F.col("doc_id").cast("string"), F.lit(suffix)).alias("path")
+    stored = docs.where("coalesce(lang, '') <> 'de'").select(name("/old/", ".txt"), "sha256")
+    wanted = docs.where("coalesce(lang, '') <> 'fr'").select(name("/new/", ".TXT"), "sha256")
     return stored, wanted
 
 
-@query("""SELECT '/new/' || doc_id || '.TXT' AS path, '/old/' || doc_id || '.txt' AS old_path FROM documents WHERE doc_id % 6 = 0""")
+@query("""SELECT '/new/' || doc_id || '.TXT' AS path, '/old/' || doc_id || '.txt' AS old_path FROM documents WHERE coalesce(lang, '') NOT IN ('de', 'fr')""")
 def relocate_by_name(spark, sf_dir):
     """JN10, DM2, FN3: moved files by case-folded name."""
     stored, wanted = _cache_tables(spark, sf_dir)
@@ -555,8 +580,8 @@ def relocate_by_name(spark, sf_dir):
 
 
 @query("""
-WITH n AS (SELECT text, count(*) AS want FROM documents WHERE doc_id % 3 = 0 GROUP BY 1), s AS (SELECT text, count(*) AS have FROM documents WHERE doc_id % 2 = 0 GROUP BY 1)
-SELECT sum(CASE WHEN have IS NULL THEN want ELSE 0 END)::BIGINT AS new, sum(CASE WHEN have IS NULL THEN 0 ELSE least(want, have) END)::BIGINT AS relocated, sum(CASE WHEN have IS NULL THEN 0 ELSE want - least(want, have) END)::BIGINT AS cloned FROM n LEFT JOIN s USING (text)""")
+WITH n AS (SELECT text, count(*) AS want FROM documents WHERE coalesce(lang, '') <> 'fr' AND text IS NOT NULL GROUP BY 1), s AS (SELECT text, count(*) AS have FROM documents WHERE coalesce(lang, '') <> 'de' AND text IS NOT NULL GROUP BY 1)
+SELECT sum(CASE WHEN have IS NULL THEN want ELSE 0 END)::BIGINT + (SELECT count(*) FROM documents WHERE coalesce(lang, '') <> 'fr' AND text IS NULL) AS new, sum(CASE WHEN have IS NULL THEN 0 ELSE least(want, have) END)::BIGINT AS relocated, sum(CASE WHEN have IS NULL THEN 0 ELSE want - least(want, have) END)::BIGINT AS cloned FROM n LEFT JOIN s USING (text)""")
 def relocate_or_clone(spark, sf_dir):
     """JN11, DM3: moved or copied files by content."""
     stored, wanted = _cache_tables(spark, sf_dir)

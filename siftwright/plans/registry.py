@@ -105,14 +105,42 @@ def chained_arguments(arguments: dict, inputs: list[str], output_path: str | Non
     return arguments | {into: output_path} | ({out: output_path} if out else {})
 
 
+def clamped(value: int | None, most: int, setting: str | None = None) -> int:
+    """A batch size or number of workers: the value up to ``most``, else a setting's text, else 1."""
+    if value is not None:
+        return min(int(value), most)
+    return int(setting) if setting is not None and setting.strip() else 1
+
+
 def default_registry() -> Registry:
-    """The operators that run without model weights."""
-    from siftwright.functions import predicates, texts
+    """The operators that run without model weights. Summaries and transcripts are added with a model slot."""
+    from siftwright.functions import embedders, predicates, texts
     from siftwright.operators import similarity
 
+    def find(df: DataFrame, query: list, k: int, least: float) -> DataFrame:
+        return similarity.search(df, [float(x) for x in query], k, least, "path", "chunk_index")
+
+    def find_text(df: DataFrame, query: str, k: int, least: float) -> DataFrame:
+        return find(df, embedders.hash_embed([query])[0].tolist(), k, least)
+
+    def series(df: DataFrame, query: list, query_hash: str, mode: str, k: int, least: float) -> DataFrame:
+        return similarity.series_search(df, mode, [float(x) for x in query], query_hash, k, least, "path")
+
+    def faces(df: DataFrame, k: int, least: float) -> DataFrame:
+        """Rows of the gallery and of the queries, told apart by ``is_query``."""
+        return similarity.batch_neighbours(df.where("is_query"), df.where("NOT is_query"), k, "path", "path", least=least)
+
+    wanted, best, match = Parameter(list, ()), Parameter(int, 5, 1), Parameter(float, 0.45, -1, 1)
+    chunked, text = ("path", "chunk_index", "embedding"), {"term": Parameter(str, "")}
     registry = Registry()
     registry.add(Operator("texts/chunk", lambda df, size, overlap: texts.chunk_table(df, size, overlap), ("path", "text"), {"size": Parameter(int, 300, 1), "overlap": Parameter(int, 60, 0)}, "Cut texts", 10))
-    registry.add(Operator("texts/contain", lambda df, term: df.where(F.contains(F.lower("text"), F.lit(term.lower()))), ("text",), {"term": Parameter(str, "")}, "Search texts", 20))
+    registry.add(Operator("texts/contain", lambda df, term: df.where(F.contains(F.lower("text"), F.lit(term.lower()))), ("text",), text, "Search texts", 20))
     registry.add(Operator("metadata/filter", lambda df, criteria: df.where(predicates.metadata_predicate(F.col("metadata"), criteria)), ("metadata",), {"criteria": Parameter(str, "")}, "Filter by metadata", 30))
-    registry.add(Operator("vectors/flag", lambda df, least: similarity.flag_matches(df, least), ("similarity",), {"least": Parameter(float, 0.45, -1, 1)}, "Flag matches", 40))
+    registry.add(Operator("vectors/flag", lambda df, least: similarity.flag_matches(df, least), ("similarity",), {"least": match}, "Flag matches", 40))
+    registry.add(Operator("text_embeddings/search", find_text, chunked, {"query": Parameter(str, ""), "k": best, "least": match}, "Search chunks", 50))
+    registry.add(Operator("image_embeddings/search_images", find, chunked, {"query": wanted, "k": best, "least": match}, "Search images", 60))
+    registry.add(Operator("image_series_similarity/search_series", series, ("path", "embedding", "pdq_hash"), {"query": wanted, "query_hash": Parameter(str, ""), "mode": Parameter(str, "combined", choices=("semantic", "pdq", "combined")), "k": best, "least": match}, "Search image series", 70))
+    registry.add(Operator("face-match/findfacebulk", faces, ("path", "embedding", "is_query"), {"k": Parameter(int, 10, 1), "least": match}, "Find faces", 80))
+    registry.add(Operator("fs/ls", lambda df: df.select("path", "name"), ("path", "name")))
+    registry.add(Operator("fs/head", lambda df, n: df.orderBy("n").limit(n), ("n", "line"), {"n": Parameter(int, 10, 1)}))
     return registry

@@ -6,7 +6,6 @@ import os
 import re
 import tempfile
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -48,22 +47,3 @@ def materialise(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
-
-
-class Held:
-    """Tables kept on the executors' disks while a ``with`` block uses them several times. What a lost executor kept is
-    computed anew from its lineage; results that outlive the block must not depend on it."""
-
-    def __init__(self) -> None:
-        self.frames: list[DataFrame] = []
-
-    def __enter__(self) -> Held:
-        return self
-
-    def __call__(self, df: DataFrame) -> DataFrame:
-        self.frames.append(df.persist(StorageLevel.DISK_ONLY))
-        return self.frames[-1]
-
-    def __exit__(self, *_) -> None:
-        for df in self.frames:
-            df.unpersist()

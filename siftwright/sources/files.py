@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftwright.functions import scalars
+from siftwright.session import materialise
 
+# Suffixes of the kinds of files, and how images begin.
 TEXT = (".txt", ".text", ".md", ".log")
 IMAGES = (".jpg", ".jpeg", ".png", ".bmp", ".gif", ".tiff")
 SERIES_IMAGES = (*IMAGES, ".webp")
@@ -55,10 +57,25 @@ def corpus(scan: DataFrame, chosen: DataFrame | None) -> DataFrame:
     Without a filter the scan counts, by path; a filter without rows gives no rows and never falls back to the scan.
     """
     if chosen is None:
-        return scan.select(F.row_number().over(Window.orderBy("path")).alias("ordinal"), "path")
+        return numbered(scan.select("path"), F.col("path")).withColumn("ordinal", F.col("ordinal") + 1)
     return chosen.join(scan.select("path"), "path", "left_semi").select("ordinal", "path")
 
 
+def numbered(rows: DataFrame, *order: Column) -> DataFrame:
+    """``rows`` with their place from 0 in an order of all of them (``ordinal``): sorted by ranges, numbered within each
+    range after the rows of the ranges before it."""
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    placed = materialise(placed.withColumn("_part", F.shiftright("_at", 33)))
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n")).collect()  # one row a partition
+    before, total = [], 0
+    for r in sorted(sizes, key=lambda r: r["_part"]):
+        before.append((r["_part"], total))
+        total += r["_n"]
+    offsets = F.broadcast(rows.sparkSession.createDataFrame(before, "_part bigint, _before bigint"))
+    ordinal = F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.join(offsets, "_part").withColumn("ordinal", ordinal).select(*rows.columns, "ordinal")
+
+
 def corpus_size(files: DataFrame) -> int:
     """Number of files; ValueError for a filter that leaves none."""
     n = files.count()
@@ -71,7 +88,7 @@ def ordered_images(scan: DataFrame, chosen: DataFrame | None, suffixes: tuple[st
     """Images in processing order: a filter's files, first mention only, or all by case-folded name."""
     images = scan.where(scalars.extension(F.col("path")).isin(*suffixes))
     if chosen is None:
-        return images.select(F.row_number().over(Window.orderBy(F.lower("name"), "path")).alias("ordinal"), "path")
+        return numbered(images.select(F.lower("name").alias("_n"), "path"), F.col("_n"), F.col("path")).select((F.col("ordinal") + 1).alias("ordinal"), "path")
     first = chosen.groupBy("path").agg(F.min("ordinal").alias("ordinal"))
     return first.join(images.select("path"), "path", "left_semi").select("ordinal", "path")
 
@@ -89,7 +106,9 @@ def decoded_images(files: DataFrame) -> DataFrame:
 
 def texts(files: DataFrame, most: int = TEXT_CHARS) -> DataFrame:
     """path and text of files with content: UTF-8, at most ``most`` characters; undecodable bytes are dropped."""
-    text = F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("\ufffd"), F.lit(""))
+    whole = F.col("content").cast("string")
+    dropped = F.replace(F.make_valid_utf8(whole), F.lit("\ufffd"), F.lit(""))
+    text = F.when(F.is_valid_utf8(whole), whole).otherwise(dropped)
     return files.select("path", F.coalesce(F.substring(text, 1, most), F.lit("")).alias("text"))
 
 
@@ -130,7 +149,7 @@ def evaluation_files(metadata: DataFrame, most: int) -> DataFrame:
 def browse(entries: DataFrame, suffixes: tuple[str, ...] | None = None) -> DataFrame:
     """Directory entries (name, is_dir): directories first, then by case-folded name; files filtered by suffix."""
     shown = entries if suffixes is None else entries.where(F.col("is_dir") | scalars.extension(F.col("name")).isin(*suffixes))
-    return shown.withColumn("ordinal", F.row_number().over(Window.orderBy(~F.col("is_dir"), F.lower("name"), "name")).cast("bigint"))
+    return numbered(shown, ~F.col("is_dir"), F.lower("name"), F.col("name")).withColumn("ordinal", F.col("ordinal") + 1)
 
 
 def forensics(files: DataFrame) -> DataFrame:

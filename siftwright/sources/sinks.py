@@ -53,3 +53,30 @@ def fallback_folder(input_dir: str, writable: bool, scratch: str) -> str:
     import hashlib
 
     return f"{input_dir.rstrip('/')}/transcripts" if writable else f"{scratch.rstrip('/')}/{hashlib.sha256(input_dir.encode()).hexdigest()[:16]}"
+
+
+def write_texts(outputs: DataFrame) -> None:
+    """Write every text of (output_path, text) to its file, from the tasks that hold them, through Spark's file systems."""
+    folder = outputs.select(scalars.parent(F.col("output_path")).alias("folder")).distinct()
+    for r in folder.toLocalIterator():
+        name = F.regexp_replace(scalars.basename(F.col("output_path")), r"\.txt$", "")
+        own = outputs.where(scalars.parent(F.col("output_path")) == r.folder)
+        staged = f"{r.folder}/_staged"
+        own.select(name.alias("name"), F.col("text").alias("value")).write.mode("overwrite").partitionBy("name").option("lineSep", "\n").text(staged)
+        _named(outputs, staged, r.folder)
+
+
+def _named(df: DataFrame, staged: str, folder: str) -> None:
+    """Give the single part of every staged ``name=...`` directory its file name; moves, not copies."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    store = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    for directory in store.listStatus(path(staged)):
+        at = directory.getPath()
+        if not at.getName().startswith("name="):
+            continue
+        for part in store.listStatus(at):
+            if part.getPath().getName().startswith("part-"):
+                name = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName(at.getName()[5:])
+                store.rename(part.getPath(), path(folder, f"{name}.txt"))
+    store.delete(path(staged), True)

@@ -175,7 +175,10 @@ def test_argument_names(spark):
 
 def test_visible_text(spark):
     html = '<html><head><title>t</title></head><body>x<div class="a markdown-body b"><p>Hi &amp; <b>you</b></p><script>no()</script></div></body></html>'
-    assert one(spark, texts.visible_text(F.col("h")), h=html) == "Hi & you"
+    assert one(spark, texts.visible_text(F.col("h")), h=html) == "x Hi & you"
+    assert one(spark, texts.contained_text()(F.col("h")), h=html) == "Hi & you"
+    assert texts.container_text('<div class="markdown-body">one <div>two</div> three</div> four') == "one two three"
+    assert texts.container_text("<div>plain</div>") is None and texts.container_text('<div class="markdown-body">open <b>end') == "open end"
     assert one(spark, texts.visible_text(F.col("h")), h="<p>a</p> b") == "a b"
 
 
