@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from bisect import bisect_left, bisect_right
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -21,38 +22,33 @@ def split_recursively(text: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OV
     ``overlap`` characters of the chunk before."""
     mark = next((s for s in separators if s == "" or s in text), "")
     finer = separators[separators.index(mark) + 1 :] if mark in separators else ()
-    # a separator stays before the part that follows it, so that chunks are verbatim pieces of the text
     if mark == "":
         step = max(1, size - overlap)
         return [x for x in (text[k : k + size].strip() for k in range(0, max(1, len(text) - overlap), step)) if x]
-    parts = [p for p in re.split(f"(?={re.escape(mark)})", text) if p]
-    out: list[str] = []
-    small: list[str] = []
-    for part in parts:
-        if len(part) <= size:
-            small.append(part)
-            continue
-        out += _merge(small, size, overlap)
-        small = []
-        out += split_recursively(part, size, overlap, finer) if finer else [part]
-    return out + _merge(small, size, overlap)
-
-
-def _merge(parts: list[str], size: int, overlap: int) -> list[str]:
+    # a separator stays before the part that follows it, so that chunks are verbatim pieces of the text
+    places = [0, *(m.start() for m in re.finditer(f"(?={re.escape(mark)})", text) if m.start()), len(text)]
     out: list[str] = []
-    held: list[str] = []
-    length = 0
-    for part in parts:
-        if held and length + len(part) > size:
-            out.append("".join(held).strip())
-            while held and (length > overlap or length + len(part) > size):
-                length -= len(held[0])
-                held = held[1:]
-        length += len(part)
-        held.append(part)
-    if held:
-        out.append("".join(held).strip())
-    return [x for x in out if x]
+    first = 0
+    for k, (a, b) in enumerate(zip(places, places[1:])):
+        if b - a > size:
+            out += _merged(text, places[first : k + 1], size, overlap)
+            out += split_recursively(text[a:b], size, overlap, finer) if finer else [text[a:b]]
+            first = k + 1
+    return out + _merged(text, places[first:], size, overlap)
+
+
+def _merged(text: str, places: list[int], size: int, overlap: int) -> list[str]:
+    """Chunks of neighbouring parts, given by where they begin and the last one ends; no part is longer than ``size``."""
+    out, first, last = [], 0, len(places) - 1
+    while first < last:
+        end = max(first + 1, bisect_right(places, places[first] + size) - 1)
+        if chunk := text[places[first] : places[end]].strip():
+            out.append(chunk)
+        if end == last:
+            break
+        # what stays is short enough to repeat, and to take the next part
+        first = min(end, bisect_left(places, max(places[end] - overlap, places[end + 1] - size), first))
+    return out
 
 
 def chunks(size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP):

@@ -11,7 +11,9 @@ _NODE = ("uid", "id", "type", "body")
 
 
 def _node(df: DataFrame, ident: Column, kind: str, **body: Column) -> DataFrame:
-    return df.select("uid", ident.alias("id"), F.lit(kind).alias("type"), F.to_json(F.struct(*(v.alias(k) for k, v in body.items()))).alias("body")).distinct()
+    """One node per job and id; its body becomes JSON once the id is unique."""
+    told = F.struct(*(v.alias(k) for k, v in body.items()))
+    return df.select("uid", ident.alias("id"), told.alias("b")).groupBy("uid", "id").agg(F.min("b").alias("b")).select("uid", "id", F.lit(kind).alias("type"), F.to_json("b").alias("body"))
 
 
 def steps_of(jobs: DataFrame) -> DataFrame:

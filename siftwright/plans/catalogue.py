@@ -484,9 +484,8 @@ def chunk_documents(spark, sf_dir):
 def semantic_text_search(spark, sf_dir):
     """VX2, UD5, VX13 from end to end with the hashing embedder: chunk, embed, best chunk per path, top-k, flag."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), "text")
-    embedded = texts.chunk_table(docs).withColumn("embedding", embedders.embedder()("chunk_text"))
-    wanted = embedders.hash_embed(["the and that with"])[0].tolist()
-    found = similarity.search(embedded, wanted, 5, 0.45, "path", "chunk_index")
+    scored = embedders.similar_chunks(docs, "the and that with").select("path", "chunk_index", "similarity").where("similarity IS NOT NULL")
+    found = similarity.flag_matches(similarity.top_k(similarity.best_per_group(scored, "path", "chunk_index"), 5, "chunk_index"), 0.45)
     return found.select("path", "chunk_index", F.round("similarity", 6).alias("similarity"), "rank", "is_match")
 
 

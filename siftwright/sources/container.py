@@ -1,6 +1,7 @@
 """Evidence containers: a metadata prefix followed by a ZIP archive, as a table of entries.
 
 Containers are read by Spark's file source, one row each, so any store that Spark reads works; every entry becomes a row.
+A container must fit into a binary value (2 GB) and into a task; its entries leave the task in batches of bounded size.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from siftwright.sources import files
 
 SIGNATURE = b"PK\x03\x04"
 PREFIX_BYTES = 16384
+BATCH_BYTES = 16 << 20
 SCHEMA = "container string, path string, is_dir boolean, size bigint, content binary"
 
 
@@ -38,14 +40,26 @@ def entries(name: str, data: bytes) -> Iterator[tuple]:
         yield name, folder, True, 0, None
 
 
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], names=["container", "path", "is_dir", "size", "content"])
+
+
 def read(spark: SparkSession, folder: str, suffix: str = ".ufdr") -> DataFrame:
     """Entries of all containers of a folder, read by Spark's own file source: container, path, is_dir, size, content."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, data in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
-                rows = list(entries(name, data))
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.binary()))], names=["container", "path", "is_dir", "size", "content"])
+                held, size = [], 0
+                for row in entries(name, data):
+                    held.append(row)
+                    size += len(row[4] or b"")
+                    if size >= BATCH_BYTES:
+                        yield _batch(held)
+                        held, size = [], 0
+                if held:
+                    yield _batch(held)
 
     return files.listing(spark, folder, (suffix,), content=True).select("path", "content").mapInArrow(run, SCHEMA)
 
