@@ -32,7 +32,7 @@ from siftwright.session import materialise
 GEAR = 16
 REACH = 20
 MOST = 512
-LEAST_RUN = 80
+LEAST_RUN = 160
 BITMAP_BITS = 28
 SALTS = 32
 FREQUENT = 2_000
