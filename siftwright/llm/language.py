@@ -27,11 +27,11 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwright.llm import flat, labelled
-from siftwright.session import Held
+from siftwright.session import materialise
 
 ORDER = 4
 PRUNE = 1e-7
@@ -43,8 +43,10 @@ SHARPNESS = (1.0, 2.0, 3.0, 5.0, 8.0, 12.0, 18.0, 27.0, 40.0)
 USUAL_SHARPNESS = 12.0
 UNKNOWN = "und"
 #: Codes up to which a table of all codes is used instead of sorting, and n-grams whose probabilities a task remembers.
-TABLE = 1 << 22
+TABLE = 1 << 21
 REMEMBERED = 1 << 18
+#: Most tasks that work on tables of n-grams.
+TASKS = 16
 _BITS = 15
 _U = np.uint64
 
@@ -183,38 +185,39 @@ def _count(names: list[str]):
     return run
 
 
-def _weights(grams: DataFrame) -> dict[int, DataFrame]:
-    """language, gram, weight of every order: counts of the highest order, and how many different letters stand before
-    the n-grams of the lower ones."""
-    out = {ORDER: grams}
-    for n in range(ORDER - 1, 0, -1):
-        out[n] = out[n + 1].groupBy("language", F.substring("gram", 2, n).alias("gram")).agg(F.count("*").alias("weight"))
-    return out
+def _stored(df: DataFrame) -> DataFrame:
+    """A table of n-grams in the shared folder. It has as many rows as languages have different n-grams, so few tasks do."""
+    return materialise(df.coalesce(TASKS))
 
 
 def probabilities(grams: DataFrame, prune: float = PRUNE) -> tuple[DataFrame, int]:
     """Kneser-Ney entries of (language, gram, weight) counts of 4-grams, and the size of the alphabet (with one letter for
     all unseen ones): language, kind (``gram`` or ``context``), text, value (log probability or log back-off weight)."""
-    weights = _weights(grams)
+    weights = {ORDER: grams}  # counts of the highest order; of the lower ones, how many different letters stand before
+    for n in range(1, ORDER):
+        longer = grams.select("language", F.substring("gram", ORDER - n, n + 1).alias("longer")).distinct()
+        weights[n] = longer.groupBy("language", F.substring("longer", 2, n).alias("gram")).agg(F.count("*").alias("weight"))
     alphabet = weights[1].select("gram").distinct().count() + 1
     parts, lower = [], None
     for n in range(1, ORDER + 1):
-        d, w = F.col("discount"), F.col("weight")
+        d, w, context = F.col("discount"), F.col("weight"), Window.partitionBy("language", "context")
         once, twice = F.count_if(w == 1), F.count_if(w == 2)
         share = F.least(F.lit(0.95), F.greatest(F.lit(0.1), once / F.greatest(once + 2 * twice, F.lit(1))))
         per = weights[n].groupBy("language").agg(share.alias("discount"), F.sum("weight").alias("total"))
         kept = F.lit(True) if n == 1 else w >= prune * F.col("total")
-        rows = weights[n].join(F.broadcast(per), "language").withColumns({"context": F.substring("gram", 1, n - 1), "kept": kept})
-        mass = rows.groupBy("language", "context").agg(F.sum("weight").alias("mass"), F.sum(F.when(F.col("kept"), F.least(d, w)).otherwise(w)).alias("freed"), F.max("kept").alias("known"))
-        chance = F.when(F.col("kept"), F.greatest(w - d, F.lit(0.0)) / F.col("mass")).otherwise(0.0)
-        rows = rows.join(mass, ["language", "context"]).withColumn("suffix", F.substring("gram", 2, n - 1))
+        rows = weights[n].join(F.broadcast(per), "language").select("language", "gram", "weight", d, kept.alias("kept"), F.substring("gram", 1, n - 1).alias("context"), F.substring("gram", 2, n - 1).alias("suffix"))
+        # a context has at most as many rows as there are letters
+        freed = F.sum(F.when(F.col("kept"), F.least(d, w)).otherwise(w)).over(context)
+        rows = rows.select("language", "gram", "kept", "context", "suffix", "weight", d, F.sum("weight").over(context).alias("mass"), freed.alias("freed"))
         below: Column = F.lit(1.0 / alphabet)
         if lower is not None:
             rows, below = rows.join(lower, ["language", "suffix"]), F.col("below")
-        rows = rows.select("language", "gram", "kept", (chance + F.col("freed") / F.col("mass") * below).alias("chance"))
+        backoff = F.col("freed") / F.col("mass")
+        chance = F.when(F.col("kept"), F.greatest(w - d, F.lit(0.0)) / F.col("mass")).otherwise(0.0) + backoff * below
+        rows = _stored(rows.select("language", "gram", "kept", "context", chance.alias("chance"), backoff.alias("backoff")))
         lower = rows.select("language", F.col("gram").alias("suffix"), F.col("chance").alias("below"))
         parts.append(rows.where("kept").select("language", F.lit("gram").alias("kind"), F.col("gram").alias("text"), F.log("chance").alias("value")))
-        parts.append(mass.where("known").select("language", F.lit("context").alias("kind"), F.col("context").alias("text"), F.log(F.col("freed") / F.col("mass")).alias("value")))
+        parts.append(rows.where("kept").groupBy("language", "context").agg(F.log(F.max("backoff")).alias("value")).select("language", F.lit("context").alias("kind"), F.col("context").alias("text"), "value"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -342,11 +345,10 @@ def train(docs: DataFrame) -> Model:
     if not names:
         return Model([])
     counts = flat.map_batches(rows, _count(names), "group int, gram string, count bigint")
-    with Held() as hold:
-        summed = hold(counts.groupBy("group", "gram").agg(F.sum("count").alias("count")))
-        if summed.isEmpty():
-            return Model([])
-        model, other = estimated(_both(summed, len(names)), names, calibrating=True)
+    grams = _stored(_both(counts.groupBy("group", "gram").agg(F.sum("count").alias("count")), len(names)))
+    if grams.isEmpty():
+        return Model([])
+    model, other = estimated(grams, names, calibrating=True)
     return calibrated(rows.where("apart").select("text", "lang"), model, other)
 
 
