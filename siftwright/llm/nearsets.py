@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftwright.llm import flat
-from siftwright.session import Held, materialise
+from siftwright.session import materialise
 
 TREES = 5
 BRANCHES = 2
@@ -53,6 +53,8 @@ BLOCK_SHINGLES = 1 << 22
 SLICE_COLUMNS = 4096
 #: Rows of small tables (pairs, links, labels) that one task handles, so that few rows don't make many files.
 TASK_ROWS = 50_000
+#: Texts that one task makes sets of, so that small partitions of the input are taken together.
+TASK_TEXTS = 4096
 _U = np.uint64
 _SPACE = np.ones(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = False
@@ -184,11 +186,11 @@ def _sized(small: str, large: str):
     return 100 * F.least(small, large) >= SIMILAR * F.greatest(small, large)
 
 
-def _active(classes: DataFrame, hold: Held) -> DataFrame:
+def _active(classes: DataFrame, rows: int) -> DataFrame:
     """First-level rows of nodes with several classes, and the two pivots of the node (by a hash order)."""
     nodes, rank = _first_nodes(classes), F.xxhash64("cid")
     stats = nodes.groupBy("node").agg(F.count("*").alias("rows"), F.min_by("cid", rank).alias("p1"), F.min_by("n", rank).alias("n1"), F.max_by("cid", rank).alias("p2"), F.max_by("n", rank).alias("n2"))
-    return hold(nodes.join(stats.where("rows > 1").drop("rows"), "node"))
+    return _stored(nodes.join(stats.where("rows > 1").drop("rows"), "node"), rows)
 
 
 def _star(active: DataFrame) -> DataFrame:
@@ -222,9 +224,9 @@ def _tasks(rows: int) -> int:
     return max(1, -(-rows // TASK_ROWS))
 
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, hold: Held) -> DataFrame:
+def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, rows: int) -> DataFrame:
     """Pairs whose full shingle sets have the similarity sought."""
-    pairs = hold(pairs)
+    pairs = _stored(pairs, rows)
     many = pairs.count()
     pairs = pairs.coalesce(_tasks(many))
     sets = _sets(docs, classes, pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), 2 * many, width)
@@ -291,12 +293,12 @@ def _in_runs(key: str, function):
     return run
 
 
-def _promising(rows: DataFrame, classes: DataFrame, hold: Held) -> DataFrame:
-    """Of rows (node, cid, comp) those with a class of another component in their node whose signature allows the
+def _promising(nodes: DataFrame, classes: DataFrame, rows: int) -> DataFrame:
+    """Of ``nodes`` (node, cid, comp) the rows with a class of another component in their node whose signature allows the
     similarity sought; nodes left with the same classes count once."""
-    full = rows.join(classes.select("cid", "n", "bytes"), "cid").select("node", "cid", "comp", "n", "bytes")
+    full = nodes.join(classes.select("cid", "n", "bytes"), "cid").select("node", "cid", "comp", "n", "bytes")
     dealt = full.repartition("node").sortWithinPartitions("node")
-    found = hold(flat.map_batches(dealt, _in_runs("node", _estimates), "node bigint, cid bigint, comp bigint, n bigint"))
+    found = _stored(flat.map_batches(dealt, _in_runs("node", _estimates), "node bigint, cid bigint, comp bigint, n bigint"), rows)
     print_ = F.sum(F.xxhash64("cid").cast("decimal(20,0)")).alias("print")
     once = found.groupBy("node").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles"), print_).groupBy("rows", "shingles", "print").agg(F.min("node").alias("node"))
     return found.drop("n").join(once.select("node", "rows", "shingles"), "node")
@@ -348,23 +350,23 @@ def _estimates(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(node[keep]), pa.array(np.asarray(rows["cid"])[keep]), pa.array(comp[keep]), pa.array(size[keep])], names=["node", "cid", "comp", "n"])
 
 
-def _near(active: DataFrame, classes: DataFrame, labels: DataFrame, hold: Held) -> DataFrame:
+def _near(active: DataFrame, classes: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
     """Rows (node, cid, comp, rows, shingles) of classes that may be linked to another component of their node."""
     nodes = active.select("node", "cid").join(labels, "cid").select("node", "cid", "comp")
     light = before = None
     for level in range(DEPTH + 1):
-        live = hold(nodes.join(_spread(nodes), "node"))
+        live = _stored(nodes.join(_spread(nodes), "node"), rows)
         part = _dealt(live.where(F.col("pairs") <= NODE_PAIRS))
         light = part if light is None else light.unionByName(part)
         large = live.where(F.col("pairs") > NODE_PAIRS)
         many = large.count()
         if not many:
-            return _promising(light, classes, hold)
+            return _promising(light, classes, rows)
         if level == DEPTH or before is not None and many >= before:
             break  # deep enough, or a dense group that branches don't take apart
         nodes, before = _deeper(large, classes), many
     blocks = F.ceil(F.col("rows") / (NODE_ROWS // 2)).cast("bigint")
-    return _promising(light.unionByName(_block_pairs(large, "node", blocks).select(F.col("block").alias("node"), "cid", "comp")), classes, hold)
+    return _promising(light.unionByName(_block_pairs(large, "node", blocks).select(F.col("block").alias("node"), "cid", "comp")), classes, rows)
 
 
 def _dealt(live: DataFrame) -> DataFrame:
@@ -385,10 +387,10 @@ def _block_pairs(rows: DataFrame, group: str, blocks: Column) -> DataFrame:
     return dealt.withColumn("block", F.xxhash64(group, F.least("own", "other"), F.greatest("own", "other"))).drop("blocks", "own", "other")
 
 
-def _links_between(near: DataFrame, classes: DataFrame, docs: DataFrame, width: int, hold: Held) -> DataFrame:
+def _links_between(near: DataFrame, classes: DataFrame, docs: DataFrame, width: int, rows: int) -> DataFrame:
     """Confirmed links between the components of nodes: their classes are compared on full sets, in blocks; of the links
     found in a block a spanning forest is told."""
-    near = hold(near)
+    near = _stored(near, rows)
     many = near.count()
     near = near.coalesce(_tasks(many))
     sets = _sets(docs, classes, near.select("cid").distinct(), many, width)
@@ -435,12 +437,12 @@ def shared_counts(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return common.round().astype(np.int64), sizes
 
 
-def components(links: DataFrame) -> DataFrame:
-    """Connected components of links (a, b): one row (u, v) per linked id other than its component's smallest, v."""
-    with Held() as hold:
-        links = hold(links)
-        few = _tasks(links.count())
-        edges = materialise(links.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct().coalesce(few))
+def components(links: DataFrame, rows: int | None = None) -> DataFrame:
+    """Connected components of links (a, b): one row (u, v) per linked id other than its component's smallest, v. ``rows``
+    tells about how many links there are."""
+    links = materialise(links if rows is None else links.coalesce(_tasks(rows)))
+    few = _tasks(links.count())
+    edges = materialise(links.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct().coalesce(few))
     state = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).coalesce(few)
@@ -456,33 +458,35 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _resolved(docs: DataFrame, width: int) -> DataFrame:
-    """Per row: doc_id, t1, t2, n, and component_id (null for rows that are linked with nothing)."""
+    """Per row: doc_id, t1, t2, n, and comp (the component) and component_id (its smallest doc_id), null for rows that are
+    linked with nothing. Components may share a component_id where documents share a doc_id."""
     texts = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), "text")
-    described = materialise(_described(texts, width).withColumn("rid", F.monotonically_increasing_id()))
+    rows = texts.count()
+    described = materialise(_described(texts.coalesce(max(1, -(-rows // TASK_TEXTS))), width).withColumn("rid", F.monotonically_increasing_id()))
     filled = described.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     # a class goes by a row number, as documents with different texts may share a doc_id
     keys = [F.min("rid").alias("cid"), F.min("doc_id").alias("doc_id")]
-    with Held() as hold:
-        groups = filled.groupBy("c1", "c2").agg(*keys, F.min("n").alias("n"), F.max("sign").alias("sign"))
-        classes = hold(flat.map_batches(groups, _summaries, "cid bigint, doc_id bigint, c1 bigint, c2 bigint, n bigint, sign binary, bytes binary, nodes binary"))
-        active = _active(classes, hold)
-        joined = components(_confirmed(_estimated(_star(active), classes), classes, texts, width, hold))
-        labels = hold(_labels(classes, joined))
-        between = _links_between(_near(active, classes, labels, hold), classes, texts, width, hold)
-        joined = components(joined.select(F.col("u").alias("a"), F.col("v").alias("b")).unionByName(between))
-        members = joined.unionByName(joined.select(F.col("v").alias("u"), "v").distinct()).withColumnsRenamed({"u": "cid", "v": "comp"})
-        linked = members.join(classes.select("cid", "doc_id"), "cid")
-        lowest = hold(linked.join(linked.groupBy("comp").agg(F.min("doc_id").alias("lowest")), "comp").select("cid", "lowest"))
-        lowest = _stored(lowest)
-    own = filled.groupBy("c1", "c2").agg(*keys).join(lowest, "cid", "left").select("c1", "c2", F.coalesce("lowest", "doc_id").alias("component_id"))
+    groups = filled.groupBy("c1", "c2").agg(*keys, F.min("n").alias("n"), F.max("sign").alias("sign"))
+    classes = _stored(flat.map_batches(groups, _summaries, "cid bigint, doc_id bigint, c1 bigint, c2 bigint, n bigint, sign binary, bytes binary, nodes binary"), 4 * rows)  # wide rows
+    spots = rows * TREES * BRANCHES
+    active = _active(classes, spots)
+    joined = components(_confirmed(_estimated(_star(active), classes), classes, texts, width, spots), rows)
+    labels = _stored(_labels(classes, joined), rows)
+    between = _links_between(_near(active, classes, labels, spots), classes, texts, width, spots)
+    joined = components(joined.select(F.col("u").alias("a"), F.col("v").alias("b")).unionByName(between), rows)
+    members = joined.unionByName(joined.select(F.col("v").alias("u"), "v").distinct()).withColumnsRenamed({"u": "cid", "v": "comp"})
+    linked = members.join(classes.select("cid", "doc_id"), "cid")
+    lowest = linked.join(linked.groupBy("comp").agg(F.min("doc_id").alias("lowest")), "comp").select("cid", "comp", "lowest")
+    lowest = _stored(lowest, rows)
+    own = filled.groupBy("c1", "c2").agg(*keys).join(lowest, "cid", "left").select("c1", "c2", F.coalesce("comp", "cid").alias("comp"), F.coalesce("lowest", "doc_id").alias("component_id"))
     inside = (F.col("n") > 0) & F.col("doc_id").isNotNull()
-    rows = described.select(*_ROW_KEY, "n", "c1", "c2").join(own, ["c1", "c2"], "left")
-    return rows.select(*_ROW_KEY, "n", F.when(inside, F.col("component_id")).alias("component_id"))
+    whole = described.select(*_ROW_KEY, "n", "c1", "c2").join(own, ["c1", "c2"], "left")
+    return whole.select(*_ROW_KEY, "n", *(F.when(inside, F.col(c)).alias(c) for c in ("comp", "component_id")))
 
 
-def _stored(held: DataFrame) -> DataFrame:
-    """A held table in the shared folder, in few files where it has few rows."""
-    return materialise(held.coalesce(_tasks(held.count())))
+def _stored(df: DataFrame, rows: int) -> DataFrame:
+    """A table of at most about ``rows`` rows in the shared folder, in few files where that isn't many."""
+    return materialise(df.coalesce(_tasks(rows)))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
@@ -502,12 +506,12 @@ def keep_one(docs: DataFrame, width: int = 5) -> DataFrame:
     Rows that share an id but are no near duplicates all stay, as do rows without an id or words."""
     own = [flat.free_name(docs, x) for x in ("_id", "_t1", "_t2")]
     key, renamed = F.struct(*_ROW_KEY), dict(zip(_ROW_KEY, own))
-    with Held() as hold:
-        rows = hold(_resolved(docs, width).where("component_id IS NOT NULL"))
-        first = rows.groupBy("component_id").agg(F.min(key).alias("first"), F.count("*").alias("rows")).where("rows > 1")
-        dropped = rows.join(first.drop("rows"), "component_id").where(key != F.col("first")).select(*_ROW_KEY).distinct()
-        repeated = rows.groupBy(*_ROW_KEY).agg(F.count("*").alias("rows")).where("rows > 1").select(*_ROW_KEY)
-        gone, again = (_stored(hold(x.withColumnsRenamed(renamed))) for x in (dropped, repeated))
+    many = docs.count()
+    rows = _stored(_resolved(docs, width).where("component_id IS NOT NULL"), many)
+    first = rows.groupBy("comp").agg(F.min(key).alias("first"), F.count("*").alias("rows")).where("rows > 1")
+    dropped = rows.join(first.drop("rows"), "comp").where(key != F.col("first")).select(*_ROW_KEY).distinct()
+    repeated = rows.groupBy(*_ROW_KEY).agg(F.count("*").alias("rows")).where("rows > 1").select(*_ROW_KEY)
+    gone, again = (_stored(x.withColumnsRenamed(renamed), many) for x in (dropped, repeated))
     keyed = docs.withColumns(dict(zip(own, (F.col("doc_id").cast("bigint"), F.xxhash64("text"), F.xxhash64(F.lit(1), "text")))))
     left = keyed.join(_small(gone), own, "left_anti")
     if again.isEmpty():

