@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwright.llm import flat
-from siftwright.session import Held, materialise
+from siftwright.session import materialise
 
 LEAST_SITES = 5
 MARGIN = 0.25
@@ -30,6 +30,8 @@ SKETCH_BITS = 10
 #: Boilerplate lines up to this many are sent to every task (16 bytes each); more are joined by hash.
 SEND_AT_MOST = 200_000
 SALTS = 32
+#: Files of the tables of widespread lines, which are few among all lines.
+FILES = 16
 
 
 def _row_key() -> list[Column]:
@@ -43,15 +45,15 @@ def _lines(docs: DataFrame) -> DataFrame:
     return split.where(F.col("line").rlike(r"\S")).select("row", "row2", "place", "site", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
 
 
-def boilerplate(docs: DataFrame, hold: Held, least_sites: int = LEAST_SITES) -> DataFrame:
+def boilerplate(docs: DataFrame, least_sites: int = LEAST_SITES) -> DataFrame:
     """Hashes of lines on at least ``least_sites`` sites: h1, h2, sites."""
     lines = _lines(docs).select("row", "h1", "h2", "site")
     spread = lines.groupBy("h1", "h2").agg(F.hll_sketch_agg("site", SKETCH_BITS).alias("sketch")).select("h1", "h2", F.hll_sketch_estimate("sketch").alias("estimate"))
-    spread = hold(spread.where(F.col("estimate") >= least_sites * (1 - MARGIN)))
+    spread = materialise(spread.where(F.col("estimate") >= least_sites * (1 - MARGIN)).repartition(FILES))
     sure = spread.where(F.col("estimate") > least_sites * (1 + MARGIN)).select("h1", "h2", F.col("estimate").alias("sites"))
     near = spread.where(F.col("estimate") <= least_sites * (1 + MARGIN)).select("h1", "h2")
     exact = _matching(lines, near).groupBy("h1", "h2", "site").agg(F.lit(1).alias("one")).groupBy("h1", "h2").agg(F.count("*").alias("sites"))
-    return hold(sure.unionByName(exact.where(F.col("sites") >= least_sites)))
+    return materialise(sure.unionByName(exact.where(F.col("sites") >= least_sites)).repartition(FILES))
 
 
 def _matching(lines: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -65,11 +67,9 @@ def _matching(lines: DataFrame, chosen: DataFrame) -> DataFrame:
 
 def remove_boilerplate(docs: DataFrame, least_sites: int = LEAST_SITES, into: str = "n_lines_removed") -> DataFrame:
     """``docs`` with boilerplate lines taken out of ``text``, and their number in a column ``into``."""
-    with Held() as hold:
-        chosen = boilerplate(docs, hold, least_sites).select("h1", "h2")
-        if chosen.count() <= SEND_AT_MOST:
-            return _cleaned(docs, into, _by_hash(docs.sparkSession, chosen))
-        chosen = materialise(chosen)
+    chosen = boilerplate(docs, least_sites).select("h1", "h2")
+    if chosen.count() <= SEND_AT_MOST:
+        return _cleaned(docs, into, _by_hash(docs.sparkSession, chosen))
     drops = _matching(_lines(docs).select("row", "row2", "place", "h1", "h2"), chosen).groupBy("row", "row2").agg(F.collect_set("place").alias("_places"))
     one, two, gone = (flat.free_name(docs, x) for x in ("_row", "_row2", "_places"))
     keyed = docs.withColumns(dict(zip((one, two), _row_key())))
