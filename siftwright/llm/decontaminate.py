@@ -33,7 +33,7 @@ from siftwright.llm import flat
 WINDOW = 13
 BLOCK_CHARS = 4_000_000
 PASS_CHARS = 1_000_000_000
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20
 #: Shards that a task holds while it goes through several blocks.
 SHARDS = 16
 _WORD = np.zeros(256, bool)
