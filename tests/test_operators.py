@@ -7,6 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftwright.operators import cache, detections, evaluate, fusion, graph, grouping, lineage, nested, similarity, state
+from siftwright.plans import slots
+from siftwright.sources import files
 
 
 def scored(spark, rows):
@@ -299,3 +301,41 @@ def test_streamed_embedding(spark, tmp_path):
     rows = spark.read.parquet(str(tmp_path / "t")).collect()
     assert len(rows) == 2 and all(len(r.embedding) == 256 for r in rows)
     assert len(list(incremental.response_lines(spark.range(3)))) == 3
+
+
+def test_model_slot_checks_its_columns(spark):
+    rows = spark.createDataFrame([(1, "abc"), (2, "")], "id long, text string")
+    slot = slots.Slot("m", "n int", lambda batch: {"n": [len(x) for x in batch["text"]]}, ("text",))
+    assert sorted(map(tuple, slot.apply(rows).collect())) == [(1, "abc", 3), (2, "", 0)]
+    for bad in (rows.drop("text"), rows.withColumn("n", F.lit(1))):
+        with pytest.raises(ValueError):
+            slot.apply(bad)
+    with pytest.raises(Exception, match="gave"):
+        slots.Slot("m", "n int", lambda batch: {"n": []}, ("text",)).apply(rows).collect()
+
+
+def test_numbered_rows_over_many_partitions(spark):
+    rows = spark.range(1000).select(F.concat(F.lit("p"), (F.col("id") % 3).cast("string")).alias("g"), (1000 - F.col("id")).alias("v")).repartition(7)
+    got = files.numbered(rows, F.col("g"), F.col("v")).orderBy("ordinal").collect()
+    assert [r.ordinal for r in got] == list(range(1000)) and [(r.g, r.v) for r in got] == sorted((r.g, r.v) for r in got)
+    assert files.numbered(rows.where("false"), F.col("g")).count() == 0
+
+
+def test_payload_bounds():
+    deep = value = {}
+    for _ in range(20):
+        value["a"] = {}
+        value = value["a"]
+    text, depth = nested.cut_payload(deep), 0
+    while isinstance(text, dict):
+        text, depth = text["a"], depth + 1
+    assert text == "<max_depth>" and depth == 15
+    assert nested.cut_payload("x" * 16_001) == "x" * 16_000 + "...<trunc 16001 chars>"
+    assert nested.cut_payload({"k" * 300: [1, None, 2.5, True]}) == {"k" * 200: [1, None, 2.5, True]}
+
+
+def test_best_of_equal_similarities():
+    found = np.array([[0.5, 0.9, 0.5, 0.5, 0.1], [0.2, 0.2, 0.2, 0.2, 0.2]])
+    best = similarity._best(np.array([7, 8]), np.arange(5), found, 3, False)
+    assert sorted(zip(best["query"], best["target"])) == [(7, 0), (7, 1), (7, 2), (8, 0), (8, 1), (8, 2)]
+    assert sorted(similarity._best(np.array([1]), np.arange(5), found[:1].copy(), 9, True)["target"]) == [0, 2, 3, 4]
