@@ -33,6 +33,8 @@ BLOCK = 1 << 18
 CLEAR = 4.0
 FIT_ROWS = 20_000
 PENALTY = 1.0
+#: Share of the first gradient's (scaled, squared) length at which the fit ends.
+CLOSE = 1e-10
 _U = np.uint64
 
 
@@ -133,7 +135,7 @@ class Model:
 
 def fit(ratios: np.ndarray, sizes: np.ndarray, columns: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, float]:
     """Weights of n-grams with these log-count ratios and the intercept of a penalised logistic model: Newton steps, each
-    solved by conjugate gradients.
+    solved by conjugate gradients as far as the distance from the optimum is worth.
 
     ``columns`` has the n-grams of all rows, ``sizes`` how many each row has. The parameters are what each n-gram adds to
     the common slope, that slope, and the intercept.
@@ -144,19 +146,18 @@ def fit(ratios: np.ndarray, sizes: np.ndarray, columns: np.ndarray, label: np.nd
     ridge = np.full(n + 2, PENALTY)
     ridge[n + 1] = 1e-6
 
-    def owners(low: int, high: int) -> np.ndarray:
-        return np.repeat(np.arange(high - low), sizes[low:high])
-
     def times(w: np.ndarray) -> np.ndarray:
         each, out = ratios * (w[:n] + w[n]), np.full(len(label), w[n + 1])
         for low, high in blocks:
-            out[low:high] += np.bincount(owners(low, high), each[columns[ends[low] : ends[high]]], high - low)
+            full = low + np.flatnonzero(sizes[low:high])
+            if len(full):
+                out[full] += np.add.reduceat(each[columns[ends[low] : ends[high]]], ends[full] - ends[low])
         return out
 
     def gathered(r: np.ndarray) -> np.ndarray:
         out = np.zeros(n)
         for low, high in blocks:
-            out += np.bincount(columns[ends[low] : ends[high]], r[low:high][owners(low, high)], n)
+            out += np.bincount(columns[ends[low] : ends[high]], np.repeat(r[low:high], sizes[low:high]), n)
         return out
 
     def back(r: np.ndarray) -> np.ndarray:
@@ -167,7 +168,7 @@ def fit(ratios: np.ndarray, sizes: np.ndarray, columns: np.ndarray, label: np.nd
         return float((np.logaddexp(0, z) - label * z).sum() + (ridge * w * w).sum() / 2)
 
     common = times(np.concatenate([np.zeros(n), [1.0, 0.0]]))
-    w, z = np.zeros(n + 2), np.zeros(len(label))
+    w, z, start = np.zeros(n + 2), np.zeros(len(label)), 0.0
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         curve = p * (1 - p) + 1e-9
@@ -176,8 +177,12 @@ def fit(ratios: np.ndarray, sizes: np.ndarray, columns: np.ndarray, label: np.nd
         step, left = np.zeros(n + 2), gradient.copy()
         toward = scale * left
         size = first = left @ toward
+        start = start or first
+        if first <= CLOSE * start:
+            break
+        enough = first * min(0.01, max(1e-4, first / start))
         for _ in range(200):
-            if size <= 1e-8 * first or not size:
+            if size <= enough:
                 break
             curved = back(curve * times(toward)) + ridge * toward
             far = size / (toward @ curved)
@@ -189,8 +194,6 @@ def fit(ratios: np.ndarray, sizes: np.ndarray, columns: np.ndarray, label: np.nd
         while share > 1e-6 and loss(z + share * moved, w + share * step) > now:
             share /= 2
         w, z = w + share * step, z + share * moved
-        if np.abs(step).max() < 1e-6:
-            break
     return (w[:n] + w[n]) * ratios, float(w[n + 1])
 
 
