@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwright.llm import bpe, decontaminate, labelled, language, lines, nearsets, pii, pipeline, quality, substring, toxicity, transport
+from siftwright.llm import bpe, centroids, codebooks, decontaminate, labelled, language, lines, nearsets, pii, pipeline, quality, substring, toxicity, transport
 from siftwright.session import table
 
 
@@ -69,6 +69,16 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearsets.near_duplicates(documents(spark, sf_dir), width=2)
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's cluster after Lloyd rounds over all of them."""
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op13_codebooks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector as a code of four codebook entries."""
+    return codebooks.describe(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_language": op1_language,
     "op2_line_dedup": op2_line_dedup,
@@ -80,9 +90,13 @@ QUERIES = {
     "op8_transport_stream": op8_transport_stream,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_near_duplicates": op10_near_duplicates,
+    "op11_centroids": op11_centroids,
+    "op13_codebooks": op13_codebooks,
     "pipeline": pipeline.run,
 }
 ORACLES: dict[str, str] = {
     "op2_line_dedup": lines.ORACLE,
     "op3_decontaminate": decontaminate.ORACLE,
+    "op11_centroids": centroids.ORACLE,
+    "op13_codebooks": codebooks.ORACLE,
 }
