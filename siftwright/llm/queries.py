@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwright.llm import bpe, centroids, codebooks, decontaminate, labelled, language, lines, nearsets, pii, pipeline, quality, substring, toxicity, transport
+from siftwright.llm import bpe, centroids, codebooks, decontaminate, extract, labelled, language, lines, nearsets, pii, pipeline, quality, substring, toxicity, transport
 from siftwright.session import table
 
 
@@ -74,6 +74,11 @@ def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(table(spark, sf_dir, "embeddings"))
 
 
+def op12_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return extract.main_texts(table(spark, sf_dir, "pages"))
+
+
 def op13_codebooks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector as a code of four codebook entries."""
     return codebooks.describe(table(spark, sf_dir, "embeddings"))
@@ -91,6 +96,7 @@ QUERIES = {
     "op9_sentencepiece": op9_sentencepiece,
     "op10_near_duplicates": op10_near_duplicates,
     "op11_centroids": op11_centroids,
+    "op12_main_text": op12_main_text,
     "op13_codebooks": op13_codebooks,
     "pipeline": pipeline.run,
 }
