@@ -1,7 +1,7 @@
 """Vector search: top-k, best chunk per path, batch nearest neighbours, hash search.
 
-Query sides are small by contract (a search has one query, a batch a stated list). They pass in blocks of bounded size,
-one scan of the gallery each. Every ranking names a tie-breaking column.
+A search has one query, a batch a stated list; a batch of counted, bounded size is sent to the tasks in one scan of the
+gallery, and a larger one is joined by blocks. Every ranking names a tie-breaking column.
 """
 
 from __future__ import annotations
@@ -14,9 +14,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwright.functions import vectors
+from siftwright.operators import neighbours
 
-#: Queries that one task may hold: rows times dimensions stay below this.
-BLOCK_VALUES = 4_000_000
+#: Queries up to so many numbers (rows times dimensions) are sent to every task.
+SENT_VALUES = 4_000_000
 #: Similarities that a task holds at a time.
 SCORES = 4_000_000
 
@@ -50,19 +51,6 @@ def search(candidates: DataFrame, query: list[float], k: int, least: float, grou
     return flag_matches(top_k(best_per_group(with_similarity(chosen, query), group, tie), k, tie), least)
 
 
-def query_blocks(queries: DataFrame, key: str, vector: str, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(keys, unit vectors) of the queries, in blocks of bounded size."""
-    keys, rows = [], []
-    for r in queries.select(key, vector).toLocalIterator():
-        keys.append(r[0])
-        rows.append(r[1])
-        if len(rows) * len(rows[0]) >= size:
-            yield np.array(keys), _unit(np.array(rows, float))
-            keys, rows = [], []
-    if rows:
-        yield np.array(keys), _unit(np.array(rows, float))
-
-
 def _unit(x: np.ndarray) -> np.ndarray:
     length = np.linalg.norm(x, axis=1, keepdims=True)
     return x / np.where(length == 0, 1, length)
@@ -86,35 +74,42 @@ def _best(queries: np.ndarray, ids: np.ndarray, found: np.ndarray, k: int, exclu
 def batch_neighbours(queries: DataFrame, gallery: DataFrame, k: int, key: str, target: str, vector: str = "embedding", least: float | None = None, exclude_self: bool = False) -> DataFrame:
     """For every query its k nearest gallery rows: query, target, similarity, rank (ties by target).
 
-    Queries pass in blocks of bounded size, each as a matrix product against Arrow batches of the whole gallery; a task
-    keeps k rows per query, and one shuffle of those takes the final k. Queries without a hit give no row.
+    Up to ``SENT_VALUES`` numbers of queries are sent to every task and compared with its gallery rows in one scan; more
+    queries are joined block by block (``neighbours.neighbour_join``). Queries without a hit give no row; see
+    ``neighbours.with_hitless``.
     """
-    name = gallery.schema[target].dataType.simpleString()
-    schema = f"query {queries.schema[key].dataType.simpleString()}, target {name}, similarity double"
-    out = None
-    for keys, block in query_blocks(queries, key, vector, BLOCK_VALUES):
-        shared = gallery.sparkSession.sparkContext.broadcast((keys, block))
-
-        def score(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            own, wanted = shared.value
-            for frame in frames:
-                if not len(frame):
-                    continue
-                ids = frame["target"].to_numpy()
-                order = np.argsort(ids, kind="stable")
-                ids, units = ids[order], _unit(np.stack(frame["vector"].to_numpy()[order]).astype(float))
-                step = max(1, SCORES // len(ids))
-                for low in range(0, len(own), step):
-                    yield _best(own[low : low + step], ids, (wanted[low : low + step] @ units.T).round(12), k, exclude_self)
-
-        part = gallery.select(F.col(target).alias("target"), F.col(vector).alias("vector")).where(F.col("vector").isNotNull()).mapInPandas(score, schema)
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return gallery.sparkSession.createDataFrame([], schema + ", rank bigint")
-    ranked = out.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "target")).cast("bigint")).where(F.col("rank") <= k)
+    size = queries.agg(F.count("*").alias("n"), F.max(F.size(vector)).alias("d")).first()
+    if size.n * max(size.d or 0, 1) <= SENT_VALUES:
+        ranked = _against_sent(queries, gallery, k, key, target, vector, exclude_self)
+    else:
+        ranked = neighbours.neighbour_join(queries, gallery, k, key, target, vector, exclude_self=exclude_self)
     return ranked if least is None else ranked.where(F.col("similarity") >= least)
 
 
+def _against_sent(queries: DataFrame, gallery: DataFrame, k: int, key: str, target: str, vector: str, exclude_self: bool) -> DataFrame:
+    """The nearest rows of few queries: a task keeps k rows a query, and one shuffle of those takes the final k."""
+    schema = f"query {queries.schema[key].dataType.simpleString()}, target {gallery.schema[target].dataType.simpleString()}, similarity double"
+    rows = queries.where(F.col(vector).isNotNull()).select(key, vector).collect()  # at most SENT_VALUES numbers
+    if not rows:
+        return gallery.sparkSession.createDataFrame([], schema + ", rank bigint")
+    shared = gallery.sparkSession.sparkContext.broadcast((np.array([r[0] for r in rows]), _unit(np.array([r[1] for r in rows], float))))
+
+    def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, wanted = shared.value
+        for frame in frames:
+            if not len(frame):
+                continue
+            ids = frame["target"].to_numpy()
+            order = np.argsort(ids, kind="stable")
+            ids, units = ids[order], _unit(np.stack(frame["vector"].to_numpy()[order]).astype(float))
+            step = max(1, SCORES // len(ids))
+            for low in range(0, len(own), step):
+                yield _best(own[low : low + step], ids, (wanted[low : low + step] @ units.T).round(12), k, exclude_self)
+
+    out = gallery.select(F.col(target).alias("target"), F.col(vector).alias("vector")).where(F.col("vector").isNotNull()).mapInPandas(score, schema)
+    return out.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "target")).cast("bigint")).where(F.col("rank") <= k)
+
+
 def matches_per_query(queries: DataFrame, hits: DataFrame, key: str, least: float) -> DataFrame:
     """Every query with its list of targets at or above a threshold, best first; queries without one get an empty list."""
     listed = hits.where(F.col("similarity") >= least).groupBy("query").agg(F.sort_array(F.collect_list(F.struct((-F.col("similarity")).alias("s"), "target"))).alias("l"))

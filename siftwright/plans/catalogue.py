@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwright.functions import embedders, predicates, scalars, texts, vectors
-from siftwright.operators import cache, detections, evaluate, fusion, graph, grouping, lineage, nested, similarity, state
+from siftwright.operators import cache, detections, evaluate, fusion, graph, grouping, lineage, neighbours, nested, similarity, state
 from siftwright.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,6 +74,31 @@ def batch_knn_join_threshold(spark, sf_dir):
     return found.select("query", "target", F.round("similarity", 6).alias("similarity"), "rank")
 
 
+@query("""
+WITH s AS (SELECT q.vec_id AS query, e.vec_id AS target, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 12) AS sim FROM embeddings e JOIN embeddings q ON e.vec_id <> q.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY sim DESC, target) AS rank FROM s)
+SELECT query, target, round(sim, 6) AS similarity, rank FROM r WHERE rank <= 5""")
+def neighbour_join_all(spark, sf_dir):
+    """JN5, VX11: every vector's nearest others, by the join of blocks."""
+    rows = table(spark, sf_dir, "embeddings")
+    found = neighbours.neighbour_join(rows, rows, 5, "vec_id", "vec_id", exclude_self=True)
+    return found.select("query", "target", F.round("similarity", 6).alias("similarity"), "rank")
+
+
+@query("""
+WITH s AS (SELECT q.vec_id AS query, e.vec_id AS target, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 12) AS sim FROM embeddings q LEFT JOIN embeddings e ON e.label = q.label + 1),
+r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY sim DESC, target) AS rank FROM s)
+SELECT query, target, round(coalesce(sim, 0), 6) AS similarity, round(1 - coalesce(sim, 0), 6) AS distance, CASE WHEN target IS NOT NULL THEN rank END AS rank FROM r WHERE rank <= 3""")
+def bulk_search(spark, sf_dir):
+    """JN5: bulk search of every vector in a collection (the label after its own); the last label's has no rows, so that its
+    queries have one row without a target at distance 1."""
+    rows = table(spark, sf_dir, "embeddings")
+    queries = rows.withColumn("collection", F.col("label") + 1)
+    hits = neighbours.neighbour_join(queries, rows.withColumnRenamed("label", "collection"), 3, "vec_id", "vec_id", within="collection")
+    found = neighbours.with_hitless(queries, hits, "vec_id")
+    return found.select("query", "target", F.round("similarity", 6).alias("similarity"), F.round("distance", 6).alias("distance"), "rank")
+
+
 @query("""
 WITH s AS (SELECT q.vec_id AS query, e.vec_id AS target, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 12) AS sim FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0 AND e.vec_id <> q.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY sim DESC, target) AS rank FROM s)

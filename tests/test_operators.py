@@ -37,7 +37,7 @@ def test_batch_neighbours_equal_numpy(spark, monkeypatch):
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     sims = (unit @ unit.T).round(12)
     for size in (4_000_000, 16):
-        monkeypatch.setattr(similarity, "BLOCK_VALUES", size)
+        monkeypatch.setattr(similarity, "SENT_VALUES", size)
         rows = similarity.batch_neighbours(df.where("vec_id < 7"), df.repartition(5), 4, "vec_id", "vec_id", exclude_self=True).collect()
         for q in range(7):
             order = [i for i in np.lexsort((np.arange(120), -sims[q])) if i != q][:4]
