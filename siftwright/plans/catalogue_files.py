@@ -1,7 +1,7 @@
 """Queries over files: scans, texts, listings, containers, sinks and streams.
 
-Each query writes the files that it reads into the session's shared folder: one per nation or region, told from the table,
-so that SQL over the tables knows what must come out. Nations are in files of five kinds, by their region.
+Each query's files are written to the session's shared folder by the tasks that read the table, one per page (and so they
+grow with it), so that SQL over the tables knows what must come out. Pages are in files of five kinds, by their id.
 """
 
 from __future__ import annotations
@@ -9,57 +9,70 @@ from __future__ import annotations
 import io
 import uuid
 import zipfile
+from collections.abc import Iterator
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwright.plans.catalogue import query
 from siftwright.session import shared_folder, table
-from siftwright.sources import container, files, sinks
+from siftwright.sources import container, files, filewriter, logends, sinks
 from siftwright.streaming import incremental
 
 _SUFFIXES = [".txt", ".MD", ".log", ".jpg", ".PNG"]
-_HEADS = {".jpg": b"\xff\xd8\xff\xe0", ".PNG": b"\x89PNG"}
-_SUFFIX_SQL = "CASE n_regionkey " + " ".join(f"WHEN {k} THEN '{x}'" for k, x in enumerate(_SUFFIXES)) + " END"
+_HEADS = {3: "ffd8ffe0", 4: "89504e47"}
+_SUFFIX_SQL = "CASE page_id % 5 " + " ".join(f"WHEN {k} THEN '{x}'" for k, x in enumerate(_SUFFIXES)) + " END"
 #: Rows of the files: name, and the text of those that are texts.
-_FILES = f"SELECT *, n_name || {_SUFFIX_SQL} AS name, n_name || chr(10) || 'in région ' || n_regionkey AS text FROM nation"
-
-
-def _put(spark: SparkSession, folder: str, contents: dict[str, bytes]) -> None:
-    """Write a few small files through Spark's own file systems."""
-    for name, data in contents.items():
-        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
-        out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path)
-        out.write(bytearray(data))
-        out.close()
+_FILES = f"SELECT page_id, page_id % 5 AS kind, 'page_' || page_id || {_SUFFIX_SQL} AS name, 'page_' || page_id AS stem, url || chr(10) || 'en région' || chr(10) || html AS text FROM pages"
 
 
 def _new_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/files_{uuid.uuid4().hex}"
 
 
-def _text(row) -> bytes:
-    return f"{row.n_name}\nin région {row.n_regionkey}".encode()
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, kind, name, stem and text of the files."""
+    kind = (F.col("page_id") % 5).cast("int")
+    stem = F.concat(F.lit("page_"), F.col("page_id").cast("string"))
+    suffix = F.element_at(F.array(*map(F.lit, _SUFFIXES)), kind + 1)
+    return table(spark, sf_dir, "pages").select("page_id", kind.alias("kind"), F.concat(stem, suffix).alias("name"), stem.alias("stem"), F.concat("url", F.lit("\nen région\n"), "html").alias("text"))
+
+
+def _content(rows: DataFrame) -> Column:
+    """What the file of a page holds: its text, after the first bytes of an image where it is one."""
+    head = reduce(lambda out, kv: out.when(F.col("kind") == kv[0], F.unhex(F.lit(kv[1]))), _HEADS.items(), F.when(F.lit(False), None)).otherwise(F.lit(b""))
+    return F.concat(head, F.col("text").cast("binary"))
+
+
+def _put(rows: DataFrame, folder: str, name: Column, content: Column) -> None:
+    filewriter.write_files(rows.select(F.concat(F.lit(folder + "/"), name).alias("output_path"), content.alias("content")), folder)
 
 
-def _nation_files(spark: SparkSession, sf_dir: str) -> str:
-    """A folder with a file per nation, and a sound file per nation one level below."""
-    folder, rows = _new_folder(spark), table(spark, sf_dir, "nation").collect()
-    suffix = lambda r: _SUFFIXES[r.n_regionkey]
-    _put(spark, folder, {f"{r.n_name}{suffix(r)}": _HEADS.get(suffix(r), b"") + _text(r) for r in rows} | {f"sub/{r.n_name}.wav": b"RIFF" for r in rows})
+def _page_files(spark: SparkSession, sf_dir: str, sounds: bool = False) -> str:
+    """A folder with a file per page and, on request, a sound file per page one level below."""
+    folder, pages = _new_folder(spark), _pages(spark, sf_dir)
+    _put(pages, folder, F.col("name"), _content(pages))
+    if sounds:
+        _put(pages, folder, F.concat(F.lit("sub/"), "stem", F.lit(".wav")), F.lit(b"RIFF"))
     return folder
 
 
+def _union(parts: dict[str, DataFrame], into: str) -> DataFrame:
+    return reduce(DataFrame.unionByName, (rows.withColumn(into, F.lit(name)) for name, rows in parts.items()))
+
+
 def _scan_sql() -> str:
-    kinds = {"text": "n_regionkey IN (0, 1, 2)", "any_case": "n_regionkey = 0", "image": "n_regionkey IN (3, 4)", "series": "n_regionkey IN (3, 4)", "face": "n_regionkey IN (3, 4)", "picture": "n_regionkey IN (3, 4)", "all": "true"}
-    flat = " UNION ALL ".join(f"SELECT '{k}' AS kind, name FROM f WHERE {where}" for k, where in kinds.items())
-    return f"WITH f AS ({_FILES}) {flat} UNION ALL SELECT 'audio', n_name || '.wav' FROM nation"
+    kinds = {"text": "kind <= 2", "any_case": "kind = 0", "image": "kind >= 3", "series": "kind >= 3", "face": "kind >= 3", "picture": "kind >= 3", "all": "true"}
+    flat = " UNION ALL ".join(f"SELECT '{k}' AS scan, name FROM f WHERE {where}" for k, where in kinds.items())
+    return f"WITH f AS ({_FILES}) {flat} UNION ALL SELECT 'audio', stem || '.wav' FROM f"
 
 
 @query(_scan_sql())
 def file_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SC1, SC4-SC8, SC11, SC12, SC23: files of a folder by kind, at the top level or below."""
-    folder = _nation_files(spark, sf_dir)
+    folder = _page_files(spark, sf_dir, sounds=True)
     scans = {
         "text": files.require_files(files.listing(spark, folder, files.TEXT), files.TEXT),
         "any_case": files.listing(spark, folder, (".txt", ".md"), case_sensitive=True),
@@ -72,79 +85,78 @@ def file_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
         "audio_top": files.listing(spark, folder, files.AUDIO),
         "nowhere": files.listing(spark, folder + "/missing"),
     }
-    out = None
-    for kind, scan in scans.items():
-        part = scan.select(F.lit(kind).alias("kind"), "name")
-        out = part if out is None else out.unionByName(part)
-    return out
+    return _union({kind: scan.select("name") for kind, scan in scans.items()}, "scan")
 
 
-@query(f"WITH f AS ({_FILES}) SELECT name, left(text, 15) AS text FROM f WHERE n_regionkey <= 2")
+@query(f"WITH f AS ({_FILES}) SELECT name, left(text, 2000) AS text FROM f WHERE kind <= 2")
 def file_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SC14-SC16: texts of files up to a number of characters."""
-    scan = files.listing(spark, _nation_files(spark, sf_dir), files.TEXT, content=True)
-    return files.texts(scan, 15).join(scan.select("path", "name"), "path").select("name", "text")
+    scan = files.listing(spark, _page_files(spark, sf_dir), files.TEXT, content=True)
+    return files.texts(scan, 2000).join(scan.select("path", "name"), "path").select("name", "text")
 
 
-@query(f"WITH f AS ({_FILES}) SELECT name, strlen(text)::BIGINT AS size, CASE n_regionkey WHEN 1 THEN 'text/markdown' ELSE 'text/plain' END AS mime, sha256(text) AS sha256 FROM f WHERE n_regionkey <= 2")
+@query(f"WITH f AS ({_FILES}) SELECT name, strlen(text)::BIGINT AS size, CASE kind WHEN 1 THEN 'text/markdown' ELSE 'text/plain' END AS mime, sha256(text) AS sha256 FROM f WHERE kind <= 2")
 def file_forensics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FN17, VX15: size, media type and content hash of files."""
-    scan = files.listing(spark, _nation_files(spark, sf_dir), files.TEXT, content=True)
+    scan = files.listing(spark, _page_files(spark, sf_dir), files.TEXT, content=True)
     return files.forensics(scan).select(F.regexp_extract("path", "[^/]*$", 0).alias("name"), "size", "mime", "sha256")
 
 
-@query(f"WITH f AS ({_FILES}) SELECT name FROM f WHERE n_regionkey >= 3")
+@query(f"WITH f AS ({_FILES}) SELECT name FROM f WHERE kind >= 3")
 def image_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SC10: files that begin like the image that their name promises, at any depth."""
-    scan = files.listing(spark, _nation_files(spark, sf_dir), recursive=True, content=True)
+    scan = files.listing(spark, _page_files(spark, sf_dir), recursive=True, content=True)
     return files.decoded_images(scan).select("name")
 
 
-@query(f"WITH f AS ({_FILES}) SELECT 'filter' AS kind, n_nationkey::BIGINT AS ordinal, name FROM f UNION ALL SELECT 'scan', row_number() OVER (ORDER BY name), name FROM f UNION ALL SELECT 'inside', n_nationkey, name FROM f WHERE n_regionkey = 3")
+@query(f"WITH f AS ({_FILES}) SELECT 'filter' AS part, 100000000 - page_id AS ordinal, name FROM f UNION ALL SELECT 'scan', row_number() OVER (ORDER BY name), name FROM f UNION ALL SELECT 'inside', 100000000 - page_id, name FROM f WHERE kind = 3")
 def corpus_of_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SC2, SC3, SC27: the corpus of a job: a filter's existing files in its order, else the scan; files inside a folder."""
-    folder = _nation_files(spark, sf_dir)
+    folder = _page_files(spark, sf_dir)
     scan = files.listing(spark, folder)
-    names = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("bigint").alias("ordinal"), F.concat(F.lit(folder + "/"), "n_name", F.element_at(F.array(*map(F.lit, _SUFFIXES)), F.col("n_regionkey") + 1)).alias("path"))
-    gone = table(spark, sf_dir, "region").select((F.col("r_regionkey") + 100).cast("bigint").alias("ordinal"), F.concat(F.lit(folder + "/"), "r_name").alias("path"))
-    chosen = names.unionByName(gone).withColumn("path", F.regexp_replace("path", "^file:/*", "/"))
-    found = files.corpus(scan, chosen)
+    pages = _pages(spark, sf_dir)
+    place = lambda name: F.regexp_replace(F.concat(F.lit(folder + "/"), name), "^file:/*", "/")
+    names = pages.select((F.lit(100_000_000) - F.col("page_id")).alias("ordinal"), place(F.col("name")).alias("path"))
+    gone = pages.select(F.col("page_id").alias("ordinal"), place(F.col("stem")).alias("path"))
+    found = files.corpus(scan, names.unionByName(gone))
     files.corpus_size(found)
     parts = {"filter": found, "scan": files.corpus(scan, None), "inside": files.inside(found, str(folder).replace("file://", ""), (".jpg",))}
-    out = None
-    for kind, rows in parts.items():
-        part = rows.select(F.lit(kind).alias("kind"), F.col("ordinal").cast("bigint").alias("ordinal"), F.regexp_extract("path", "[^/]*$", 0).alias("name"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    return _union({part: rows.select(F.col("ordinal").cast("bigint").alias("ordinal"), F.regexp_extract("path", "[^/]*$", 0).alias("name")) for part, rows in parts.items()}, "part")
 
 
-@query(f"WITH f AS ({_FILES}) SELECT 'all' AS kind, row_number() OVER (ORDER BY lower(name), name) AS ordinal, name FROM f WHERE n_regionkey >= 3 UNION ALL SELECT 'filter', n_nationkey, name FROM f WHERE n_regionkey >= 3")
+@query(f"WITH f AS ({_FILES}) SELECT 'all' AS part, row_number() OVER (ORDER BY lower(name), name) AS ordinal, name FROM f WHERE kind >= 3 UNION ALL SELECT 'filter', page_id, name FROM f WHERE kind >= 3")
 def images_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SC5, SC7: images by case-folded name, or in a filter's order with the first mention counting."""
-    folder = _nation_files(spark, sf_dir)
+    folder = _page_files(spark, sf_dir)
     scan = files.listing(spark, folder)
-    key = scan.join(table(spark, sf_dir, "nation"), F.regexp_replace("name", r"\.[^.]*$", "") == F.col("n_name"))
-    chosen = key.select(F.explode(F.array("n_nationkey", F.col("n_nationkey") + 1000)).alias("ordinal"), "path")
-    parts = [("all", files.ordered_images(scan, None)), ("filter", files.ordered_images(scan, chosen))]
-    shown = [rows.select(F.lit(kind).alias("kind"), F.col("ordinal").cast("bigint").alias("ordinal"), F.regexp_extract("path", "[^/]*$", 0).alias("name")) for kind, rows in parts]
-    return shown[0].unionByName(shown[1])
+    key = scan.join(_pages(spark, sf_dir).select("name", "page_id"), "name")
+    chosen = key.select(F.explode(F.array("page_id", F.col("page_id") + 100_000_000)).alias("ordinal"), "path")
+    parts = {"all": files.ordered_images(scan, None), "filter": files.ordered_images(scan, chosen)}
+    return _union({part: rows.select(F.col("ordinal").cast("bigint").alias("ordinal"), F.regexp_extract("path", "[^/]*$", 0).alias("name")) for part, rows in parts.items()}, "part")
 
 
-@query(f"WITH f AS ({_FILES}), e AS (SELECT r_name AS name, true AS is_dir FROM region UNION ALL SELECT name, false FROM f WHERE n_regionkey IN (0, 3)) SELECT name, is_dir, row_number() OVER (ORDER BY NOT is_dir, lower(name), name) AS ordinal FROM e")
+@query(f"WITH f AS ({_FILES}), e AS (SELECT 'dir_' || page_id AS name, true AS is_dir FROM f WHERE kind = 1 UNION ALL SELECT name, false FROM f WHERE kind IN (0, 3)) SELECT name, is_dir, row_number() OVER (ORDER BY NOT is_dir, lower(name), name) AS ordinal FROM e")
 def directory_browse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SC31: directories first, files by suffix."""
-    shown = files.listing(spark, _nation_files(spark, sf_dir)).select("name", F.lit(False).alias("is_dir"))
-    return files.browse(shown.unionByName(table(spark, sf_dir, "region").select(F.col("r_name").alias("name"), F.lit(True).alias("is_dir"))), (".txt", ".jpg"))
+    shown = files.listing(spark, _page_files(spark, sf_dir)).select("name", F.lit(False).alias("is_dir"))
+    folders = _pages(spark, sf_dir).where("kind = 1").select(F.concat(F.lit("dir_"), F.col("page_id").cast("string")).alias("name"), F.lit(True).alias("is_dir"))
+    return files.browse(shown.unionByName(folders), (".txt", ".jpg"))
+
 
+_LOG_SQL = "SELECT o_orderkey, o_orderkey || ' ' || o_orderstatus || ' ' || o_orderpriority || ' né' AS line FROM orders"
 
-@query("WITH n AS (SELECT n_name AS line, row_number() OVER (ORDER BY n_nationkey) AS n FROM nation) SELECT 'head' AS part, n, line FROM n WHERE n <= 10 UNION ALL SELECT 'tail', n, line FROM n WHERE n > 20")
+
+@query(f"""WITH l AS ({_LOG_SQL}), n AS (SELECT line, o_orderkey // 5000 AS log, row_number() OVER (PARTITION BY o_orderkey // 5000 ORDER BY o_orderkey) AS n, count(*) OVER (PARTITION BY o_orderkey // 5000) AS lines FROM l)
+SELECT 'head' AS part, log, n, line FROM n WHERE n <= 10 UNION ALL SELECT 'tail', log, n - greatest(lines - 1000, 0), line FROM n WHERE n > lines - 1000""")
 def head_and_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SC24, SC25: first and last lines of a file."""
-    folder, rows = _new_folder(spark), table(spark, sf_dir, "nation").orderBy("n_nationkey").collect()
-    _put(spark, folder, {"lines.log": "".join(r.n_name + "\n" for r in rows).encode()})
-    first = files.head(spark, f"{folder}/lines.log").select(F.lit("head").alias("part"), "n", "line")
-    last = files.tail(spark, f"{folder}/lines.log", 5).select(F.lit("tail").alias("part"), (F.col("at") + 1).alias("n"), "line")
-    return first.unionByName(last)
+    """SC24, SC25: first and last lines of every log of a folder; a log has up to 5,000 orders."""
+    folder = _new_folder(spark)
+    orders = table(spark, sf_dir, "orders")
+    line = F.concat_ws(" ", F.col("o_orderkey").cast("string"), "o_orderstatus", "o_orderpriority", F.lit("né"))
+    logs = orders.groupBy(F.floor(F.col("o_orderkey") / 5000).alias("log")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", line.alias("line")))), lambda x: x["line"]), "\n").alias("text"))
+    _put(logs, folder, F.concat(F.lit("log_"), F.col("log").cast("string"), F.lit(".log")), F.concat("text", F.lit("\n")).cast("binary"))
+    ends = {"head": logends.head(spark, folder, 10), "tail": logends.tail(spark, folder, 1000)}
+    return _union({part: rows.select(F.regexp_extract("path", r"log_(\d+)", 1).cast("bigint").alias("log"), "n", "line") for part, rows in ends.items()}, "part")
 
 
 @query("SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN 1 ELSE 0 END AS is_real FROM customer WHERE c_acctbal >= 0")
@@ -159,8 +171,7 @@ def labelled_images(spark: SparkSession, sf_dir: str) -> DataFrame:
 def labelled_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SC30: at most n files of every source, a sampling operator."""
     scan = table(spark, sf_dir, "customer").select("c_mktsegment", F.concat(F.lit("/x/"), "c_name").alias("path"), F.col("c_name").alias("name"))
-    segments = sorted(r[0] for r in scan.select("c_mktsegment").distinct().collect())
-    return files.labelled_sample({x: scan.where(F.col("c_mktsegment") == x) for x in segments}, 7).select("source", "new_name")
+    return files.labelled_sample(scan, "c_mktsegment", 7).select("source", "new_name")
 
 
 @query("WITH m AS (SELECT p_name || p_partkey || CASE WHEN p_size < 10 THEN '.webp' ELSE '.png' END AS filename, p_type, p_retailprice FROM part) SELECT filename, CASE WHEN p_retailprice >= 1000 THEN 'R_' ELSE 'F_' END || filename AS new_name FROM m WHERE p_type = 'ECONOMY' AND filename NOT LIKE '%.webp' ORDER BY filename LIMIT 100")
@@ -179,49 +190,60 @@ def prompt_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids"), F.bool_and(known).alias("known"), (F.countDistinct("colour", "size") == 6).alias("varied"))
 
 
+def _zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Containers from rows of (name, entries): a prefix and an archive; every other entry is packed."""
+    for batch in batches:
+        out = []
+        for row in batch.to_pylist():
+            held = io.BytesIO(b"<meta/>")
+            held.seek(0, io.SEEK_END)
+            with zipfile.ZipFile(held, "w") as archive:
+                for e in row["entries"]:
+                    archive.writestr(f"docs/{e['stem']}/text.txt", e["text"].encode(), zipfile.ZIP_DEFLATED if e["page_id"] % 2 else zipfile.ZIP_STORED)
+            out.append(held.getvalue())
+        yield pa.RecordBatch.from_arrays([batch.column("name"), pa.array(out, pa.binary())], names=["name", "content"])
+
+
 def _containers(spark: SparkSession, sf_dir: str) -> str:
-    """A container per region, with a file per nation."""
-    folder, nations = _new_folder(spark), table(spark, sf_dir, "nation").collect()
-    for r in table(spark, sf_dir, "region").collect():
-        out = io.BytesIO()
-        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
-            for n in nations:
-                if n.n_regionkey == r.r_regionkey:
-                    archive.writestr(f"docs/{n.n_name}/text.txt", _text(n))
-        _put(spark, folder, {f"{r.r_name}.ufdr": b"<meta/>" + out.getvalue()})
+    """A container per twenty pages, with a file per page."""
+    folder = _new_folder(spark)
+    name = F.concat(F.lit("case_"), F.floor(F.col("page_id") / 20).cast("string"))
+    grouped = _pages(spark, sf_dir).groupBy(name.alias("name")).agg(F.array_sort(F.collect_list(F.struct("page_id", "stem", "text"))).alias("entries"))  # twenty a group
+    made = grouped.mapInArrow(_zipped, "name string, content binary")
+    _put(made, folder, F.concat("name", F.lit(".ufdr")), F.col("content"))
     return folder
 
 
-_TREE = f"""t AS (SELECT r_name AS container, '/docs/' || n_name || '/text.txt' AS path, false AS is_dir, strlen(text)::BIGINT AS size, text FROM ({_FILES}) JOIN region ON r_regionkey = n_regionkey
-UNION ALL SELECT r_name, '/docs/' || n_name, true, 0, NULL FROM nation JOIN region ON r_regionkey = n_regionkey UNION ALL SELECT DISTINCT r_name, d, true, 0, NULL FROM nation JOIN region ON r_regionkey = n_regionkey, (VALUES ('/'), ('/docs')) v(d)
-UNION ALL SELECT r_name, '/metadata.xml', false, 7, '<meta/>' FROM region WHERE r_regionkey IN (SELECT n_regionkey FROM nation))"""
+_TREE = f"""f AS ({_FILES}), c AS (SELECT *, 'case_' || page_id // 20 AS container FROM f), t AS (SELECT container, '/docs/' || stem || '/text.txt' AS path, false AS is_dir, strlen(text)::BIGINT AS size, text FROM c
+UNION ALL SELECT container, '/docs/' || stem, true, 0, NULL FROM c UNION ALL SELECT DISTINCT container, d, true, 0, NULL FROM c, (VALUES ('/'), ('/docs')) v(d)
+UNION ALL SELECT DISTINCT container, '/metadata.xml', false, 7, '<meta/>' FROM c)"""
 
 
-def _tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    name = F.regexp_extract("container", r"([^/]*)\.ufdr$", 1)
-    return container.read(spark, _containers(spark, sf_dir)).withColumn("container", name)
+def _container_name() -> Column:
+    return F.regexp_extract("container", r"([^/]*)\.ufdr$", 1).alias("container")
 
 
-@query(f"WITH {_TREE} SELECT container, path, is_dir, size, text FROM t")
+@query(f"WITH {_TREE} SELECT container, path, is_dir, size, sha256(text) AS sha256 FROM t")
 def container_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SC18, UD16: entries of evidence containers, and the directories above them."""
-    return _tree(spark, sf_dir).select("container", "path", "is_dir", "size", F.col("content").cast("string").alias("text"))
+    """SC18, UD16: entries of evidence containers, read range by range of their directories, and the directories above them."""
+    tree = container.read(spark, _containers(spark, sf_dir), range_entries=7)
+    return tree.select(_container_name(), "path", "is_dir", "size", F.sha2("content", 256).alias("sha256"))
 
 
 @query(f"WITH {_TREE} SELECT container, 'root' AS folder, substr(path, 2) AS name, is_dir, size FROM t WHERE path IN ('/docs', '/metadata.xml') UNION ALL SELECT container, 'docs', substr(path, 7), is_dir, size FROM t WHERE is_dir AND path LIKE '/docs/%'")
 def container_children(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SC19: what lies directly in a directory of a container."""
-    tree = _tree(spark, sf_dir)
-    parts = [container.children(tree, path).select("container", F.lit(name).alias("folder"), "name", "is_dir", "size") for path, name in (("/", "root"), ("/docs", "docs"))]
-    return parts[0].unionByName(parts[1])
+    tree = container.read(spark, _containers(spark, sf_dir), content=False)
+    parts = {name: container.children(tree, path) for path, name in (("/", "root"), ("/docs", "docs"))}
+    return _union(parts, "folder").select(_container_name(), "folder", "name", "is_dir", "size")
 
 
-@query(f"WITH {_TREE} SELECT container, substr(text, 4, 3) AS data FROM t WHERE path = '/docs/NATION_3/text.txt' OR path = '/docs/NATION_11/text.txt'")
+@query(f"WITH {_TREE} SELECT container, part, substr(text, b + 1, 30) AS data FROM t, (VALUES ('stored', 4, 3), ('packed', 5, 60)) v(part, page, b) WHERE path = '/docs/page_' || page || '/text.txt'".replace("substr(text", "substr(replace(text, 'é', 'ee')"))
 def container_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SC20: bytes of an entry."""
-    tree = _tree(spark, sf_dir)
-    parts = [container.read_range(tree, f"/docs/{x}/text.txt", 3, 3) for x in ("NATION_3", "NATION_11")]
-    return parts[0].unionByName(parts[1]).select("container", F.col("data").cast("string").alias("data"))
+    """SC20: bytes of an entry, stored or packed, without reading the rest of its container."""
+    folder = _containers(spark, sf_dir)
+    parts = {name: container.read_range(spark, folder, f"/docs/page_{page}/text.txt", begin, 30) for name, page, begin in (("stored", 4, 3), ("packed", 5, 60))}
+    return _union(parts, "part").select(_container_name(), "part", F.col("data").cast("string").alias("data"))
 
 
 @query("SELECT 'appended' AS sink, s_suppkey AS key, s_name AS name, s_acctbal AS value FROM supplier, range(2) UNION ALL SELECT 'replaced', s_suppkey, s_name, s_acctbal FROM supplier UNION ALL SELECT 'csv', s_suppkey, s_name, s_acctbal FROM supplier")
@@ -234,11 +256,7 @@ def table_sinks(spark: SparkSession, sf_dir: str) -> DataFrame:
         sinks.replace_all(rows, f"{folder}/replaced")
     sinks.csv(rows, f"{folder}/csv")
     back = {"appended": spark.read.parquet(f"{folder}/appended"), "replaced": spark.read.parquet(f"{folder}/replaced"), "csv": spark.read.option("header", True).schema(rows.schema).csv(f"{folder}/csv")}
-    out = None
-    for name, read in back.items():
-        part = read.withColumn("sink", F.lit(name))
-        out = part if out is None else out.unionByName(part)
-    return out
+    return _union(back, "sink")
 
 
 @query("SELECT p_partkey, '/out/' || p_name || '.a.png.txt' AS whole, '/out/' || p_name || '.a.txt' AS stem, p_brand AS text FROM part")
@@ -251,29 +269,40 @@ def text_output_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(names, rows["path"] == names["input_path"]).select("p_partkey", "whole", "stem", "text")
 
 
-@query(f"WITH f AS ({_FILES}) SELECT n_name AS name, text || chr(10) AS text FROM f")
+@query("""WITH r AS (SELECT doc_id, '/in/' || (doc_id // 2) || CASE WHEN doc_id % 2 = 0 THEN '.png' ELSE '.jpg' END AS path, coalesce(text, '') AS text FROM documents),
+n AS (SELECT *, (doc_id // 2)::VARCHAR AS stem, row_number() OVER (PARTITION BY doc_id // 2 ORDER BY path) AS rn FROM r)
+SELECT CASE WHEN rn = 1 THEN stem ELSE stem || '.' || left(sha256(path || chr(10) || text), 16) END AS name, sha256(text) AS sha256, strlen(text)::BIGINT AS size FROM n""")
 def written_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SK5, SK9: texts written as files of whole lines below a chosen folder and read again."""
+    """SK5, SK9: every document's text as a file of its own below a chosen folder, over older files, and read again. Two
+    inputs have each stem; both texts are kept."""
     folder = sinks.fallback_folder(_new_folder(spark), True, "/scratch")
-    rows = table(spark, sf_dir, "nation").select(F.concat(F.lit("/in/"), "n_name", F.lit(".wav")).alias("path"), F.concat("n_name", F.lit("\n"), F.lit("in région "), F.col("n_regionkey").cast("string")).alias("text"))
-    sinks.write_texts(sinks.text_outputs(rows, folder, whole_name=False))
-    read = files.texts(files.listing(spark, folder, (".txt",), content=True))
-    return read.select(F.regexp_extract("path", r"([^/]*)\.txt$", 1).alias("name"), "text")
+    suffix = F.when(F.col("doc_id") % 2 == 0, ".png").otherwise(".jpg")
+    path = F.concat(F.lit("/in/"), F.floor(F.col("doc_id") / 2).cast("string"), suffix)
+    rows = table(spark, sf_dir, "documents").select("doc_id", path.alias("path"), "text")
+    older = rows.where("doc_id % 2 = 1").withColumn("text", F.lit("older"))
+    for texts in (older, rows):
+        sinks.write_texts(sinks.text_outputs(texts, folder, whole_name=False), folder)
+    read = files.forensics(files.listing(spark, folder, (".txt",), content=True))
+    return read.select(F.regexp_extract("path", r"([^/]*)\.txt$", 1).alias("name"), "sha256", "size")
 
 
-@query(f"WITH f AS ({_FILES}) SELECT n_name AS path, 0 AS chunk_index, text AS chunk_text, 256 AS dimensions FROM f")
+@query(f"WITH f AS ({_FILES}) SELECT stem AS path, 0 AS chunk_index, left(url, 200) AS chunk_text, 256 AS dimensions FROM f JOIN pages USING (page_id)")
 def streamed_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ST4, DM1, SK1: new files are embedded once, however often the stream runs."""
-    folder, rows = _new_folder(spark), table(spark, sf_dir, "nation").orderBy("n_nationkey").collect()
-    for half in (rows[:12], rows[12:], []):
-        _put(spark, f"{folder}/in", {f"{r.n_name}.txt": _text(r) for r in half})
+    folder, pages = _new_folder(spark), _pages(spark, sf_dir)
+    for part in ("page_id % 2 = 0", "page_id % 2 = 1", "page_id % 5 = 0"):  # in a third run files are written again
+        some = pages.where(part)
+        if "5" not in part:
+            _put(some, f"{folder}/in", F.concat("stem", F.lit(".txt")), F.split("text", "\n")[0].cast("binary"))
         incremental.embed_stream(spark, f"{folder}/in", f"{folder}/table", f"{folder}/state").awaitTermination()
     stored = spark.read.parquet(f"{folder}/table")
     return stored.select(F.regexp_extract("path", r"([^/]*)\.txt$", 1).alias("path"), F.col("chunk_index").cast("int").alias("chunk_index"), "chunk_text", F.size("embedding").alias("dimensions"))
 
 
-@query("""SELECT n_nationkey AS key, '{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '","n_regionkey":' || n_regionkey || '}' AS line FROM nation""")
+@query("""SELECT o_orderkey AS key, '{"o_orderkey":' || o_orderkey || ',"o_orderstatus":"' || o_orderstatus || '","o_orderpriority":"' || o_orderpriority || '"}' AS line FROM orders""")
 def response_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ST1: rows as JSON lines, sent one at a time."""
-    lines = [(line,) for line in incremental.response_lines(table(spark, sf_dir, "nation"))]
-    return spark.createDataFrame(lines, "line string").select(F.get_json_object("line", "$.n_nationkey").cast("int").alias("key"), "line")
+    """ST1: rows as JSON lines, as a response sends them, written by the tasks and read again as a stream."""
+    folder = _new_folder(spark)
+    incremental.json_lines(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")).write.text(f"{folder}/lines")
+    incremental.append_lines(spark, f"{folder}/lines", f"{folder}/seen", f"{folder}/state").awaitTermination()
+    return spark.read.parquet(f"{folder}/seen").select(F.get_json_object("line", "$.o_orderkey").cast("bigint").alias("key"), "line")

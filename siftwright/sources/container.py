@@ -1,43 +1,211 @@
 """Evidence containers: a metadata prefix followed by a ZIP archive, as a table of entries.
 
-Containers are read by Spark's file source, one row each, so any store that Spark reads works; every entry becomes a row.
-A container must fit into a binary value (2 GB) and into a task; its entries leave the task in batches of bounded size.
+A data source reads them: planning walks the central directory (ZIP64 too) as a stream and cuts it into ranges of bounded
+entries and bytes; a task reads its range and seeks to its entries, so a container of any size is spread over many tasks and
+one entry costs its own bytes. Stores are those of ``pyarrow.fs``.
+
+Entries that are encrypted, damaged, packed by another method than storing or deflating, or larger than a binary value can be
+have null content; ``read_range`` still reaches any part of the large ones.
 """
 
 from __future__ import annotations
 
-import io
-import zipfile
+import struct
+import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
+import pyarrow.fs as fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from siftwright.sources import files
+from siftwright.sources.filewriter import store_of
 
 SIGNATURE = b"PK\x03\x04"
 PREFIX_BYTES = 16384
 BATCH_BYTES = 16 << 20
+#: A range of the directory has at most so many entries, or entries of so many packed bytes.
+RANGE_ENTRIES = 2000
+RANGE_BYTES = 64 << 20
+#: Content of a larger entry isn't given as one value.
+LARGEST = 1 << 30
+_CHUNK = 1 << 20
 SCHEMA = "container string, path string, is_dir boolean, size bigint, content binary"
 
 
-def entries(name: str, data: bytes) -> Iterator[tuple]:
-    """Rows of one container: metadata.xml (the prefix), files, and every directory above them."""
-    at = data[:PREFIX_BYTES].find(SIGNATURE)
+@dataclass
+class Range(InputPartition):
+    """Entries [first, first + count) bytes of a container's directory; ``prefix`` is set for the container's first range."""
+
+    container: str
+    at: int
+    count: int
+    base: int
+    prefix: int
+
+
+@dataclass
+class Entry:
+    """An entry as the directory tells it."""
+
+    path: str
+    is_dir: bool
+    method: int
+    encrypted: bool
+    crc: int
+    packed: int
+    size: int
+    at: int
+
+
+def _directory(file, size: int) -> tuple[int, int, int]:
+    """(where the directory begins, its entries, what is to be added to offsets in it) of an archive at a file's end."""
+    tail_at = max(0, size - (1 << 16) - 22)
+    file.seek(tail_at)
+    tail = file.read(size - tail_at)
+    at = tail.rfind(b"PK\x05\x06")
+    if at < 0 or len(tail) - at < 22:
+        raise ValueError("no end of an archive's directory")
+    count, length, offset = struct.unpack("<HII", tail[at + 10 : at + 20])
+    end = tail_at + at
+    if end >= 76:
+        file.seek(end - 20)
+        mark, _, where, _ = struct.unpack("<4sIQI", file.read(20))
+        if mark == b"PK\x06\x07":
+            # the offset counts from the archive's beginning, which a prefix moves: the record ends where its locator begins
+            for place in (where, end - 20 - 56):
+                file.seek(place)
+                record = file.read(56)
+                if record[:4] == b"PK\x06\x06":
+                    count, length, offset = struct.unpack("<QQQ", record[32:56])
+                    end = place
+                    break
+    begins = end - length
+    return begins, count, begins - offset
+
+
+def _entries(file, at: int, count: int, base: int) -> Iterator[tuple[int, Entry]]:
+    """(place in the directory, entry) of so many entries, reading the directory in chunks."""
+    held, place = b"", at
+    file.seek(at)
+    for _ in range(count):
+        while len(held) < 46 or len(held) < 46 + sum(struct.unpack("<HHH", held[28:34])):
+            more = file.read(_CHUNK)
+            if not more:
+                raise ValueError("the archive's directory is cut off")
+            held += more
+        mark, flags, method, crc, packed, size, name_length, extra_length, comment = struct.unpack("<4s4xHH4xIIIHHH", held[:34])
+        if mark != b"PK\x01\x02":
+            raise ValueError("the archive's directory is damaged")
+        (offset,) = struct.unpack("<I", held[42:46])
+        name = held[46 : 46 + name_length].decode("utf-8" if flags & 0x800 else "cp437", "replace")
+        extra = held[46 + name_length : 46 + name_length + extra_length]
+        while len(extra) >= 4:
+            kind, length = struct.unpack("<HH", extra[:4])
+            if kind == 1:  # sizes beyond 32 bits, those that need it, in this order
+                wide = iter(struct.unpack(f"<{length // 8}Q", extra[4 : 4 + length // 8 * 8]))
+                size, packed, offset = (next(wide, x) if x == 0xFFFFFFFF else x for x in (size, packed, offset))
+            extra = extra[4 + length :]
+        whole = 46 + name_length + extra_length + comment
+        yield place, Entry("/" + name.strip("/"), name.endswith("/"), method, bool(flags & 1), crc, packed, size, base + offset)
+        held, place = held[whole:], place + whole
+
+
+def _bytes(file, entry: Entry, begin: int = 0, length: int | None = None) -> bytes | None:
+    """Content of an entry, or of a part of it, read from its place; null where it can't be told."""
+    wanted = entry.size - begin if length is None else min(length, entry.size - begin)
+    if wanted <= 0:
+        return b""
+    file.seek(entry.at)
+    head = file.read(30)
+    if entry.encrypted or entry.method not in (0, 8) or head[:4] != SIGNATURE:
+        return None
+    start = entry.at + 30 + sum(struct.unpack("<HH", head[26:30]))
+    if entry.method == 0:
+        file.seek(start + begin)
+        return file.read(wanted)
+    file.seek(start)
+    unpack, out, done, left = zlib.decompressobj(-15), [], 0, entry.packed
+    try:
+        while left > 0 and done < begin + wanted:
+            packed = file.read(min(_CHUNK, left))
+            if not packed:
+                return None
+            left -= len(packed)
+            while done < begin + wanted:
+                piece = unpack.decompress(packed, _CHUNK)
+                packed = unpack.unconsumed_tail
+                lo, hi = max(begin - done, 0), begin + wanted - done
+                out.append(piece[lo:hi] if hi > 0 else b"")
+                done += len(piece)
+                if not piece and not packed:
+                    break
+    except zlib.error:
+        return None
+    data = b"".join(out)
+    return data if len(data) == wanted else None
+
+
+def _prefix(file, container: str) -> int:
+    """Bytes before the archive."""
+    file.seek(0)
+    at = file.read(PREFIX_BYTES).find(SIGNATURE)
     if at < 0:
-        raise ValueError(f"{name}: no archive in the first {PREFIX_BYTES} bytes")
-    yield name, "/metadata.xml", False, at, data[:at]
-    folders = {"/"}
-    with zipfile.ZipFile(io.BytesIO(data[at:])) as archive:
-        for info in archive.infolist():
-            path = "/" + info.filename.strip("/")
-            steps = path.split("/")[1:]
-            folders.update("/" + "/".join(steps[:k]) for k in range(1, len(steps) + info.is_dir()))
-            if not info.is_dir():
-                yield name, path, False, info.file_size, archive.read(info)
-    for folder in sorted(folders):
-        yield name, folder, True, 0, None
+        raise ValueError(f"{container}: no archive in the first {PREFIX_BYTES} bytes")
+    return at
+
+
+class _Reader(DataSourceReader):
+    def __init__(self, options: dict[str, str]) -> None:
+        self.folder, self.suffix = options["path"], options.get("suffix", ".ufdr")
+        self.content, self.entry = options.get("content", "true") == "true", options.get("entry")
+        self.begin, self.length = int(options.get("begin", 0)), int(options["length"]) if "length" in options else None
+        self.range_entries, self.range_bytes = int(options.get("range_entries", RANGE_ENTRIES)), int(options.get("range_bytes", RANGE_BYTES))
+
+    def partitions(self) -> list[Range]:
+        store, place = store_of(self.folder)
+        found = []
+        infos = store.get_file_info(fs.FileSelector(place, allow_not_found=True))
+        for info in sorted((i for i in infos if i.base_name.lower().endswith(self.suffix) and i.type == fs.FileType.File), key=lambda i: i.path):
+            with store.open_input_file(info.path) as file:
+                prefix = _prefix(file, info.path)
+                at, count, base = _directory(file, info.size)
+                begin, held, size, first = at, 0, 0, True
+                for where, entry in _entries(file, at, count, base):
+                    if held and (held >= self.range_entries or size + entry.packed > self.range_bytes):
+                        found.append(Range(info.path, begin, held, base, prefix if first else -1))
+                        begin, held, size, first = where, 0, 0, False
+                    held, size = held + 1, size + entry.packed
+                found.append(Range(info.path, begin, held, base, prefix if first else -1))
+        return found or [Range("", 0, 0, 0, -1)]
+
+    def read(self, part: Range) -> Iterator[pa.RecordBatch]:
+        if not part.container:
+            return
+        store, _ = store_of(self.folder)
+        held, size = [], 0
+        with store.open_input_file(part.container) as file:
+            if part.prefix >= 0 and self.entry in (None, "/metadata.xml"):
+                file.seek(min(self.begin, part.prefix))
+                length = part.prefix - self.begin if self.length is None else min(self.length, part.prefix - self.begin)
+                held.append((part.container, "/metadata.xml", False, part.prefix, file.read(max(0, length)) if self.content else None))
+            listed = (e for _, e in list(_entries(file, part.at, part.count, part.base)))
+            for entry in listed:
+                if self.entry is not None and entry.path != self.entry:
+                    continue
+                wanted = self.content and not entry.is_dir and (entry.size if self.length is None else self.length) <= LARGEST
+                data = _bytes(file, entry, self.begin, self.length) if wanted else None
+                if data is not None and self.length is None and not self.begin and zlib.crc32(data) != entry.crc:
+                    data = None
+                held.append((part.container, entry.path, entry.is_dir, 0 if entry.is_dir else entry.size, data))
+                size += len(data or b"")
+                if size >= BATCH_BYTES:
+                    yield _batch(held)
+                    held, size = [], 0
+        if held:
+            yield _batch(held)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -45,23 +213,41 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], names=["container", "path", "is_dir", "size", "content"])
 
 
-def read(spark: SparkSession, folder: str, suffix: str = ".ufdr") -> DataFrame:
-    """Entries of all containers of a folder, read by Spark's own file source: container, path, is_dir, size, content."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, data in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
-                held, size = [], 0
-                for row in entries(name, data):
-                    held.append(row)
-                    size += len(row[4] or b"")
-                    if size >= BATCH_BYTES:
-                        yield _batch(held)
-                        held, size = [], 0
-                if held:
-                    yield _batch(held)
+class Containers(DataSource):
+    """Entries of containers; options path, suffix, content, entry, begin, length, range_entries, range_bytes."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "containers"
+
+    def schema(self) -> str:
+        return SCHEMA
+
+    def reader(self, schema) -> _Reader:
+        return _Reader(self.options)
+
+
+def _scan(spark: SparkSession, folder: str, **options: object) -> DataFrame:
+    spark.dataSource.register(Containers)
+    reader = spark.read.format("containers").option("path", folder)
+    for name, value in options.items():
+        reader = reader.option(name, str(value).lower() if isinstance(value, bool) else str(value))
+    return reader.load()
+
+
+def read(spark: SparkSession, folder: str, suffix: str = ".ufdr", content: bool = True, **options: int) -> DataFrame:
+    """Entries of all containers of a folder, and every directory above them: container, path, is_dir, size, content.
 
-    return files.listing(spark, folder, (suffix,), content=True).select("path", "content").mapInArrow(run, SCHEMA)
+    ``/metadata.xml`` is what stands before the archive. A folder that is missing or holds no container gives no rows; a
+    container without an archive is an error. Of equal paths in an archive each is a row.
+    """
+    files = _scan(spark, folder, suffix=suffix, content=content, **options).where("NOT is_dir")
+    named = _scan(spark, folder, suffix=suffix, content=False, **options).select("container", "path", "is_dir")
+    steps = F.split("path", "/")
+    depth = F.size(steps) - F.when(F.col("is_dir"), 0).otherwise(1)
+    above = F.transform(F.sequence(F.lit(1), depth), lambda k: F.concat(F.lit("/"), F.array_join(F.slice(steps, 2, k - 1), "/")))
+    folders = named.select("container", F.explode(above).alias("path")).distinct()
+    return files.unionByName(folders.select("container", "path", F.lit(True).alias("is_dir"), F.lit(0).cast("bigint").alias("size"), F.lit(None).cast("binary").alias("content")))
 
 
 def children(tree: DataFrame, folder: str) -> DataFrame:
@@ -72,6 +258,7 @@ def children(tree: DataFrame, folder: str) -> DataFrame:
     return below.where((F.col("name") != "") & ~F.contains("name", F.lit("/"))).select("container", "name", "is_dir", "size").distinct()
 
 
-def read_range(tree: DataFrame, path: str, offset: int, length: int) -> DataFrame:
-    """Bytes of an entry: container, data."""
-    return tree.where((F.col("path") == path) & ~F.col("is_dir")).select("container", F.substring("content", offset + 1, length).alias("data"))
+def read_range(spark: SparkSession, folder: str, path: str, offset: int, length: int, suffix: str = ".ufdr") -> DataFrame:
+    """Bytes of an entry, of which no more is read than up to their end: container, data."""
+    found = _scan(spark, folder, suffix=suffix, entry=path, begin=offset, length=length)
+    return found.where("NOT is_dir").select("container", F.col("content").alias("data"))

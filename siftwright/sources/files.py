@@ -112,31 +112,15 @@ def texts(files: DataFrame, most: int = TEXT_CHARS) -> DataFrame:
     return files.select("path", F.coalesce(F.substring(text, 1, most), F.lit("")).alias("text"))
 
 
-def head(spark: SparkSession, path: str, n: int = 10) -> DataFrame:
-    """The first n lines of a file: n, line. The limit is the feature; files are read from their start."""
-    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("at"), F.col("value").alias("line")).orderBy("at").limit(n)
-    return lines.select(F.row_number().over(Window.orderBy("at")).cast("bigint").alias("n"), "line")
-
-
-def tail(spark: SparkSession, path: str, n: int = 1000) -> DataFrame:
-    """The last n lines of a file, in file order: at, line."""
-    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
-    return lines.orderBy(F.desc("at")).limit(n).orderBy("at")
-
-
 def labelled_images(scan: DataFrame) -> DataFrame:
     """Images with ``is_real``: 1 where the path holds ``R_``."""
     return scan.where(scalars.extension(F.col("path")).isin(*PICTURES)).withColumn("is_real", F.contains("path", F.lit("R_")).cast("int"))
 
 
-def labelled_sample(sources: dict[str, DataFrame], most: int) -> DataFrame:
-    """At most ``most`` files of every source by name, renamed with the source as prefix: source, path, new_name."""
-    out = None
-    for prefix, scan in sources.items():
-        part = scan.select(F.lit(prefix).alias("source"), "path", F.concat(F.lit(prefix + "_"), "name").alias("new_name"))
-        out = part if out is None else out.unionByName(part)
-    ranked = out.withColumn("rn", F.row_number().over(Window.partitionBy("source").orderBy("path")))
-    return ranked.where(F.col("rn") <= most).drop("rn")
+def labelled_sample(scan: DataFrame, source: str, most: int) -> DataFrame:
+    """At most ``most`` files of every source by path, renamed with the source as prefix: source, path, new_name."""
+    ranked = scan.withColumn("_rn", F.row_number().over(Window.partitionBy(source).orderBy("path"))).where(F.col("_rn") <= most)
+    return ranked.select(F.col(source).alias("source"), "path", F.concat(F.col(source), F.lit("_"), "name").alias("new_name"))
 
 
 def evaluation_files(metadata: DataFrame, most: int) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siftwright.functions import scalars
 from siftwright.operators import grouping
+from siftwright.sources import filewriter
 
 
 def append(rows: DataFrame, path: str) -> None:
@@ -44,8 +45,14 @@ def text_outputs(rows: DataFrame, folder: str, whole_name: bool = True) -> DataF
 
 
 def jsonld(documents: DataFrame, path: str) -> None:
-    """One JSON-LD line per job, partitioned by job."""
-    documents.select("uid", F.col("jsonld").alias("value")).write.mode("overwrite").partitionBy("uid").text(path)
+    """JSON-LD documents of jobs as lines of few files, a job a line."""
+    documents.select(F.col("jsonld").alias("value")).write.mode("overwrite").text(path)
+
+
+def jsonld_files(documents: DataFrame, folder: str) -> None:
+    """One JSON-LD file a job, named by the job."""
+    place = F.concat(F.lit(folder.rstrip("/") + "/"), F.regexp_replace("uid", "[/\\\\]", "_"), F.lit(".jsonld"))
+    filewriter.write_files(documents.select(place.alias("output_path"), F.col("jsonld").cast("binary").alias("content")), folder)
 
 
 def fallback_folder(input_dir: str, writable: bool, scratch: str) -> str:
@@ -55,28 +62,19 @@ def fallback_folder(input_dir: str, writable: bool, scratch: str) -> str:
     return f"{input_dir.rstrip('/')}/transcripts" if writable else f"{scratch.rstrip('/')}/{hashlib.sha256(input_dir.encode()).hexdigest()[:16]}"
 
 
-def write_texts(outputs: DataFrame) -> None:
-    """Write every text of (output_path, text) to its file, from the tasks that hold them, through Spark's file systems."""
-    folder = outputs.select(scalars.parent(F.col("output_path")).alias("folder")).distinct()
-    for r in folder.toLocalIterator():
-        name = F.regexp_replace(scalars.basename(F.col("output_path")), r"\.txt$", "")
-        own = outputs.where(scalars.parent(F.col("output_path")) == r.folder)
-        staged = f"{r.folder}/_staged"
-        own.select(name.alias("name"), F.col("text").alias("value")).write.mode("overwrite").partitionBy("name").option("lineSep", "\n").text(staged)
-        _named(outputs, staged, r.folder)
-
-
-def _named(df: DataFrame, staged: str, folder: str) -> None:
-    """Give the single part of every staged ``name=...`` directory its file name; moves, not copies."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    store = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
-    for directory in store.listStatus(path(staged)):
-        at = directory.getPath()
-        if not at.getName().startswith("name="):
-            continue
-        for part in store.listStatus(at):
-            if part.getPath().getName().startswith("part-"):
-                name = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName(at.getName()[5:])
-                store.rename(part.getPath(), path(folder, f"{name}.txt"))
-    store.delete(path(staged), True)
+def told_apart(outputs: DataFrame) -> DataFrame:
+    """(input_path, output_path, text) with an output path of its own for every text.
+
+    Of the inputs that would share a file the one with the smallest path keeps it; the others get 16 digits of the SHA-256 of
+    their path and text before the suffix. Equal texts of the same input share their file; a null text is empty.
+    """
+    rows = outputs.select("input_path", "output_path", F.coalesce("text", F.lit("")).alias("text")).withColumn("_id", F.sha2(F.concat_ws("\n", "input_path", "text"), 256))
+    first = rows.groupBy("output_path").agg(F.min(F.struct(F.coalesce("input_path", F.lit("")), "_id")).alias("_first"))
+    own = F.struct(F.coalesce("input_path", F.lit("")), "_id") == F.col("_first")
+    place = F.when(own, F.col("output_path")).otherwise(F.concat(F.regexp_replace("output_path", r"\.txt$", ""), F.lit("."), F.left("_id", F.lit(16)), F.lit(".txt")))
+    return rows.join(first, "output_path").select("input_path", place.alias("output_path"), "text")
+
+
+def write_texts(outputs: DataFrame, folder: str) -> None:
+    """Write every text of (input_path, output_path, text) to a file of its own below a folder, replacing files of that name."""
+    filewriter.write_files(told_apart(outputs).select("output_path", F.col("text").cast("binary").alias("content")), folder)

@@ -32,6 +32,17 @@ def embed_stream(spark: SparkSession, folder: str, table: str, checkpoint: str,
     return new_texts(spark, folder).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def json_lines(rows: DataFrame) -> DataFrame:
+    """Rows as JSON lines (``value``), made by the tasks that hold them."""
+    return rows.select(F.to_json(F.struct("*")).alias("value"))
+
+
 def response_lines(rows: DataFrame):
     """Rows as JSON lines, one at a time and without gathering them: what a line-streaming response sends."""
-    return (r.value for r in rows.select(F.to_json(F.struct("*")).alias("value")).toLocalIterator())
+    return (r.value for r in json_lines(rows).toLocalIterator())
+
+
+def append_lines(spark: SparkSession, folder: str, table: str, checkpoint: str) -> StreamingQuery:
+    """Append the lines of new files to a Parquet table, each file once, however often the stream runs."""
+    lines = spark.readStream.format("text").load(folder).withColumnRenamed("value", "line")
+    return lines.writeStream.format("parquet").option("path", table).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -229,7 +229,7 @@ def container(entries):
 
 def test_sources(spark, tmp_path):
     from siftwright.sources import container as boxes
-    from siftwright.sources import files, sinks
+    from siftwright.sources import files, logends, sinks
 
     for name, body in {"a.txt": b"alpha\nbeta", "b.TXT": b"bad \xff bytes", "skip.bin": b"x", "nested/inner.txt": b"in", "pic.png": b"\x89PNGxx", "fake.jpg": b"no"}.items():
         (tmp_path / name).parent.mkdir(exist_ok=True)
@@ -250,12 +250,13 @@ def test_sources(spark, tmp_path):
         files.require_files(scan, (".mp3",))
     everything = files.listing(spark, str(tmp_path), content=True)
     assert [r.name for r in files.decoded_images(everything).collect()] == ["pic.png"]
-    assert [r.line for r in files.head(spark, f"{tmp_path}/a.txt", 1).collect()] == ["alpha"] and [r.line for r in files.tail(spark, f"{tmp_path}/a.txt", 1).collect()] == ["beta"]
+    ends = [{r.line for r in end(spark, str(tmp_path), 1, (".txt",)).collect() if r.path.endswith("/a.txt")} for end in (logends.head, logends.tail)]
+    assert ends == [{"alpha"}, {"beta"}]
     assert {r.path.rsplit("/", 1)[1]: r.mime for r in files.forensics(everything).collect()}["pic.png"] == "image/png"
     tree = boxes.read(spark, str(tmp_path))
     assert sorted(r.path for r in tree.collect()) == ["/", "/files", "/files/one.txt", "/metadata.xml", "/two.txt"]
     assert sorted(r.name for r in boxes.children(tree, "/").collect()) == ["files", "metadata.xml", "two.txt"]
-    assert bytes(boxes.read_range(tree, "/files/one.txt", 3, 4).first().data) == b"3456"
+    assert bytes(boxes.read_range(spark, str(tmp_path), "/files/one.txt", 3, 4).first().data) == b"3456"
     out = sinks.text_outputs(files.texts(scan), "/o", whole_name=False).collect()
     assert {r.output_path for r in out} == {"/o/a.txt", "/o/b.txt"}
     sinks.append(scan.select("name"), f"{tmp_path}/t")
