@@ -7,6 +7,7 @@ conversations for chat, orders for votes. Every column is aliased alike on both
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -14,8 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwright.functions import embedders, predicates, scalars, texts, vectors
-from siftwright.operators import cache, detections, evaluate, fusion, graph, grouping, lineage, neighbours, nested, similarity, state
-from siftwright.session import table
+from siftwright.operators import cache, detections, evaluate, fusion, graph, grouping, lineage, neighbours, nested, similarity, state, vector_index
+from siftwright.session import shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -119,6 +120,18 @@ def normalise_vectors(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(vectors.dot(v, v), 6).alias("squared"), F.round(vectors.norm(vectors.normalised(v)), 6).alias("length"))
 
 
+@query("SELECT count(*) AS queries, true AS enough FROM embeddings")
+def indexed_recall(spark, sf_dir):
+    """VX25: approximate neighbours of every vector from inverted lists with product quantisation, tuned on a sample: whether
+    they hold 95 % of the ten exact neighbours of all vectors."""
+    rows = table(spark, sf_dir, "embeddings")
+    index = vector_index.build(rows, "vec_id", f"{shared_folder(spark)}/index_{uuid.uuid4().hex}")
+    probes, candidates = vector_index.tune(index, rows, 10, "vec_id")
+    found = vector_index.search(index, rows, rows, 10, "vec_id", "vec_id", probes=probes, candidates=candidates, exclude_self=True)
+    exact = neighbours.neighbour_join(rows, rows, 10, "vec_id", "vec_id", exclude_self=True)
+    return vector_index.recall(found, exact).select("queries", (F.col("recall") >= 0.95).alias("enough"))
+
+
 _HAM = " + ".join(f"bit_count(xor(('0x'||substr(d.h,{8 * i + 1},8))::BIGINT, ('0x'||substr(q.h,{8 * i + 1},8))::BIGINT))::INTEGER" for i in range(8))
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from siftwright.plans.catalogue import query
 from siftwright.session import shared_folder, table
-from siftwright.sources import container, files, filewriter, logends, sinks
+from siftwright.sources import bitmaps, container, files, filewriter, logends, sinks
 from siftwright.streaming import incremental
 
 _SUFFIXES = [".txt", ".MD", ".log", ".jpg", ".PNG"]
@@ -190,6 +190,35 @@ def prompt_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids"), F.bool_and(known).alias("known"), (F.countDistinct("colour", "size") == 6).alias("varied"))
 
 
+_PIXELS = 20  # pixels of a row of the pictures below
+
+
+@query(f"""WITH p AS (SELECT doc_id, hex(encode(text)) AS h, strlen(text) // {3 * _PIXELS} AS rows, doc_id % 25 - 3 AS x, doc_id % 5 AS y, 1 + doc_id % 9 AS w, 1 + doc_id % 11 AS hh FROM documents),
+b AS (SELECT *, greatest(0, least(x, {_PIXELS})) AS l, greatest(0, least(y, rows)) AS t FROM p), c AS (SELECT *, least({_PIXELS}, greatest(l, x + w)) AS r, least(rows, greatest(t, y + hh)) AS e FROM b)
+SELECT doc_id, sha256(unhex(array_to_string([substr(h, (i * {_PIXELS} + l) * 6 + 1, (r - l) * 6) FOR i IN range(t, e)], ''))) AS face_id FROM c""")
+def crop_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """VX16: the digest of a box of pixels, clipped at the borders; the pictures are the bytes of documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("pixels"))
+    rows = F.floor(F.octet_length("pixels") / (3 * _PIXELS)).cast("int")
+    number = F.col("doc_id").cast("int")
+    box = [number % 25 - 3, number % 5, 1 + number % 9, 1 + number % 11]
+    return docs.select("doc_id", bitmaps.crop_digest(F.col("pixels"), F.lit(_PIXELS), rows, box).alias("face_id"))
+
+
+@query()
+def perceptual_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """VX14: perceptual hashes of bitmap files that are made from the bytes of documents and read again; shorter texts, and
+    every seventh file, which is cut off, are no bitmaps."""
+    folder = _new_folder(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("b"))
+    rows = F.floor(F.octet_length("b") / 96).cast("int")
+    made = bitmaps.bmp_of(F.substr("b", F.lit(1), rows * 96), 32, rows)
+    cut = F.when(F.col("doc_id") % 7 == 0, F.substr(made, F.lit(1), F.octet_length(made) - 1)).otherwise(made)
+    _put(docs, folder, F.concat(F.lit("i_"), F.col("doc_id").cast("string"), F.lit(".bmp")), cut)
+    scan = files.listing(spark, folder, files.IMAGES, content=True)
+    return scan.select(F.regexp_extract("path", r"i_(\d+)", 1).cast("bigint").alias("doc_id"), bitmaps.perceptual_hash(F.col("content")).alias("pdq_hash"))
+
+
 def _zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Containers from rows of (name, entries): a prefix and an archive; every other entry is packed."""
     for batch in batches:

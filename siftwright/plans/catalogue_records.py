@@ -416,6 +416,23 @@ def masked_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detections.blackened(pixels, detections.mask_pixels(logits, 0.4, 1), "value").select("p_partkey", "value")
 
 
+@query("""WITH c AS (SELECT l_orderkey AS image, l_linenumber AS n, max(l_discount) * 10 AS score FROM lineitem GROUP BY 1, 2), f AS (SELECT * FROM c WHERE score > 0.7),
+b AS (SELECT *, row_number() OVER (PARTITION BY image, n % 3 ORDER BY score DESC, n) AS rn FROM f), k AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY score DESC, n) - 1 AS i FROM b WHERE rn = 1)
+SELECT image, i::INTEGER AS face_idx, [greatest(0, 80 * (n % 3) + 2)::INTEGER, 2, 80 * (n % 3) + 62, 62] AS box, round(score, 6) AS score, CASE n % 3 WHEN 0 THEN 'left' ELSE 'right' END AS side FROM k
+UNION ALL SELECT image, NULL, NULL, NULL, NULL FROM (SELECT DISTINCT l_orderkey AS image FROM lineitem) WHERE image NOT IN (SELECT image FROM f)""")
+def faces_of_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """UD9, UD14, VX21: none, one or many faces an image from a detector's cells by a table function, with an attribute that
+    the call asks for; images are orders, their cells the lines."""
+    n = F.col("l_linenumber")
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg((F.max("l_discount") * 10).alias("score"))
+    cell = F.struct("l_linenumber", (40.0 * (n % 3) + 20).alias("cx"), F.lit(16.0).alias("cy"), F.lit(24.0).alias("w"), F.lit(24.0).alias("h"), "score")
+    images = lines.groupBy(F.col("l_orderkey").alias("image")).agg(F.array_sort(F.collect_list(cell)).alias("cells"))  # the lines of an order
+    frame = F.struct(F.lit(0.5).alias("scale"), F.lit(4.0).alias("pad_w"), F.lit(0.0).alias("pad_h"), F.lit(300).alias("width"), F.lit(200).alias("height"))
+    table_ = slots.face_table({"side": ("string", lambda box, frame: "left" if box[0] + box[2] < 100 else "right")})
+    found = slots.faces_of(images.withColumn("frame", frame), table_, "side", keep_empty=True)
+    return found.select("image", "face_idx", "box", F.round("score", 6).alias("score"), "side")
+
+
 # --- registry, plans, slots
 
 @query("SELECT p_partkey, p_name AS text FROM part WHERE contains(lower(p_name), 'red') AND p_size >= 10")

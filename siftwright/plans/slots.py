@@ -1,7 +1,9 @@
 """Slots for models: a function over Arrow batches with declared input and output columns.
 
 Detectors, transcribers, summarisers and other models need weights that aren't here; a slot is where one goes. It keeps
-the input's columns, adds the model's, and checks both when it is applied and for every batch.
+the input's columns, adds the model's, and checks both when it is applied and for every batch. ``Slot`` gives a row for each
+row; ``face_table`` is a table function that gives none, one or many faces for an image, and whose columns depend on the
+attributes that are asked for.
 """
 
 from __future__ import annotations
@@ -9,10 +11,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 
 @dataclass(frozen=True)
@@ -41,3 +46,77 @@ class Slot:
                 yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(found[f.name], f.type) for f in kinds)], names=[*batch.schema.names, *kinds.names])
 
         return rows.mapInArrow(run, T.StructType([*rows.schema.fields, *added.fields]))
+
+
+#: Faces below this probability don't count, and of faces that overlap more than that the best one does.
+LEAST_SCORE = 0.7
+OVERLAP = 0.45
+HEIGHT_FACTOR = 1.25
+_CELL = {"cx", "cy", "w", "h", "score"}
+_FRAME = {"scale", "pad_w", "pad_h", "width", "height"}
+
+
+def decoded_faces(cells: list, frame) -> list[tuple[list[int], float]]:
+    """(box, score) of the faces in a detector's output, best first (ties by the order of the cells).
+
+    Cells have centres and sizes in a letterboxed picture; boxes are undone from it, clipped, thinned out where they overlap,
+    and squared around their centre by a factor of their height. Cells that are null or hold nulls or NaN don't count.
+    """
+    told = [c for c in cells or [] if c is not None and all(c[k] is not None and np.isfinite(c[k]) for k in _CELL)]
+    if not told or frame is None or not frame["scale"]:
+        return []
+    value = lambda name: np.array([float(c[name]) for c in told])
+    score = value("score")
+    side = lambda centre, size, pad, most: tuple(np.clip((value(centre) + sign * value(size) / 2 - frame[pad]) / frame["scale"], 0, frame[most]) for sign in (-1, 1))
+    (x1, x2), (y1, y2) = side("cx", "w", "pad_w", "width"), side("cy", "h", "pad_h", "height")
+    area = (x2 - x1) * (y2 - y1)
+    left = [i for i in np.lexsort((np.arange(len(score)), -score)) if score[i] > LEAST_SCORE]
+    faces = []
+    while left:
+        best, rest = left[0], np.array(left[1:], int)
+        common = np.maximum(0, np.minimum(x2[best], x2[rest]) - np.maximum(x1[best], x1[rest])) * np.maximum(0, np.minimum(y2[best], y2[rest]) - np.maximum(y1[best], y1[rest]))
+        left = rest[common <= OVERLAP * (area[best] + area[rest] - common)].tolist()
+        half, cx, cy = (y2[best] - y1[best]) * HEIGHT_FACTOR / 2, (x1[best] + x2[best]) / 2, (y1[best] + y2[best]) / 2
+        box = [*np.clip([cx - half, cx + half], 0, frame["width"]), *np.clip([cy - half, cy + half], 0, frame["height"])]
+        faces.append(([int(box[i]) for i in (0, 2, 1, 3)], float(score[best])))
+    return faces
+
+
+def face_table(models: dict[str, tuple[str, Callable]] | None = None):
+    """A table function ``faces(cells, frame, attributes)`` for lateral joins: a row for every face of an image.
+
+    ``cells`` is an array of (cx, cy, w, h, score) and ``frame`` a struct of (scale, pad_w, pad_h, width, height).
+    ``attributes``, a constant, names the models whose columns are wanted, comma-joined; ``models`` has the type and a function
+    of (box, frame) of each. Columns are face_idx, box (x1, y1, x2, y2), score and one an attribute; an image without a face
+    gives no row.
+    """
+    known = {name: (T.StructType.fromDDL(f"{name} {kind}")[0].dataType, function) for name, (kind, function) in (models or {}).items()}
+
+    class Faces:
+        @staticmethod
+        def analyze(cells: AnalyzeArgument, frame: AnalyzeArgument, attributes: AnalyzeArgument) -> AnalyzeResult:
+            if not isinstance(cells.dataType, T.ArrayType) or not isinstance(cells.dataType.elementType, T.StructType) or _CELL - set(cells.dataType.elementType.names):
+                raise ValueError(f"cells must be an array of structs of {sorted(_CELL)}")
+            if not isinstance(frame.dataType, T.StructType) or _FRAME - set(frame.dataType.names):
+                raise ValueError(f"frame must be a struct of {sorted(_FRAME)}")
+            if not attributes.isConstantExpression:
+                raise ValueError("attributes must be constant, as the columns depend on them")
+            schema = T.StructType().add("face_idx", T.IntegerType()).add("box", T.ArrayType(T.IntegerType())).add("score", T.DoubleType())
+            for name in filter(None, (attributes.value or "").split(",")):
+                if name not in known:
+                    raise ValueError(f"no model for {name!r}; there are {sorted(known)}")
+                schema = schema.add(name, known[name][0])
+            return AnalyzeResult(schema)
+
+        def eval(self, cells, frame, attributes):
+            wanted = list(filter(None, (attributes or "").split(",")))
+            for i, (box, score) in enumerate(decoded_faces(cells, frame)):
+                yield (i, box, score, *(known[name][1](box, frame) for name in wanted))
+
+    return F.udtf(Faces)
+
+
+def faces_of(images: DataFrame, table, attributes: str = "", cells: str = "cells", frame: str = "frame", keep_empty: bool = False) -> DataFrame:
+    """``images`` joined with their faces; images without one go, or stay with nulls where ``keep_empty``."""
+    found = table(F.col(cells).outer(), F.col(frame).outer(), F.lit(attributes))
+    return images.lateralJoin(found, F.lit(True), "left") if keep_empty else images.lateralJoin(found)
