@@ -21,7 +21,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, column: str) -> DataFrame:
     """
     known = labels.where(F.col(column).isin(0, 1) & ~held_out()).groupBy("doc_id").agg(F.max(column).cast("int").alias("label"))
     few = labels.count() <= SEND_AT_MOST
-    extra = F.col("n_chars").cast("bigint") if "n_chars" in docs.columns else F.lit(None).cast("bigint")
+    extra = F.col("n_chars").try_cast("bigint") if "n_chars" in docs.columns else F.lit(None).cast("bigint")
     texts = docs.where(~held_out()).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), extra.alias("n_chars"))
     return texts.join(F.broadcast(known) if few else known, "doc_id")
 

@@ -45,8 +45,9 @@ UNKNOWN = "und"
 #: Codes up to which a table of all codes is used instead of sorting, and n-grams whose probabilities a task remembers.
 TABLE = 1 << 21
 REMEMBERED = 1 << 18
-#: Most tasks that work on tables of n-grams.
-TASKS = 16
+#: N-grams that a task works on at a time, and partitions of the input whose counts one task adds up.
+TASK_GRAMS = 100_000
+TASK_PARTITIONS = 8
 _BITS = 15
 _U = np.uint64
 
@@ -185,14 +186,15 @@ def _count(names: list[str]):
     return run
 
 
-def _stored(df: DataFrame) -> DataFrame:
-    """A table of n-grams in the shared folder. It has as many rows as languages have different n-grams, so few tasks do."""
-    return materialise(df.coalesce(TASKS))
+def _stored(df: DataFrame, tasks: int) -> DataFrame:
+    """A table of n-grams in the shared folder, made by as many tasks as its counted rows (or its input) need."""
+    return materialise(df.coalesce(max(1, tasks)))
 
 
 def probabilities(grams: DataFrame, prune: float = PRUNE) -> tuple[DataFrame, int]:
     """Kneser-Ney entries of (language, gram, weight) counts of 4-grams, and the size of the alphabet (with one letter for
     all unseen ones): language, kind (``gram`` or ``context``), text, value (log probability or log back-off weight)."""
+    tasks = -(-grams.count() // TASK_GRAMS)
     weights = {ORDER: grams}  # counts of the highest order; of the lower ones, how many different letters stand before
     for n in range(1, ORDER):
         longer = grams.select("language", F.substring("gram", ORDER - n, n + 1).alias("longer")).distinct()
@@ -214,7 +216,7 @@ def probabilities(grams: DataFrame, prune: float = PRUNE) -> tuple[DataFrame, in
             rows, below = rows.join(lower, ["language", "suffix"]), F.col("below")
         backoff = F.col("freed") / F.col("mass")
         chance = F.when(F.col("kept"), F.greatest(w - d, F.lit(0.0)) / F.col("mass")).otherwise(0.0) + backoff * below
-        rows = _stored(rows.select("language", "gram", "kept", "context", chance.alias("chance"), backoff.alias("backoff")))
+        rows = _stored(rows.select("language", "gram", "kept", "context", chance.alias("chance"), backoff.alias("backoff")), tasks)
         lower = rows.select("language", F.col("gram").alias("suffix"), F.col("chance").alias("below"))
         parts.append(rows.where("kept").select("language", F.lit("gram").alias("kind"), F.col("gram").alias("text"), F.log("chance").alias("value")))
         parts.append(rows.where("kept").groupBy("language", "context").agg(F.log(F.max("backoff")).alias("value")).select("language", F.lit("context").alias("kind"), F.col("context").alias("text"), "value"))
@@ -307,17 +309,23 @@ class Reader:
         return -sums / np.maximum(letters, 1)[:, None], letters
 
 
+def _letters_of(texts: pa.Array) -> np.ndarray:
+    """Code points of all texts, one after the other, without a Python value per text."""
+    data, _ = flat.bytes_of(pa.RecordBatch.from_arrays([texts], names=["text"]))
+    return np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
+
+
 def _voices(entries: pa.Table, languages: int) -> list[Voice]:
     """Sorted hash arrays of every language from its entries."""
     language, value = np.asarray(entries["language"]), np.asarray(entries["value"]).astype(np.float32)
     is_gram = np.asarray(pc.equal(entries["kind"], "gram"))
-    texts = entries["text"].to_pylist()
-    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    texts = entries["text"].combine_chunks()
+    sizes = np.asarray(pc.utf8_length(texts)).astype(np.int64)
+    letters, starts = _letters_of(texts), np.cumsum(sizes) - sizes
     key = np.zeros(len(texts), _U)
     for n in range(ORDER + 1):
         own = np.flatnonzero(sizes == n)
-        letters = flat.code_points([texts[k] for k in own.tolist()])[0].reshape(len(own), n) if n else np.zeros((len(own), 0), np.uint32)
-        key[own] = hashes(letters)
+        key[own] = hashes(letters[starts[own][:, None] + np.arange(n)])
     out = []
     for k in range(languages):
         parts = []
@@ -345,7 +353,8 @@ def train(docs: DataFrame) -> Model:
     if not names:
         return Model([])
     counts = flat.map_batches(rows, _count(names), "group int, gram string, count bigint")
-    grams = _stored(_both(counts.groupBy("group", "gram").agg(F.sum("count").alias("count")), len(names)))
+    summed = counts.groupBy("group", "gram").agg(F.sum("count").alias("count"))
+    grams = _stored(_both(summed, len(names)), max(16, rows.rdd.getNumPartitions() // TASK_PARTITIONS))
     if grams.isEmpty():
         return Model([])
     model, other = estimated(grams, names, calibrating=True)

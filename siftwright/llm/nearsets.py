@@ -9,8 +9,9 @@ Nodes are worked on in two passes. The first compares every class of a node with
 on their full sets: linear work that takes a group of many near copies together. The second looks at the components so far
 that share a node. Signature estimates tell which classes of a node may be linked to a class of another component, and
 those classes are compared on their full sets, node by node. A node of few classes outside its largest component is
-compared exhaustively, the largest component dealt over tasks; other large nodes branch again; after ``DEPTH`` levels a
-node is dealt into blocks and all pairs of blocks are compared, so nothing is dropped. Tasks tell spanning forests of the
+compared exhaustively, the largest component dealt over tasks; another large node branches again, unless branching left more
+than half of it together or it is ``DEPTH`` levels deep: then it is dealt into blocks and all pairs of blocks are compared,
+so nothing is dropped. Tasks tell spanning forests of the
 links that they find, never all pairs. Components come from alternating large-star and small-star steps.
 
 Everything is DataFrame joins and aggregations with partial sums; Python tasks see slices of texts, signatures or sets
@@ -25,6 +26,7 @@ own, linked through their own texts. An empty table gives no rows. Other columns
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +40,8 @@ TREES = 5
 BRANCHES = 2
 PLACES = 64
 DEPTH = 6
-#: A node is compared exhaustively when its pairs outside its largest component are at most this many; above NODE_ROWS
-#: classes its largest component is dealt over several tasks, each with all classes of the others.
+#: A node is compared exhaustively when a task has at most this many pairs of it outside its largest component; above
+#: NODE_ROWS classes that component is dealt over several tasks, each with all classes of the others.
 NODE_PAIRS = 1 << 22
 NODE_ROWS = 4096
 #: Least share of equal signature bytes for a candidate: four standard deviations below the similarity sought.
@@ -170,16 +172,17 @@ def _first_nodes(classes: DataFrame) -> DataFrame:
 
 
 def _deeper(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """Rows (node, cid, comp) one level below rows of large nodes, by a new order."""
+    """Rows (node, cid, comp, above) one level below rows of large nodes, by a new order; above are the rows of their node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 nodes = paths(_signs(batch), np.asarray(batch.column("node")).view(_U), 1)
                 for k in range(BRANCHES):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(nodes[:, k])), batch.column("cid"), batch.column("comp")], names=["node", "cid", "comp"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(nodes[:, k])), batch.column("cid"), batch.column("comp"), batch.column("rows")], names=["node", "cid", "comp", "above"])
 
-    return flat.map_batches(rows.select("node", "cid", "comp").join(classes.select("cid", "sign"), "cid").select("node", "cid", "comp", "sign"), run, "node bigint, cid bigint, comp bigint")
+    inside = rows.select("node", "cid", "comp", "rows").join(classes.select("cid", "sign"), "cid").select("node", "cid", "comp", "rows", "sign")
+    return flat.map_batches(inside, run, "node bigint, cid bigint, comp bigint, above bigint")
 
 
 def _sized(small: str, large: str):
@@ -200,10 +203,11 @@ def _star(active: DataFrame) -> DataFrame:
 
 
 def _spread(nodes: DataFrame) -> DataFrame:
-    """Nodes with more than one component: node, rows, major (the largest component), pairs (a bound of the pairs outside it)."""
+    """Nodes with more than one component: node, rows, major (the largest component), and pairs: how many a task would compare
+    of the classes outside it, each with all that the task holds."""
     per = nodes.groupBy("node", "comp").agg(F.count("*").alias("k"))
     spread = per.groupBy("node").agg(F.sum("k").alias("rows"), F.max("k").alias("largest"), F.max_by("comp", F.struct("k", "comp")).alias("major"), F.count("*").alias("comps")).where(F.col("comps") > 1)
-    return spread.select("node", "rows", "major", (F.col("rows") * (F.col("rows") - F.col("largest"))).alias("pairs"))
+    return spread.select("node", "rows", "major", (F.least("rows", F.lit(NODE_ROWS)) * (F.col("rows") - F.col("largest"))).alias("pairs"))
 
 
 def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -351,22 +355,26 @@ def _estimates(rows: pa.Table) -> Iterator[pa.RecordBatch]:
 
 
 def _near(active: DataFrame, classes: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
-    """Rows (node, cid, comp, rows, shingles) of classes that may be linked to another component of their node."""
-    nodes = active.select("node", "cid").join(labels, "cid").select("node", "cid", "comp")
-    light = before = None
+    """Rows (node, cid, comp, rows, shingles) of classes that may be linked to another component of their node.
+
+    Each large node decides for itself: it branches again unless it kept more than half of the node above it (a dense group,
+    which branches don't take apart) or is deep enough; then all pairs of its blocks meet.
+    """
+    nodes = active.select("node", "cid").join(labels, "cid").select("node", "cid", "comp", F.lit(None).cast("bigint").alias("above"))
+    ready = []
     for level in range(DEPTH + 1):
         live = _stored(nodes.join(_spread(nodes), "node"), rows)
-        part = _dealt(live.where(F.col("pairs") <= NODE_PAIRS))
-        light = part if light is None else light.unionByName(part)
+        ready.append(_dealt(live.where(F.col("pairs") <= NODE_PAIRS)))
         large = live.where(F.col("pairs") > NODE_PAIRS)
-        many = large.count()
-        if not many:
-            return _promising(light, classes, rows)
-        if level == DEPTH or before is not None and many >= before:
-            break  # deep enough, or a dense group that branches don't take apart
-        nodes, before = _deeper(large, classes), many
-    blocks = F.ceil(F.col("rows") / (NODE_ROWS // 2)).cast("bigint")
-    return _promising(light.unionByName(_block_pairs(large, "node", blocks).select(F.col("block").alias("node"), "cid", "comp")), classes, rows)
+        dense = F.lit(True) if level == DEPTH else F.coalesce(2 * F.col("rows") > F.col("above"), F.lit(False))
+        counts = large.agg(F.count_if(dense).alias("dense"), F.count_if(~dense).alias("branching")).first()
+        if counts.dense:
+            blocks = F.ceil(F.col("rows") / (NODE_ROWS // 2)).cast("bigint")
+            ready.append(_block_pairs(large.where(dense), "node", blocks).select(F.col("block").alias("node"), "cid", "comp"))
+        if not counts.branching:
+            break
+        nodes = _deeper(large.where(~dense), classes)
+    return _promising(reduce(DataFrame.unionByName, ready), classes, rows)
 
 
 def _dealt(live: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ low-rank and are scored in linear time by the sum-of-squares identity. The machi
 ``FIT_ROWS`` labelled rows (a documented bound).
 
 Defined results: null and empty texts get the score of their bins alone; labels, lang, source and doc_id are never inputs;
-repeated rows each get a row; missing n_chars has a bin of its own; without labelled rows every score is 0.5; empty tables
+repeated rows each get a row; an n_chars that is missing or no number has a bin of its own; without labelled rows every score is 0.5; empty tables
 give no rows. Whole texts are scored, whatever their length.
 """
 
@@ -179,6 +179,6 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
         for batch in flat.slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(shared.value.scores(batch))], names=["doc_id", "score"])
 
-    inputs = docs.select("doc_id", "text", *([F.col("n_chars").cast("bigint").alias("n_chars")] if "n_chars" in docs.columns else []))
+    inputs = docs.select("doc_id", "text", *([F.col("n_chars").try_cast("bigint").alias("n_chars")] if "n_chars" in docs.columns else []))
     scored = flat.map_batches(inputs, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
     return scored.select("doc_id", labelled.held_out().alias("held_out"), "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"))

@@ -5,8 +5,8 @@ program association and map tables (CRC checked), continuity counters, elementar
 clock references and random-access points. Both work on whole packet matrices of numpy bytes, one stream at a time.
 
 Defined results: null and empty payloads store one padded block of zeros; equal texts give equal streams; repeated rows
-and other columns have no effect; an empty table gives no rows. Bytes past the last whole packet and packets without the
-sync byte are counted as lost and left out.
+and other columns have no effect; an empty table gives no rows. Bytes past the last whole packet, packets without the
+sync byte and those marked as damaged are counted as lost and left out; so are, in a count of their own, scrambled payloads.
 """
 
 from __future__ import annotations
@@ -128,6 +128,7 @@ class Stream:
     streams: dict[int, int] = field(default_factory=dict)
     table_errors: int = 0
     continuity_errors: int = 0
+    scrambled: int = 0
     units: list[Unit] = field(default_factory=list)
 
 
@@ -137,28 +138,55 @@ def _payload_at(packets: np.ndarray) -> np.ndarray:
     return np.where(control & 1, np.minimum(at, PACKET), PACKET)
 
 
+def _repeats(rows: np.ndarray) -> np.ndarray:
+    """Packets of one stream that are sent a second time: the counter and all bytes of the one before, with a payload."""
+    again = np.zeros(len(rows), bool)
+    if len(rows) > 1:
+        again[1:] = (rows[1:, 3] & 0x10 > 0) & (rows[1:] == rows[:-1]).all(axis=1)
+    return again
+
+
 def _sections(packets: np.ndarray, pid: int, pids: np.ndarray, out: Stream) -> Iterator[bytes]:
+    """Whole sections of a table. A section may end in a packet that starts the next one: the pointer field tells where the
+    old one's last bytes stand. One with a packet missing is given up, and counts as a table error."""
     chosen = packets[pids == pid]
-    starts = _payload_at(chosen)
-    held = b""
-    for row, at in zip(chosen, starts):
-        data = row[at:].tobytes()
-        if row[1] & 0x40:
-            held = data[1 + data[0] :] if data else b""
-        else:
+    chosen = chosen[~_repeats(chosen) & (chosen[:, 3] & 0x10 > 0)]
+    held: bytes | None = None
+    last = -1
+    for row, at in zip(chosen, _payload_at(chosen)):
+        data, count = row[at:].tobytes(), int(row[3] & 15)
+        if held and last >= 0 and count != (last + 1) & 15:
+            out.table_errors += 1
+            held = None
+        last = count
+        if row[1] & 0x40 and data:
+            ends = 1 + data[0]
+            if held:
+                yield from _whole(held + data[1:ends], out)[0]
+            held = data[ends:]
+        elif held is not None:
             held += data
-        while len(held) >= 3 and held[0] != 0xFF and len(held) >= (size := 3 + ((held[1] & 15) << 8 | held[2])):
-            if size >= 12 and section_crc(held[: size - 4]) == int.from_bytes(held[size - 4 : size], "big"):
-                yield held[:size]
-            else:
-                out.table_errors += 1
-            held = held[size:]
+        if held:
+            found, held = _whole(held, out)
+            yield from found
+
+
+def _whole(held: bytes, out: Stream) -> tuple[list[bytes], bytes]:
+    """(sections that are complete and have the right checksum, the rest)."""
+    found = []
+    while len(held) >= 3 and held[0] != 0xFF and len(held) >= (size := 3 + ((held[1] & 15) << 8 | held[2])):
+        if size >= 12 and section_crc(held[: size - 4]) == int.from_bytes(held[size - 4 : size], "big"):
+            found.append(held[:size])
+        else:
+            out.table_errors += 1
+        held = held[size:]
+    return found, b"" if held[:1] == b"\xff" else held
 
 
 def demux(media: bytes) -> Stream:
     """Parse a transport stream."""
     rows = np.frombuffer(media, np.uint8)[: len(media) // PACKET * PACKET].reshape(-1, PACKET)
-    good = rows[:, 0] == SYNC
+    good = (rows[:, 0] == SYNC) & (rows[:, 1] & 0x80 == 0)
     packets = rows[good]
     out = Stream(packets=len(packets), lost=int((~good).sum()) + (len(media) % PACKET > 0))
     pids = (packets[:, 1].astype(np.int64) & 31) << 8 | packets[:, 2]
@@ -184,13 +212,14 @@ def _elementary(rows: np.ndarray, pid: int, out: Stream) -> None:
     count = rows[:, 3] & 15
     jump = adapted & (rows[:, 4] > 0) & ((rows[:, 5] & 0x80) > 0)
     flags = adapted & (rows[:, 4] > 0) & ((rows[:, 5] & 0x40) > 0)
-    again = np.zeros(len(rows), bool)
+    again = _repeats(rows)
     if len(rows) > 1:
-        again[1:] = filled[1:] & filled[:-1] & (count[1:] == count[:-1]) & (rows[1:] == rows[:-1]).all(axis=1)
         due = (count[:-1] + filled[1:]) & 15
         broken = (count[1:] != due) & ~again[1:] & ~jump[1:]
         out.continuity_errors += int(broken.sum())
-    take = filled & ~again
+    secret = filled & (rows[:, 3] & 0xC0 > 0)
+    out.scrambled += int((secret & ~again).sum())
+    take = filled & ~again & ~secret
     timed = adapted & (rows[:, 4] >= ADAPTATION) & ((rows[:, 5] & 0x10) > 0)
     rows, at, flags, timed = rows[take], at[take], flags[take], timed[take]
     heads = np.flatnonzero(rows[:, 1] & 0x40)

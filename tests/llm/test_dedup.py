@@ -71,6 +71,28 @@ def test_deep_branches_and_blocks(spark, corpus, monkeypatch):
     assert found == {i: c for i, (_, c) in components(texts, 2).items()}
 
 
+def test_each_node_decides_whether_it_branches_again(spark, monkeypatch):
+    """One node of equal signatures can't be taken apart, another can: only rows of the first meet in blocks."""
+    monkeypatch.setattr(nearsets, "NODE_PAIRS", 8)
+    monkeypatch.setattr(nearsets, "NODE_ROWS", 8)
+    rng = np.random.default_rng(2)
+    same, own = rng.integers(0, 2**32, nearsets.PLACES, dtype=np.uint32), rng.integers(0, 2**32, (40, nearsets.PLACES), dtype=np.uint32)
+    signs = [*(same for _ in range(30)), *own]
+    classes = spark.createDataFrame([(k, 50, s.tobytes(), s.astype(np.uint8).tobytes()) for k, s in enumerate(signs)], "cid long, n long, sign binary, bytes binary")
+    active = spark.createDataFrame([(1 if k < 30 else 2, k) for k in range(70)], "node long, cid long")
+    labels = classes.select("cid", F.col("cid").alias("comp"))
+    paired, before = [], nearsets._block_pairs
+    monkeypatch.setattr(nearsets, "_block_pairs", lambda rows, *rest: paired.append({r.cid for r in rows.select("cid").distinct().collect()}) or before(rows, *rest))
+    near = nearsets._near(active, classes, labels, 70).collect()
+    assert paired and set.union(*paired) == set(range(30))
+    assert {r.cid for r in near} == set(range(30)) and max(r.rows for r in near) <= 2 * nearsets.NODE_ROWS
+
+
+def test_one_class_outside_a_huge_component_is_linear(spark):
+    nodes = spark.createDataFrame([(1, k, 0 if k else -1) for k in range(20_000)], "node long, cid long, comp long")
+    assert nearsets._spread(nodes).first().pairs == nearsets.NODE_ROWS
+
+
 def test_large_components_are_dealt(spark, corpus, monkeypatch):
     monkeypatch.setattr(nearsets, "NODE_ROWS", 4)
     monkeypatch.setattr(nearsets, "BLOCK", 2)

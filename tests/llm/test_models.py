@@ -7,6 +7,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from pyspark.sql import functions as F
+
 from siftwright.llm import labelled, language, quality, toxicity
 
 SF = "/root/testdata/sf0.01"
@@ -148,6 +150,16 @@ def test_language_odd_rows(odd, empty, spark):
     assert {r.lang_pred for r in language.identify(odd, none).collect()} == {"und"}
 
 
+def average_precision(rows):
+    """Mean precision at the rows of class 1, by falling score."""
+    hits, total = 0, 0.0
+    for k, r in enumerate(sorted(rows, key=lambda r: -r.score), 1):
+        if r.truth:
+            hits += 1
+            total += hits / k
+    return total / hits
+
+
 def test_toxicity(tables):
     docs, labels = tables
     found = toxicity.score(docs, toxicity.train(docs, labels))
@@ -155,6 +167,16 @@ def test_toxicity(tables):
     assert found.where("score < 0 OR score > 1").count() == 0
 
 
+def test_toxicity_of_rows_that_no_model_has_seen(spark):
+    """Ranking, recall and precision of class 1, which few rows have."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{name}.parquet") for name in ("documents", "labels"))
+    found = toxicity.score(docs, toxicity.train(docs, labels)).where("held_out").join(labels.selectExpr("doc_id", "toxic AS truth"), "doc_id")
+    rows = found.where("truth IS NOT NULL").select("score", "predicted", "truth").collect()
+    ones, told = [r for r in rows if r.truth], [r for r in rows if r.predicted]
+    assert average_precision(rows) > 0.94
+    assert sum(r.predicted for r in ones) > 0.85 * len(ones) and sum(r.truth for r in told) > 0.93 * len(told)
+
+
 def test_toxicity_keeps_every_clear_ngram(spark):
     random.seed(5)
     word = lambda: "".join(random.choices("abcdefghijklmnopqrstuvwxyz", k=9))
@@ -191,6 +213,56 @@ def test_quality(tables):
     assert accuracy(found, labels.selectExpr("doc_id", "quality AS truth")) > 0.93
 
 
+def test_quality_of_tables_with_other_columns(spark, tables):
+    """A column n_chars that holds no numbers is a missing one."""
+    docs, labels = tables
+    odd = docs.withColumn("n_chars", F.when(F.col("doc_id") % 2 == 0, "n/a").otherwise("12.5"))
+    found = quality.score(odd, quality.train(odd, labels))
+    assert found.count() == docs.count() and found.where("score IS NULL").count() == 0
+
+
+def test_quality_fit_goes_down_the_gradient(monkeypatch):
+    """One step of the fit changes each weight against the loss's slope, told by differences of the loss."""
+    rng = np.random.default_rng(6)
+    n, wide = 12, 9
+    row = np.repeat(np.arange(n), 4)
+    column = np.concatenate([rng.choice(wide, 4, replace=False) for _ in range(n)])
+    value, label = rng.normal(size=4 * n), rng.integers(0, 2, n).astype(float)
+    monkeypatch.setattr(quality, "SIZE", wide)
+    monkeypatch.setattr(quality, "EPOCHS", 0)
+    monkeypatch.setattr(quality, "LEAST_STEPS", 0)
+    before = quality.fit(row, column, value, label)
+    monkeypatch.setattr(quality, "LEAST_STEPS", 1)
+    after = quality.fit(row, column, value, label)
+
+    def loss(machine):
+        raw, _ = machine.raw(row, column, value, n)
+        return float(np.mean(np.logaddexp(0, raw) - label * raw))
+
+    for name in ("linear", "factors"):
+        old, new = getattr(before, name), getattr(after, name)
+        for at in np.ndindex(old.shape):
+            moved = {name: old.copy()}
+            moved[name][at] += 1e-6
+            slope = (loss(quality.Machine(before.bias, **({"linear": before.linear, "factors": before.factors} | moved))) - loss(before)) / 1e-6
+            if abs(slope) > 1e-3:
+                assert np.sign(new[at] - old[at]) == -np.sign(slope)
+    assert loss(after) < loss(before)
+
+
+def test_pairwise_interactions_matter():
+    """Labels that only a pair of features tells: the machine learns them, its linear part alone doesn't."""
+    rng = np.random.default_rng(8)
+    n = 1500
+    bits = rng.integers(0, 2, (n, 2))
+    label = (bits[:, 0] ^ bits[:, 1]).astype(float)
+    row, column = np.repeat(np.arange(n), 2), (np.array([0, 2]) + bits).ravel()
+    machine = quality.fit(row, column, np.ones(2 * n), label)
+    raw, _ = machine.raw(row, column, np.ones(2 * n), n)
+    linear, _ = quality.Machine(machine.bias, machine.linear, np.zeros_like(machine.factors)).raw(row, column, np.ones(2 * n), n)
+    assert ((raw > 0) == label).mean() > 0.95 > 0.7 > ((linear > 0) == label).mean()
+
+
 def test_sum_of_squares_identity():
     rng = np.random.default_rng(3)
     machine = quality.Machine(0.3, rng.normal(size=quality.SIZE), rng.normal(size=(quality.SIZE, quality.RANK)))

@@ -179,3 +179,49 @@ def test_matches_after_a_match(spark):
     rows = pii.digest_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     for r in rows:
         assert [x for x in r.spans.split(",") if x] == [f"{k}:{m.start()}:{m.end()}" for k, p in PATTERNS.items() for m in re.finditer(p, texts[r.doc_id]) if valid(k, m[0])]
+
+
+def packet(pid, count, payload, start=False, flags=0, secret=0):
+    """A packet whose payload fills it."""
+    assert len(payload) == 184
+    return bytes([transport.SYNC, flags | (0x40 if start else 0) | pid >> 8, pid & 255, secret << 6 | 0x10 | count & 15]) + payload
+
+
+def long_map(described=200):
+    """A program map table with a long descriptor."""
+    pid = transport.DATA_PID
+    body = bytes([0xE0 | pid >> 8, pid & 255, 0xF0 | described + 2 >> 8, described + 2 & 255, 0x80, described]) + b"d" * described
+    return transport._section(2, 1, body + bytes([transport.PRIVATE_TYPE, 0xE0 | pid >> 8, pid & 255, 0xF0, 0]))
+
+
+def units_after(table_packets, payload=b"unit" * 16):
+    """What is found behind the first table and these packets of the second."""
+    packets = [transport._tables()[0].tobytes(), *table_packets, *(transport.mux(payload)[k : k + 188] for k in range(376, len(transport.mux(payload)), 188))]
+    return transport.demux(b"".join(packets))
+
+
+def test_tables_over_several_packets():
+    table, pid = long_map(), transport.MAP_PID
+    first = packet(pid, 0, b"\0" + table[:183], True)
+    plain = packet(pid, 1, table[183:].ljust(184, b"\xff"))
+    # the rest stands before the next section, whose place the pointer field tells
+    rest = table[183:]
+    pointed = packet(pid, 1, bytes([len(rest)]) + rest + table[: 183 - len(rest)], True)
+    last = packet(pid, 2, table[183 - len(rest) :].ljust(184, b"\xff")[:184])
+    for packets in ([first, plain], [first, first, plain, plain], [first, pointed, last]):
+        found = units_after(packets)
+        assert found.streams == {transport.DATA_PID: transport.PRIVATE_TYPE} and found.table_errors == 0
+        assert [u.data for u in found.units] == [b"unit" * 16]
+    gone = units_after([first, packet(pid, 2, plain[4:])])  # the second packet's counter has jumped
+    assert gone.streams == {} and gone.table_errors == 1 and gone.units == []
+
+
+def test_damaged_and_scrambled_packets():
+    media = transport.mux(b"x" * 1000)
+    packets = [media[k : k + 188] for k in range(0, len(media), 188)]
+    damaged = [*packets[:3], bytes([packets[3][0], packets[3][1] | 0x80]) + packets[3][2:], *packets[4:]]
+    found = transport.demux(b"".join(damaged))
+    assert found.lost == 1 and found.continuity_errors == 1 and not found.units[0].complete
+    secret = [*packets[:2], *(p[:3] + bytes([p[3] | 0xC0]) + p[4:] for p in packets[2:])]
+    found = transport.demux(b"".join(secret))
+    assert found.scrambled == len(packets) - 2 and found.units == [] and found.continuity_errors == 0
