@@ -80,9 +80,9 @@ def filter_by_metadata(items: DataFrame, criteria: str | None, strict: bool = Fa
     return items.where(metadata_predicate(F.coalesce("metadata", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))), criteria, strict)).groupBy("path").agg(F.min("ordinal").alias("ordinal"))
 
 
-def has_age_gender(items: DataFrame) -> DataFrame:
-    """One row ``present``: whether any item has age or gender metadata."""
-    return items.agg(F.coalesce(F.bool_or(F.exists(F.map_keys("metadata"), lambda k: F.lower(k).isin("age", "gender"))), F.lit(False)).alias("present"))
+def has_age_gender(items: DataFrame, *by: str) -> DataFrame:
+    """``present``: whether any item has age or gender metadata, in one row, or one for each group ``by`` columns."""
+    return items.groupBy(*by).agg(F.coalesce(F.bool_or(F.exists(F.map_keys("metadata"), lambda k: F.lower(k).isin("age", "gender"))), F.lit(False)).alias("present"))
 
 
 def compose_age_gender(gender: str | None, op: str | None, age: str | None) -> str:

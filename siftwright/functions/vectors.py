@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,24 +31,30 @@ def normalised(a: Column) -> Column:
     return F.transform(a, lambda x: F.coalesce(F.try_divide(x.cast("double"), norm(a)), F.lit(0.0)))
 
 
-def hamming(a: Column, b: Column) -> Column:
-    """Differing bits of two hex hashes of 64 digits; null where either is missing or not of that form."""
-    one, two = (hash_words(x) for x in (a, b))
-    return hamming_words(one, two)
+def is_hash(h: Column) -> Column:
+    """True for a hex hash of 64 digits."""
+    return F.coalesce(h.rlike("^[0-9a-fA-F]{64}$"), F.lit(False))
+
+
+def _word(h: Column, i: int) -> Column:
+    return F.conv(F.substring(h, 8 * i + 1, 8), 16, 10).cast("bigint")
 
 
-def hash_words(h: Column) -> Column:
-    """A hex hash of 64 digits as four longs, null for other texts; stored once, it saves the conversion in searches."""
-    half = lambda i: F.conv(F.substring(h, 8 * i + 1, 8), 16, 10).cast("bigint")
-    words = F.array(*(F.shiftleft(half(2 * i), 32).bitwiseOR(half(2 * i + 1)) for i in range(4)))
-    return F.when(h.rlike("^[0-9a-fA-F]{64}$"), words)
+def differing_bits(a: Column, b: Column | str) -> Column:
+    """Differing bits of two texts that are hashes; each of the eight words of a column is told once, and those of a constant
+    before the query runs."""
+    other = (lambda i: F.lit(int(b[8 * i : 8 * i + 8], 16))) if isinstance(b, str) else (lambda i: _word(b, i))
+    return reduce(lambda x, y: x + y, (F.bit_count(_word(a, i).bitwiseXOR(other(i))) for i in range(HASH_BITS // 32)))
 
 
-def hamming_words(a: Column, b: Column) -> Column:
-    """Differing bits of two hashes as ``hash_words`` gives them."""
-    return sum((F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(1, 4)), F.bit_count(a[0].bitwiseXOR(b[0])))
+def hamming(a: Column, b: Column | str) -> Column:
+    """Differing bits of two hex hashes of 64 digits, the second perhaps a constant; null where either is missing or not of
+    that form."""
+    if isinstance(b, str):
+        return F.when(is_hash(a), differing_bits(a, b)) if re.fullmatch("[0-9a-fA-F]{64}", b) else F.lit(None).cast("int")
+    return F.when(is_hash(a) & is_hash(b), differing_bits(a, b))
 
 
-def hash_similarity(a: Column, b: Column) -> Column:
+def hash_similarity(a: Column, b: Column | str) -> Column:
     """1 - Hamming distance / 256, to 4 places."""
     return F.round(1 - hamming(a, b) / HASH_BITS, 4)

@@ -10,8 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwright.functions import scalars
+from siftwright.session import materialise
 from siftwright.sources import files
 
+#: Tables of one row a group up to this many rows go to every task.
+SEND_AT_MOST = 200_000
+
 
 def missing(requested: DataFrame, cached: DataFrame, key: list[str]) -> DataFrame:
     """Requested keys without a cached row."""
@@ -48,20 +52,25 @@ def moves_by_content(requested: DataFrame, cached: DataFrame) -> DataFrame:
     still = requested.select(F.col("path").alias("old_path")).distinct().withColumn("kept", F.lit(True))
     old = cached.where(F.coalesce("sha256", F.lit("")) != "").select(F.col("path").alias("old_path"), "sha256").distinct().join(still, "old_path", "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
     # the n-th new path relocates the n-th free row; further ones copy the first row: each new row has one partner
-    new = _placed(new, "sha256", "path")
-    old = _placed(old, "sha256", "kept", "old_path")
-    free = old.groupBy("sha256").agg(F.count_if(~F.col("kept")).alias("free"))
-    wanted = new.join(free, "sha256").withColumn("relocates", F.col("place") <= F.col("free"))
-    moved = wanted.where("relocates").join(old.select("sha256", "place", "old_path"), ["sha256", "place"])
-    copied = wanted.where("NOT relocates").join(old.where("place = 1").select("sha256", "old_path"), "sha256")
+    per = old.groupBy("sha256").agg(F.count_if(~F.col("kept")).alias("free"), F.min(F.struct("kept", "old_path"))["old_path"].alias("first"))
+    per = materialise(per.join(new.select("sha256").distinct(), "sha256", "left_semi"))
+    send = per.count() <= SEND_AT_MOST
+    sent = F.broadcast(per) if send else per
+    wanted = _placed(new.join(sent, "sha256"), "sha256", "path")
+    free = _placed(old.where("NOT kept").join(sent.select("sha256"), "sha256", "left_semi"), "sha256", "old_path")
+    moved = wanted.where("place <= free").select("sha256", "place", "path").join(free.select("sha256", "place", "old_path"), ["sha256", "place"])
+    copied = wanted.where("place > free").select("path", F.col("first").alias("old_path"))
     return moved.select("path", "old_path", F.lit("relocate").alias("action")).unionByName(copied.select("path", "old_path", F.lit("clone").alias("action")))
 
 
 def _placed(rows: DataFrame, group: str, *order: str) -> DataFrame:
     """``rows`` with their place from 1 within their group: sorted over all tasks by group and order, so that a frequent
-    group is dealt over many."""
+    group is dealt over many. Where each group begins is sent to every task while the groups are few; more of them are
+    joined by key, where a frequent group is split as it meets one row only."""
     numbered = files.numbered(rows, F.col(group), *(F.col(c) for c in order))
     first = numbered.groupBy(group).agg(F.min("ordinal").alias("_first"))
+    first = materialise(first)
+    first = F.broadcast(first) if first.count() <= SEND_AT_MOST else first
     return numbered.join(first, group).withColumn("place", F.col("ordinal") - F.col("_first") + 1).drop("ordinal", "_first")
 
 
@@ -81,12 +90,19 @@ def apply_moves(cached: DataFrame, moves: DataFrame) -> DataFrame:
 
 
 def move_counts(requested: DataFrame, cached: DataFrame) -> DataFrame:
-    """One row: paths to compute anew, relocated and cloned."""
-    moves = moves_by_content(requested, cached)
-    new = missing(requested.select("path").distinct(), cached, ["path"])
-    joined = new.join(moves.select("path", "action"), "path", "left")
-    is_a = lambda x: F.coalesce(F.sum((F.coalesce("action", F.lit("new")) == x).cast("bigint")), F.lit(0)).cast("bigint")
-    return joined.agg(is_a("new").alias("new"), is_a("relocate").alias("relocated"), is_a("clone").alias("cloned"))
+    """One row: paths to compute anew, relocated and cloned, as ``moves_by_content`` would move them.
+
+    Of each hash's new paths as many are relocated as there are cached rows whose path isn't requested; the rest are cloned.
+    Counts per hash tell that, so no row is placed or paired.
+    """
+    new = missing(requested.select("path", "sha256").distinct(), cached, ["path"])
+    kept = requested.select(F.col("path").alias("old_path"), F.lit(True).alias("kept")).distinct()
+    old = cached.where(F.coalesce("sha256", F.lit("")) != "").select(F.col("path").alias("old_path"), "sha256").distinct().join(kept, "old_path", "left")
+    per = old.groupBy("sha256").agg(F.count_if(F.col("kept").isNull()).alias("free"))
+    want = new.groupBy(F.when(F.col("sha256") != "", F.col("sha256")).alias("sha256")).agg(F.count("*").alias("want")).join(per, "sha256", "left")
+    relocated = F.least("want", F.coalesce("free", F.lit(0)))
+    total = lambda x: F.coalesce(F.sum(x), F.lit(0)).cast("bigint")
+    return want.agg(total(F.when(F.col("free").isNull(), F.col("want"))).alias("new"), total(relocated).alias("relocated"), total(F.when(F.col("free").isNotNull(), F.col("want") - relocated)).alias("cloned"))
 
 
 def embed_missing(requested: DataFrame, cached: DataFrame, key: list[str], embed) -> DataFrame:

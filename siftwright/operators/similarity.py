@@ -6,6 +6,7 @@ gallery, and a larger one is joined by blocks. Every ranking names a tie-breakin
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -117,10 +118,14 @@ def matches_per_query(queries: DataFrame, hits: DataFrame, key: str, least: floa
     return joined.select("query", F.coalesce(F.transform("l", lambda x: x["target"]), F.array().cast("array<bigint>")).alias("targets"))
 
 
-def hash_search(candidates: DataFrame, query_hash: str | Column, k: int, tie: str, column: str = "pdq_hash") -> DataFrame:
-    """Top-k by hash similarity; empty hashes are skipped."""
-    wanted = F.lit(query_hash) if isinstance(query_hash, str) else query_hash
-    return top_k(candidates.where(F.coalesce(F.col(column), F.lit("")) != "").withColumn("similarity", vectors.hash_similarity(F.col(column), wanted)), k, tie)
+def hash_search(candidates: DataFrame, query_hash: str, k: int, tie: str, column: str = "pdq_hash") -> DataFrame:
+    """Top-k by hash similarity; rows without a hash are skipped, and a query that is none finds nothing."""
+    hashed = candidates.where(vectors.is_hash(F.col(column)))
+    if not re.fullmatch("[0-9a-fA-F]{64}", query_hash):
+        return hashed.where("false").withColumns({"similarity": F.lit(None).cast("double"), "rank": F.lit(None).cast("bigint")})
+    score = F.round(1 - vectors.differing_bits(F.col(column), query_hash) / vectors.HASH_BITS, 4)
+    best = hashed.withColumn("similarity", score).orderBy(F.desc("similarity"), tie).limit(k)
+    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("similarity"), tie)).cast("bigint"))
 
 
 def series_search(candidates: DataFrame, mode: str, query: list[float], query_hash: str, k: int, least: float, tie: str, exclude: Column | None = None, weights: tuple[float, float] = (0.6, 0.4)) -> DataFrame:
@@ -129,7 +134,7 @@ def series_search(candidates: DataFrame, mode: str, query: list[float], query_ha
 
     pool = candidates if exclude is None else candidates.where(~exclude)
     semantic = with_similarity(pool, query).where(F.col("similarity").isNotNull()).select(tie, F.round("similarity", 4).alias("score"))
-    hashed = pool.where(F.coalesce(F.col("pdq_hash"), F.lit("")) != "").select(tie, vectors.hash_similarity(F.col("pdq_hash"), F.lit(query_hash)).alias("score"))
+    hashed = pool.where(F.coalesce(F.col("pdq_hash"), F.lit("")) != "").select(tie, vectors.hash_similarity(F.col("pdq_hash"), query_hash).alias("score"))
     if mode == "semantic":
         scored = semantic.withColumnRenamed("score", "similarity")
     elif mode == "pdq":

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwright.functions import embedders, predicates, scalars, texts, vectors
-from siftwright.operators import cache, detections, evaluate, fusion, graph, grouping, lineage, neighbours, nested, similarity, state, vector_index
+from siftwright.operators import cache, crawl, detections, evaluate, fusion, graph, grouping, lineage, neighbours, nested, similarity, state, vector_index
 from siftwright.session import shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -144,7 +144,7 @@ def hamming_topk(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("pdq_hash"))
     wanted = docs.where("doc_id = 0").first().pdq_hash
     found = similarity.hash_search(docs, wanted, 10, "doc_id")
-    return found.select("doc_id", vectors.hamming(F.col("pdq_hash"), F.lit(wanted)).alias("distance"), "similarity", "rank")
+    return found.select("doc_id", vectors.hamming(F.col("pdq_hash"), wanted).alias("distance"), "similarity", "rank")
 
 
 @query(f"""
@@ -254,9 +254,8 @@ def metadata_filter_paths(spark, sf_dir):
 @query("""SELECT c_mktsegment AS segment, bool_or(c_acctbal < 0) AS present FROM customer GROUP BY 1""")
 def age_gender_gate(spark, sf_dir):
     """FL10: whether any row has age or gender metadata; here customers in debt have it, and each segment is a gate."""
-    rows = table(spark, sf_dir, "customer").select("c_mktsegment", F.when(F.col("c_acctbal") < 0, F.create_map(F.lit("aGe"), F.lit("(1-2)"))).otherwise(F.create_map(F.lit("agenda"), F.lit("x"))).alias("metadata"))
-    gates = [predicates.has_age_gender(rows.where(F.col("c_mktsegment") == x)).select(F.lit(x).alias("segment"), "present") for x in sorted(r[0] for r in rows.select("c_mktsegment").distinct().collect())]
-    return reduce(DataFrame.unionByName, gates)
+    rows = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("segment"), F.when(F.col("c_acctbal") < 0, F.create_map(F.lit("aGe"), F.lit("(1-2)"))).otherwise(F.create_map(F.lit("agenda"), F.lit("x"))).alias("metadata"))
+    return predicates.has_age_gender(rows, "segment")
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_quantity BETWEEN 5 AND 10 OR l_quantity >= 49.5""")
@@ -625,6 +624,16 @@ def relocate_or_clone(spark, sf_dir):
     return cache.move_counts(wanted, stored)
 
 
+@query("""
+WITH n AS (SELECT '/new/' || doc_id || '.TXT' AS path, sha256(text) AS h FROM documents WHERE coalesce(lang, '') <> 'fr' AND text IS NOT NULL), o AS (SELECT '/old/' || doc_id || '.txt' AS path, sha256(text) AS h FROM documents WHERE coalesce(lang, '') <> 'de' AND text IS NOT NULL),
+a AS (SELECT *, row_number() OVER (PARTITION BY h ORDER BY path) AS rn FROM n), b AS (SELECT *, row_number() OVER (PARTITION BY h ORDER BY path) AS rn FROM o)
+SELECT a.path, coalesce(b.path, f.path) AS old_path, CASE WHEN b.path IS NULL THEN 'clone' ELSE 'relocate' END AS action FROM a JOIN b f ON f.h = a.h AND f.rn = 1 LEFT JOIN b ON b.h = a.h AND b.rn = a.rn""")
+def content_moves(spark, sf_dir):
+    """JN11, DM3: which cached row each new path of a known hash takes over or copies."""
+    stored, wanted = _cache_tables(spark, sf_dir)
+    return cache.moves_by_content(wanted, stored)
+
+
 @query("""SELECT n_name AS source, count(*) AS n FROM (SELECT n_name, row_number() OVER (PARTITION BY n_name ORDER BY c_custkey) AS rn FROM customer JOIN nation ON c_nationkey = n_nationkey) WHERE rn <= 5 GROUP BY 1""")
 def sample_per_source(spark, sf_dir):
     """SC30, SO12: at most n rows per source, a sampling operator."""
@@ -632,6 +641,22 @@ def sample_per_source(spark, sf_dir):
     return grouping.limited(rows, ["n_name"], "c_custkey", 5).groupBy(F.col("n_name").alias("source")).agg(F.count("*").alias("n"))
 
 
+@query("""WITH RECURSIVE n AS (SELECT count(*) AS n FROM pages), e AS (SELECT p.page_id AS a, x.b FROM pages p, n, (VALUES (0), (1), (2)) k(k), LATERAL (SELECT CASE k WHEN 0 THEN 2 * p.page_id + 1 WHEN 1 THEN 2 * p.page_id + 2 ELSE p.page_id // 3 END AS b) x WHERE x.b < n AND x.b % 10 <> 7),
+r(b, depth) AS (SELECT 5::BIGINT, 0 UNION SELECT e.b, r.depth + 1 FROM r JOIN e ON e.a = r.b WHERE r.depth < 24), f AS (SELECT b, min(depth) AS depth FROM r GROUP BY 1)
+SELECT '/wiki/' || f.b AS path, f.depth, (SELECT min('/wiki/' || g.b) FROM f g JOIN e ON e.a = g.b WHERE e.b = f.b AND g.depth = f.depth - 1) AS parent FROM f""")
+def wiki_crawl(spark, sf_dir):
+    """SC28: pages that links lead to from a start, with the fewest steps and the first page that leads there. Each page links
+    to two further ones and back to an earlier one, by relative and absolute links; no link leads to ids that end in 7."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "html")
+    n, p = pages.count(), F.col("page_id")
+    link = lambda target, form: F.when((target < n) & (target % 10 != 7), F.concat(F.lit(form), target.cast("string"), F.lit('#top">x</a>'))).otherwise("")
+    further = F.concat(link(2 * p + 1, '<a href="/wiki/'), link(2 * p + 2, '<a class="x" href="'), link(F.floor(p / 3), '<a href="http://h.example/wiki/'))
+    made = pages.select(F.concat(F.lit("http://h.example/wiki/"), p.cast("string")).alias("url"), F.concat("html", further).alias("html"))
+    found = crawl.reachable(made, ["http://h.example/wiki/5"])
+    path = lambda c: F.regexp_extract(c, "(/wiki/.*)$", 1)
+    return found.select(path("url").alias("path"), "depth", F.when(F.col("parent").isNotNull(), path("parent")).alias("parent"))
+
+
 @query("""SELECT p_partkey, p_brand, CASE p_brand WHEN 'Brand#11' THEN 1 WHEN 'Brand#22' THEN 2 ELSE 10000 END AS menu_rank FROM part""")
 def menu_order(spark, sf_dir):
     """SO15, FL29: rank table with unknown entries last."""

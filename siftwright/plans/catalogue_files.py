@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from siftwright.plans.catalogue import query
 from siftwright.session import shared_folder, table
 from siftwright.sources import bitmaps, container, files, filewriter, logends, sinks
-from siftwright.streaming import incremental
+from siftwright.streaming import incremental, progress
 
 _SUFFIXES = [".txt", ".MD", ".log", ".jpg", ".PNG"]
 _HEADS = {3: "ffd8ffe0", 4: "89504e47"}
@@ -182,10 +182,10 @@ def evaluation_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.evaluation_files(table(spark, sf_dir, "part").select(name.alias("filename"), split.alias("split"), truth.alias("ground_truth")), 100)
 
 
-@query("SELECT 1000::BIGINT AS n, 1000::BIGINT AS ids, true AS known, true AS varied")
+@query("SELECT count(*) AS n, count(*) AS ids, true AS known, true AS varied FROM customer")
 def prompt_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SC33: random attributes, repeatable by seed."""
-    rows = files.prompts(spark, {"colour": ["red", "blue"], "size": ["s", "m", "l"]}, 1000, 7)
+    """SC33: random attributes for as many people as there are customers, repeatable by seed."""
+    rows = files.prompts(spark, {"colour": ["red", "blue"], "size": ["s", "m", "l"]}, table(spark, sf_dir, "customer").count(), 7)
     known = F.col("colour").isin("red", "blue") & F.col("size").isin("s", "m", "l")
     return rows.agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids"), F.bool_and(known).alias("known"), (F.countDistinct("colour", "size") == 6).alias("varied"))
 
@@ -335,3 +335,15 @@ def response_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     incremental.json_lines(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")).write.text(f"{folder}/lines")
     incremental.append_lines(spark, f"{folder}/lines", f"{folder}/seen", f"{folder}/state").awaitTermination()
     return spark.read.parquet(f"{folder}/seen").select(F.get_json_object("line", "$.o_orderkey").cast("bigint").alias("key"), "line")
+
+
+@query("SELECT count(*) AS rows, 4::BIGINT AS batches, true AS in_order FROM orders")
+def stream_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST3: the progress of a stream as rows: each batch's input, adding up to the table."""
+    folder = _new_folder(spark)
+    table(spark, sf_dir, "orders").repartition(4).write.parquet(f"{folder}/in")
+    with progress.recorded(spark, f"{folder}/progress"):
+        orders = spark.readStream.schema(table(spark, sf_dir, "orders").schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+        orders.writeStream.queryName("orders").format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    rows = progress.read(spark, f"{folder}/progress").where("name = 'orders' AND input_rows > 0")
+    return rows.agg(F.sum("input_rows").alias("rows"), F.count("*").alias("batches"), (F.max("batch") == F.count("*") - 1).alias("in_order"))

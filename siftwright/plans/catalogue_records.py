@@ -12,6 +12,7 @@ from siftwright.operators import cache, detections, fusion, lineage, nested, sim
 from siftwright.plans import registry, slots
 from siftwright.plans.catalogue import query
 from siftwright.session import table
+from siftwright.sources import files
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -129,8 +130,7 @@ def adjacent_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cases_and_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SO7, SO8: cases newest first; the filters of one owner."""
     rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("case_id"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("created"), F.col("s_nationkey").cast("string").alias("owner_id"))
-    listed = state.newest_first(rows, "created", "case_id").withColumn("_at", F.monotonically_increasing_id())
-    place = listed.groupBy().agg(F.array_sort(F.collect_list(F.struct("_at", "case_id"))).alias("l")).select(F.posexplode("l").alias("p", "x")).select(F.col("x.case_id").alias("case_id"), (F.col("p") + 1).cast("bigint").alias("place"))
+    place = files.numbered(rows.select("case_id", "created"), F.desc("created"), F.col("case_id")).select("case_id", (F.col("ordinal") + 1).alias("place"))
     mine = state.newest_first(rows, "created", "case_id", "4").select("case_id", F.lit(True).alias("mine"))
     return rows.join(place, "case_id").join(mine, "case_id", "left").select("case_id", "name", "place", F.coalesce("mine", F.lit(False)).alias("mine"))
 
@@ -444,11 +444,13 @@ def registered_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return known.run(plan, rows, keep_paths=rows.select("path")).select("p_partkey", "text")
 
 
-@query("SELECT name, place FROM (VALUES ('Cut texts', 1), ('Search texts', 2), ('Filter by metadata', 3), ('Flag matches', 4), ('Search chunks', 5), ('Search images', 6), ('Search image series', 7), ('Find faces', 8)) t(name, place)")
+@query("SELECT name, place, count(*) AS calls FROM (VALUES ('Cut texts', 1), ('Search texts', 2), ('Filter by metadata', 3), ('Flag matches', 4), ('Search chunks', 5), ('Search images', 6), ('Search image series', 7), ('Find faces', 8)) t(name, place) JOIN events ON event_id % 8 + 1 = place GROUP BY 1, 2")
 def registry_menu(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """UD4, SO15: operators in menu order; those of hidden groups don't show."""
-    rows = [(r.title, k + 1) for k, r in enumerate(registry.default_registry().listing(spark).collect())]
-    return spark.createDataFrame(rows, "name string, place int")
+    """UD4, SO15: operators in menu order, those of hidden groups left out, with how often each was called."""
+    listed = [(r.title, k + 1) for k, r in enumerate(registry.default_registry().listing(spark).collect())]
+    menu = spark.createDataFrame(listed, "name string, place int")
+    calls = table(spark, sf_dir, "events").groupBy((F.col("event_id") % 8 + 1).cast("int").alias("place")).agg(F.count("*").alias("calls"))
+    return menu.join(calls, "place").select("name", "place", "calls")
 
 
 @query("""WITH q AS (SELECT embedding FROM embeddings WHERE vec_id = 0), s AS (SELECT e.label, e.vec_id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS sim FROM embeddings e, q), b AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY sim DESC, vec_id) AS rn FROM s), r AS (SELECT *, row_number() OVER (ORDER BY sim DESC, vec_id) AS rank FROM b WHERE rn = 1)
@@ -477,11 +479,11 @@ def model_slot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stand_in.apply(rows).select("p_partkey", "length", "prediction")
 
 
-@query("SELECT 200 AS size, 7 AS plain, 32 AS workers, 1 AS unset FROM region LIMIT 1")
+@query("SELECT p_partkey, CASE WHEN p_size < 5 THEN 7 ELSE greatest(1, least(200, 10 * p_size - 100)) END AS size, CASE WHEN p_size < 5 THEN 1 ELSE greatest(1, least(32, p_size)) END AS workers FROM part")
 def batch_clamps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FN36: batch sizes and workers within their bounds."""
-    values = (registry.clamped(500, 200), registry.clamped(None, 200, "7"), registry.clamped(40, 32), registry.clamped(None, 32))
-    return spark.createDataFrame([values], "size int, plain int, workers int, unset int")
+    """FN36: batch sizes and workers of requests within their bounds; a request without one takes the setting, or 1."""
+    asked = lambda value: F.when(F.col("p_size") >= 5, value)
+    return table(spark, sf_dir, "part").select("p_partkey", registry.clamped_values(asked(10 * F.col("p_size") - 100), 200, 7).alias("size"), registry.clamped_values(asked(F.col("p_size")), 32).alias("workers"))
 
 
 @query("SELECT n_name AS text, 0 AS chunk_index, true AS unit FROM nation")

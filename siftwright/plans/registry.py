@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Verbs of the command line and the operator that they call.
@@ -105,6 +105,11 @@ def chained_arguments(arguments: dict, inputs: list[str], output_path: str | Non
     return arguments | {into: output_path} | ({out: output_path} if out else {})
 
 
+def clamped_values(value: Column, most: int, setting: int | None = None) -> Column:
+    """Numbers of requests between 1 and ``most``; a request without one takes the setting, or 1."""
+    return F.greatest(F.lit(1), F.least(F.lit(most), F.coalesce(value, F.lit(setting), F.lit(1))))
+
+
 def clamped(value: int | None, most: int, setting: str | None = None) -> int:
     """A batch size or number of workers: the value up to ``most``, else a setting's text, else 1."""
     if value is not None:
