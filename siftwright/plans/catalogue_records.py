@@ -296,19 +296,19 @@ def request_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested.request_parts(requests).unionByName(told)
 
 
-@query("""SELECT doc_id, CASE WHEN length(text) > 16000 THEN left(text, 16000) || '...<trunc ' || length(text) || ' chars>' ELSE text END AS text, 11::BIGINT AS depth, 5001::BIGINT AS items, '<truncated 12 list items>' AS mark, 401::BIGINT AS keys, 5::BIGINT AS more FROM documents WHERE text IS NOT NULL""")
+@query("""SELECT doc_id, CASE WHEN length(text) > 16000 THEN left(text, 16000) || '...<trunc ' || length(text) || ' chars>' ELSE text END AS text, least(11 + doc_id % 7, 15) AS depth,
+least(390 + doc_id % 20, 400) + CASE WHEN doc_id % 20 > 10 THEN 1 ELSE 0 END AS keys, CASE WHEN doc_id % 20 > 10 THEN doc_id % 20 - 10 END AS more, CASE WHEN doc_id % 100 = 1 THEN 5001 END::BIGINT AS items, CASE WHEN doc_id % 100 = 1 THEN '<truncated ' || (1 + doc_id % 3) || ' list items>' END AS mark FROM documents WHERE text IS NOT NULL""")
 def payload_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FN22, SO12: payloads cut in depth, text, list and key bounds."""
+    """FN22, SO12: payloads of every document cut in depth, text, list and key bounds."""
+    n, cut = F.col("doc_id"), nested.cut_payloads()
+    steps = (11 + n % 7).cast("int")
+    deep = F.concat(F.repeat(F.lit('{"a":'), steps), F.lit("1"), F.repeat(F.lit("}"), steps))
+    wide = F.to_json(F.map_from_entries(F.transform(F.sequence(F.lit(1), (390 + n % 20).cast("int")), lambda i: F.struct(i.cast("string").alias("k"), i.alias("v")))))
+    listed = F.when(n % 100 == 1, F.to_json(F.sequence(F.lit(1), (5001 + n % 3).cast("int"))))
     docs = table(spark, sf_dir, "documents").where("text IS NOT NULL")
-    deep = F.lit('{"a":' * 11 + "1" + "}" * 11)
-    listed = F.to_json(F.struct(F.sequence(F.lit(1), F.lit(5012)).alias("l")))
-    wide = F.to_json(F.map_from_entries(F.transform(F.sequence(F.lit(1), F.lit(405)), lambda i: F.struct(i.cast("string").alias("k"), i.alias("v")))))
-    cut = nested.cut_payloads()
-    bounds = spark.range(1).select(cut(deep).alias("d"), cut(listed).alias("l"), cut(wide).alias("w"))
-    items = F.from_json(F.get_json_object("l", "$.l"), "array<string>")
-    bounds = bounds.select((F.length("d") - F.length(F.replace("d", F.lit("{"), F.lit("")))).cast("bigint").alias("depth"), F.size(items).cast("bigint").alias("items"), F.element_at(items, -1).alias("mark"), F.size(F.json_object_keys("w")).cast("bigint").alias("keys"), F.get_json_object("w", "$._truncated_key_count").cast("bigint").alias("more"))
-    text = F.from_json(cut(F.to_json(F.struct("text"))), "text string")["text"]
-    return docs.select("doc_id", text.alias("text")).join(F.broadcast(bounds))
+    done = docs.select("doc_id", cut(F.to_json(F.struct("text"))).alias("t"), cut(deep).alias("d"), cut(wide).alias("w"), cut(listed).alias("l"))
+    items = F.from_json("l", "array<string>")
+    return done.select("doc_id", F.from_json("t", "text string")["text"].alias("text"), (F.length("d") - F.length(F.replace("d", F.lit("{"), F.lit("")))).cast("bigint").alias("depth"), F.size(F.json_object_keys("w")).cast("bigint").alias("keys"), F.get_json_object("w", "$._truncated_key_count").cast("bigint").alias("more"), F.when(items.isNotNull(), F.size(items)).cast("bigint").alias("items"), F.element_at(items, -1).alias("mark"))
 
 
 @query("""SELECT p_partkey, '/img/' || p_partkey || '.png' AS path, p_name || ' by ' || p_brand AS description FROM part WHERE p_size < 40""")
@@ -479,7 +479,7 @@ def model_slot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stand_in.apply(rows).select("p_partkey", "length", "prediction")
 
 
-@query("SELECT p_partkey, CASE WHEN p_size < 5 THEN 7 ELSE greatest(1, least(200, 10 * p_size - 100)) END AS size, CASE WHEN p_size < 5 THEN 1 ELSE greatest(1, least(32, p_size)) END AS workers FROM part")
+@query("SELECT p_partkey, CASE WHEN p_size < 5 THEN 7 ELSE least(200, 10 * p_size - 100) END AS size, CASE WHEN p_size < 5 THEN 1 ELSE least(32, p_size) END AS workers FROM part")
 def batch_clamps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FN36: batch sizes and workers of requests within their bounds; a request without one takes the setting, or 1."""
     asked = lambda value: F.when(F.col("p_size") >= 5, value)

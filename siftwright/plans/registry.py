@@ -106,8 +106,8 @@ def chained_arguments(arguments: dict, inputs: list[str], output_path: str | Non
 
 
 def clamped_values(value: Column, most: int, setting: int | None = None) -> Column:
-    """Numbers of requests between 1 and ``most``; a request without one takes the setting, or 1."""
-    return F.greatest(F.lit(1), F.least(F.lit(most), F.coalesce(value, F.lit(setting), F.lit(1))))
+    """``clamped`` for a column: each request's number up to ``most``, without one the setting, or 1."""
+    return F.when(value.isNotNull(), F.least(value, F.lit(most))).otherwise(F.coalesce(F.lit(setting), F.lit(1)))
 
 
 def clamped(value: int | None, most: int, setting: str | None = None) -> int:

@@ -327,12 +327,12 @@ def test_payload_bounds():
     for _ in range(20):
         value["a"] = {}
         value = value["a"]
-    text, depth = nested.cut_payload(deep), 0
+    text, depth = nested.cut_levels(deep), 0
     while isinstance(text, dict):
         text, depth = text["a"], depth + 1
     assert text == "<max_depth>" and depth == 15
-    assert nested.cut_payload("x" * 16_001) == "x" * 16_000 + "...<trunc 16001 chars>"
-    assert nested.cut_payload({"k" * 300: [1, None, 2.5, True]}) == {"k" * 200: [1, None, 2.5, True]}
+    assert nested.cut_levels("x" * 16_001) == "x" * 16_000 + "...<trunc 16001 chars>"
+    assert nested.cut_levels({"k" * 300: [1, None, 2.5, True]}) == {"k" * 200: [1, None, 2.5, True]}
 
 
 def test_best_of_equal_similarities():
