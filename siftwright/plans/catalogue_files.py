@@ -9,6 +9,7 @@ from __future__ import annotations
 import io
 import uuid
 import zipfile
+import zlib
 from collections.abc import Iterator
 from functools import reduce
 
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from siftwright.plans.catalogue import query
 from siftwright.session import shared_folder, table
-from siftwright.sources import bitmaps, container, files, filewriter, logends, sinks
+from siftwright.sources import bitmaps, container, files, filewriter, logends, pdf, sinks
 from siftwright.streaming import incremental, progress
 
 _SUFFIXES = [".txt", ".MD", ".log", ".jpg", ".PNG"]
@@ -275,6 +276,69 @@ def container_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _union(parts, "part").select(_container_name(), "part", F.col("data").cast("string").alias("data"))
 
 
+_PAGE, _KIDS = 1500, 8  # characters of a page of the documents below, and children of a node of their trees
+
+
+def _pdf(doc_id: int, text: str) -> bytes:
+    """A document's text as a PDF: by its id with plain or packed streams and object streams; every seventh is cut off."""
+    packed, plain = doc_id % 3 == 1, doc_id % 3 == 2 and text.isascii() and "\r" not in text
+    cuts = [text[k : k + _PAGE] for k in range(0, len(text), _PAGE)] or [""]
+    objects: dict[int, bytes] = {}
+
+    def stream(number: int, data: bytes) -> None:
+        data, name = (zlib.compress(data), b"/Filter /FlateDecode ") if packed else (data, b"")
+        objects[number] = b"<< %b/Length %d >>\nstream\n%b\nendstream" % (name, len(data), data)
+
+    def shown(line: str) -> bytes:
+        if plain:
+            return b"(%b)" % line.replace("\\", "\\\\").replace("(", "\\(").replace(")", "\\)").encode()
+        return b"<%b>" % line.encode("utf-16-be", "surrogatepass").hex().encode()
+
+    ranges = b"".join(b"<%02x00> <%02xff> <%02x00>\n" % (k, k, k) for k in range(256))
+    stream(4, b"begincmap 256 beginbfrange\n" + ranges + b"endbfrange endcmap")
+    objects[3] = b"<< /Type /Font /Subtype /Type1 /Encoding /WinAnsiEncoding >>" if plain else b"<< /Type /Font /Subtype /Type0 /Encoding /Identity-H /ToUnicode 4 0 R >>"
+    level, number = [], 5
+    for cut in cuts:
+        lines = b" T*\n".join(shown(line) + b" Tj" for line in cut.split("\n"))
+        stream(number, b"BT /F1 12 Tf 14 TL 72 720 Td\n" + lines + b"\nET")
+        objects[number + 1] = b"<< /Type /Page /Contents [%d 0 R] >>" % number
+        level, number = [*level, number + 1], number + 2
+    while len(level) > 1 or number == 7:
+        nodes = [level[k : k + _KIDS] for k in range(0, len(level), _KIDS)]
+        for k, node in enumerate(nodes):
+            objects[number + k] = b"<< /Type /Pages /Kids [%b] >>" % b" ".join(b"%d 0 R" % x for x in node)
+        level, number = list(range(number, number + len(nodes))), number + len(nodes)
+    objects[2] = objects.pop(level[0])[:-2] + b"/Resources << /Font << /F1 3 0 R >> >> >>"
+    objects[1] = b"<< /Type /Catalog /Pages 2 0 R >>"
+    if packed:
+        small = {k: objects.pop(k) for k in sorted(objects) if not objects[k].endswith(b"endstream")}
+        places, body = [], b""
+        for k, held in small.items():
+            places, body = [*places, b"%d %d" % (k, len(body))], body + held + b"\n"
+        head = b" ".join(places) + b" "
+        data = zlib.compress(head + body)
+        objects[number] = b"<< /Type /ObjStm /N %d /First %d /Filter /FlateDecode /Length %d >>\nstream\n%b\nendstream" % (len(small), len(head), len(data), data)
+    whole = b"%PDF-1.7\n" + b"".join(b"%d 0 obj\n%b\nendobj\n" % kv for kv in objects.items()) + b"trailer\n<< /Root 1 0 R >>\n%%EOF\n"
+    return whole if doc_id % 7 else whole[: len(whole) * 3 // 4]
+
+
+def _pdfs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
+            yield pa.RecordBatch.from_arrays([pa.array([doc_id], pa.int64()), pa.array([_pdf(doc_id, text.as_py() or "")], pa.binary())], names=["doc_id", "content"])
+
+
+@query(f"""SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 0 ELSE greatest(1, (length(text) + {_PAGE - 1}) // {_PAGE}) END AS pages, sha256(CASE WHEN doc_id % 7 = 0 THEN '' ELSE text END) AS sha256
+FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)""")
+def pdf_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SC17: texts of PDF files, one made of every document, of one or many pages; those that are cut off have none."""
+    folder = _new_folder(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").mapInArrow(_pdfs, "doc_id bigint, content binary")
+    _put(docs, folder, F.concat(F.lit("d_"), F.col("doc_id").cast("string"), F.lit(".pdf")), F.col("content"))
+    read = pdf.texts(files.listing(spark, folder, (".pdf",), content=True))
+    return read.select(F.regexp_extract("path", r"d_(\d+)", 1).cast("bigint").alias("doc_id"), "pages", F.sha2("text", 256).alias("sha256"))
+
+
 @query("SELECT 'appended' AS sink, s_suppkey AS key, s_name AS name, s_acctbal AS value FROM supplier, range(2) UNION ALL SELECT 'replaced', s_suppkey, s_name, s_acctbal FROM supplier UNION ALL SELECT 'csv', s_suppkey, s_name, s_acctbal FROM supplier")
 def table_sinks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SK1, SK2, SK4, SK7, SK8: rows appended, replaced and exported, read back."""
