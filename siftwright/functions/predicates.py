@@ -143,6 +143,20 @@ def pattern_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     return lines.select(F.trim(column).alias("pattern")).where(F.col("pattern") != "")
 
 
+def cached(paths: list[str] | None = None, model: str | None = None, hashes: list[str] | None = None, hashed: bool | None = None) -> Column:
+    """Rows of a cache (path, model_name, content_sha256, pdq_hash) that meet every condition that is given: among paths, of a
+    model, among content hashes, with or without a perceptual hash. An empty list holds for no row."""
+    parts = []
+    for name, values in (("path", paths), ("content_sha256", hashes)):
+        if values is not None:
+            parts.append(F.col(name).isin(*values) if values else F.lit(False))
+    if model is not None:
+        parts.append(F.col("model_name") == model)
+    if hashed is not None:
+        parts.append(F.col("pdq_hash") != "" if hashed else F.col("pdq_hash") == "")
+    return reduce(lambda a, b: a & b, parts, F.lit(True))
+
+
 def visible_to(owner: Column, user: str | None) -> Column:
     """Rows without an owner are everybody's; without a user everything shows."""
     return F.lit(True) if user is None else owner.isNull() | (owner == user)

@@ -39,9 +39,16 @@ def suppress(boxes: DataFrame, threshold: float, image: str = "image", candidate
     return listed.select(F.explode(kept).alias("b")).select("b.*")
 
 
-def select_detections(boxes: DataFrame, least: float, threshold: float = 0.5) -> DataFrame:
-    """Boxes (fractions of the image) above a probability, suppressed, in whole pixels of ``width`` and ``height``."""
-    kept = suppress(boxes.where(F.col("score") > least), threshold)
+def select_detections(boxes: DataFrame, least: float, threshold: float = 0.5, label: str | None = None) -> DataFrame:
+    """Boxes (fractions of the image) above a probability, suppressed, in whole pixels of ``width`` and ``height``.
+
+    With ``label`` the boxes of each label are suppressed among themselves.
+    """
+    likely = boxes.where(F.col("score") > least)
+    if label is None:
+        kept = suppress(likely, threshold)
+    else:
+        kept = suppress(likely.withColumn("_of", F.struct("image", label)), threshold, "_of").drop("_of")
     scaled = {"x1": F.col("x1") * F.col("width"), "y1": F.col("y1") * F.col("height"), "x2": F.col("x2") * F.col("width"), "y2": F.col("y2") * F.col("height")}
     return kept.withColumns({k: v.cast("int") for k, v in scaled.items()})
 

@@ -66,6 +66,13 @@ def limited(rows: DataFrame, group: list[str], order: str, most: int) -> DataFra
     return ranked.where(F.col("_rn") <= most).drop("_rn")
 
 
+def first_of(requests: DataFrame, rows: DataFrame, key: str, order: str) -> DataFrame:
+    """The first row by an order for every request's key, one per distinct request; requests that find nothing have none."""
+    others = [c for c in rows.columns if c != key]
+    found = rows.join(requests.select(key), key, "left_semi").groupBy(key).agg(F.min_by(F.struct(*others), order).alias("_first"))
+    return found.select(key, "_first.*")
+
+
 def menu_order(models: DataFrame, ranks: DataFrame, uid: str = "uid") -> DataFrame:
     """Plugins by menu rank, unknown ones last, then by uid."""
     return models.join(ranks, uid, "left").orderBy(F.coalesce("rank", F.lit(10000)), uid)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwright.functions import scalars
@@ -82,6 +82,17 @@ def input_of_output(requests: DataFrame, links: DataFrame, legacy: DataFrame) ->
     return lookup_cascade(requests, "output_path", [(links, "output_path_norm", "input_path", norm), (links, "output_path", "input_path", None), (legacy, "output_path_norm", "input_path", norm), (legacy, "output_path", "input_path", None)])
 
 
+def steps_by_id(steps: DataFrame, wanted: DataFrame, key: str = "step_job_id") -> DataFrame:
+    """The steps that are asked for, each once, however often it is asked for."""
+    return steps.join(wanted.select(key), key, "left_semi")
+
+
+def response_order(rows: DataFrame, key: str = "step_job_id") -> DataFrame:
+    """Response rows with their place (from 1) in their step, by container and ordinal."""
+    by = Window.partitionBy(key).orderBy("container", "ordinal")
+    return rows.withColumn("place", F.row_number().over(by).cast("bigint"))
+
+
 def record_completion(tables: dict[str, DataFrame], jobs: DataFrame) -> dict[str, DataFrame]:
     """Next versions of ``steps``, ``rows`` and ``links`` after jobs (step_job_id, endpoint, completed_at, response) ended."""
     steps = grouping.upsert(tables["steps"], jobs.select(*tables["steps"].columns), ["step_job_id"])

@@ -118,6 +118,14 @@ def matches_per_query(queries: DataFrame, hits: DataFrame, key: str, least: floa
     return joined.select("query", F.coalesce(F.transform("l", lambda x: x["target"]), F.array().cast("array<bigint>")).alias("targets"))
 
 
+def zipped(queries: DataFrame, results: DataFrame, query_order: str, result_order: str) -> DataFrame:
+    """Queries beside results by their places in two orders (``ordinal`` from 0), as far as the shorter side goes."""
+    from siftwright.sources import files
+
+    left, right = files.numbered(queries, F.col(query_order)), files.numbered(results, F.col(result_order))
+    return left.join(right, "ordinal")
+
+
 def hash_search(candidates: DataFrame, query_hash: str, k: int, tie: str, column: str = "pdq_hash") -> DataFrame:
     """Top-k by hash similarity; rows without a hash are skipped, and a query that is none finds nothing."""
     hashed = candidates.where(vectors.is_hash(F.col(column)))

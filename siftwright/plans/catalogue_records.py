@@ -371,11 +371,11 @@ def squared_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 _BOXES = "SELECT l_orderkey AS image, l_linenumber AS box_id, l_discount AS score, {x} AS x1, {y} AS y1, {x} + l_quantity AS x2, {y} + l_quantity AS y2, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_discount DESC, l_linenumber) AS rn FROM (SELECT l_orderkey, l_linenumber, max(l_quantity) AS l_quantity, max(l_discount) AS l_discount FROM lineitem GROUP BY ALL)".format(x="l_linenumber * 3.0", y="l_linenumber * 2.0")
 
 
-def _suppressed_sql(add: int, pool: int, most: int) -> str:
+def suppressed_sql(add: int, pool: int, most: int, boxes: str = _BOXES) -> str:
     side = lambda c: f"greatest(0, least(k.{c}2, b.{c}2) - greatest(k.{c}1, b.{c}1) + {add})"
     area = lambda t: f"({t}.x2 - {t}.x1 + {add}) * ({t}.y2 - {t}.y1 + {add})"
     over = f"{side('x')} * {side('y')} / ({area('k')} + {area('b')} - {side('x')} * {side('y')}) > 0.5"
-    return f"""WITH RECURSIVE b AS ({_BOXES}), s AS (SELECT image, 1 AS rn, [{{'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2, 'box_id': box_id}}] AS kept FROM b WHERE rn = 1
+    return f"""WITH RECURSIVE b AS ({boxes}), s AS (SELECT image, 1 AS rn, [{{'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2, 'box_id': box_id}}] AS kept FROM b WHERE rn = 1
 UNION ALL SELECT s.image, b.rn::INTEGER, CASE WHEN (SELECT bool_or({over}) FROM (SELECT unnest(s.kept, recursive := true)) k) THEN s.kept ELSE list_append(s.kept, {{'x1': b.x1, 'y1': b.y1, 'x2': b.x2, 'y2': b.y2, 'box_id': b.box_id}}) END FROM s JOIN b ON b.image = s.image AND b.rn = s.rn + 1 AND b.rn <= {pool})
 SELECT image, unnest(list_transform((kept)[:{most}], lambda x: x.box_id)) AS box_id FROM s WHERE rn = (SELECT max(t.rn) FROM s t WHERE t.image = s.image)"""
 
@@ -386,13 +386,13 @@ def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.select(F.col("l_orderkey").alias("image"), F.col("l_linenumber").alias("box_id"), (n * 3).alias("x1"), (n * 2).alias("y1"), (n * 3 + F.col("l_quantity")).alias("x2"), (n * 2 + F.col("l_quantity")).alias("y2"), "score")
 
 
-@query(_suppressed_sql(0, 200, 1000))
+@query(suppressed_sql(0, 200, 1000))
 def suppressed_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """VX17, VX18: greedy suppression per image."""
     return detections.suppress(_boxes(spark, sf_dir), 0.5).select("image", "box_id")
 
 
-@query(_suppressed_sql(1, 4, 2))
+@query(suppressed_sql(1, 4, 2))
 def suppressed_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """VX20: suppression that counts pixels, few candidates before and fewer after."""
     return detections.suppress(_boxes(spark, sf_dir), 0.5, candidates=4, inclusive=True, most=2).select("image", "box_id")
@@ -444,12 +444,12 @@ def registered_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return known.run(plan, rows, keep_paths=rows.select("path")).select("p_partkey", "text")
 
 
-@query("SELECT name, place, count(*) AS calls FROM (VALUES ('Cut texts', 1), ('Search texts', 2), ('Filter by metadata', 3), ('Flag matches', 4), ('Search chunks', 5), ('Search images', 6), ('Search image series', 7), ('Find faces', 8)) t(name, place) JOIN events ON event_id % 8 + 1 = place GROUP BY 1, 2")
+@query("SELECT name, place, count(*) AS calls FROM (VALUES ('Cut texts', 1), ('Search texts', 2), ('Filter by metadata', 3), ('Flag matches', 4), ('Search chunks', 5), ('Search images', 6), ('Search image series', 7), ('Find faces', 8), ('Upload faces', 9), ('Delete a collection', 10)) t(name, place) JOIN events ON event_id % 10 + 1 = place GROUP BY 1, 2")
 def registry_menu(spark: SparkSession, sf_dir: str) -> DataFrame:
     """UD4, SO15: operators in menu order, those of hidden groups left out, with how often each was called."""
     listed = [(r.title, k + 1) for k, r in enumerate(registry.default_registry().listing(spark).collect())]
     menu = spark.createDataFrame(listed, "name string, place int")
-    calls = table(spark, sf_dir, "events").groupBy((F.col("event_id") % 8 + 1).cast("int").alias("place")).agg(F.count("*").alias("calls"))
+    calls = table(spark, sf_dir, "events").groupBy((F.col("event_id") % 10 + 1).cast("int").alias("place")).agg(F.count("*").alias("calls"))
     return menu.join(calls, "place").select("name", "place", "calls")
 
 

@@ -117,10 +117,24 @@ def clamped(value: int | None, most: int, setting: str | None = None) -> int:
     return int(setting) if setting is not None and setting.strip() else 1
 
 
-def default_registry() -> Registry:
-    """The operators that run without model weights. Summaries and transcripts are added with a model slot."""
+# Verbs behind which a model stands, their titles and places in the menu.
+MODEL_VERBS = {
+    "text_summarization/summarize": ("Summarise texts", 90),
+    "audio/transcribe": ("Transcribe sound", 100),
+    "image_summary/summarize-images": ("Describe images", 110),
+    "age-gender/predict": ("Age and gender", 120),
+    "deepfake_detection/predict": ("Find forged images", 130),
+}
+
+
+def default_registry(models: dict | None = None) -> Registry:
+    """The operators that run without model weights, and those of MODEL_VERBS for which ``models`` has a slot by that name;
+    a verb without its slot isn't registered, so that a call says so."""
     from siftwright.functions import embedders, predicates, texts
-    from siftwright.operators import similarity
+    from siftwright.operators import collections, similarity
+
+    if unknown := set(models or {}) - set(MODEL_VERBS):
+        raise ValueError(f"no verbs {sorted(unknown)}")
 
     def find(df: DataFrame, query: list, k: int, least: float) -> DataFrame:
         return similarity.search(df, [float(x) for x in query], k, least, "path", "chunk_index")
@@ -135,6 +149,10 @@ def default_registry() -> Registry:
         """Rows of the gallery and of the queries, told apart by ``is_query``."""
         return similarity.batch_neighbours(df.where("is_query"), df.where("NOT is_query"), k, "path", "path", least=least)
 
+    def upload(df: DataFrame) -> DataFrame:
+        """What is stored and what is uploaded, told apart by ``is_new``."""
+        return collections.upload(df.where("NOT is_new"), df.where("is_new"))
+
     wanted, best, match = Parameter(list, ()), Parameter(int, 5, 1), Parameter(float, 0.45, -1, 1)
     chunked, text = ("path", "chunk_index", "embedding"), {"term": Parameter(str, "")}
     registry = Registry()
@@ -146,6 +164,11 @@ def default_registry() -> Registry:
     registry.add(Operator("image_embeddings/search_images", find, chunked, {"query": wanted, "k": best, "least": match}, "Search images", 60))
     registry.add(Operator("image_series_similarity/search_series", series, ("path", "embedding", "pdq_hash"), {"query": wanted, "query_hash": Parameter(str, ""), "mode": Parameter(str, "combined", choices=("semantic", "pdq", "combined")), "k": best, "least": match}, "Search image series", 70))
     registry.add(Operator("face-match/findfacebulk", faces, ("path", "embedding", "is_query"), {"k": Parameter(int, 10, 1), "least": match}, "Find faces", 80))
+    registry.add(Operator("face-match/bulkupload", upload, ("collection", "path", "embedding", "is_new"), title="Upload faces", order=81))
+    registry.add(Operator("face-match/deletecollection", lambda df, name: collections.delete(df, [name]), ("collection",), {"name": Parameter(str, "")}, "Delete a collection", 82))
+    for verb, slot in (models or {}).items():
+        registry.add(Operator(verb, slot.apply, tuple(slot.columns), title=MODEL_VERBS[verb][0], order=MODEL_VERBS[verb][1]))
+    registry.add(Operator("docs/open", lambda df, name: df.where(F.col("name") == name).select("name", "text"), ("name", "text"), {"name": Parameter(str, "")}))
     registry.add(Operator("fs/ls", lambda df: df.select("path", "name"), ("path", "name")))
     registry.add(Operator("fs/head", lambda df, n: df.orderBy("n").limit(n), ("n", "line"), {"n": Parameter(int, 10, 1)}))
     return registry

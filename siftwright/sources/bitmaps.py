@@ -124,6 +124,33 @@ def perceptual_hash(content: Column) -> Column:
     return F.pandas_udf(run, "string")(content)
 
 
+# Means of the colours (red, green, blue) of two training sets.
+CHANNEL_MEANS = {"VGGFace": (93.5940, 104.7624, 129.1863), "VGGFace2": (91.4953, 103.8827, 131.0912)}
+NORMALISATIONS = ("base", "raw", "Facenet", "Facenet2018", "ArcFace", *CHANNEL_MEANS)
+
+
+def normalised(pixels: Column, kind: str = "base") -> Column:
+    """Pixels between 0 and 1 (three colours after one another, as doubles) as a model wants them; ``base`` leaves them as
+    they are, the others begin with values up to 255. Pixels that are all alike have no deviation and give nulls in
+    ``Facenet``, as does an empty picture."""
+    if kind not in NORMALISATIONS:
+        raise ValueError(f"unknown normalisation {kind!r}")
+    if kind == "base":
+        return pixels
+    if kind == "Facenet":  # the factor cancels out
+        n = F.size(pixels)
+        mean = F.try_divide(F.aggregate(pixels, F.lit(0.0), lambda s, x: s + x), n)
+        spread = lambda m: F.sqrt(F.try_divide(F.aggregate(pixels, F.lit(0.0), lambda s, x: s + (x - m) * (x - m)), n))
+        bound = F.transform(F.array(mean), lambda m: F.struct(m.alias("m"), spread(m).alias("s")))
+        return F.flatten(F.transform(bound, lambda b: F.transform(pixels, lambda x: F.try_divide(x - b["m"], b["s"]))))
+    scaled = lambda x: x * 255.0
+    if kind in CHANNEL_MEANS:
+        means = F.array(*map(F.lit, CHANNEL_MEANS[kind]))
+        return F.transform(pixels, lambda x, i: scaled(x) - means[i % 3])
+    each = {"raw": scaled, "Facenet2018": lambda x: scaled(x) / 127.5 - 1.0, "ArcFace": lambda x: (scaled(x) - 127.5) / 128.0}
+    return F.transform(pixels, each[kind])
+
+
 def little_endian(value: Column, size: int) -> Column:
     """A whole number as so many bytes, the lowest first."""
     digits = F.lpad(F.hex(value.cast("bigint")), 2 * size, "0")

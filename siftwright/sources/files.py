@@ -93,6 +93,17 @@ def ordered_images(scan: DataFrame, chosen: DataFrame | None, suffixes: tuple[st
     return first.join(images.select("path"), "path", "left_semi").select("ordinal", "path")
 
 
+def sorted_files(scan: DataFrame, suffixes: tuple[str, ...] = FACES) -> DataFrame:
+    """Files with one of the suffixes in the order of their paths: ordinal from 1, path."""
+    chosen = scan.where(scalars.extension(F.col("path")).isin(*suffixes)).select("path")
+    return numbered(chosen, F.col("path")).select((F.col("ordinal") + 1).alias("ordinal"), "path")
+
+
+def largest_first(scan: DataFrame) -> DataFrame:
+    """Files with their place (from 1) by falling size, ties by path: long work begins first."""
+    return numbered(scan, F.col("length").desc(), F.col("path")).withColumn("ordinal", F.col("ordinal") + 1)
+
+
 def inside(files: DataFrame, folder: str, suffixes: tuple[str, ...]) -> DataFrame:
     """Files below a folder, with one of the suffixes."""
     return files.where(F.startswith("path", F.lit(folder.rstrip("/") + "/")) & scalars.extension(F.col("path")).isin(*suffixes))
