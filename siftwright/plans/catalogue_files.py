@@ -7,6 +7,7 @@ grow with it), so that SQL over the tables knows what must come out. Pages are i
 from __future__ import annotations
 
 import io
+import re
 import uuid
 import zipfile
 import zlib
@@ -276,6 +277,7 @@ def container_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _union(parts, "part").select(_container_name(), "part", F.col("data").cast("string").alias("data"))
 
 
+_ESCAPES = {b"\\": rb"\\", b"(": rb"\(", b")": rb"\)", b"\r": rb"\r", b"\n": rb"\n"}
 _PAGE, _KIDS = 1500, 8  # characters of a page of the documents below, and children of a node of their trees
 
 
@@ -285,17 +287,18 @@ def _pdf(doc_id: int, text: str) -> bytes:
     cuts = [text[k : k + _PAGE] for k in range(0, len(text), _PAGE)] or [""]
     objects: dict[int, bytes] = {}
 
-    def stream(number: int, data: bytes) -> None:
+    def stream(number: int, data: bytes, packed: bool = packed) -> None:
         data, name = (zlib.compress(data), b"/Filter /FlateDecode ") if packed else (data, b"")
         objects[number] = b"<< %b/Length %d >>\nstream\n%b\nendstream" % (name, len(data), data)
 
     def shown(line: str) -> bytes:
-        if plain:
-            return b"(%b)" % line.replace("\\", "\\\\").replace("(", "\\(").replace(")", "\\)").encode()
-        return b"<%b>" % line.encode("utf-16-be", "surrogatepass").hex().encode()
+        data = line.encode() if plain else line.encode("utf-16-be", "surrogatepass")
+        if doc_id % 2:
+            return b"<%b>" % data.hex().encode() if packed else b"(%b)" % re.sub(rb"[\\()\r\n]", lambda m: b"\\%03o" % m[0][0], data)
+        return b"(%b)" % re.sub(rb"[\\()\r\n]", lambda m: _ESCAPES[m[0]], data)
 
     ranges = b"".join(b"<%02x00> <%02xff> <%02x00>\n" % (k, k, k) for k in range(256))
-    stream(4, b"begincmap 256 beginbfrange\n" + ranges + b"endbfrange endcmap")
+    stream(4, b"begincmap 256 beginbfrange\n" + ranges + b"endbfrange endcmap", True)
     objects[3] = b"<< /Type /Font /Subtype /Type1 /Encoding /WinAnsiEncoding >>" if plain else b"<< /Type /Font /Subtype /Type0 /Encoding /Identity-H /ToUnicode 4 0 R >>"
     level, number = [], 5
     for cut in cuts:

@@ -2,7 +2,7 @@
 
 A task cuts each file into its objects (direct ones and those of object streams; of a number defined twice the later one
 counts, as after an incremental update). The tree of pages, inherited resources, content streams, fonts and their code maps
-are joins over those rows, so that a file's pages are spread over the tasks. Files that are no PDF, are encrypted, or have
+are joins over those rows, so that a file's pages are spread over the tasks; streams stay packed until their page is read. Files that are no PDF, are encrypted, or have
 lost their trailer have no pages and the text "". Text inside form objects is not read; codes of fonts without a code map
 are read by the font's base encoding.
 """
@@ -11,8 +11,10 @@ from __future__ import annotations
 
 import base64
 import re
+import sys
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache, reduce
 
@@ -87,7 +89,7 @@ def _flat(value, name: str = "") -> dict[str, str]:
     return {name: value.decode("latin-1")}
 
 
-def _unpacked(data: bytes, filters: str) -> bytes | None:
+def unpacked(data: bytes, filters: str) -> bytes | None:
     """A stream after its filters; None where one is unknown, as those of pictures are, or fails."""
     for name in re.findall("/[^ \\[\\]]+", filters):
         try:
@@ -120,7 +122,7 @@ def _stream(data: bytes, at: int, length: str | None) -> tuple[int, int]:
 
 
 def objects_of(data: bytes) -> dict[int, tuple[dict[str, str], bytes | None]]:
-    """Objects of a file by number, as flat entries and unpacked stream; the trailer is number 0."""
+    """Objects of a file by number, as flat entries and their stream as it stands; pictures have none, the trailer is number 0."""
     out: dict[int, tuple[dict[str, str], bytes | None]] = {}
     trailer: dict[str, str] = {}
     at = 0
@@ -130,14 +132,14 @@ def objects_of(data: bytes) -> dict[int, tuple[dict[str, str], bytes | None]]:
             entries, at, stream = _flat(_value(tokens)), tokens.at, None
             if begins := _STREAM.match(data, at):
                 low, at = _stream(data, begins.end(), entries.get("Length"))
-                stream = None if entries.get("Subtype") == "/Image" else _unpacked(data[low:at], entries.get("Filter", ""))
+                stream = None if entries.get("Subtype") == "/Image" else data[low:at]
         except (StopIteration, ValueError, TypeError, AttributeError, RecursionError):
             at = found.end()  # a damaged object is left out
             continue
         if found[1] is None or entries.get("Type") == "/XRef":
             trailer |= {k: v for k, v in entries.items() if k == "Root" or k.split("/")[0] == "Encrypt"}
         elif entries.get("Type") == "/ObjStm" and stream is not None:
-            out |= _held(stream, entries)
+            out |= _held(unpacked(stream, entries.get("Filter", "")) or b"", entries)
         else:
             out[int(found[1])] = entries, stream
     lists = {str(k): held[0][""] for k, held in out.items() if held[0].get("", "").startswith("[")}
@@ -163,7 +165,7 @@ def _held(stream: bytes, entries: dict[str, str]) -> dict[int, tuple[dict[str, s
 
 
 def objects(files: DataFrame) -> DataFrame:
-    """Objects of the PDF files among files with content: path, number, entries (flat names to text), unpacked stream."""
+    """Objects of the PDF files among files with content: path, number, entries (flat names to text), stream."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -174,7 +176,7 @@ def objects(files: DataFrame) -> DataFrame:
                 rows = [(path.as_py(), number, list(entries.items()), stream) for number, (entries, stream) in objects_of(data).items()]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), _TYPES)], names=["path", "number", "entries", "stream"])
 
-    files.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    files.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
     files.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
     return files.select("path", "content").mapInArrow(run, _SCHEMA)
 
@@ -187,6 +189,10 @@ def _number(reference: Column) -> Column:
     return F.regexp_extract(reference, _REFERENCE, 1).try_cast("bigint")
 
 
+def _packed() -> Column:
+    return F.struct(F.col("stream").alias("data"), F.coalesce(_entry("Filter"), F.lit("")).alias("filters"))
+
+
 def _numbers(references: Column) -> Column:
     """Numbers of a reference or a list of references."""
     return F.transform(F.regexp_extract_all(references, F.lit(r"(\d+) \d+ R"), F.lit(1)), lambda x: x.cast("bigint"))
@@ -239,16 +245,24 @@ def page_fonts(pages: DataFrame, known: DataFrame) -> DataFrame:
     wide = (F.coalesce(_entry("Subtype"), F.lit("")) == "/Type0").alias("wide")
     encoding = F.coalesce(_entry("Encoding"), _entry("Encoding/BaseEncoding"))
     fonts = fonts.select("path", "place", "name", wide, _number(_entry("ToUnicode")).alias("number"), encoding.alias("encoding"))
-    maps = known.where("stream IS NOT NULL").select("path", "number", "stream")
+    maps = known.where("stream IS NOT NULL").select("path", "number", _packed().alias("codes"))
     whole = fonts.join(maps, ["path", "number"], "left")
-    listed = F.array_sort(F.collect_list(F.struct("name", "wide", F.col("stream").alias("codes"), "encoding")))  # the fonts of a page
+    listed = F.array_sort(F.collect_list(F.struct("name", "wide", "codes", "encoding")))  # the fonts of a page
     return whole.groupBy("path", "place").agg(listed.alias("fonts"))
 
 
+class CodeMap(dict):
+    """Text of the codes of a font; a code without one shows nothing."""
+
+    def __missing__(self, code: int) -> str:
+        return ""
+
+
 @lru_cache(64)
-def code_map(data: bytes) -> dict[bytes, str]:
-    """Codes and their text from a ToUnicode stream."""
-    out: dict[bytes, str] = {}
+def code_map(data: bytes, filters: str = "") -> CodeMap:
+    """Codes of one or two bytes and their text from a ToUnicode stream."""
+    out = CodeMap()
+    data = unpacked(data, filters) or b""
     text = lambda x: _hex(x).decode("utf-16-be", "surrogatepass")
     for kind, body in re.findall(rb"beginbf(char|range)(.*?)endbf", data, re.S):
         tokens = _Tokens(body)
@@ -257,7 +271,7 @@ def code_map(data: bytes) -> dict[bytes, str]:
                 low = _hex(_value(tokens)[1:-1])
                 high = _hex(_value(tokens)[1:-1]) if kind == b"range" else low
                 target = _value(tokens)
-                first, last = int.from_bytes(low), min(int.from_bytes(high), int.from_bytes(low) + 0xFFFF)
+                first, last = int.from_bytes(low), min(int.from_bytes(high), 0xFFFF)
                 for code in range(first, last + 1):
                     if isinstance(target, list):
                         found = text(target[code - first][1:-1]) if code - first < len(target) else ""
@@ -265,19 +279,25 @@ def code_map(data: bytes) -> dict[bytes, str]:
                         units = _hex(target[1:-1])
                         moved = (int.from_bytes(units[-2:]) + code - first) & 0xFFFF
                         found = (units[:-2] + moved.to_bytes(2)).decode("utf-16-be", "surrogatepass")
-                    out[code.to_bytes(len(low))] = found
+                    out[code] = found
         except (StopIteration, ValueError, TypeError, OverflowError):
             continue
     return out
 
 
-def _shown(token: bytes, font: tuple[bool, bytes | None, str | None]) -> str:
+#: A font: whether codes have two bytes, its code map, and its base encoding.
+Font = tuple[bool, CodeMap | None, str | None]
+
+
+def _shown(token: bytes, font: Font) -> str:
     """What a string operand shows in a font."""
     wide, codes, encoding = font
     held = _hex(token[1:-1]) if token[:1] == b"<" else _ESCAPE.sub(lambda m: _ESCAPED.get(m[1], bytes([int(m[1], 8) & 255]) if m[1][:1] in b"01234567" else m[1]), token[1:-1])
     if codes is not None:
-        table, step = code_map(codes), 2 if wide else 1
-        return "".join(table.get(held[k : k + step], "") for k in range(0, len(held), step))
+        each = array("H", held[: len(held) // 2 * 2]) if wide else held
+        if wide and sys.byteorder == "little":
+            each.byteswap()
+        return "".join(map(codes.__getitem__, each))
     return "" if wide else held.decode(_ENCODINGS.get(encoding or "", "latin-1"), "replace")
 
 
@@ -286,7 +306,7 @@ def _product(a: tuple, b: tuple) -> tuple:
     return (a[0] * b[0] + a[1] * b[2], a[0] * b[1] + a[1] * b[3], a[2] * b[0] + a[3] * b[2], a[2] * b[1] + a[3] * b[3], a[4] * b[0] + a[5] * b[2] + b[4], a[4] * b[1] + a[5] * b[3] + b[5])
 
 
-def page_text(data: bytes, fonts: dict[str, tuple[bool, bytes | None, str | None]]) -> str:
+def page_text(data: bytes, fonts: dict[str, Font]) -> str:
     """The text that a page's operators show: a new line where its line's place changes, a space where it moves along."""
     same = (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)
     here, line, saved, leading, font = same, same, [], 0.0, (False, None, None)
@@ -347,10 +367,12 @@ def page_text(data: bytes, fonts: dict[str, tuple[bool, bytes | None, str | None
 
 def _page_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for path, place, streams, fonts in zip(*(batch.column(k) for k in range(4))):
-            named = {f["name"]: (f["wide"], f["codes"], f["encoding"]) for f in fonts.as_py() or []}
-            text = page_text(b"\n".join(streams.as_py() or []), named)
-            yield pa.RecordBatch.from_arrays([pa.array([path.as_py()]), pa.array([place.as_py()], pa.list_(pa.int32())), pa.array([text])], names=["path", "place", "text"])
+        shown = []
+        for streams, fonts in zip(batch.column("streams"), batch.column("fonts")):
+            named = {f["name"]: (f["wide"], f["codes"] and code_map(f["codes"]["data"], f["codes"]["filters"]), f["encoding"]) for f in fonts.as_py() or []}
+            parts = [unpacked(x["data"], x["filters"]) for x in streams.as_py() or []]
+            shown.append(page_text(b"\n".join(x for x in parts if x is not None), named))
+        yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("place"), pa.array(shown, pa.string())], names=["path", "place", "text"])
 
 
 def texts(files: DataFrame) -> DataFrame:
@@ -363,7 +385,7 @@ def texts(files: DataFrame) -> DataFrame:
     objects(files).write.parquet(folder)  # read several times below, each time with the columns that a join needs
     known = spark.read.schema(_SCHEMA).parquet(folder)
     pages = page_rows(known)
-    streams = known.where("stream IS NOT NULL").select("path", "number", "stream")
+    streams = known.where("stream IS NOT NULL").select("path", "number", _packed().alias("stream"))
     parts = pages.select("path", "place", F.posexplode(_numbers(F.col("contents"))).alias("n", "number")).join(streams, ["path", "number"])
     contents = parts.groupBy("path", "place").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "stream"))), lambda x: x["stream"]).alias("streams"))  # a page's own
     whole = pages.select("path", "place").join(contents, ["path", "place"], "left").join(page_fonts(pages, known), ["path", "place"], "left")
