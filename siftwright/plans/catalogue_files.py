@@ -278,68 +278,82 @@ def container_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ESCAPES = {b"\\": rb"\\", b"(": rb"\(", b")": rb"\)", b"\r": rb"\r", b"\n": rb"\n"}
-_PAGE, _KIDS = 1500, 8  # characters of a page of the documents below, and children of a node of their trees
+_PAGE, _KIDS, _BOUND = 1500, 8, 50  # characters of a page below, children of a node of the tree, documents of a file
 
 
-def _pdf(doc_id: int, text: str) -> bytes:
-    """A document's text as a PDF: by its id with plain or packed streams and object streams; every seventh is cut off."""
-    packed, plain = doc_id % 3 == 1, doc_id % 3 == 2 and text.isascii() and "\r" not in text
-    cuts = [text[k : k + _PAGE] for k in range(0, len(text), _PAGE)] or [""]
+def _pdf(number: int, texts: list[str]) -> bytes:
+    """Texts as one PDF, each on pages of its own: by its number with plain or packed streams, object streams, and codes of one
+    byte for plain letters; every seventh is cut off."""
+    packed = number % 3 == 1
     objects: dict[int, bytes] = {}
 
-    def stream(number: int, data: bytes, packed: bool = packed) -> None:
+    def stream(key: int, data: bytes, packed: bool = packed) -> None:
         data, name = (zlib.compress(data), b"/Filter /FlateDecode ") if packed else (data, b"")
-        objects[number] = b"<< %b/Length %d >>\nstream\n%b\nendstream" % (name, len(data), data)
+        objects[key] = b"<< %b/Length %d >>\nstream\n%b\nendstream" % (name, len(data), data)
 
-    def shown(line: str) -> bytes:
+    def shown(line: str, plain: bool) -> bytes:
         data = line.encode() if plain else line.encode("utf-16-be", "surrogatepass")
-        if doc_id % 2:
-            return b"<%b>" % data.hex().encode() if packed else b"(%b)" % re.sub(rb"[\\()\r\n]", lambda m: b"\\%03o" % m[0][0], data)
-        return b"(%b)" % re.sub(rb"[\\()\r\n]", lambda m: _ESCAPES[m[0]], data)
+        if packed:
+            return b"<%b>" % data.hex().encode()
+        escape = (lambda m: b"\\%03o" % m[0][0]) if number % 2 else (lambda m: _ESCAPES[m[0]])
+        return b"(%b)" % re.sub(rb"[\\()\r\n]", escape, data)
 
     ranges = b"".join(b"<%02x00> <%02xff> <%02x00>\n" % (k, k, k) for k in range(256))
-    stream(4, b"begincmap 256 beginbfrange\n" + ranges + b"endbfrange endcmap", True)
-    objects[3] = b"<< /Type /Font /Subtype /Type1 /Encoding /WinAnsiEncoding >>" if plain else b"<< /Type /Font /Subtype /Type0 /Encoding /Identity-H /ToUnicode 4 0 R >>"
-    level, number = [], 5
-    for cut in cuts:
-        lines = b" T*\n".join(shown(line) + b" Tj" for line in cut.split("\n"))
-        stream(number, b"BT /F1 12 Tf 14 TL 72 720 Td\n" + lines + b"\nET")
-        objects[number + 1] = b"<< /Type /Page /Contents [%d 0 R] >>" % number
-        level, number = [*level, number + 1], number + 2
-    while len(level) > 1 or number == 7:
+    stream(5, b"begincmap 256 beginbfrange\n" + ranges + b"endbfrange endcmap", True)
+    objects[3] = b"<< /Type /Font /Subtype /Type1 /Encoding /WinAnsiEncoding >>"
+    objects[4] = b"<< /Type /Font /Subtype /Type0 /Encoding /Identity-H /ToUnicode 5 0 R >>"
+    level, key = [], 6
+    for text in texts:
+        plain = number % 3 > 0 and text.isascii()
+        for at in range(0, max(1, len(text)), _PAGE):
+            lines = b" T*\n".join(shown(line, plain) + b" Tj" for line in text[at : at + _PAGE].split("\n"))
+            stream(key, b"BT /F%d 12 Tf 14 TL 72 720 Td\n%b\nET" % (1 if plain else 2, lines))
+            objects[key + 1] = b"<< /Type /Page /Contents [%d 0 R] >>" % key
+            level, key = [*level, key + 1], key + 2
+    while True:
         nodes = [level[k : k + _KIDS] for k in range(0, len(level), _KIDS)]
         for k, node in enumerate(nodes):
-            objects[number + k] = b"<< /Type /Pages /Kids [%b] >>" % b" ".join(b"%d 0 R" % x for x in node)
-        level, number = list(range(number, number + len(nodes))), number + len(nodes)
-    objects[2] = objects.pop(level[0])[:-2] + b"/Resources << /Font << /F1 3 0 R >> >> >>"
+            objects[key + k] = b"<< /Type /Pages /Kids [%b] >>" % b" ".join(b"%d 0 R" % x for x in node)
+        level, key = list(range(key, key + len(nodes))), key + len(nodes)
+        if len(level) == 1:
+            break
+    objects[2] = objects.pop(level[0])[:-2] + b"/Resources << /Font << /F1 3 0 R /F2 4 0 R >> >> >>"
     objects[1] = b"<< /Type /Catalog /Pages 2 0 R >>"
     if packed:
         small = {k: objects.pop(k) for k in sorted(objects) if not objects[k].endswith(b"endstream")}
-        places, body = [], b""
+        places, body = [], []
+        at = 0
         for k, held in small.items():
-            places, body = [*places, b"%d %d" % (k, len(body))], body + held + b"\n"
+            places.append(b"%d %d" % (k, at))
+            body.append(held + b"\n")
+            at += len(held) + 1
         head = b" ".join(places) + b" "
-        data = zlib.compress(head + body)
-        objects[number] = b"<< /Type /ObjStm /N %d /First %d /Filter /FlateDecode /Length %d >>\nstream\n%b\nendstream" % (len(small), len(head), len(data), data)
+        data = zlib.compress(head + b"".join(body))
+        objects[key] = b"<< /Type /ObjStm /N %d /First %d /Filter /FlateDecode /Length %d >>\nstream\n%b\nendstream" % (len(small), len(head), len(data), data)
     whole = b"%PDF-1.7\n" + b"".join(b"%d 0 obj\n%b\nendobj\n" % kv for kv in objects.items()) + b"trailer\n<< /Root 1 0 R >>\n%%EOF\n"
-    return whole if doc_id % 7 else whole[: len(whole) * 3 // 4]
+    return whole if number % 7 else whole[: len(whole) * 3 // 4]
 
 
 def _pdfs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-            yield pa.RecordBatch.from_arrays([pa.array([doc_id], pa.int64()), pa.array([_pdf(doc_id, text.as_py() or "")], pa.binary())], names=["doc_id", "content"])
+        for number, texts in zip(batch.column("number").to_pylist(), batch.column("texts")):
+            made = _pdf(number, [x["text"] for x in texts.as_py()])
+            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([made], pa.binary())], names=["number", "content"])
 
 
-@query(f"""SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 0 ELSE greatest(1, (length(text) + {_PAGE - 1}) // {_PAGE}) END AS pages, sha256(CASE WHEN doc_id % 7 = 0 THEN '' ELSE text END) AS sha256
-FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)""")
+@query(f"""SELECT doc_id // {_BOUND} AS number, CASE WHEN any_value(doc_id // {_BOUND}) % 7 = 0 THEN 0 ELSE sum(greatest(1, (length(text) + {_PAGE - 1}) // {_PAGE}))::BIGINT END AS pages,
+sha256(CASE WHEN any_value(doc_id // {_BOUND}) % 7 = 0 THEN '' ELSE string_agg(text, '' ORDER BY doc_id, text) END) AS sha256 FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents) GROUP BY 1""")
 def pdf_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SC17: texts of PDF files, one made of every document, of one or many pages; those that are cut off have none."""
+    """SC17: texts of PDF files, made of fifty documents each, with every document on pages of its own; those that are cut off
+    have none."""
     folder = _new_folder(spark)
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text").mapInArrow(_pdfs, "doc_id bigint, content binary")
-    _put(docs, folder, F.concat(F.lit("d_"), F.col("doc_id").cast("string"), F.lit(".pdf")), F.col("content"))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    bound = docs.groupBy(F.floor(F.col("doc_id") / _BOUND).alias("number")).agg(F.array_sort(F.collect_list(F.struct("doc_id", "text"))).alias("texts"))  # fifty a group
+    made = bound.mapInArrow(_pdfs, "number bigint, content binary")
+    _put(made, folder, F.concat(F.lit("d_"), F.col("number").cast("string"), F.lit(".pdf")), F.col("content"))
     read = pdf.texts(files.listing(spark, folder, (".pdf",), content=True))
-    return read.select(F.regexp_extract("path", r"d_(\d+)", 1).cast("bigint").alias("doc_id"), "pages", F.sha2("text", 256).alias("sha256"))
+    return read.select(F.regexp_extract("path", r"d_(\d+)", 1).cast("bigint").alias("number"), "pages", F.sha2("text", 256).alias("sha256"))
 
 
 @query("SELECT 'appended' AS sink, s_suppkey AS key, s_name AS name, s_acctbal AS value FROM supplier, range(2) UNION ALL SELECT 'replaced', s_suppkey, s_name, s_acctbal FROM supplier UNION ALL SELECT 'csv', s_suppkey, s_name, s_acctbal FROM supplier")
