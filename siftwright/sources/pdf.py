@@ -164,6 +164,14 @@ def _held(stream: bytes, entries: dict[str, str]) -> dict[int, tuple[dict[str, s
     return out
 
 
+def _small(item: tuple) -> tuple:
+    """An object whose stream is packed where the file has it plain, as streams are shuffled by page."""
+    number, (entries, stream) = item
+    if stream is None or len(stream) < 256 or "Filter" in entries:
+        return item
+    return number, (entries | {"Filter": "/FlateDecode"}, zlib.compress(stream, 1))
+
+
 def objects(files: DataFrame) -> DataFrame:
     """Objects of the PDF files among files with content: path, number, entries (flat names to text), stream."""
 
@@ -173,7 +181,7 @@ def objects(files: DataFrame) -> DataFrame:
                 data = content.as_py()
                 if data is None or b"%PDF-" not in data[:1024]:
                     continue
-                rows = [(path.as_py(), number, list(entries.items()), stream) for number, (entries, stream) in objects_of(data).items()]
+                rows = [(path.as_py(), number, list(entries.items()), stream) for number, (entries, stream) in map(_small, objects_of(data).items())]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), _TYPES)], names=["path", "number", "entries", "stream"])
 
     files.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
@@ -237,7 +245,7 @@ def _followed(rows: DataFrame, nodes: DataFrame, name: str, entries: str) -> Dat
 
 
 def page_fonts(pages: DataFrame, known: DataFrame) -> DataFrame:
-    """path, place and fonts (by name: width of a code in bytes, code map, base encoding) of pages."""
+    """path, place and fonts of pages: name, whether codes are wide, the number of the code map's object, base encoding."""
     nodes = known.where("number > 0").select("path", "number", "entries")
     named = _followed(_followed(pages.select("path", "place", "resources"), nodes, "Resources", "resources"), nodes, "Font", "resources")
     each = named.select("path", "place", F.explode("resources").alias("name", "reference")).withColumn("number", _number(F.col("reference")))
@@ -245,10 +253,17 @@ def page_fonts(pages: DataFrame, known: DataFrame) -> DataFrame:
     wide = (F.coalesce(_entry("Subtype"), F.lit("")) == "/Type0").alias("wide")
     encoding = F.coalesce(_entry("Encoding"), _entry("Encoding/BaseEncoding"))
     fonts = fonts.select("path", "place", "name", wide, _number(_entry("ToUnicode")).alias("number"), encoding.alias("encoding"))
-    maps = known.where("stream IS NOT NULL").select("path", "number", _packed().alias("codes"))
-    whole = fonts.join(maps, ["path", "number"], "left")
-    listed = F.array_sort(F.collect_list(F.struct("name", "wide", "codes", "encoding")))  # the fonts of a page
-    return whole.groupBy("path", "place").agg(listed.alias("fonts"))
+    listed = F.array_sort(F.collect_list(F.struct("name", "wide", "number", "encoding")))  # the fonts of a page
+    return fonts.groupBy("path", "place").agg(listed.alias("fonts"))
+
+
+def _with_maps(pages: DataFrame, known: DataFrame) -> DataFrame:
+    """Pages with the code maps of their fonts; the maps are shuffled once a file, not once a page."""
+    used = pages.select("path", F.explode("fonts.number").alias("number")).where("number IS NOT NULL").distinct()
+    maps = known.where("stream IS NOT NULL").join(used, ["path", "number"]).select("path", "number", _packed().alias("codes"))
+    of_file = maps.groupBy("path").agg(F.collect_list(F.struct("number", "codes")).alias("_maps"))  # the fonts of a file
+    wanted = F.filter("_maps", lambda m: F.array_contains(F.col("fonts.number"), m["number"]))
+    return pages.join(of_file, "path", "left").withColumn("maps", wanted).drop("_maps")
 
 
 class CodeMap(dict):
@@ -368,8 +383,9 @@ def page_text(data: bytes, fonts: dict[str, Font]) -> str:
 def _page_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         shown = []
-        for streams, fonts in zip(batch.column("streams"), batch.column("fonts")):
-            named = {f["name"]: (f["wide"], f["codes"] and code_map(f["codes"]["data"], f["codes"]["filters"]), f["encoding"]) for f in fonts.as_py() or []}
+        for streams, fonts, maps in zip(*(batch.column(c) for c in ("streams", "fonts", "maps"))):
+            known = {m["number"]: code_map(m["codes"]["data"], m["codes"]["filters"]) for m in maps.as_py() or []}
+            named = {f["name"]: (f["wide"], known.get(f["number"]), f["encoding"]) for f in fonts.as_py() or []}
             parts = [unpacked(x["data"], x["filters"]) for x in streams.as_py() or []]
             shown.append(page_text(b"\n".join(x for x in parts if x is not None), named))
         yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("place"), pa.array(shown, pa.string())], names=["path", "place", "text"])
@@ -382,14 +398,15 @@ def texts(files: DataFrame) -> DataFrame:
     """
     spark = files.sparkSession
     folder = f"{shared_folder(spark)}/pdf_{uuid.uuid4().hex}"
-    objects(files).write.parquet(folder)  # read several times below, each time with the columns that a join needs
+    objects(files).write.option("compression", "zstd").parquet(folder)  # read several times below, each time with the columns that a join needs
     known = spark.read.schema(_SCHEMA).parquet(folder)
     pages = page_rows(known)
     streams = known.where("stream IS NOT NULL").select("path", "number", _packed().alias("stream"))
     parts = pages.select("path", "place", F.posexplode(_numbers(F.col("contents"))).alias("n", "number")).join(streams, ["path", "number"])
     contents = parts.groupBy("path", "place").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "stream"))), lambda x: x["stream"]).alias("streams"))  # a page's own
-    whole = pages.select("path", "place").join(contents, ["path", "place"], "left").join(page_fonts(pages, known), ["path", "place"], "left")
-    shown = whole.select("path", "place", "streams", "fonts").mapInArrow(_page_texts, "path string, place array<int>, text string")
+    fonts = materialise(page_fonts(pages, known))
+    whole = pages.select("path", "place").join(contents, ["path", "place"], "left").join(_with_maps(fonts, known), ["path", "place"], "left")
+    shown = whole.select("path", "place", "streams", "fonts", "maps").mapInArrow(_page_texts, "path string, place array<int>, text string")
     ordered = F.array_sort(F.collect_list(F.struct("place", "text")))
     read = shown.groupBy("path").agg(F.count("*").alias("pages"), F.array_join(F.transform(ordered, lambda x: x["text"]), "").alias("text"))
     return files.select("path").join(read, "path", "left").select("path", F.coalesce("pages", F.lit(0)).alias("pages"), F.coalesce("text", F.lit("")).alias("text"))
