@@ -94,7 +94,7 @@ def file_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def file_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SC14-SC16: texts of files up to a number of characters."""
     scan = files.listing(spark, _page_files(spark, sf_dir), files.TEXT, content=True)
-    return files.texts(scan, 2000).join(scan.select("path", "name"), "path").select("name", "text")
+    return files.texts(scan, 2000).select(F.regexp_extract("path", "[^/]*$", 0).alias("name"), "text")
 
 
 @query(f"WITH f AS ({_FILES}) SELECT name, strlen(text)::BIGINT AS size, CASE kind WHEN 1 THEN 'text/markdown' ELSE 'text/plain' END AS mime, sha256(text) AS sha256 FROM f WHERE kind <= 2")

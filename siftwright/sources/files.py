@@ -1,12 +1,22 @@
-"""File sources over Spark's binaryFile and text readers: listings, corpora, bounded text, samples."""
+"""File sources: listings, corpora, bounded text, samples.
+
+Folders are listed by tasks, level by level, so that the driver holds no file's name; contents are read by tasks that the
+listing is dealt to by numbers and bytes. Stores are those of ``pyarrow.fs``.
+"""
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.fs as fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftwright.functions import scalars
 from siftwright.session import materialise
+from siftwright.sources.filewriter import store_of
 
 # Suffixes of the kinds of files, and how images begin.
 TEXT = (".txt", ".text", ".md", ".log")
@@ -16,27 +26,99 @@ FACES = (".jpg", ".jpeg", ".png", ".bmp", ".webp")
 PICTURES = (".jpg", ".jpeg", ".png")
 AUDIO = (".mp3", ".wav", ".flac", ".aac", ".ogg", ".m4a")
 TEXT_CHARS = 50 * 1024 * 1024
-_LOCAL = "^(file:/+|[a-z0-9]+://[^/]*/)"
+#: Rows of a batch of a listing; files and bytes that one task reads, and bytes of a batch.
+LISTED_ROWS = 4096
+TASK_FILES = 4000
+TASK_BYTES = 64 << 20
+BATCH_BYTES = 4 << 20
 _MAGIC = {"jpeg": "ffd8ff", "png": "89504e47"}
 
 
-def path_of(uri: Column) -> Column:
-    """The absolute path in a file URI; other stores keep their scheme."""
-    return F.when(F.startswith(uri, F.lit("file:")), F.regexp_replace(uri, "^file:/+", "/")).otherwise(uri)
-
-
 def listing(spark: SparkSession, folder: str, suffixes: tuple[str, ...] | None = None, recursive: bool = False, case_sensitive: bool = False, content: bool = False) -> DataFrame:
     """Files of a folder: path, name, length, modified, and content on request. Without ``recursive`` only the top level;
-    suffixes compare case-folded unless told otherwise. A missing folder gives no rows."""
+    suffixes compare case-folded unless told otherwise. Names that begin with ``.`` or ``_`` are hidden, as in Spark's readers.
+    A missing folder gives no rows. The folder is listed when rows are asked for; with content or below the top, at once."""
     if not _exists(spark, folder):
         return spark.createDataFrame([], "path string, name string, length bigint, modified timestamp" + (", content binary" if content else ""))
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", "*").load(folder)
-    uri = path_of(F.col("path"))
-    out = files.select(uri.alias("path"), scalars.basename(uri).alias("name"), "length", F.col("modificationTime").alias("modified"), *(["content"] if content else []))
-    if suffixes is None:
-        return out
-    suffix = F.regexp_extract("name", r"\.[^.]+$", 0)
-    return out.where((suffix if case_sensitive else F.lower(suffix)).isin(*suffixes))
+    found = _entries(spark.createDataFrame([(folder,)], "folder string").coalesce(1))
+    if recursive:
+        levels = [materialise(found)]
+        while not (below := levels[-1].where("is_dir").select(F.col("path").alias("folder"))).isEmpty():
+            levels.append(materialise(_entries(below)))
+        found = levels[0]
+        for level in levels[1:]:
+            found = found.unionByName(level)
+    out = found.where("NOT is_dir").select("path", "name", "length", F.timestamp_micros("modified").alias("modified"))
+    if suffixes is not None:
+        suffix = F.regexp_extract("name", r"\.[^.]+$", 0)
+        out = out.where((suffix if case_sensitive else F.lower(suffix)).isin(*suffixes))
+    return _with_content(out) if content else out
+
+
+def _hidden(name: str) -> bool:
+    return name.startswith(".") or name.startswith("_") and "=" not in name or name.endswith("._COPYING_")
+
+
+def _listed(folder: str) -> Iterator[tuple[str, str, int | None, int, bool]]:
+    """(path, name, length, modified in microseconds, is it a folder) of what lies in a folder, one after another where the
+    store allows it."""
+    store, place = store_of(folder)
+    if isinstance(store, fs.LocalFileSystem):
+        with os.scandir(place) as entries:
+            for e in entries:
+                if not _hidden(e.name):
+                    about, is_dir = e.stat(), e.is_dir()
+                    yield f"{place.rstrip('/')}/{e.name}", e.name, None if is_dir else about.st_size, about.st_mtime_ns // 1000, is_dir
+        return
+    scheme = folder[: len(folder) - len(place)] if folder.endswith(place) else ""
+    for info in store.get_file_info(fs.FileSelector(place)):
+        if not _hidden(info.base_name):
+            yield scheme + info.path, info.base_name, info.size, (info.mtime_ns or 0) // 1000, info.type == fs.FileType.Directory
+
+
+def _entries(folders: DataFrame) -> DataFrame:
+    """path, name, length, modified (microseconds) and is_dir of what lies in folders (folder); a task lists a folder."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.bool_())
+        batch_of = lambda rows: pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], names=["path", "name", "length", "modified", "is_dir"])
+        held = []
+        for batch in batches:
+            for folder in batch.column("folder").to_pylist():
+                for row in _listed(folder):
+                    held.append(row)
+                    if len(held) >= LISTED_ROWS:
+                        yield batch_of(held)
+                        held = []
+        if held:
+            yield batch_of(held)
+
+    return folders.mapInArrow(run, "path string, name string, length bigint, modified bigint, is_dir boolean")
+
+
+def dealt(found: DataFrame, sized: bool = True) -> DataFrame:
+    """A listing dealt to tasks by the number of files and, where they will be read whole, by their bytes."""
+    found = materialise(found)
+    size = found.agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes")).first()
+    return found.repartition(max(1, -(-size.n // TASK_FILES), -(-size.bytes // TASK_BYTES) if sized else 1))
+
+
+def _with_content(found: DataFrame) -> DataFrame:
+    """A listing with the files' content, in tasks of bounded numbers and bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            first, held, size = 0, [], 0
+            for i, path in enumerate(batch.column("path").to_pylist()):
+                store, place = store_of(path)
+                with store.open_input_file(place) as file:
+                    held.append(file.read())
+                size += len(held[-1])
+                if size >= BATCH_BYTES or i == batch.num_rows - 1:
+                    yield pa.RecordBatch.from_arrays([*batch.slice(first, len(held)).columns, pa.array(held, pa.binary())], names=[*batch.schema.names, "content"])
+                    first, held, size = i + 1, [], 0
+
+    return dealt(found).mapInArrow(run, "path string, name string, length bigint, modified timestamp, content binary")
 
 
 def _exists(spark: SparkSession, folder: str) -> bool:

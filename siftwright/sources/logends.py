@@ -49,7 +49,7 @@ def _lines(data: bytes) -> list[bytes]:
 
 
 def _ends(spark: SparkSession, folder: str, n: int, last: bool, suffixes: tuple[str, ...]) -> DataFrame:
-    listed = files.listing(spark, folder, suffixes).select("path", "length")
+    listed = files.dealt(files.listing(spark, folder, suffixes).select("path", "length"), sized=False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -8,7 +8,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from siftwright.sources import container, filewriter, logends, sinks
+from siftwright.sources import container, filewriter, files, logends, sinks
 
 
 def texts_below(folder):
@@ -138,3 +138,20 @@ def test_ends_of_logs_read_few_bytes(spark, tmp_path):
     assert of(first, "open.log") == of(last, "open.log") == ["a", "b"] and not of(last, "empty.log")
     assert max(r.bytes_read for r in first + last) <= 2 * logends.BLOCK < os.path.getsize(tmp_path / "large.log") / 10
     assert [r.line for r in logends.tail(spark, str(tmp_path), 1).collect() if r.path.endswith("large.log")] == lines[-1:]
+
+
+def test_folders_are_listed_by_tasks(spark, tmp_path, monkeypatch):
+    """The driver knows no file of a listing; hidden files are left out at any depth, and contents come in several tasks."""
+    monkeypatch.setattr(files, "TASK_FILES", 3)
+    for k in range(10):
+        (tmp_path / f"d{k % 2}" / "deep").mkdir(parents=True, exist_ok=True)
+        (tmp_path / f"d{k % 2}" / "deep" / f"f{k}.txt").write_text("x" * k)
+        (tmp_path / f"t {k}%.txt").write_text("é" * k)
+    for name in (".hidden.txt", "_hidden.txt"):
+        (tmp_path / name).write_text("no")
+    top, deep = files.listing(spark, str(tmp_path)), files.listing(spark, str(tmp_path), (".txt",), recursive=True, content=True)
+    assert top.inputFiles() == deep.inputFiles() == []
+    assert sorted(r.name for r in top.collect()) == [f"t {k}%.txt" for k in range(10)]
+    rows = deep.collect()
+    assert deep.rdd.getNumPartitions() == 7 and len(rows) == 20 and len({r.path for r in rows}) == 20
+    assert all(r.length == len(r.content) == os.path.getsize(r.path) and abs(r.modified.timestamp() - os.path.getmtime(r.path)) < 86400 for r in rows)
