@@ -4,13 +4,15 @@ Vectors at length 1 have the distance sqrt(2 - 2 cosine), so cosine order is dis
 nearest pivot and by rings of the distance to it into blocks of bounded size; frequent vectors are spread over several. A
 first pass compares each query block with two gallery blocks of its own cell and ring, which bounds how far its k-th neighbour
 can be. A second pass takes every other gallery block whose lower bound (pivot distances and rings) doesn't lie beyond that.
-Blocks reach a task sorted, the query block first, so a task holds one block of either side at a time and k rows a query.
+Blocks of both sides are written once to the shared folder, and what is shuffled are their places alone: a task reads a few
+query blocks and then, the nearest first, one gallery block at a time that any of them is paired with; it holds k rows a query.
 
 Vectors that are null, of another length, zero or not finite have no neighbours and are nobody's neighbours.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,11 +22,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from siftwright.session import materialise
+from siftwright.session import materialise, shared_folder
+from siftwright.sources.filewriter import store_of
 
 #: Rows of a block, and gallery blocks that one task compares with a query block at most.
 BLOCK_ROWS = 1024
 SLICE_BLOCKS = 64
+#: Query blocks that a task holds together at most, so that a gallery block is read once for all of them.
+QUERY_BLOCKS = 16
 #: Pivots at most; their distances to each other are sent to every task.
 PIVOTS = 256
 RINGS = 4
@@ -90,62 +95,113 @@ def _blocks(placed: DataFrame, rings: DataFrame, block_rows: int) -> DataFrame:
     return salted.select(block.alias("block"), "key", "unit", "off").groupBy("block").agg(F.collect_list(F.struct("key", "unit")).alias("rows"), F.count("*").alias("n"), F.min("off").alias("lo"), F.max("off").alias("hi"))  # about block_rows a group
 
 
+def _stored(blocks: DataFrame, side: str) -> DataFrame:
+    """Blocks written to files of the shared folder, a file a task: their columns with their place (file, at, size) for
+    ``rows``."""
+    folder = f"{shared_folder(blocks.sparkSession)}/blocks_{uuid.uuid4().hex}"
+    others = [f for f in blocks.schema.fields if f.name != "rows"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, at = None, 0
+        for batch in batches:
+            places = []
+            for rows in batch.column("rows"):
+                if out is None:
+                    name = f"{folder}/{uuid.uuid4().hex}"
+                    store, place = store_of(name)
+                    store.create_dir(place.rpartition("/")[0], recursive=True)
+                    out = store.open_output_stream(place)
+                held = pa.BufferOutputStream()
+                record = pa.RecordBatch.from_struct_array(rows.values)
+                with pa.ipc.new_stream(held, record.schema) as stream:
+                    stream.write_batch(record)
+                data = held.getvalue()
+                out.write(data)
+                places.append((name, at, data.size))
+                at += data.size
+            if places:
+                kinds = (pa.string(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in others), *(pa.array(x, t) for x, t in zip(zip(*places), kinds))], names=[*(f.name for f in others), "file", "at", "size"])
+        if out is not None:
+            out.close()
+
+    return blocks.mapInArrow(run, T.StructType([*others, *T.StructType.fromDDL("file string, at bigint, size bigint").fields])).withColumnRenamed("block", side)
+
+
+def _opened(file: str, at: int, size: int, dimensions: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and unit vectors of a stored block."""
+    store, place = store_of(file)
+    with store.open_input_file(place) as held:
+        held.seek(at)
+        rows = pa.ipc.open_stream(held.read(size)).read_all()
+    return np.array(rows["key"].to_pylist()), np.frombuffer(b"".join(rows["unit"].to_pylist()), float).reshape(-1, dimensions)
+
+
 def _compared(queries: DataFrame, gallery: DataFrame, pairs: DataFrame, k: int, dimensions: int, exclude_self: bool) -> DataFrame:
     """query, target, similarity: for every query the k best rows of the gallery blocks that its block is paired with, of
     those that reach ``reach`` (its k-th similarity so far).
 
-    ``pairs`` has q, slice, g and lower, ``queries`` q, rows and reach, ``gallery`` g and rows.
+    ``pairs`` has q, slice, g and lower, ``queries`` q, place, key (a null of the key's type) and reach, ``gallery`` g, place
+    and key.
     """
-    asked = pairs.select("q", "slice").distinct().join(queries, "q").select("q", "slice", F.lit(-1.0).alias("lower"), "rows", "reach")
-    offered = pairs.join(gallery, "g").select("q", "slice", "lower", "rows", F.lit(None).cast("array<double>").alias("reach"))
-    dealt = asked.unionByName(offered).repartition("q", "slice").sortWithinPartitions("q", "slice", "lower")
-    target = next(f.dataType for f in gallery.schema["rows"].dataType.elementType.fields if f.name == "key")
-    query = next(f.dataType for f in queries.schema["rows"].dataType.elementType.fields if f.name == "key")
-    schema = T.StructType([T.StructField("query", query), T.StructField("target", target), T.StructField("similarity", T.DoubleType())])
-
+    place = F.struct("file", "at", "size")
+    offered = pairs.join(gallery.select("g", place.alias("place")), "g").groupBy("q", "slice").agg(F.array_sort(F.collect_list(F.struct("lower", "place"))).alias("offered"))
+    items = offered.join(queries.select("q", place.alias("own"), "reach"), "q").withColumn("_group", F.pmod(F.xxhash64(F.lit(31), "q"), F.lit(1 << 20)))
+    items = materialise(items.select("slice", "_group", "own", "reach", "offered"))
+    tasks = max(1, min(items.count(), max(items.sparkSession.sparkContext.defaultParallelism, -(-items.count() // QUERY_BLOCKS))))
+    dealt = items.repartitionByRange(tasks, "slice", "_group").sortWithinPartitions("slice", "_group").drop("slice", "_group")
+    schema = T.StructType([T.StructField("query", queries.schema["key"].dataType), T.StructField("target", gallery.schema["key"].dataType), T.StructField("similarity", T.DoubleType())])
     types = [f.type for f in to_arrow_schema(schema)]
 
-    def opened(rows: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
-        keys, units = rows.values.flatten()
-        return np.array(keys.to_pylist()), np.frombuffer(b"".join(units.to_pylist()), float).reshape(-1, dimensions)
+    def started(own: dict, reach: list | None) -> dict:
+        keys, units = _opened(**own, dimensions=dimensions)
+        return {"keys": keys, "units": units, "least": np.full(len(keys), -np.inf) if reach is None else np.array(reach, float), "q": np.zeros(0, np.int64), "ids": np.zeros(0, object), "s": np.zeros(0)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-
-        def closed(held) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(held["keys"][held["q"]].tolist(), types[0]), pa.array(held["ids"].tolist(), types[1]), pa.array(held["s"])], names=["query", "target", "similarity"])
-
         for batch in batches:
-            for i in range(batch.num_rows):
-                lower = batch.column("lower")[i].as_py()
-                if lower < 0:
-                    if held is not None and len(held["q"]):
-                        yield closed(held)
-                    keys, units = opened(batch.column("rows")[i])
-                    reach = batch.column("reach")[i].as_py()
-                    held = {"keys": keys, "units": units, "least": np.full(len(keys), -np.inf) if reach is None else np.array(reach, float), "q": np.zeros(0, np.int64), "ids": np.zeros(0, object), "s": np.zeros(0)}
-                    continue
-                if lower > distance(held["least"].min(initial=np.inf).clip(-1, 1)) + SLACK and np.isfinite(held["least"]).all():
-                    continue
-                _improve(held, *opened(batch.column("rows")[i]), k, exclude_self)
-        if held is not None and len(held["q"]):
-            yield closed(held)
+            for first in range(0, batch.num_rows, QUERY_BLOCKS):
+                rows = batch.slice(first, QUERY_BLOCKS)
+                held = [started(own, reach) for own, reach in zip(rows.column("own").to_pylist(), rows.column("reach").to_pylist())]
+                wanted: dict[tuple, list] = {}
+                for h, offers in zip(held, rows.column("offered").to_pylist()):
+                    for offer in offers:
+                        wanted.setdefault(tuple(offer["place"].values()), []).append((offer["lower"], h))
+                for at in sorted(wanted, key=lambda x: min(lower for lower, _ in wanted[x])):
+                    near = [h for lower, h in wanted[at] if not np.isfinite(h["least"]).all() or lower <= distance(h["least"].min().clip(-1, 1)) + SLACK]
+                    if near:
+                        ids, units = _opened(*at, dimensions)
+                        for h in near:
+                            _improve(h, ids, units, k, exclude_self)
+                for h in held:
+                    if len(h["q"]):
+                        yield pa.RecordBatch.from_arrays([pa.array(h["keys"][h["q"]].tolist(), types[0]), pa.array(h["ids"].tolist(), types[1]), pa.array(h["s"])], names=schema.names)
 
     return dealt.mapInArrow(run, schema)
 
 
 def _improve(held: dict, ids: np.ndarray, units: np.ndarray, k: int, exclude_self: bool) -> None:
     """Take the rows of a gallery block into the k best of every query; ties by the smaller id."""
-    found = (held["units"] @ units.T).round(12)
+    found = held["units"] @ units.T
+    least, most = held["least"].copy(), k + exclude_self
+    bound = lambda some: np.partition(some, some.shape[1] - most, axis=1)[:, some.shape[1] - most].round(12)
+    fresh = ~np.isfinite(least)
+    if found.shape[1] > most and fresh.any():
+        least[fresh] = bound(found[fresh])
+    chosen = found >= least[:, None] - 2e-12  # before values are rounded
+    if found.shape[1] > most and np.count_nonzero(chosen) > 8 * most * len(least):
+        least = np.maximum(least, bound(found))
+        chosen = found >= least[:, None] - 2e-12
+    query, at = np.nonzero(chosen)
+    value = found[query, at].round(12)
+    kept = value >= least[query]
     if exclude_self:
-        found[held["keys"][:, None] == ids[None, :]] = -np.inf
-    least = held["least"].copy()
-    if found.shape[1] > k:
-        least = np.maximum(least, np.partition(found, found.shape[1] - k, axis=1)[:, found.shape[1] - k])
-    query, at = np.nonzero((found >= least[:, None]) & np.isfinite(found))
-    q, s = np.concatenate([held["q"], query]), np.concatenate([held["s"], found[query, at]])
+        kept &= held["keys"][query] != ids[at]
+    query, at, value = query[kept], at[kept], value[kept]
+    if not len(query):
+        return
+    q, s = np.concatenate([held["q"], query]), np.concatenate([held["s"], value])
     every = np.concatenate([held["ids"], ids[at].astype(object)])
-    _, rank = np.unique(every, return_inverse=True) if len(every) else (every, np.zeros(0, np.int64))
+    _, rank = np.unique(every, return_inverse=True)
     order = np.lexsort((rank, -s, q))
     q, s, every = q[order], s[order], every[order]
     place = np.arange(len(q)) - np.searchsorted(q, q)
@@ -174,18 +230,22 @@ def neighbour_join(queries: DataFrame, gallery: DataFrame, k: int, key: str, tar
     placed = materialise(_placed(gallery, target, vector, within, dimensions, pivots))
     edges = [i / RINGS for i in range(1, RINGS)] if size.n > 2 * block_rows else [1.0]
     rings = materialise(placed.groupBy("cell").agg(F.array_distinct(F.percentile_approx("off", edges)).alias("edges")))  # one row a pivot
-    g = materialise(_blocks(placed, rings, block_rows).withColumnsRenamed({"block": "g", "lo": "g_lo", "hi": "g_hi"}))
-    q = materialise(_blocks(_placed(queries, key, vector, within, dimensions, pivots), rings, block_rows).withColumnsRenamed({"block": "q", "lo": "q_lo", "hi": "q_hi"}))
+    block = lambda rows: materialise(_blocks(rows, rings, block_rows))
+    key_of = lambda df, column: F.lit(None).cast(df.schema[column].dataType).alias("key")
+    g = materialise(_stored(block(placed).withColumnsRenamed({"lo": "g_lo", "hi": "g_hi"}), "g"))
+    asked = block(_placed(queries, key, vector, within, dimensions, pivots))
+    q = materialise(_stored(asked.withColumnsRenamed({"lo": "q_lo", "hi": "q_hi"}), "q"))
+    g_places, q_places = g.select("g", "file", "at", "size", key_of(gallery, target)), q.select("q", "file", "at", "size", key_of(queries, key))
     slices = max(1, -(-g.count() // SLICE_BLOCKS))
     columns = lambda df, side: df.select(side, *(F.col(f"{side}.{c}").alias(f"{side}_{c}") for c in ("within", "cell", "ring", "salt")), f"{side}_lo", f"{side}_hi")
     g_blocks, q_blocks = columns(g, "g"), columns(q, "q")
     # pass 1: two blocks of the query's own cell and ring
     own = (F.col("q_within") == F.col("g_within")) & (F.col("q_cell") == F.col("g_cell")) & (F.col("q_ring") == F.col("g_ring"))
     near = q_blocks.join(g_blocks.where("g_salt < 2"), own).select("q", F.lit(0).alias("slice"), "g", F.lit(0.0).alias("lower"))
-    first = materialise(_compared(q.select("q", "rows", F.lit(None).cast("array<double>").alias("reach")), g.select("g", "rows"), near, k, dimensions, exclude_self))
+    first = materialise(_compared(q_places.withColumn("reach", F.lit(None).cast("array<double>")), g_places, near, k, dimensions, exclude_self))
     # how far the k-th neighbour of a query can be, and of a whole block
     kth = first.groupBy("query").agg(F.min("similarity").alias("s"), F.count("*").alias("n")).where(F.col("n") >= k).select("query", "s")
-    members = q.select("q", F.posexplode(F.transform("rows", lambda r: r["key"])).alias("at", "query")).join(kth, "query", "left")
+    members = asked.select(F.col("block").alias("q"), F.posexplode(F.transform("rows", lambda r: r["key"])).alias("at", "query")).join(kth, "query", "left")
     reach = members.groupBy("q").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", F.coalesce("s", F.lit(float("-inf"))).alias("s")))), lambda x: x["s"]).alias("reach"))
     reach = materialise(reach.withColumn("far", F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.greatest(F.array_min("reach"), F.lit(-1.0)))) + SLACK))
     # pass 2: all other blocks that may hold a nearer row
@@ -197,7 +257,7 @@ def neighbour_join(queries: DataFrame, gallery: DataFrame, k: int, key: str, tar
     reachable = q_blocks.join(reach.select("q", "far"), "q").join(F.broadcast(between.join(cells, "g_cell")), "q_cell").where((F.col("apart") - F.col("q_hi") - F.col("c_hi") <= F.col("far")) & (F.col("c_lo") - F.col("apart") - F.col("q_hi") <= F.col("far")))
     other = reachable.join(g_blocks, (F.col("q_within") == F.col("g_within")) & (reachable["g_cell"] == g_blocks["g_cell"])).drop(reachable["g_cell"]).where(~done).withColumn("lower", lower).where("lower <= far")
     rest = other.select("q", F.pmod(F.xxhash64("g"), F.lit(slices)).cast("int").alias("slice"), "g", "lower")
-    second = _compared(q.select("q", "rows").join(reach.select("q", "reach"), "q"), g.select("g", "rows"), rest, k, dimensions, exclude_self)
+    second = _compared(q_places.join(reach.select("q", "reach"), "q"), g_places, rest, k, dimensions, exclude_self)
     best = Window.partitionBy("query").orderBy(F.desc("similarity"), "target")
     return first.unionByName(second).withColumn("rank", F.row_number().over(best).cast("bigint")).where(F.col("rank") <= k)
 

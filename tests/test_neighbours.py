@@ -59,6 +59,16 @@ def test_most_pairs_of_blocks_are_pruned(spark):
     assert got == 4800 and sum(n for n, _ in seen) < 0.2 * max(every for _, every in seen)  # an eighth at best
 
 
+def test_pairs_of_blocks_carry_no_vectors(spark, monkeypatch):
+    """Every pair of blocks is compared, yet only places of blocks are shuffled."""
+    rows = [(f"v{i:04}", v.tolist(), 0) for i, v in enumerate(np.random.default_rng(6).normal(size=(400, 8)).astype(np.float32))]
+    side, seen, compared = frame(spark, rows), [], neighbours._compared
+    monkeypatch.setattr(neighbours, "_compared", lambda q, g, pairs, *rest: seen.append((q, g)) or compared(q, g, pairs, *rest))
+    got = neighbours.neighbour_join(side, side, 4, "id", "id", block_rows=20)
+    assert {(r.query, r.target, r["rank"]) for r in got.collect()} == {r[:3] for r in expected(rows, rows, 4, False)}
+    assert all("rows" not in blocks.columns and blocks.where("size > 0").count() > 10 for blocks in (*seen[0], *seen[1]))
+
+
 def test_hitless_queries_and_empty_sides(spark):
     rows = [("a", [1.0, 0.0], 1), ("b", [0.0, 1.0], 1), ("c", [1.0, 0.0], 2)]
     queries, none = frame(spark, rows + [("d", None, 1)]), frame(spark, rows).where("false")
