@@ -2,9 +2,9 @@
 
 Building: coarse centres and the codebooks of residuals are fitted on a bounded sample (``SAMPLE_ROWS``); every row of the
 gallery is then assigned to its list and coded, one byte a part, in one pass without a shuffle but the write's. Searching: a
-query goes to its ``probes`` nearest lists; queries and codes meet as blocks of bounded size by an equi-join on the list, so a
-frequent list is spread over many tasks; tables of inner products rank the codes, and the best ``candidates`` of a query are
-ranked again by their exact cosine.
+query goes to its ``probes`` nearest lists; a task holds some queries and reads the codes of their lists in blocks of bounded
+size; inner products with the decoded vectors rank the codes, and the best ``candidates`` of a query are ranked again by their
+exact cosine.
 
 Vectors that are null, of another length, zero or not finite are in no list and find nothing.
 """
@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.dataset as ds
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,6 +24,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from siftwright.functions import vectors
 from siftwright.operators import neighbours, similarity
+from siftwright.sources.filewriter import store_of
 
 #: Rows that centres and codebooks are fitted on, at most about.
 SAMPLE_ROWS = 50_000
@@ -31,9 +33,9 @@ ENTRIES = 256
 ROUNDS = 10
 #: Rows that the settings of a search are measured on.
 TUNING_QUERIES = 300
-#: Codes and queries of a block.
+#: Codes and queries that a task compares at a time.
 CODE_ROWS = 4096
-QUERY_ROWS = 256
+QUERY_ROWS = 1024
 
 
 @dataclass
@@ -112,58 +114,62 @@ def load(spark: SparkSession, folder: str) -> Index:
     return Index(folder, np.array(centres), np.array(books).reshape(len(books) // ENTRIES, ENTRIES, -1))
 
 
-def _packed(rows: DataFrame, most: int, into: str) -> DataFrame:
-    """Rows of (list, key, value) as blocks of about ``most``: list and an array of (key, value)."""
-    sizes = rows.groupBy("list").agg(F.ceil(F.count("*") / most).alias("_salts"))  # one row a list
-    salted = rows.join(F.broadcast(sizes), "list").withColumn("_salt", F.pmod(F.xxhash64(F.lit(13), "key"), F.col("_salts")))
-    return salted.groupBy("list", "_salt").agg(F.collect_list(F.struct("key", "value")).alias(into)).drop("_salt")
-
-
 def candidates_of(index: Index, queries: DataFrame, key: str, vector: str = "embedding", probes: int = 24, candidates: int = 100) -> DataFrame:
-    """query, target and estimated similarity of the best codes in a query's lists."""
+    """query, target and estimated similarity of the best codes in a query's lists.
+
+    A task holds ``QUERY_ROWS`` queries and reads the codes of their lists from the index, so that nothing is shuffled but
+    the queries, and gives only the best codes of all lists.
+    """
     spark = queries.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
-    shared = spark.sparkContext.broadcast((index.centres, index.books))
+    shared, folder = spark.sparkContext.broadcast((index.centres, index.books)), f"{index.folder}/codes"
     dimensions = index.centres.shape[1]
-
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            centres = shared.value[0]
-            units = neighbours.unit_rows(batch.column("v"), dimensions)
-            far = (centres * centres).sum(axis=1) - 2 * units @ centres.T
-            near = np.argsort(far, axis=1, kind="stable")[:, :probes]
-            at = np.repeat(np.arange(len(units)), near.shape[1])
-            yield pa.RecordBatch.from_arrays([pa.array(near.ravel().astype(np.int32)), batch.column("key").take(pa.array(at)), pa.array([units[i].tobytes() for i in at], pa.binary())], names=["list", "key", "value"])
-
     asked = queries.where(neighbours.usable(vector, dimensions)).select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v"))
-    probing = asked.mapInArrow(probe, T.StructType([T.StructField("list", T.IntegerType()), asked.schema["key"], T.StructField("value", T.BinaryType())]))
-    codes = index.codes(spark).withColumnRenamed("code", "value")
-    pairs = _packed(probing, QUERY_ROWS, "asked").join(_packed(codes, CODE_ROWS, "codes"), "list")
-    schema = T.StructType([T.StructField("query", asked.schema["key"].dataType), T.StructField("target", codes.schema["key"].dataType), T.StructField("estimate", T.DoubleType())])
-    types = [f.type for f in to_arrow_schema(schema)]
+    schema = T.StructType([T.StructField("query", asked.schema["key"].dataType), T.StructField("target", index.codes(spark).schema["key"].dataType), T.StructField("estimate", T.DoubleType())])
+    types, query_rows, code_rows = [f.type for f in to_arrow_schema(schema)], QUERY_ROWS, CODE_ROWS
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, place = store_of(folder)
+        codes = ds.dataset(place, filesystem=store, format="parquet")
         centres, books = shared.value
-        width = books.shape[2]
+        held, n = [], 0
         for batch in batches:
-            for i in range(batch.num_rows):
-                (own, packed), (ids, coded) = (batch.column(name)[i].values.flatten() for name in ("asked", "codes"))
-                wanted = np.frombuffer(b"".join(packed.to_pylist()), float).reshape(-1, dimensions)
-                code = np.frombuffer(b"".join(coded.to_pylist()), np.uint8).reshape(-1, len(books))
-                found = np.repeat((wanted @ centres[batch.column("list")[i].as_py()])[:, None], len(code), axis=1)
-                for p, book in enumerate(books):
-                    found += (wanted[:, p * width : (p + 1) * width] @ book.T)[:, code[:, p]]
-                most = min(candidates, len(code))
-                best = np.argpartition(-found, most - 1, axis=1)[:, :most]
-                row = np.repeat(np.arange(len(wanted)), most)
-                yield pa.RecordBatch.from_arrays([own.take(pa.array(row)).cast(types[0]), ids.take(pa.array(best.ravel())).cast(types[1]), pa.array(found[row, best.ravel()])], names=schema.names)
-
-    every = pairs.mapInArrow(score, schema)
-    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("estimate"), "target"))
-    return every.withColumn("_place", place).where(F.col("_place") <= candidates).drop("_place")
+            held, n = [*held, batch], n + batch.num_rows
+            if n >= query_rows:
+                yield from found(pa.Table.from_batches(held), codes, centres, books)
+                held, n = [], 0
+        if n:
+            yield from found(pa.Table.from_batches(held), codes, centres, books)
+
+    def found(wanted: pa.Table, codes: ds.Dataset, centres: np.ndarray, books: np.ndarray) -> Iterator[pa.RecordBatch]:
+        units = neighbours.unit_rows(wanted["v"].combine_chunks(), dimensions)
+        near = np.argsort((centres * centres).sum(axis=1) - 2 * units @ centres.T, axis=1, kind="stable")[:, :probes]
+        probed = np.zeros((len(units), len(centres)), bool)
+        np.put_along_axis(probed, near, True, axis=1)
+        units, width = units.astype(np.float32), books.shape[2]
+        least = np.full(len(units), -np.inf, np.float32)
+        q, ids, s = np.zeros(0, np.int64), np.zeros(0, object), np.zeros(0, np.float32)
+        for batch in codes.to_batches(columns=["list", "key", "code"], filter=ds.field("list").isin(np.unique(near).tolist()), batch_size=code_rows):
+            if not batch.num_rows:
+                continue
+            own = np.asarray(batch.column("list"))
+            code = np.frombuffer(b"".join(batch.column("code").to_pylist()), np.uint8).reshape(-1, len(books))
+            rest = np.concatenate([books[p][code[:, p]] for p in range(len(books))], axis=1)
+            estimate = np.where(probed[:, own], units @ (centres[own] + rest).astype(np.float32).T, np.float32(-np.inf))
+            if len(own) > candidates:  # none below the batch's own best is wanted
+                least = np.maximum(least, np.where(np.isfinite(least), least, np.partition(estimate, len(own) - candidates, axis=1)[:, len(own) - candidates]))
+            query, at = np.nonzero((estimate >= least[:, None]) & np.isfinite(estimate))
+            q, ids, s = np.concatenate([q, query]), np.concatenate([ids, np.array(batch.column("key").to_pylist(), object)[at]]), np.concatenate([s, estimate[query, at]])
+            order = np.lexsort((-s, q))
+            q, ids, s = q[order], ids[order], s[order]
+            place = np.arange(len(q)) - np.searchsorted(q, q)
+            full = place == candidates - 1
+            least[q[full]] = np.maximum(least[q[full]], s[full])
+            q, ids, s = q[place < candidates], ids[place < candidates], s[place < candidates]
+        keys = wanted["key"].combine_chunks()
+        yield pa.RecordBatch.from_arrays([keys.take(pa.array(q)).cast(types[0]), pa.array(ids.tolist(), types[1]), pa.array(s.astype(float))], names=schema.names)
+
+    tasks = max(1, min(-(-asked.count() // query_rows) * 4, 100_000))
+    return asked.repartition(tasks, "key").mapInArrow(score, schema)
 
 
 def search(index: Index, queries: DataFrame, gallery: DataFrame, k: int, key: str, target: str, vector: str = "embedding", probes: int = 24, candidates: int = 100, exclude_self: bool = False) -> DataFrame:

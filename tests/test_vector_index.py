@@ -38,6 +38,17 @@ def test_clusters_need_few_lists_and_hot_vectors_are_spread(spark, tmp_path, mon
     assert found.where("query LIKE 'odd%' OR target LIKE 'odd%'").count() == 0
 
 
+def test_searches_give_a_query_its_candidates_alone(spark, tmp_path, monkeypatch):
+    """A task merges the codes of all lists, so that what leaves it doesn't grow with the number of lists."""
+    monkeypatch.setattr(vector_index, "CODE_ROWS", 50)
+    x = np.random.default_rng(5).normal(size=(600, 8)).astype(np.float32)
+    side = spark.createDataFrame([(f"v{i:04}", v.tolist(), 1, "") for i, v in enumerate(x)], SCHEMA).repartition(3)
+    index = vector_index.build(side, "id", f"{tmp_path}/i", parts=4)
+    found = vector_index.candidates_of(index, side, "id", probes=10, candidates=20)
+    assert "Window" not in found._jdf.queryExecution().toString()
+    assert {r["count"] for r in found.groupBy("query").count().collect()} == {20}
+
+
 def test_galleries_that_cannot_be_indexed(spark, tmp_path):
     side = spark.createDataFrame([("a", [1.0, 0.0, 1.0], 1, "")], SCHEMA)
     with pytest.raises(ValueError):
