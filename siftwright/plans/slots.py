@@ -19,6 +19,8 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
+from siftwright.session import bounded_batches
+
 
 @dataclass(frozen=True)
 class Slot:
@@ -36,6 +38,7 @@ class Slot:
             raise ValueError(f"{self.name}: missing columns {missing}")
         if clash := [c for c in added.names if c in rows.columns]:
             raise ValueError(f"{self.name}: columns {clash} are there already")
+        bounded_batches(rows.sparkSession)
         kinds, function, name, inputs = to_arrow_schema(added), self.function, self.name, self.columns
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -30,6 +30,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of few rows and bytes from now on in this session, for Python operators over whole texts: what a task
+    holds then doesn't grow with its rows."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: the one in ``spark.checkpoint.dir``. A local session that names
     none gets a temporary folder; on a cluster that is an error, as executors would not see each other's files."""

@@ -104,3 +104,18 @@ def test_verbs_of_models(spark):
         known.call("/transcribe", rows)
     with pytest.raises(ValueError):
         registry.default_registry({"nothing/known": slot})
+
+
+def test_models_get_few_rows_at_a_time(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    count = slots.Slot("count", "n bigint", lambda batch: {"n": [len(batch["text"])] * len(batch["text"])}, ("text",))
+    rows = spark.range(3000).coalesce(1).selectExpr("id", "repeat('x', 100) AS text")
+    assert max(r.n for r in count.apply(rows).collect()) <= 500
+
+
+def test_texts_are_cut_a_few_rows_at_a_time(spark):
+    from siftwright.functions import texts
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    assert texts.chunk_table(spark.range(3).selectExpr("id AS path", "'a b' AS text")).count() == 3
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 500
