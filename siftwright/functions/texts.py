@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftwright.functions import scalars
+from siftwright.session import bounded_batches
 
 CHUNK_SIZE, CHUNK_OVERLAP = 300, 60
 SEPARATORS = ("\n\n", "\n", " ", "")
@@ -63,6 +64,7 @@ def chunks(size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP):
 
 def chunk_table(docs: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, whole: bool = False) -> DataFrame:
     """path, chunk_index, chunk_text of documents (path, text); ``whole`` keeps each text as one chunk."""
+    bounded_batches(docs.sparkSession)
     cut = F.filter(F.array(F.trim("text")), lambda x: x != "") if whole else chunks(size, overlap)("text")
     return docs.select("path", F.posexplode(cut).alias("chunk_index", "chunk_text"))
 
