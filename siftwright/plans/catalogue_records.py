@@ -11,7 +11,7 @@ from siftwright.functions import embedders, predicates, scalars, texts
 from siftwright.operators import cache, detections, fusion, lineage, nested, similarity, state
 from siftwright.plans import registry, slots
 from siftwright.plans.catalogue import query
-from siftwright.session import table
+from siftwright.session import bounded_batches, table
 from siftwright.sources import files
 
 
@@ -300,6 +300,7 @@ def request_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 least(390 + doc_id % 20, 400) + CASE WHEN doc_id % 20 > 10 THEN 1 ELSE 0 END AS keys, CASE WHEN doc_id % 20 > 10 THEN doc_id % 20 - 10 END AS more, CASE WHEN doc_id % 100 = 1 THEN 5001 END::BIGINT AS items, CASE WHEN doc_id % 100 = 1 THEN '<truncated ' || (1 + doc_id % 3) || ' list items>' END AS mark FROM documents WHERE text IS NOT NULL""")
 def payload_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FN22, SO12: payloads of every document cut in depth, text, list and key bounds."""
+    bounded_batches(spark)
     n, cut = F.col("doc_id"), nested.cut_payloads()
     steps = (11 + n % 7).cast("int")
     deep = F.concat(F.repeat(F.lit('{"a":'), steps), F.lit("1"), F.repeat(F.lit("}"), steps))
