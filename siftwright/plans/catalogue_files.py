@@ -52,6 +52,12 @@ def _put(rows: DataFrame, folder: str, name: Column, content: Column) -> None:
     filewriter.write_files(rows.select(F.concat(F.lit(folder + "/"), name).alias("output_path"), content.alias("content")), folder)
 
 
+def _part(number: Column) -> Column:
+    """The folder of a file by its number, two thousand numbers a folder: tasks then write to folders of their own, and many
+    tasks list them."""
+    return F.concat(F.lit("part_"), F.floor(number / 2000).cast("string"))
+
+
 def _page_files(spark: SparkSession, sf_dir: str, sounds: bool = False) -> str:
     """A folder with a file per page and, on request, a sound file per page one level below."""
     folder, pages = _new_folder(spark), _pages(spark, sf_dir)
@@ -216,8 +222,8 @@ def perceptual_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = F.floor(F.octet_length("b") / 96).cast("int")
     made = bitmaps.bmp_of(F.substr("b", F.lit(1), rows * 96), 32, rows)
     cut = F.when(F.col("doc_id") % 7 == 0, F.substr(made, F.lit(1), F.octet_length(made) - 1)).otherwise(made)
-    _put(docs, folder, F.concat(F.lit("i_"), F.col("doc_id").cast("string"), F.lit(".bmp")), cut)
-    scan = files.listing(spark, folder, files.IMAGES, content=True)
+    _put(docs, folder, F.concat(_part(F.col("doc_id")), F.lit("/i_"), F.col("doc_id").cast("string"), F.lit(".bmp")), cut)
+    scan = files.listing(spark, folder, files.IMAGES, recursive=True, content=True)
     return scan.select(F.regexp_extract("path", r"i_(\d+)", 1).cast("bigint").alias("doc_id"), bitmaps.perceptual_hash(F.col("content")).alias("pdq_hash"))
 
 

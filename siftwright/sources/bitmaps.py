@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 import struct
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -62,6 +63,7 @@ def _netpbm(data: bytes) -> np.ndarray | None:
     return np.broadcast_to(flat, (rows, width, 3))
 
 
+@lru_cache(1024)
 def _box(n: int) -> tuple[np.ndarray, np.ndarray]:
     """First and past-the-last place of the mean around each of n places; the window shrinks at the ends."""
     window = (n + 2 * REDUCED - 1) // (2 * REDUCED)

@@ -26,8 +26,10 @@ FACES = (".jpg", ".jpeg", ".png", ".bmp", ".webp")
 PICTURES = (".jpg", ".jpeg", ".png")
 AUDIO = (".mp3", ".wav", ".flac", ".aac", ".ogg", ".m4a")
 TEXT_CHARS = 50 * 1024 * 1024
-#: Rows of a batch of a listing; files and bytes that one task reads, and bytes of a batch.
+#: Rows of a batch of a listing; tasks that list the folders of a level; files and bytes that one task reads, and bytes of a
+#: batch.
 LISTED_ROWS = 4096
+LISTING_TASKS = 64
 TASK_FILES = 4000
 TASK_BYTES = 64 << 20
 BATCH_BYTES = 4 << 20
@@ -43,8 +45,8 @@ def listing(spark: SparkSession, folder: str, suffixes: tuple[str, ...] | None =
     found = _entries(spark.createDataFrame([(folder,)], "folder string").coalesce(1))
     if recursive:
         levels = [materialise(found)]
-        while not (below := levels[-1].where("is_dir").select(F.col("path").alias("folder"))).isEmpty():
-            levels.append(materialise(_entries(below)))
+        while n := (below := levels[-1].where("is_dir").select(F.col("path").alias("folder"))).count():
+            levels.append(materialise(_entries(below.repartition(min(n, LISTING_TASKS)))))
         found = levels[0]
         for level in levels[1:]:
             found = found.unionByName(level)

@@ -21,6 +21,9 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterComm
 from pyspark.sql.types import StructType
 
 NAME = "one_file_a_row"
+#: Folders that a task remembers, and files that it writes where rows are dealt to tasks by their number.
+KNOWN_FOLDERS = 1000
+TASK_FILES = 4000
 
 
 @dataclass
@@ -36,11 +39,17 @@ def store_of(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path)
 
 
-def put(path: str, content: bytes, mark: str) -> None:
-    """Write a file under a temporary name and move it to its place."""
-    store, place = store_of(path)
-    folder, _, name = place.rpartition("/")
-    store.create_dir(folder, recursive=True)
+def put(path: str, content: bytes, mark: str, known: dict[str, tuple[fs.FileSystem, str]] | None = None) -> None:
+    """Write a file under a temporary name and move it to its place. ``known`` keeps the folders that a task has made."""
+    known, (above, _, name) = {} if known is None else known, path.rpartition("/")
+    if above not in known:
+        if len(known) >= KNOWN_FOLDERS:
+            known.clear()
+        store, place = store_of(path)
+        known[above] = store, place.rpartition("/")[0]
+        store.create_dir(known[above][1], recursive=True)
+    store, folder = known[above]
+    place = f"{folder}/{name}"
     staged = f"{folder}/.{mark}.{uuid.uuid4().hex}"
     with store.open_output_stream(staged) as out:
         out.write(content)
@@ -61,11 +70,11 @@ class _Writer(DataSourceArrowWriter):
         self.folder, self.mark = folder, f"staged-{uuid.uuid4().hex}"
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
-        files = size = 0
+        files, size, known = 0, 0, {}
         for batch in iterator:
             for path, content in zip(batch.column("output_path"), batch.column("content")):
                 data = content.as_py() or b""
-                put(path.as_py(), data, self.mark)
+                put(path.as_py(), data, self.mark, known)
                 files, size = files + 1, size + len(data)
         return Written(files, size)
 
@@ -93,6 +102,12 @@ class OneFileARow(DataSource):
         return _Writer(self.options["path"], schema)
 
 
+def dealt(rows: DataFrame, files: int) -> DataFrame:
+    """Rows of (output_path, ...), of which there are ``files``, dealt to tasks by their number: after a join Spark deals them
+    by bytes, so that millions of short texts would be written by a few tasks."""
+    return rows.repartition(max(1, -(-files // TASK_FILES)), "output_path")
+
+
 def write_files(rows: DataFrame, folder: str) -> None:
     """Write ``content`` of every row of (output_path, content) to its file below a folder."""
     spark: SparkSession = rows.sparkSession

@@ -155,3 +155,15 @@ def test_folders_are_listed_by_tasks(spark, tmp_path, monkeypatch):
     rows = deep.collect()
     assert deep.rdd.getNumPartitions() == 7 and len(rows) == 20 and len({r.path for r in rows}) == 20
     assert all(r.length == len(r.content) == os.path.getsize(r.path) and abs(r.modified.timestamp() - os.path.getmtime(r.path)) < 86400 for r in rows)
+
+
+def test_folders_of_a_level_are_listed_by_several_tasks(spark, tmp_path, monkeypatch):
+    """Folders of a level are dealt to tasks; before, the task that listed the top listed all of them."""
+    for k in range(9):
+        (tmp_path / f"part_{k}").mkdir()
+        (tmp_path / f"part_{k}" / f"f{k}.txt").write_text("x")
+    seen = []
+    monkeypatch.setattr(files, "materialise", lambda df, f=files.materialise: seen.append(df.rdd.getNumPartitions()) or f(df))
+    found = files.listing(spark, str(tmp_path), recursive=True)
+    assert sorted(r.name for r in found.collect()) == [f"f{k}.txt" for k in range(9)]
+    assert seen == [1, 9]
