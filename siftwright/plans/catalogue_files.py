@@ -397,8 +397,8 @@ def written_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select("doc_id", path.alias("path"), "text")
     older = rows.where("doc_id % 2 = 1").withColumn("text", F.lit("older"))
     for texts in (older, rows):
-        sinks.write_texts(sinks.text_outputs(texts, folder, whole_name=False), folder)
-    read = files.forensics(files.listing(spark, folder, (".txt",), content=True))
+        sinks.write_texts(sinks.text_outputs(texts, folder, whole_name=False, below=_part(F.col("doc_id"))), folder)
+    read = files.forensics(files.listing(spark, folder, (".txt",), recursive=True, content=True))
     return read.select(F.regexp_extract("path", r"([^/]*)\.txt$", 1).alias("name"), "sha256", "size")
 
 

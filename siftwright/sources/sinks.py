@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwright.functions import scalars
@@ -37,11 +37,12 @@ def next_gallery(stored: DataFrame, new: DataFrame) -> DataFrame:
     return grouping.upsert(stored, ranked.where("_rn = 1").select(*stored.columns), key)
 
 
-def text_outputs(rows: DataFrame, folder: str, whole_name: bool = True) -> DataFrame:
-    """input_path, output_path and text of per-file results: ``<name>.txt`` or ``<stem>.txt`` in a folder."""
+def text_outputs(rows: DataFrame, folder: str, whole_name: bool = True, below: Column | None = None) -> DataFrame:
+    """input_path, output_path and text of per-file results: ``<name>.txt`` or ``<stem>.txt`` in a folder, or in the one that
+    ``below`` names in it: tasks that write to the same folder wait for one another."""
     name = scalars.basename(F.col("path"))
     stem = name if whole_name else F.regexp_replace(name, r"(?<=.)\.[^.]+$", "")
-    return rows.select(F.col("path").alias("input_path"), F.concat(F.lit(folder.rstrip("/") + "/"), stem, F.lit(".txt")).alias("output_path"), "text")
+    return rows.select(F.col("path").alias("input_path"), F.concat(F.lit(folder.rstrip("/") + "/"), *([] if below is None else [below, F.lit("/")]), stem, F.lit(".txt")).alias("output_path"), "text")
 
 
 def jsonld(documents: DataFrame, path: str) -> None:
@@ -77,4 +78,5 @@ def told_apart(outputs: DataFrame) -> DataFrame:
 
 def write_texts(outputs: DataFrame, folder: str) -> None:
     """Write every text of (input_path, output_path, text) to a file of its own below a folder, replacing files of that name."""
-    filewriter.write_files(told_apart(outputs).select("output_path", F.col("text").cast("binary").alias("content")), folder)
+    rows = filewriter.dealt(told_apart(outputs), outputs.count())
+    filewriter.write_files(rows.select("output_path", F.col("text").cast("binary").alias("content")), folder)

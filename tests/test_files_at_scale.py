@@ -167,3 +167,16 @@ def test_folders_of_a_level_are_listed_by_several_tasks(spark, tmp_path, monkeyp
     found = files.listing(spark, str(tmp_path), recursive=True)
     assert sorted(r.name for r in found.collect()) == [f"f{k}.txt" for k in range(9)]
     assert seen == [1, 9]
+
+
+def test_short_texts_are_written_by_tasks_of_bounded_numbers(spark, tmp_path, monkeypatch):
+    """Texts are dealt to tasks by number, whatever their bytes, and to folders below the chosen one."""
+    monkeypatch.setattr(filewriter, "TASK_FILES", 10)
+    seen = []
+    monkeypatch.setattr(filewriter, "write_files", lambda rows, folder, f=filewriter.write_files: seen.append(rows.rdd.getNumPartitions()) or f(rows, folder))
+    rows = spark.range(95).select(F.concat(F.lit("/in/"), F.col("id").cast("string"), F.lit(".png")).alias("path"), F.lit("x").alias("text"))
+    below = F.concat(F.lit("d"), F.regexp_extract("path", r"(\d)\.png", 1))
+    sinks.write_texts(sinks.text_outputs(rows, str(tmp_path), whole_name=False, below=below), str(tmp_path))
+    assert seen == [10]
+    assert sorted(os.listdir(tmp_path)) == [f"d{k}" for k in range(10)]
+    assert sum(len(os.listdir(tmp_path / f"d{k}")) for k in range(10)) == 95 and (tmp_path / "d4" / "94.txt").read_text() == "x"
