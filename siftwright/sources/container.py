@@ -1,8 +1,8 @@
 """Evidence containers: a metadata prefix followed by a ZIP archive, as a table of entries.
 
-A data source reads them: planning walks the central directory (ZIP64 too) as a stream and cuts it into ranges of bounded
-entries and bytes; a task reads its range and seeks to its entries, so a container of any size is spread over many tasks and
-one entry costs its own bytes. Stores are those of ``pyarrow.fs``.
+Tasks walk the central directories (ZIP64 too) as streams and cut them into ranges of bounded entries and bytes. The ranges are
+dealt to tasks, of which each reads several and seeks to their entries, so a container of any size is spread over many tasks,
+many small ones share a task, and one entry costs its own bytes. Stores are those of ``pyarrow.fs``.
 
 Entries that are encrypted, damaged, packed by another method than storing or deflating, or larger than a binary value can be
 have null content; ``read_range`` still reaches any part of the large ones.
@@ -16,11 +16,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-import pyarrow.fs as fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from siftwright.session import materialise
+from siftwright.sources import files
 from siftwright.sources.filewriter import store_of
 
 SIGNATURE = b"PK\x03\x04"
@@ -31,19 +31,17 @@ RANGE_ENTRIES = 2000
 RANGE_BYTES = 64 << 20
 #: Content of a larger entry isn't given as one value.
 LARGEST = 1 << 30
+#: Rows of a batch; containers of a task that cuts, entries of one that reads; so many ranges at least have tasks of their own.
+BATCH_ROWS = 4096
+TASK_CONTAINERS = 500
+TASK_ENTRIES = 10_000
+SPREAD = 64
 _CHUNK = 1 << 20
 SCHEMA = "container string, path string, is_dir boolean, size bigint, content binary"
-
-
-@dataclass
-class Range(InputPartition):
-    """Entries [first, first + count) bytes of a container's directory; ``prefix`` is set for the container's first range."""
-
-    container: str
-    at: int
-    count: int
-    base: int
-    prefix: int
+KINDS = {"container": pa.string(), "path": pa.string(), "is_dir": pa.bool_(), "size": pa.int64(), "content": pa.binary()}
+#: A range: ``count`` entries from the byte ``at`` of a container's directory; ``prefix`` is set for the first one, else -1.
+RANGES = "container string, at bigint, count bigint, base bigint, prefix bigint, bytes bigint"
+RANGE_KINDS = {"container": pa.string()} | {name: pa.int64() for name in ("at", "count", "base", "prefix", "bytes")}
 
 
 @dataclass
@@ -157,82 +155,88 @@ def _prefix(file, container: str) -> int:
     return at
 
 
-class _Reader(DataSourceReader):
-    def __init__(self, options: dict[str, str]) -> None:
-        self.folder, self.suffix = options["path"], options.get("suffix", ".ufdr")
-        self.content, self.entry = options.get("content", "true") == "true", options.get("entry")
-        self.begin, self.length = int(options.get("begin", 0)), int(options["length"]) if "length" in options else None
-        self.range_entries, self.range_bytes = int(options.get("range_entries", RANGE_ENTRIES)), int(options.get("range_bytes", RANGE_BYTES))
-
-    def partitions(self) -> list[Range]:
-        store, place = store_of(self.folder)
-        found = []
-        infos = store.get_file_info(fs.FileSelector(place, allow_not_found=True))
-        for info in sorted((i for i in infos if i.base_name.lower().endswith(self.suffix) and i.type == fs.FileType.File), key=lambda i: i.path):
-            with store.open_input_file(info.path) as file:
-                prefix = _prefix(file, info.path)
-                at, count, base = _directory(file, info.size)
-                begin, held, size, first = at, 0, 0, True
-                for where, entry in _entries(file, at, count, base):
-                    if held and (held >= self.range_entries or size + entry.packed > self.range_bytes):
-                        found.append(Range(info.path, begin, held, base, prefix if first else -1))
-                        begin, held, size, first = where, 0, 0, False
-                    held, size = held + 1, size + entry.packed
-                found.append(Range(info.path, begin, held, base, prefix if first else -1))
-        return found or [Range("", 0, 0, 0, -1)]
-
-    def read(self, part: Range) -> Iterator[pa.RecordBatch]:
-        if not part.container:
-            return
-        store, _ = store_of(self.folder)
+def _ranges(file, container: str, size: int, entry: str | None, range_entries: int, range_bytes: int) -> Iterator[tuple]:
+    """RANGES of a container: all of its directory, or the places of one entry alone."""
+    prefix = _prefix(file, container)
+    at, count, base = _directory(file, size)
+    if entry is not None:
+        if entry == "/metadata.xml":
+            yield container, at, 0, base, prefix, prefix
+        for where, e in _entries(file, at, count, base):
+            if e.path == entry:
+                yield container, where, 1, base, -1, e.packed
+        return
+    begin, held, packed, first = at, 0, 0, prefix
+    for where, e in _entries(file, at, count, base):
+        if held and (held >= range_entries or packed + e.packed > range_bytes):
+            yield container, begin, held, base, first, packed
+            begin, held, packed, first = where, 0, 0, -1
+        held, packed = held + 1, packed + e.packed
+    yield container, begin, held, base, first, packed
+
+
+def _planned(spark: SparkSession, folder: str, suffix: str = ".ufdr", entry: str | None = None, range_entries: int = RANGE_ENTRIES, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """RANGES of all containers of a folder, cut by tasks and dealt to tasks by entries and bytes."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = []
+            for container in batch.column("path").to_pylist():
+                store, place = store_of(container)
+                with store.open_input_file(place) as file:
+                    for found in _ranges(file, container, file.size(), entry, range_entries, range_bytes):
+                        held.append(found)
+                        if len(held) >= BATCH_ROWS:
+                            yield _batch(held, RANGE_KINDS)
+                            held = []
+            if held:
+                yield _batch(held, RANGE_KINDS)
+
+    found = files.listing(spark, folder, hidden=True).where(F.endswith(F.lower("name"), F.lit(suffix)))
+    ranges = materialise(files.dealt(found, sized=False, task_files=TASK_CONTAINERS).mapInArrow(cut, RANGES))
+    told = ranges.agg(F.count("*").alias("n"), F.coalesce(F.sum("count"), F.lit(0)).alias("entries"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).first()
+    return ranges.repartition(max(1, min(told.n, SPREAD), -(-told.entries // TASK_ENTRIES), -(-told.bytes // RANGE_BYTES)))
+
+
+def _read(ranges: DataFrame, content: bool = True, entry: str | None = None, begin: int = 0, length: int | None = None) -> DataFrame:
+    """SCHEMA of the entries of ranges, or of one entry and a part of its content."""
+
+    def rows_of(file, part: dict) -> Iterator[tuple]:
+        if part["prefix"] >= 0 and entry in (None, "/metadata.xml"):
+            file.seek(min(begin, part["prefix"]))
+            wanted = part["prefix"] - begin if length is None else min(length, part["prefix"] - begin)
+            yield part["container"], "/metadata.xml", False, part["prefix"], file.read(max(0, wanted)) if content else None
+        for e in [e for _, e in _entries(file, part["at"], part["count"], part["base"])]:
+            wanted = content and not e.is_dir and (e.size if length is None else length) <= LARGEST
+            data = _bytes(file, e, begin, length) if wanted else None
+            if data is not None and length is None and not begin and zlib.crc32(data) != e.crc:
+                data = None
+            yield part["container"], e.path, e.is_dir, 0 if e.is_dir else e.size, data
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        with store.open_input_file(part.container) as file:
-            if part.prefix >= 0 and self.entry in (None, "/metadata.xml"):
-                file.seek(min(self.begin, part.prefix))
-                length = part.prefix - self.begin if self.length is None else min(self.length, part.prefix - self.begin)
-                held.append((part.container, "/metadata.xml", False, part.prefix, file.read(max(0, length)) if self.content else None))
-            listed = (e for _, e in list(_entries(file, part.at, part.count, part.base)))
-            for entry in listed:
-                if self.entry is not None and entry.path != self.entry:
-                    continue
-                wanted = self.content and not entry.is_dir and (entry.size if self.length is None else self.length) <= LARGEST
-                data = _bytes(file, entry, self.begin, self.length) if wanted else None
-                if data is not None and self.length is None and not self.begin and zlib.crc32(data) != entry.crc:
-                    data = None
-                held.append((part.container, entry.path, entry.is_dir, 0 if entry.is_dir else entry.size, data))
-                size += len(data or b"")
-                if size >= BATCH_BYTES:
-                    yield _batch(held)
-                    held, size = [], 0
+        for batch in batches:
+            for part in batch.to_pylist():
+                store, place = store_of(part["container"])
+                with store.open_input_file(place) as file:
+                    for row in rows_of(file, part):
+                        held.append(row)
+                        size += len(row[4] or b"")
+                        if size >= BATCH_BYTES or len(held) >= BATCH_ROWS:
+                            yield _batch(held, KINDS)
+                            held, size = [], 0
         if held:
-            yield _batch(held)
-
-
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], names=["container", "path", "is_dir", "size", "content"])
-
-
-class Containers(DataSource):
-    """Entries of containers; options path, suffix, content, entry, begin, length, range_entries, range_bytes."""
+            yield _batch(held, KINDS)
 
-    @classmethod
-    def name(cls) -> str:
-        return "containers"
+    return ranges.mapInArrow(run, SCHEMA)
 
-    def schema(self) -> str:
-        return SCHEMA
 
-    def reader(self, schema) -> _Reader:
-        return _Reader(self.options)
+def _batch(rows: list[tuple], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds.values())], names=list(kinds))
 
 
-def _scan(spark: SparkSession, folder: str, **options: object) -> DataFrame:
-    spark.dataSource.register(Containers)
-    reader = spark.read.format("containers").option("path", folder)
-    for name, value in options.items():
-        reader = reader.option(name, str(value).lower() if isinstance(value, bool) else str(value))
-    return reader.load()
+def _scan(spark: SparkSession, folder: str, suffix: str = ".ufdr", entry: str | None = None, content: bool = True, begin: int = 0, length: int | None = None, **ranges: int) -> DataFrame:
+    return _read(_planned(spark, folder, suffix, entry, **ranges), content, entry, begin, length)
 
 
 def read(spark: SparkSession, folder: str, suffix: str = ".ufdr", content: bool = True, **options: int) -> DataFrame:
@@ -241,13 +245,14 @@ def read(spark: SparkSession, folder: str, suffix: str = ".ufdr", content: bool
     ``/metadata.xml`` is what stands before the archive. A folder that is missing or holds no container gives no rows; a
     container without an archive is an error. Of equal paths in an archive each is a row.
     """
-    files = _scan(spark, folder, suffix=suffix, content=content, **options).where("NOT is_dir")
-    named = _scan(spark, folder, suffix=suffix, content=False, **options).select("container", "path", "is_dir")
+    ranges = _planned(spark, folder, suffix, **options)
+    found = _read(ranges, content).where("NOT is_dir")
+    named = _read(ranges, content=False).select("container", "path", "is_dir")
     steps = F.split("path", "/")
     depth = F.size(steps) - F.when(F.col("is_dir"), 0).otherwise(1)
     above = F.transform(F.sequence(F.lit(1), depth), lambda k: F.concat(F.lit("/"), F.array_join(F.slice(steps, 2, k - 1), "/")))
     folders = named.select("container", F.explode(above).alias("path")).distinct()
-    return files.unionByName(folders.select("container", "path", F.lit(True).alias("is_dir"), F.lit(0).cast("bigint").alias("size"), F.lit(None).cast("binary").alias("content")))
+    return found.unionByName(folders.select("container", "path", F.lit(True).alias("is_dir"), F.lit(0).cast("bigint").alias("size"), F.lit(None).cast("binary").alias("content")))
 
 
 def children(tree: DataFrame, folder: str) -> DataFrame:

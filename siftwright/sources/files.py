@@ -36,17 +36,17 @@ BATCH_BYTES = 4 << 20
 _MAGIC = {"jpeg": "ffd8ff", "png": "89504e47"}
 
 
-def listing(spark: SparkSession, folder: str, suffixes: tuple[str, ...] | None = None, recursive: bool = False, case_sensitive: bool = False, content: bool = False) -> DataFrame:
+def listing(spark: SparkSession, folder: str, suffixes: tuple[str, ...] | None = None, recursive: bool = False, case_sensitive: bool = False, content: bool = False, hidden: bool = False) -> DataFrame:
     """Files of a folder: path, name, length, modified, and content on request. Without ``recursive`` only the top level;
-    suffixes compare case-folded unless told otherwise. Names that begin with ``.`` or ``_`` are hidden, as in Spark's readers.
+    suffixes compare case-folded unless told otherwise. Names that begin with ``.`` or ``_`` are left out, as by Spark's readers, but with ``hidden``.
     A missing folder gives no rows. The folder is listed when rows are asked for; with content or below the top, at once."""
     if not _exists(spark, folder):
         return spark.createDataFrame([], "path string, name string, length bigint, modified timestamp" + (", content binary" if content else ""))
-    found = _entries(spark.createDataFrame([(folder,)], "folder string").coalesce(1))
+    found = _entries(spark.createDataFrame([(folder,)], "folder string").coalesce(1), hidden)
     if recursive:
         levels = [materialise(found)]
         while n := (below := levels[-1].where("is_dir").select(F.col("path").alias("folder"))).count():
-            levels.append(materialise(_entries(below.repartition(min(n, LISTING_TASKS)))))
+            levels.append(materialise(_entries(below.repartition(min(n, LISTING_TASKS)), hidden)))
         found = levels[0]
         for level in levels[1:]:
             found = found.unionByName(level)
@@ -61,24 +61,24 @@ def _hidden(name: str) -> bool:
     return name.startswith(".") or name.startswith("_") and "=" not in name or name.endswith("._COPYING_")
 
 
-def _listed(folder: str) -> Iterator[tuple[str, str, int | None, int, bool]]:
+def _listed(folder: str, hidden: bool = False) -> Iterator[tuple[str, str, int | None, int, bool]]:
     """(path, name, length, modified in microseconds, is it a folder) of what lies in a folder, one after another where the
     store allows it."""
     store, place = store_of(folder)
     if isinstance(store, fs.LocalFileSystem):
         with os.scandir(place) as entries:
             for e in entries:
-                if not _hidden(e.name):
+                if hidden or not _hidden(e.name):
                     about, is_dir = e.stat(), e.is_dir()
                     yield f"{place.rstrip('/')}/{e.name}", e.name, None if is_dir else about.st_size, about.st_mtime_ns // 1000, is_dir
         return
     scheme = folder[: len(folder) - len(place)] if folder.endswith(place) else ""
     for info in store.get_file_info(fs.FileSelector(place)):
-        if not _hidden(info.base_name):
+        if hidden or not _hidden(info.base_name):
             yield scheme + info.path, info.base_name, info.size, (info.mtime_ns or 0) // 1000, info.type == fs.FileType.Directory
 
 
-def _entries(folders: DataFrame) -> DataFrame:
+def _entries(folders: DataFrame, hidden: bool = False) -> DataFrame:
     """path, name, length, modified (microseconds) and is_dir of what lies in folders (folder); a task lists a folder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,7 +87,7 @@ def _entries(folders: DataFrame) -> DataFrame:
         held = []
         for batch in batches:
             for folder in batch.column("folder").to_pylist():
-                for row in _listed(folder):
+                for row in _listed(folder, hidden):
                     held.append(row)
                     if len(held) >= LISTED_ROWS:
                         yield batch_of(held)
@@ -98,11 +98,11 @@ def _entries(folders: DataFrame) -> DataFrame:
     return folders.mapInArrow(run, "path string, name string, length bigint, modified bigint, is_dir boolean")
 
 
-def dealt(found: DataFrame, sized: bool = True) -> DataFrame:
+def dealt(found: DataFrame, sized: bool = True, task_files: int | None = None) -> DataFrame:
     """A listing dealt to tasks by the number of files and, where they will be read whole, by their bytes."""
     found = materialise(found)
     size = found.agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes")).first()
-    return found.repartition(max(1, -(-size.n // TASK_FILES), -(-size.bytes // TASK_BYTES) if sized else 1))
+    return found.repartition(max(1, -(-size.n // (task_files or TASK_FILES)), -(-size.bytes // TASK_BYTES) if sized else 1))
 
 
 def _with_content(found: DataFrame) -> DataFrame:

@@ -89,6 +89,22 @@ def test_containers_in_many_ranges(spark, tmp_path, monkeypatch, wide):
     assert {(r.name, r.is_dir) for r in container.children(tree.where(F.col("container").endswith("one.ufdr")), "/").collect()} == {("a", True), ("empty", True), ("metadata.xml", False), ("top é.txt", False)}
 
 
+def test_many_small_containers_share_tasks(spark, tmp_path, monkeypatch):
+    """Directories are read by tasks and ranges share them; before, the driver opened every container, and each had a task."""
+    for k in range(30):
+        archive(tmp_path / f"_c{k}.ufdr", {"a.txt": b"a" * k, "b/c.txt": b"b"})
+    monkeypatch.setattr(container, "SPREAD", 4)
+    monkeypatch.setattr(container, "TASK_CONTAINERS", 10)
+    ranges = container._planned(spark, str(tmp_path))
+    assert ranges.count() == 30 and ranges.rdd.getNumPartitions() == 4
+    tree = container.read(spark, str(tmp_path))
+    assert tree.where("NOT is_dir").count() == 90 and tree.where("is_dir").count() == 60
+    assert tree.where("path = '/a.txt'").agg(F.sum("size")).first()[0] == sum(range(30))
+    assert container._planned(spark, str(tmp_path), entry="/b/c.txt").agg(F.sum("count")).first()[0] == 30
+    assert container.read_range(spark, str(tmp_path), "/metadata.xml", 1, 4).where("data = X'6D657461'").count() == 30
+    assert container.read_range(spark, str(tmp_path), "/none", 1, 4).count() == 0
+
+
 def test_one_entry_costs_its_own_bytes(tmp_path):
     contents = contents_of(40) | {"large.bin": random.Random(1).randbytes(4_000_000)}
     archive(tmp_path / "one.ufdr", contents)
