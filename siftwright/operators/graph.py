@@ -65,9 +65,11 @@ def documents(node_table: DataFrame, edge_table: DataFrame) -> DataFrame:
 
 def invalid(node_table: DataFrame, edge_table: DataFrame) -> DataFrame:
     """Edges whose source or target is no node of their job: uid, source, target, kind."""
-    known = node_table.select("uid", "id").distinct()
-    ends = edge_table.select("uid", "source", "target", "kind", F.explode(F.array("source", "target")).alias("id"))
-    return ends.join(known, ["uid", "id"], "left_anti").select("uid", "source", "target", "kind").distinct()
+    end = lambda id, other, first: F.struct(F.col(id).alias("id"), F.col(other).alias("other"), F.lit(first).alias("first"))
+    ends = edge_table.select("uid", "kind", F.inline(F.array(end("source", "target", True), end("target", "source", False))))
+    missing = ends.join(node_table.select("uid", "id"), ["uid", "id"], "left_anti")
+    source, target = F.when(F.col("first"), F.col("id")).otherwise(F.col("other")), F.when(F.col("first"), F.col("other")).otherwise(F.col("id"))
+    return missing.select("uid", source.alias("source"), target.alias("target"), "kind").distinct()
 
 
 def outer_directories(inputs: DataFrame, outputs: DataFrame) -> DataFrame:

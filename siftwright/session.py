@@ -37,6 +37,17 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
 
 
+#: Rows for which a shuffle has a partition.
+PARTITION_ROWS = 50_000
+
+
+def fine_shuffles(spark: SparkSession, rows: int) -> None:
+    """Shuffles of as many partitions as ``rows`` ask for from now on in this session, where Spark joins small ones again: what
+    a task sorts then doesn't grow with the table. The number that the session has set is the least."""
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(max(least, -(-rows // PARTITION_ROWS))))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: the one in ``spark.checkpoint.dir``. A local session that names
     none gets a temporary folder; on a cluster that is an error, as executors would not see each other's files."""

@@ -340,3 +340,17 @@ def test_best_of_equal_similarities():
     best = similarity._best(np.array([7, 8]), np.arange(5), found, 3, False)
     assert sorted(zip(best["query"], best["target"])) == [(7, 0), (7, 1), (7, 2), (8, 0), (8, 1), (8, 2)]
     assert sorted(similarity._best(np.array([1]), np.arange(5), found[:1].copy(), 9, True)["target"]) == [0, 2, 3, 4]
+
+
+def test_shuffles_have_partitions_by_rows(spark):
+    """A larger table gets more partitions to sort in, at the least those of the session; before, their number was fixed."""
+    from siftwright.session import fine_shuffles
+
+    key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    try:
+        for rows, parts in ((10, int(spark.conf.get("spark.sql.shuffle.partitions"))), (1_000_001, 21)):
+            fine_shuffles(spark, rows)
+            plan = spark.range(10).groupBy((F.col("id") % 3).alias("k")).count()._jdf.queryExecution().executedPlan().toString()
+            assert f", {parts})" in plan.split("hashpartitioning(")[1].split("\n")[0]
+    finally:
+        spark.conf.unset(key)
