@@ -55,12 +55,70 @@ def edges(jobs: DataFrame, inputs: DataFrame, hits: DataFrame) -> DataFrame:
     return instrument.unionByName(informed).unionByName(objects).unionByName(results)
 
 
+def documents_of_jobs(jobs: DataFrame, inputs: DataFrame, hits: DataFrame) -> DataFrame:
+    """The texts of ``documents(nodes(...), edges(...))`` for jobs with a ``uid`` of their own: uid, jsonld.
+
+    A job's rows meet once, as they are, and its nodes and edges are made there, so that no node or edge is shuffled. The graph
+    of a job is bounded by its inputs and its capped result rows.
+    """
+    told = {"job": F.struct("endpoint", "endpointChain", "status", "startTime", "endTime"), "input": F.struct("path"), "hit": F.struct("path", "rank", "similarity", "model")}
+    rows = None
+    for name, df in (("job", jobs), ("input", inputs), ("hit", hits)):
+        part = df.select("uid", told[name].alias(name))
+        rows = part if rows is None else rows.unionByName(part, allowMissingColumns=True)
+    by = rows.groupBy("uid").agg(*(F.collect_list(name).alias(f"{name}s") for name in told))
+    # a job or an input has an item always, a hit where its path is known; said before the steps, which a filter would repeat
+    by = by.where((F.size("jobs") > 0) | (F.size("inputs") > 0) | F.exists("hits", lambda x: x["path"].isNotNull()))
+    chain = lambda j: scalars.pipeline_endpoints(F.from_json(j["endpointChain"], "array<string>"), j["endpoint"])
+    steps = F.flatten(F.transform("jobs", lambda j: F.transform(chain(j), lambda x, i: F.struct((i + 1).cast("bigint").alias("step"), x.alias("endpoint"), scalars.action_status(j["status"]).alias("status"), j["startTime"].alias("start"), j["endTime"].alias("end")))))
+    by = by.select("uid", steps.alias("steps"), F.array_max(F.transform(steps, lambda s: s["step"])).alias("last"), "inputs", "hits")
+    action = lambda n: F.concat(F.lit("kb:action-"), F.col("uid"), F.lit("-"), n.cast("string"))
+    tool = lambda s: F.concat(F.lit("kb:instrument-"), scalars.endpoint_slug(s["endpoint"]))
+    informed = lambda s: F.when(s["step"] > 1, action(s["step"] - 1))
+    file = lambda x: scalars.node_id(x["path"], "file")
+    folder = lambda x: scalars.node_id(x["path"], "dir")
+    items = [
+        _node_items("steps", "AnalyticTool", tool, lambda s: F.struct(s["endpoint"].alias("name"))),
+        _node_items("steps", "InvestigativeAction", lambda s: action(s["step"]), lambda s: F.struct(s["endpoint"].alias("name"), s["status"].alias("status"), s["start"].alias("start"), s["end"].alias("end"), informed(s).alias("wasInformedBy"))),
+        _node_items("inputs", "Directory", folder, lambda x: F.struct(x["path"].alias("path"))),
+        _node_items("hits", "File", file, lambda x: F.struct(x["path"].alias("path"), scalars.is_raster(x["path"]).alias("isRaster"))),
+        F.transform("steps", lambda s: _edge_item(action(s["step"]), tool(s), "instrument")),
+        F.transform(F.filter("steps", lambda s: s["step"] > 1), lambda s: _edge_item(action(s["step"]), informed(s), "wasInformedBy")),
+        F.transform(F.array_distinct(F.transform("inputs", folder)), lambda x: _edge_item(action(F.lit(1)), x, "object")),
+        F.transform(F.filter("hits", lambda x: F.col("last").isNotNull() & F.col("uid").isNotNull()), lambda x: _edge_item(action(F.col("last")), file(x), "search_hit", x)),
+    ]
+    listed = F.array_sort(F.filter(F.concat(*items), lambda x: x.isNotNull()))
+    return by.select("uid", _jsonld(listed).alias("jsonld"))
+
+
+def _node_items(rows: str, kind: str, ident, body) -> Column:
+    """JSON items of a job's nodes of a kind, one an id: that of the smallest body."""
+    told = F.array_sort(F.filter(F.transform(rows, lambda x: F.struct(ident(x).alias("id"), body(x).alias("b"))), lambda x: x["id"].isNotNull()))
+    # the sorted nodes with the id before each one's
+    pairs = F.transform(F.array(told), lambda t: F.transform(F.filter(F.transform(t, lambda x, i: F.struct(x.alias("x"), F.when(i > 0, F.get(t, i - 1)["id"]).alias("before"))), lambda p: p["before"].isNull() | (p["before"] != p["x"]["id"])), lambda p: p["x"]))
+    return F.transform(F.flatten(pairs), lambda x: _node_item(x["id"], F.lit(kind), F.to_json(x["b"])))
+
+
+def _node_item(ident: Column, kind: Column, body: Column) -> Column:
+    return F.concat(F.lit('{"@id":"'), ident, F.lit('","@type":"'), kind, F.lit('",'), F.substr(body, F.lit(2)))
+
+
+def _edge_item(source: Column, target: Column, kind: str, hit: Column | None = None) -> Column:
+    rank, similarity, model = (F.lit(None).cast(t) if hit is None else hit[name].cast(t) for name, t in (("rank", "bigint"), ("similarity", "double"), ("model", "string")))
+    digest = F.sha2(F.concat_ws("|", F.col("uid"), source, target, F.lit(kind), rank.cast("string")), 256)
+    return F.to_json(F.struct(F.concat(F.lit("kb:relationship-"), F.substring(digest, 1, 16)).alias("@id"), F.lit("Relationship").alias("@type"), source.alias("source"), target.alias("target"), F.lit(kind).alias("kindOfRelationship"), rank.alias("rank"), similarity.alias("similarity"), model.alias("model")))
+
+
+def _jsonld(items: Column) -> Column:
+    return F.concat(F.lit('{"@context":{"kb":"http://example.org/kb/"},"@graph":['), F.array_join(items, ","), F.lit("]}"))
+
+
 def documents(node_table: DataFrame, edge_table: DataFrame) -> DataFrame:
     """One JSON-LD text per job: uid, jsonld. The graph of a job is bounded by its inputs and its capped result rows."""
-    n = node_table.select("uid", F.concat(F.lit('{"@id":"'), F.col("id"), F.lit('","@type":"'), F.col("type"), F.lit('",'), F.substr("body", F.lit(2))).alias("item"))
+    n = node_table.select("uid", _node_item(F.col("id"), F.col("type"), F.col("body")).alias("item"))
     e = edge_table.select("uid", F.to_json(F.struct(F.concat(F.lit("kb:relationship-"), F.substring(F.sha2(F.concat_ws("|", "uid", "source", "target", "kind", F.col("rank").cast("string")), 256), 1, 16)).alias("@id"), F.lit("Relationship").alias("@type"), "source", "target", F.col("kind").alias("kindOfRelationship"), "rank", "similarity", "model")).alias("item"))
     listed = n.unionByName(e).groupBy("uid").agg(F.array_sort(F.collect_list("item")).alias("items"))
-    return listed.select("uid", F.concat(F.lit('{"@context":{"kb":"http://example.org/kb/"},"@graph":['), F.array_join("items", ","), F.lit("]}")).alias("jsonld"))
+    return listed.select("uid", _jsonld(F.col("items")).alias("jsonld"))
 
 
 def invalid(node_table: DataFrame, edge_table: DataFrame) -> DataFrame:

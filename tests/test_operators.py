@@ -354,3 +354,15 @@ def test_shuffles_have_partitions_by_rows(spark):
             assert f", {parts})" in plan.split("hashpartitioning(")[1].split("\n")[0]
     finally:
         spark.conf.unset(key)
+
+
+def test_documents_of_jobs_are_made_in_one_shuffle(spark):
+    """The same texts as from node and edge tables, with repeated paths, missing parts and rows of unknown jobs; the plan has
+    one shuffle, where the tables took a dozen."""
+    jobs = spark.createDataFrame([("a", "scan/x", '["scan/x","b c"]', "completed", "1", None), ("b", None, None, None, None, "2"), ("c", "q", "no json", "failed", "3", "4")], "uid string, endpoint string, endpointChain string, status string, startTime string, endTime string")
+    inputs = spark.createDataFrame([("a", "/i"), ("a", "/i"), ("a", "/j"), ("b", None), ("z", "/k")], "uid string, path string")
+    hits = spark.createDataFrame([("a", "/o/1.png", 1, 0.5, "m"), ("a", "/o/1.png", 2, 0.25, None), ("a", "/o/2.txt", None, None, "m"), ("c", None, 1, 0.1, "m"), ("y", "/o/3", 1, 0.1, "m")], "uid string, path string, rank long, similarity double, model string")
+    got = graph.documents_of_jobs(jobs, inputs, hits)
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    want = graph.documents(graph.nodes(jobs, inputs, hits), graph.edges(jobs, inputs, hits))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
