@@ -59,7 +59,8 @@ def normalised_path(path: Column) -> Column:
     """Slashes for backslashes, no doubled or trailing slash, ``.`` and resolvable ``..`` steps taken out."""
     parts = F.filter(F.split(F.replace(host_path(path), F.lit("\\"), F.lit("/")), "/"), lambda p: (p != "") & (p != "."))
     walked = F.aggregate(parts, F.array().cast("array<string>"), lambda a, p: F.when(p == "..", F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(F.concat(a, F.array(p))))
-    return F.concat(F.lit("/"), F.array_join(walked, "/"))
+    done = F.startswith(path, F.lit("/")) & ~path.rlike(r"\\|/\.{0,2}(?:/|\z)| \z")  # most paths are; steps cost much more
+    return F.when(done, path).otherwise(F.concat(F.lit("/"), F.array_join(walked, "/")))
 
 
 def segment(text: Column) -> Column:

@@ -13,40 +13,42 @@ from siftwright.operators import grouping, nested
 LINKS_PER_JOB = 500
 
 
-def links_of_pairs(pairs: DataFrame, kind: str) -> DataFrame:
-    """Links of (input_path, output_path, metadata map) rows; blank paths are left out, the kind is set where missing."""
-    kinds = F.create_map(F.lit("link_kind"), F.lit(kind))
-    m = F.coalesce("metadata", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))
-    ok = (F.trim("input_path") != "") & (F.trim("output_path") != "")
-    return pairs.where(ok).select(
-        *(c for c in pairs.columns if c not in ("input_path", "output_path", "metadata")),
-        F.trim("input_path").alias("input_path"),
-        F.trim("output_path").alias("output_path"),
-        F.when(F.try_element_at(m, F.lit("link_kind")).isNull(), F.map_concat(m, kinds)).otherwise(m).alias("metadata"),
-    )
+BATCH, ROWS, PAIRS = "batchfile_metadata_pair", "file_pair_rows", "file_pairs"
+
+
+def links_of_responses(jobs: DataFrame, kinds: tuple[str, ...] = (BATCH, ROWS, PAIRS), key: str = "step_job_id") -> DataFrame:
+    """Links of ``links_of_batches`` and of both lists of ``links_of_json``, for which a response is parsed once."""
+    get = lambda x, name, kind="string": F.try_variant_get(x, f"$.{name}", kind)
+    texts = (ROWS in kinds) or (PAIRS in kinds)
+    roots = jobs.select(key, *(["endpoint"] if PAIRS in kinds else []), nested.root_of(F.col("response")).alias("_root"))
+    payload = F.try_parse_json(get(F.col("_root"), "value")) if texts else F.lit(None).cast("variant")
+    told = roots.select("*", payload.alias("_payload"))
+    lists = {BATCH: lambda: nested.files_of_batch(F.col("_root")), ROWS: lambda: get(F.col("_payload"), ROWS, "array<variant>"), PAIRS: lambda: F.when(~_summarised(F.col("_payload"), F.col("endpoint")), get(F.col("_payload"), PAIRS, "array<variant>"))}
+    listed = told.select(key, F.inline(F.array(*(F.struct(F.lit(kind).alias("_kind"), lists[kind]().alias("_list")) for kind in kinds))))
+    items = listed.select(key, "_kind", F.posexplode("_list").alias("_n", "_x")).where(F.col("_n") < LINKS_PER_JOB)
+    x, batch = F.col("_x"), F.col("_kind") == BATCH
+    path, metadata = nested.item_of_batch(x)
+    found = nested.worked_out(items, F.col(key).alias(key), F.col("_kind"), F.when(~batch, get(x, "input_path")).alias("_in"), F.when(batch, path).otherwise(get(x, "output_path")).alias("_out"), metadata.alias("m"))
+    m, at = F.col("m"), lambda name: F.try_element_at(F.col("m"), F.lit(name))
+    source = F.when(batch, F.coalesce(at("input_path"), at("source_path"))).otherwise(F.col("_in"))
+    marked = F.when(at("link_kind").isNull(), F.map_concat(m, F.create_map(F.lit("link_kind"), F.col("_kind")))).otherwise(m)
+    links = found.select(key, F.trim(source).alias("input_path"), F.trim("_out").alias("output_path"), marked.alias("metadata"))
+    return links.where((F.col("input_path") != "") & (F.col("output_path") != ""))
+
+
+def _summarised(payload: Column, endpoint: Column) -> Column:
+    return F.coalesce(F.try_variant_get(payload, "$.image_summary", "boolean"), F.lit(False)) & F.contains(F.coalesce(endpoint, F.lit("")), F.lit("summarize-images"))
 
 
 def links_of_batches(jobs: DataFrame, key: str = "step_job_id") -> DataFrame:
     """Links from batch files whose metadata names their input, the first LINKS_PER_JOB files of a job."""
-    items = nested.batch_items(jobs, key).where(F.col("ordinal") < LINKS_PER_JOB)
-    m = F.col("metadata")
-    pairs = items.select(key, F.coalesce(F.try_element_at(m, F.lit("input_path")), F.try_element_at(m, F.lit("source_path"))).alias("input_path"), F.col("path").alias("output_path"), "metadata")
-    return links_of_pairs(pairs.where(F.col("input_path").isNotNull()), "batchfile_metadata_pair")
+    return links_of_responses(jobs, (BATCH,), key)
 
 
 def links_of_json(jobs: DataFrame, field: str, key: str = "step_job_id") -> DataFrame:
     """Links from a list of pairs (``file_pairs`` or ``file_pair_rows``) in a JSON text response. Pairs of image summaries
     are left to ``summary_links``."""
-    root = nested.root_of(F.col("response"))
-    payload = F.try_parse_json(F.try_variant_get(root, "$.value", "string"))
-    listed = jobs.select(key, F.col("endpoint"), payload.alias("p"))
-    if field == "file_pairs":
-        summary = F.coalesce(F.try_variant_get(F.col("p"), "$.image_summary", "boolean"), F.lit(False)) & F.contains(F.coalesce("endpoint", F.lit("")), F.lit("summarize-images"))
-        listed = listed.where(~summary)
-    rows = listed.select(key, F.posexplode(F.try_variant_get("p", f"$.{field}", "array<variant>")).alias("n", "x")).where(F.col("n") < LINKS_PER_JOB)
-    get = lambda name, kind="string": F.try_variant_get(F.col("x"), f"$.{name}", kind)
-    pairs = rows.select(key, get("input_path").alias("input_path"), get("output_path").alias("output_path"), get("metadata", "map<string,string>").alias("metadata"))
-    return links_of_pairs(pairs.where(F.col("input_path").isNotNull() & F.col("output_path").isNotNull()), field)
+    return links_of_responses(jobs, (field,), key)
 
 
 def summary_links(outputs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -97,6 +99,5 @@ def record_completion(tables: dict[str, DataFrame], jobs: DataFrame) -> dict[str
     """Next versions of ``steps``, ``rows`` and ``links`` after jobs (step_job_id, endpoint, completed_at, response) ended."""
     steps = grouping.upsert(tables["steps"], jobs.select(*tables["steps"].columns), ["step_job_id"])
     rows = grouping.replace_snapshot(tables["rows"], nested.flatten_responses(jobs).select(*tables["rows"].columns), ["step_job_id"])
-    parts = [links_of_batches(jobs), links_of_json(jobs, "file_pair_rows"), links_of_json(jobs, "file_pairs")]
-    links = upsert_links(tables["links"], reduce(DataFrame.unionByName, parts))
+    links = upsert_links(tables["links"], links_of_responses(jobs))
     return {"steps": steps, "rows": rows, "links": links}

@@ -210,16 +210,18 @@ def state_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT l_orderkey AS step_job_id, l_linenumber AS n, left('/in/' || l_partkey, 60) AS input_path, '/out/' || l_orderkey || '/' || l_linenumber || '-' || l_partkey AS output_path, CASE l_returnflag WHEN 'R' THEN 'file_pair_rows' WHEN 'A' THEN 'own' ELSE 'batchfile_metadata_pair' END AS kind FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_returnflag FROM lineitem)""")
 def links_of_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """NX7-NX9: links of job responses: from batch files' metadata and from pairs in JSON texts."""
-    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag").distinct()
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag")
     one, two = F.concat(F.lit("/in/"), F.col("l_partkey").cast("string")), F.concat_ws("", F.lit("/out/"), F.col("l_orderkey").cast("string"), F.lit("/"), F.col("l_linenumber").cast("string"), F.lit("-"), F.col("l_partkey").cast("string"))
-    keyed = items.select(F.concat_ws("|", F.col("l_orderkey").cast("string"), F.col("l_returnflag")).alias("step_job_id"), F.col("l_returnflag").alias("flag"), one.alias("one"), two.alias("two"))
-    listed = lambda x: F.array_sort(F.collect_list(x))
-    batch = keyed.where("flag NOT IN ('R', 'A')").groupBy("step_job_id").agg(F.to_json(F.struct(F.lit("batchfile").alias("output_type"), listed(F.struct(F.col("two").alias("path"), F.struct(F.col("one").alias("input_path")).alias("metadata"))).alias("files"))).alias("response"))
-    text = lambda flag, pair, name: keyed.where(F.col("flag") == flag).groupBy("step_job_id").agg(F.to_json(F.struct(F.lit("text").alias("output_type"), F.to_json(F.struct(listed(pair).alias(name))).alias("value"))).alias("response")).withColumn("endpoint", F.lit("scan/files"))
-    plain = F.struct(F.col("one").alias("input_path"), F.concat("two", F.lit(" ")).alias("output_path"))
-    owned = F.struct(F.col("one").alias("input_path"), F.col("two").alias("output_path"), F.struct(F.lit("own").alias("link_kind")).alias("metadata"))
-    links = [lineage.links_of_batches(batch), lineage.links_of_json(text("R", plain, "file_pair_rows"), "file_pair_rows"), lineage.links_of_json(text("A", owned, "file_pairs"), "file_pairs")]
-    found = _union([x.select("step_job_id", "input_path", "output_path", F.element_at("metadata", "link_kind").alias("kind")) for x in links])
+    met = items.repartition("l_orderkey").distinct()  # a job's lines meet once, as numbers
+    jobs = met.groupBy("l_orderkey", "l_returnflag").agg(F.sort_array(F.collect_list(F.struct(two.alias("two"), one.alias("one")))).alias("lines"))
+    text = lambda pair, name: F.to_json(F.struct(F.lit("text").alias("output_type"), F.to_json(F.struct(F.transform("lines", pair).alias(name))).alias("value")))
+    plain = lambda x: F.struct(x["one"].alias("input_path"), F.concat(x["two"], F.lit(" ")).alias("output_path"))
+    owned = lambda x: F.struct(x["one"].alias("input_path"), x["two"].alias("output_path"), F.struct(F.lit("own").alias("link_kind")).alias("metadata"))
+    batch = F.to_json(F.struct(F.lit("batchfile").alias("output_type"), F.transform("lines", lambda x: F.struct(x["two"].alias("path"), F.struct(x["one"].alias("input_path")).alias("metadata"))).alias("files")))
+    response = F.when(F.col("l_returnflag") == "R", text(plain, "file_pair_rows")).when(F.col("l_returnflag") == "A", text(owned, "file_pairs")).otherwise(batch)
+    key = F.concat_ws("|", F.col("l_orderkey").cast("string"), "l_returnflag").alias("step_job_id")
+    links = lineage.links_of_responses(jobs.select(key, F.lit("scan/files").alias("endpoint"), response.alias("response")))
+    found = links.select("step_job_id", "input_path", "output_path", F.element_at("metadata", "link_kind").alias("kind"))
     return found.select(F.split("step_job_id", r"\|")[0].cast("bigint").alias("step_job_id"), F.regexp_extract("output_path", r"/(\d+)-", 1).cast("int").alias("n"), "input_path", "output_path", "kind")
 
 
