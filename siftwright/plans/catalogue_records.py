@@ -256,16 +256,21 @@ def completed_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
         "rows": orders.select("step_job_id", F.lit("old").alias("container"), F.lit(0).alias("ordinal"), blank.alias("output_type"), blank.alias("payload")),
         "links": orders.limit(0).select("step_job_id", blank.alias("input_path"), blank.alias("output_path"), blank.alias("input_path_norm"), blank.alias("output_path_norm")),
     }
+    ended = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").join(ended, "l_orderkey", "left_semi")
     key = F.col("l_orderkey").cast("string")
     output = F.concat(F.lit("/out/"), key, F.lit("/"), F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string"))
     file = F.struct(output.alias("path"), F.struct(F.concat(F.lit("/in/"), F.col("l_partkey").cast("string")).alias("input_path")).alias("metadata"))
-    jobs = table(spark, sf_dir, "lineitem").groupBy(key.alias("step_job_id")).agg(F.to_json(F.struct(F.lit("batchfile").alias("output_type"), F.collect_list(file).alias("files"))).alias("response"))
-    ended = jobs.join(orders.where("status = 'F'").drop("status"), "step_job_id", "left_semi").withColumn("endpoint", F.lit("new"))
-    after = lineage.record_completion(tables, ended)
+    met = lines.repartition("l_orderkey").groupBy("l_orderkey").agg(F.collect_list(file).alias("files"))  # a job's lines meet once, as numbers
+    jobs = met.select(key.alias("step_job_id"), F.to_json(F.struct(F.lit("batchfile").alias("output_type"), "files")).alias("response"), F.lit("new").alias("endpoint"))
+    after = lineage.record_completion(tables, jobs)
     count = lambda name, df: df.agg(F.lit(name).alias("part"), F.count("*").alias("n"))
-    empty_jobs = orders.where("status = 'F'").join(jobs, "step_job_id", "left_anti")
-    rows = after["rows"]
-    return _union([count("steps", after["steps"]), count("rows", rows.where("container = 'old'").join(empty_jobs, "step_job_id", "left_anti")), count("flat", rows.where("container <> 'old'")), count("links", after["links"])])
+    old = F.col("container") == "old"
+    of_jobs = after["rows"].groupBy("step_job_id").agg(F.count_if(old).alias("old"), F.count_if(~old).alias("flat"))  # both counts in one pass
+    empty_jobs = orders.where("status = 'F'").select("step_job_id").join(jobs.select("step_job_id"), "step_job_id", "left_anti").distinct()
+    told = of_jobs.join(empty_jobs.withColumn("empty", F.lit(True)), "step_job_id", "left").agg(F.coalesce(F.sum(F.when(F.col("empty").isNull(), F.col("old"))), F.lit(0)).alias("rows"), F.coalesce(F.sum("flat"), F.lit(0)).alias("flat"))
+    counted = told.select(F.inline(F.array(*(F.struct(F.lit(name).alias("part"), F.col(name).alias("n")) for name in ("rows", "flat")))))
+    return _union([count("steps", after["steps"]), counted, count("links", after["links"])])
 
 
 _KINDS = [("1-URGENT", """'{"output_type":"batchtext","transcripts_dir":"/t/' || o_orderkey || '","texts":["a"]}'""", "'/t/' || o_orderkey", "batchtext", "1"), ("2-HIGH", """'{"root":{"output_type":"file","path":"/f/' || o_orderkey || '/x.png"}}'""", "'/f/' || o_orderkey", "file", "1"), ("3-MEDIUM", """'{"files":[{"path":"/b/' || o_orderkey || '/y.png"},{"path":"/z"}]}'""", "'/b/' || o_orderkey", "batchfile", "2"), ("5-LOW", """'{"value":"mounted at /m/' || o_orderkey || '/"}'""", "'/m/' || o_orderkey || '/files'", "text", "1")]
