@@ -432,7 +432,7 @@ def faces_of_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """UD9, UD14, VX21: none, one or many faces an image from a detector's cells by a table function, with an attribute that
     the call asks for; images are orders, their cells the lines."""
     n = F.col("l_linenumber")
-    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg((F.max("l_discount") * 10).alias("score"))
+    lines = table(spark, sf_dir, "lineitem").repartition("l_orderkey").groupBy("l_orderkey", "l_linenumber").agg((F.max("l_discount") * 10).alias("score"))
     cell = F.struct("l_linenumber", (40.0 * (n % 3) + 20).alias("cx"), F.lit(16.0).alias("cy"), F.lit(24.0).alias("w"), F.lit(24.0).alias("h"), "score")
     images = lines.groupBy(F.col("l_orderkey").alias("image")).agg(F.array_sort(F.collect_list(cell)).alias("cells"))  # the lines of an order
     frame = F.struct(F.lit(0.5).alias("scale"), F.lit(4.0).alias("pad_w"), F.lit(0.0).alias("pad_h"), F.lit(300).alias("width"), F.lit(200).alias("height"))

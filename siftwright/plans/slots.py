@@ -8,10 +8,10 @@ attributes that are asked for.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -65,39 +65,39 @@ def decoded_faces(cells: list, frame) -> list[tuple[list[int], float]]:
     Cells have centres and sizes in a letterboxed picture; boxes are undone from it, clipped, thinned out where they overlap,
     and squared around their centre by a factor of their height. Cells that are null or hold nulls or NaN don't count.
     """
-    told = [c for c in cells or [] if c is not None and all(c[k] is not None and np.isfinite(c[k]) for k in _CELL)]
+    told = [c for c in cells or [] if c is not None and all(c[k] is not None and math.isfinite(c[k]) for k in _CELL)]
     if not told or frame is None or not frame["scale"]:
         return []
-    value = lambda name: np.array([float(c[name]) for c in told])
-    score = value("score")
-    side = lambda centre, size, pad, most: tuple(np.clip((value(centre) + sign * value(size) / 2 - frame[pad]) / frame["scale"], 0, frame[most]) for sign in (-1, 1))
-    (x1, x2), (y1, y2) = side("cx", "w", "pad_w", "width"), side("cy", "h", "pad_h", "height")
-    area = (x2 - x1) * (y2 - y1)
-    left = [i for i in np.lexsort((np.arange(len(score)), -score)) if score[i] > LEAST_SCORE]
+    clip = lambda x, most: min(max(x, 0.0), most)
+    side = lambda c, centre, size, pad, most: [clip((float(c[centre]) + sign * float(c[size]) / 2 - frame[pad]) / frame["scale"], frame[most]) for sign in (-1, 1)]
+    left = []
+    for c in sorted((c for c in told if c["score"] > LEAST_SCORE), key=lambda c: -c["score"]):  # arrays cost more than they save on few cells
+        (x1, x2), (y1, y2) = side(c, "cx", "w", "pad_w", "width"), side(c, "cy", "h", "pad_h", "height")
+        left.append((x1, y1, x2, y2, (x2 - x1) * (y2 - y1), float(c["score"])))
     faces = []
     while left:
-        best, rest = left[0], np.array(left[1:], int)
-        common = np.maximum(0, np.minimum(x2[best], x2[rest]) - np.maximum(x1[best], x1[rest])) * np.maximum(0, np.minimum(y2[best], y2[rest]) - np.maximum(y1[best], y1[rest]))
-        left = rest[common <= OVERLAP * (area[best] + area[rest] - common)].tolist()
-        half, cx, cy = (y2[best] - y1[best]) * HEIGHT_FACTOR / 2, (x1[best] + x2[best]) / 2, (y1[best] + y2[best]) / 2
-        box = [*np.clip([cx - half, cx + half], 0, frame["width"]), *np.clip([cy - half, cy + half], 0, frame["height"])]
-        faces.append(([int(box[i]) for i in (0, 2, 1, 3)], float(score[best])))
+        x1, y1, x2, y2, area, score = left[0]
+        common = [max(0.0, min(x2, o[2]) - max(x1, o[0])) * max(0.0, min(y2, o[3]) - max(y1, o[1])) for o in left[1:]]
+        left = [o for o, both in zip(left[1:], common) if both <= OVERLAP * (area + o[4] - both)]
+        half, cx, cy = (y2 - y1) * HEIGHT_FACTOR / 2, (x1 + x2) / 2, (y1 + y2) / 2
+        box = [clip(cx - half, frame["width"]), clip(cy - half, frame["height"]), clip(cx + half, frame["width"]), clip(cy + half, frame["height"])]
+        faces.append(([int(x) for x in box], score))
     return faces
 
 
 def face_table(models: dict[str, tuple[str, Callable]] | None = None):
-    """A table function ``faces(cells, frame, attributes)`` for lateral joins: a row for every face of an image.
+    """A table function ``faces(cells, frame, attributes, keep_empty)`` for lateral joins: a row for every face of an image.
 
     ``cells`` is an array of (cx, cy, w, h, score) and ``frame`` a struct of (scale, pad_w, pad_h, width, height).
     ``attributes``, a constant, names the models whose columns are wanted, comma-joined; ``models`` has the type and a function
     of (box, frame) of each. Columns are face_idx, box (x1, y1, x2, y2), score and one an attribute; an image without a face
-    gives no row.
+    gives no row, or one of nulls where the last argument is true.
     """
     known = {name: (T.StructType.fromDDL(f"{name} {kind}")[0].dataType, function) for name, (kind, function) in (models or {}).items()}
 
     class Faces:
         @staticmethod
-        def analyze(cells: AnalyzeArgument, frame: AnalyzeArgument, attributes: AnalyzeArgument) -> AnalyzeResult:
+        def analyze(cells: AnalyzeArgument, frame: AnalyzeArgument, attributes: AnalyzeArgument, keep_empty: AnalyzeArgument | None = None) -> AnalyzeResult:
             if not isinstance(cells.dataType, T.ArrayType) or not isinstance(cells.dataType.elementType, T.StructType) or _CELL - set(cells.dataType.elementType.names):
                 raise ValueError(f"cells must be an array of structs of {sorted(_CELL)}")
             if not isinstance(frame.dataType, T.StructType) or _FRAME - set(frame.dataType.names):
@@ -111,15 +111,18 @@ def face_table(models: dict[str, tuple[str, Callable]] | None = None):
                 schema = schema.add(name, known[name][0])
             return AnalyzeResult(schema)
 
-        def eval(self, cells, frame, attributes):
+        def eval(self, cells, frame, attributes, keep_empty=False):
             wanted = list(filter(None, (attributes or "").split(",")))
-            for i, (box, score) in enumerate(decoded_faces(cells, frame)):
+            found = decoded_faces(cells, frame)
+            for i, (box, score) in enumerate(found):
                 yield (i, box, score, *(known[name][1](box, frame) for name in wanted))
+            if keep_empty and not found:
+                yield (None,) * (3 + len(wanted))
 
     return F.udtf(Faces)
 
 
 def faces_of(images: DataFrame, table, attributes: str = "", cells: str = "cells", frame: str = "frame", keep_empty: bool = False) -> DataFrame:
     """``images`` joined with their faces; images without one go, or stay with nulls where ``keep_empty``."""
-    found = table(F.col(cells).outer(), F.col(frame).outer(), F.lit(attributes))
-    return images.lateralJoin(found, F.lit(True), "left") if keep_empty else images.lateralJoin(found)
+    # not a left join: Spark would make the cells distinct, and join their faces back by them
+    return images.lateralJoin(table(F.col(cells).outer(), F.col(frame).outer(), F.lit(attributes), F.lit(keep_empty)))

@@ -124,3 +124,9 @@ def test_faces_are_checked_when_they_are_analysed(spark):
         slots.faces_of(images(spark).withColumn("cells", F.lit("x")), table).schema
     with pytest.raises(Exception, match="frame must be"):
         slots.faces_of(images(spark).withColumn("frame", F.lit(1)), table).schema
+
+
+def test_faces_are_not_joined_back_by_their_cells(spark):
+    kept = slots.faces_of(images(spark), slots.face_table(), keep_empty=True)
+    assert "Join" not in kept._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(r.image for r in kept.where("face_idx IS NULL AND box IS NULL AND score IS NULL").collect()) == ["empty", "none", "null", "unframed"]
