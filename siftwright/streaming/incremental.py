@@ -9,6 +9,8 @@ from pyspark.sql.streaming.query import StreamingQuery
 from siftwright.functions import embedders, texts
 from siftwright.operators import cache
 
+LISTING_TASKS = 64
+
 
 def new_texts(spark: SparkSession, folder: str) -> DataFrame:
     """A stream of (path, text), one row per new file."""
@@ -29,6 +31,8 @@ def embed_stream(spark: SparkSession, folder: str, table: str, checkpoint: str,
         fresh = chunks if stored is None else cache.missing(chunks, stored, ["path"])
         fresh.withColumn("embedding", embedders.embedder()("chunk_text")).write.mode("append").parquet(table)
 
+    # a batch asks for the state of each of its files: in this session by so many tasks, not by one a file
+    spark.conf.set("spark.sql.sources.parallelPartitionDiscovery.parallelism", str(LISTING_TASKS))
     return new_texts(spark, folder).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 

@@ -52,3 +52,17 @@ def test_normal_paths_stay(spark):
     paths = {"/a/b": "/a/b", "/a/.b/..c": "/a/.b/..c", "/a//b": "/a/b", "/a/": "/a", "/": "/", "/a/.": "/a", "/a/..": "/", "/../a": "/a", "/a\\b": "/a/b", "/a ": "/a", "a": "/a", "": "/", "/a/./b": "/a/b", "/a\n": "/a\n"}
     rows = spark.createDataFrame([(p,) for p in paths] + [(None,)], "p string").select("p", scalars.normalised_path(F.col("p")).alias("n")).collect()
     assert {r.p: r.n for r in rows} == paths | {None: None}
+
+
+def test_streams_list_files_by_few_tasks(spark, tmp_path):
+    from siftwright.streaming import incremental
+
+    (tmp_path / "in").mkdir()
+    for k in range(120):
+        (tmp_path / f"in/{k}.txt").write_text(f"text {k}")
+    stream = incremental.embed_stream(spark, str(tmp_path / "in"), str(tmp_path / "t"), str(tmp_path / "c"))
+    stream.awaitTermination()
+    tracker = spark.sparkContext.statusTracker()
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup(str(stream.runId)) for s in tracker.getJobInfo(j).stageIds]
+    assert stages and max(s.numTasks for s in stages if s) <= incremental.LISTING_TASKS
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 120
