@@ -10,14 +10,12 @@ from pyspark.sql import functions as F
 from siftwright.functions import scalars
 from siftwright.operators import grouping, nested
 
-LINKS_PER_JOB = 500
-
-
 BATCH, ROWS, PAIRS = "batchfile_metadata_pair", "file_pair_rows", "file_pairs"
 
 
 def links_of_responses(jobs: DataFrame, kinds: tuple[str, ...] = (BATCH, ROWS, PAIRS), key: str = "step_job_id") -> DataFrame:
-    """Links of ``links_of_batches`` and of both lists of ``links_of_json``, for which a response is parsed once."""
+    """Links of ``links_of_batches`` and of both lists of ``links_of_json``, for which a response is parsed once; every item of
+    a list counts."""
     get = lambda x, name, kind="string": F.try_variant_get(x, f"$.{name}", kind)
     texts = (ROWS in kinds) or (PAIRS in kinds)
     roots = jobs.select(key, *(["endpoint"] if PAIRS in kinds else []), nested.root_of(F.col("response")).alias("_root"))
@@ -25,7 +23,7 @@ def links_of_responses(jobs: DataFrame, kinds: tuple[str, ...] = (BATCH, ROWS, P
     told = roots.select("*", payload.alias("_payload"))
     lists = {BATCH: lambda: nested.files_of_batch(F.col("_root")), ROWS: lambda: get(F.col("_payload"), ROWS, "array<variant>"), PAIRS: lambda: F.when(~_summarised(F.col("_payload"), F.col("endpoint")), get(F.col("_payload"), PAIRS, "array<variant>"))}
     listed = told.select(key, F.inline(F.array(*(F.struct(F.lit(kind).alias("_kind"), lists[kind]().alias("_list")) for kind in kinds))))
-    items = listed.select(key, "_kind", F.posexplode("_list").alias("_n", "_x")).where(F.col("_n") < LINKS_PER_JOB)
+    items = listed.select(key, "_kind", F.explode("_list").alias("_x"))
     x, batch = F.col("_x"), F.col("_kind") == BATCH
     path, metadata = nested.item_of_batch(x)
     found = nested.worked_out(items, F.col(key).alias(key), F.col("_kind"), F.when(~batch, get(x, "input_path")).alias("_in"), F.when(batch, path).otherwise(get(x, "output_path")).alias("_out"), metadata.alias("m"))
@@ -41,7 +39,7 @@ def _summarised(payload: Column, endpoint: Column) -> Column:
 
 
 def links_of_batches(jobs: DataFrame, key: str = "step_job_id") -> DataFrame:
-    """Links from batch files whose metadata names their input, the first LINKS_PER_JOB files of a job."""
+    """Links from batch files whose metadata names their input."""
     return links_of_responses(jobs, (BATCH,), key)
 
 
