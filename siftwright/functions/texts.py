@@ -62,11 +62,13 @@ def chunks(size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP):
     return cut
 
 
-def chunk_table(docs: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, whole: bool = False) -> DataFrame:
-    """path, chunk_index, chunk_text of documents (path, text); ``whole`` keeps each text as one chunk."""
+def chunk_table(docs: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, whole: bool = False, chunkless: bool = False) -> DataFrame:
+    """path, chunk_index, chunk_text of documents (path, text); ``whole`` keeps each text as one chunk, ``chunkless`` gives a
+    document without chunks a row with nulls."""
     bounded_batches(docs.sparkSession)
     cut = F.filter(F.array(F.trim("text")), lambda x: x != "") if whole else chunks(size, overlap)("text")
-    return docs.select("path", F.posexplode(cut).alias("chunk_index", "chunk_text"))
+    listed = F.posexplode_outer if chunkless else F.posexplode
+    return docs.select("path", listed(cut).alias("chunk_index", "chunk_text"))
 
 
 def tool_calls(text: str | None) -> list[dict[str, str]]:

@@ -2,8 +2,12 @@
 
 import json
 
+import __spark_entry__ as entry
+from siftwright.functions import texts
 from siftwright.operators import lineage
 
+LONG = "word " * 400 + "\n\n" + "x" * 1000 + "\n" + "é ü\n" * 200
+
 
 def test_every_item_of_a_long_list_is_linked(spark):
     n = 1203
@@ -15,3 +19,10 @@ def test_every_item_of_a_long_list_is_linked(spark):
     told = lambda df: {(r.input_path, r.output_path) for r in df.collect()}
     assert told(lineage.links_of_responses(jobs)) == want
     assert told(lineage.links_of_batches(jobs)) | told(lineage.links_of_json(jobs, "file_pair_rows")) | told(lineage.links_of_json(jobs, "file_pairs")) == want
+
+
+def test_documents_give_all_their_chunks(spark, tmp_path):
+    docs = {1: LONG, 2: "short", 3: "", 4: None, 5: " \n"}
+    spark.createDataFrame(list(docs.items()), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.path, r.chunk_index, r.chunk_text) for r in entry.queries()["chunk_documents"](spark, str(tmp_path)).collect()}
+    assert got == {(k, i, x) for k, t in docs.items() for i, x in (enumerate(texts.split_recursively(t or "")) if (t or "").strip() else [(None, None)])}
