@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwright.plans.catalogue import query
+from siftwright.plans.catalogue import chunks_sql, query
 from siftwright.session import shared_folder, table
 from siftwright.sources import bitmaps, container, files, filewriter, logends, pdf, sinks
 from siftwright.streaming import incremental, progress
@@ -402,14 +402,14 @@ def written_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select(F.regexp_extract("path", r"([^/]*)\.txt$", 1).alias("name"), "sha256", "size")
 
 
-@query(f"WITH f AS ({_FILES}) SELECT stem AS path, 0 AS chunk_index, left(url, 200) AS chunk_text, 256 AS dimensions FROM f JOIN pages USING (page_id)")
+@query(chunks_sql(f"SELECT stem AS path, text FROM ({_FILES})") + "SELECT path, chunk_index, chunk_text, 256 AS dimensions FROM chunks")
 def streamed_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ST4, DM1, SK1: new files are embedded once, however often the stream runs."""
+    """ST4, DM1, SK1: new files are embedded once, with all chunks of their texts, however often the stream runs."""
     folder, pages = _new_folder(spark), _pages(spark, sf_dir)
     for part in ("page_id % 2 = 0", "page_id % 2 = 1", "page_id % 5 = 0"):  # in a third run files are written again
         some = pages.where(part)
         if "5" not in part:
-            _put(some, f"{folder}/in", F.concat("stem", F.lit(".txt")), F.split("text", "\n")[0].cast("binary"))
+            _put(some, f"{folder}/in", F.concat("stem", F.lit(".txt")), F.col("text").cast("binary"))
         incremental.embed_stream(spark, f"{folder}/in", f"{folder}/table", f"{folder}/state").awaitTermination()
     stored = spark.read.parquet(f"{folder}/table")
     return stored.select(F.regexp_extract("path", r"([^/]*)\.txt$", 1).alias("path"), F.col("chunk_index").cast("int").alias("chunk_index"), "chunk_text", F.size("embedding").alias("dimensions"))

@@ -21,15 +21,14 @@ def embed_stream(spark: SparkSession, folder: str, table: str, checkpoint: str,
     """Embed the chunks of new files into a Parquet table; paths that it holds are skipped, so a replayed batch adds nothing."""
 
     def write(batch: DataFrame, _: int) -> None:
-        chunks = texts.chunk_table(batch, size, overlap)
         try:
             stored = spark.read.parquet(table).select("path")
         except Exception as error:  # the table begins with the first batch
             if "PATH_NOT_FOUND" not in str(error):
                 raise
             stored = None
-        fresh = chunks if stored is None else cache.missing(chunks, stored, ["path"])
-        fresh.withColumn("embedding", embedders.embedder()("chunk_text")).write.mode("append").parquet(table)
+        fresh = batch if stored is None else cache.missing(batch, stored, ["path"])  # before texts are cut
+        texts.chunk_table(fresh, size, overlap).withColumn("embedding", embedders.embedder()("chunk_text")).write.mode("append").parquet(table)
 
     # a batch asks for the state of each of its files: in this session by so many tasks, not by one a file
     spark.conf.set("spark.sql.sources.parallelPartitionDiscovery.parallelism", str(LISTING_TASKS))

@@ -26,3 +26,11 @@ def test_documents_give_all_their_chunks(spark, tmp_path):
     spark.createDataFrame(list(docs.items()), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {(r.path, r.chunk_index, r.chunk_text) for r in entry.queries()["chunk_documents"](spark, str(tmp_path)).collect()}
     assert got == {(k, i, x) for k, t in docs.items() for i, x in (enumerate(texts.split_recursively(t or "")) if (t or "").strip() else [(None, None)])}
+
+
+def test_streams_embed_whole_texts(spark, tmp_path):
+    pages = [(k, f"u{k}", f"{k} {LONG}" if k % 2 else "<p>") for k in range(12)]
+    spark.createDataFrame(pages, "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {(r.path, r.chunk_index, r.chunk_text): r.dimensions for r in entry.queries()["streamed_embeddings"](spark, str(tmp_path)).collect()}
+    assert set(got) == {(f"page_{k}", i, x) for k, url, html in pages for i, x in enumerate(texts.split_recursively(f"{url}\nen région\n{html}"))}
+    assert set(got.values()) == {256}
