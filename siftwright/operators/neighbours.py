@@ -6,6 +6,7 @@ first pass compares each query block with two gallery blocks of its own cell and
 can be. A second pass takes every other gallery block whose lower bound (pivot distances and rings) doesn't lie beyond that.
 Blocks of both sides are written once to the shared folder, and what is shuffled are their places alone: a task reads a few
 query blocks and then, the nearest first, one gallery block at a time that any of them is paired with; it holds k rows a query.
+Blocks are compared in single precision; what could be among the best within its error is compared again in double precision.
 
 Vectors that are null, of another length, zero or not finite have no neighbours and are nobody's neighbours.
 """
@@ -37,6 +38,9 @@ RINGS = 4
 SEND_AT_MOST = 500_000
 #: What rounding may hide of a distance; no block is pruned by less.
 SLACK = 4e-6
+#: Rows of queries that are compared at a time, and pairs that are compared again at a time.
+TILE_ROWS = 2048
+AGAIN_ROWS = 8192
 
 
 def usable(vector: str, dimensions: int) -> Column:
@@ -128,13 +132,68 @@ def _stored(blocks: DataFrame, side: str) -> DataFrame:
     return blocks.mapInArrow(run, T.StructType([*others, *T.StructType.fromDDL("file string, at bigint, size bigint").fields])).withColumnRenamed("block", side)
 
 
+def packed(column: pa.Array, kind: type, width: int) -> np.ndarray:
+    """Rows of numbers from a binary column, not empty, whose values all hold ``width`` of them."""
+    column = column.cast(pa.binary())
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(kind).reshape(-1, width)
+
+
+def above(values: np.ndarray, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the values that reach the floor of their row; where there are few, eight are passed at a time."""
+    wide = -(-values.shape[1] // 8) * 8
+    mask = np.zeros((len(values), wide), bool)
+    np.greater_equal(values, floor[:, None], out=mask[:, : values.shape[1]])
+    some = np.flatnonzero(mask.view(np.uint64).ravel() != 0)
+    at, bit = np.nonzero(mask.reshape(-1, 8)[some])
+    return np.divmod(some[at] * 8 + bit, wide) if wide else (some, some)
+
+
+class Best:
+    """The k best of every query, and ``least``, what another has to reach; ties by the smaller id, or, of scores in single
+    precision, by what was added first.
+
+    What is added waits until it is as much as what is held, so that it is sorted only now and then.
+    """
+
+    def __init__(self, queries: int, k: int, least: np.ndarray | None = None) -> None:
+        self.k, self.least = k, np.full(queries, -np.inf) if least is None else least
+        self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.waiting, self.room = 0, max(1, queries * k)
+
+    def add(self, query: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
+        if len(query):
+            self.held.append((query, ids, score))
+            self.waiting += len(query)
+            if self.waiting >= self.room:
+                self.settled()
+
+    def settled(self) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        """query (by its place), id and score in order, None where nothing was added."""
+        if not self.held:
+            return None
+        q, ids, s = (np.concatenate(x) for x in zip(*self.held)) if len(self.held) > 1 else self.held[0]
+        if s.dtype == np.float32:  # query and score in one number
+            bits = s.view(np.int32)
+            order = np.argsort((q << 32) - np.where(bits < 0, bits ^ 0x7FFFFFFF, bits), kind="stable")
+        else:
+            order = np.lexsort((np.unique(ids, return_inverse=True)[1] if ids.dtype == object else ids, -s, q))
+        q, ids, s = q[order], ids[order], s[order]
+        counts = np.bincount(q, minlength=len(self.least))
+        place = np.arange(len(q)) - (np.cumsum(counts) - counts)[q]
+        full, kept = place == self.k - 1, place < self.k
+        self.least[q[full]] = np.maximum(self.least[q[full]], s[full])
+        self.held, self.waiting = [(q[kept], ids[kept], s[kept])], 0
+        return self.held[0]
+
+
 def _opened(file: str, at: int, size: int, dimensions: int) -> tuple[np.ndarray, np.ndarray]:
     """Keys and unit vectors of a stored block."""
     store, place = store_of(file)
     with store.open_input_file(place) as held:
         held.seek(at)
-        rows = pa.ipc.open_stream(held.read(size)).read_all()
-    return np.array(rows["key"].to_pylist()), np.frombuffer(b"".join(rows["unit"].to_pylist()), float).reshape(-1, dimensions)
+        rows = pa.ipc.open_stream(held.read(size)).read_all().combine_chunks()
+    return np.array(rows["key"].to_pylist()), packed(rows["unit"].chunk(0), float, dimensions)
 
 
 def _compared(queries: DataFrame, gallery: DataFrame, pairs: DataFrame, k: int, dimensions: int, exclude_self: bool) -> DataFrame:
@@ -153,62 +212,56 @@ def _compared(queries: DataFrame, gallery: DataFrame, pairs: DataFrame, k: int,
     schema = T.StructType([T.StructField("query", queries.schema["key"].dataType), T.StructField("target", gallery.schema["key"].dataType), T.StructField("similarity", T.DoubleType())])
     types = [f.type for f in to_arrow_schema(schema)]
 
-    def started(own: dict, reach: list | None) -> dict:
-        keys, units = _opened(**own, dimensions=dimensions)
-        return {"keys": keys, "units": units, "least": np.full(len(keys), -np.inf) if reach is None else np.array(reach, float), "q": np.zeros(0, np.int64), "ids": np.zeros(0, object), "s": np.zeros(0)}
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first in range(0, batch.num_rows, QUERY_BLOCKS):
                 rows = batch.slice(first, QUERY_BLOCKS)
-                held = [started(own, reach) for own, reach in zip(rows.column("own").to_pylist(), rows.column("reach").to_pylist())]
+                blocks = [_opened(**own, dimensions=dimensions) for own in rows.column("own").to_pylist()]
+                keys, units = (np.concatenate(x) for x in zip(*blocks))
+                ends = np.cumsum([len(x) for x, _ in blocks])
+                spans = [slice(end - len(x), end) for end, (x, _) in zip(ends, blocks)]
+                least = [np.full(len(x), -np.inf) if reach is None else np.array(reach, float) for (x, _), reach in zip(blocks, rows.column("reach").to_pylist())]
+                best, narrow = Best(len(keys), k, np.concatenate(least)), units.astype(np.float32)
                 wanted: dict[tuple, list] = {}
-                for h, offers in zip(held, rows.column("offered").to_pylist()):
+                for span, offers in zip(spans, rows.column("offered").to_pylist()):
                     for offer in offers:
-                        wanted.setdefault(tuple(offer["place"].values()), []).append((offer["lower"], h))
+                        wanted.setdefault(tuple(offer["place"].values()), []).append((offer["lower"], span))
                 for at in sorted(wanted, key=lambda x: min(lower for lower, _ in wanted[x])):
-                    near = [h for lower, h in wanted[at] if not np.isfinite(h["least"]).all() or lower <= distance(h["least"].min().clip(-1, 1)) + SLACK]
+                    far = lambda span: distance(best.least[span].min().clip(-1, 1)) + SLACK
+                    near = [span for lower, span in wanted[at] if lower <= far(span)]
                     if near:
-                        ids, units = _opened(*at, dimensions)
-                        for h in near:
-                            _improve(h, ids, units, k, exclude_self)
-                for h in held:
-                    if len(h["q"]):
-                        yield pa.RecordBatch.from_arrays([pa.array(h["keys"][h["q"]].tolist(), types[0]), pa.array(h["ids"].tolist(), types[1]), pa.array(h["s"])], names=schema.names)
+                        ids, others = _opened(*at, dimensions)
+                        some = np.concatenate([np.arange(len(keys))[span] for span in near])
+                        for low in range(0, len(some), TILE_ROWS):
+                            _improve(best, some[low : low + TILE_ROWS], keys, units, narrow, ids, others, exclude_self)
+                if (found := best.settled()) is not None:
+                    query, ids, value = found
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[query].tolist(), types[0]), pa.array(ids.tolist(), types[1]), pa.array(value)], names=schema.names)
 
     return dealt.mapInArrow(run, schema)
 
 
-def _improve(held: dict, ids: np.ndarray, units: np.ndarray, k: int, exclude_self: bool) -> None:
-    """Take the rows of a gallery block into the k best of every query; ties by the smaller id."""
-    found = held["units"] @ units.T
-    least, most = held["least"].copy(), k + exclude_self
-    bound = lambda some: np.partition(some, some.shape[1] - most, axis=1)[:, some.shape[1] - most].round(12)
+def _improve(best: Best, some: np.ndarray, keys: np.ndarray, units: np.ndarray, narrow: np.ndarray, ids: np.ndarray, others: np.ndarray, exclude_self: bool) -> None:
+    """Take the rows of a gallery block into the best of some queries."""
+    found = narrow[some] @ others.astype(np.float32).T
+    error = (units.shape[1] + 8) * 2.0**-23  # of single precision, at most
+    least, most = best.least[some], best.k + exclude_self
+    floor = least - error
+    bound = lambda rows: np.partition(rows, rows.shape[1] - most, axis=1)[:, rows.shape[1] - most] - 2 * error
     fresh = ~np.isfinite(least)
-    if found.shape[1] > most and fresh.any():
-        least[fresh] = bound(found[fresh])
-    chosen = found >= least[:, None] - 2e-12  # before values are rounded
-    if found.shape[1] > most and np.count_nonzero(chosen) > 8 * most * len(least):
-        least = np.maximum(least, bound(found))
-        chosen = found >= least[:, None] - 2e-12
-    query, at = np.nonzero(chosen)
-    value = found[query, at].round(12)
-    kept = value >= least[query]
-    if exclude_self:
-        kept &= held["keys"][query] != ids[at]
-    query, at, value = query[kept], at[kept], value[kept]
-    if not len(query):
-        return
-    q, s = np.concatenate([held["q"], query]), np.concatenate([held["s"], value])
-    every = np.concatenate([held["ids"], ids[at].astype(object)])
-    _, rank = np.unique(every, return_inverse=True)
-    order = np.lexsort((rank, -s, q))
-    q, s, every = q[order], s[order], every[order]
-    place = np.arange(len(q)) - np.searchsorted(q, q)
-    kept = place < k
-    held["q"], held["s"], held["ids"] = q[kept], s[kept], every[kept]
-    full = place == k - 1
-    held["least"][q[full]] = np.maximum(held["least"][q[full]], s[full])
+    if found.shape[1] > most and fresh.any():  # none below the block's own best is wanted
+        floor[fresh] = bound(found[fresh])
+    query, at = above(found, floor.astype(np.float32))
+    if found.shape[1] > most and len(query) > 8 * most * len(some):
+        query, at = above(found, np.maximum(floor, bound(found)).astype(np.float32))
+    query = some[query]
+    for low in range(0, len(query), AGAIN_ROWS):
+        q, g = query[low : low + AGAIN_ROWS], at[low : low + AGAIN_ROWS]
+        value = np.einsum("ij,ij->i", units[q], others[g]).round(12)
+        kept = value >= best.least[q]
+        if exclude_self:
+            kept &= keys[q] != ids[g]
+        best.add(q[kept], ids[g[kept]], value[kept])
 
 
 def neighbour_join(queries: DataFrame, gallery: DataFrame, k: int, key: str, target: str, vector: str = "embedding", within: str | None = None, exclude_self: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -232,9 +285,13 @@ def neighbour_join(queries: DataFrame, gallery: DataFrame, k: int, key: str, tar
     rings = materialise(placed.groupBy("cell").agg(F.array_distinct(F.percentile_approx("off", edges)).alias("edges")))  # one row a pivot
     block = lambda rows: materialise(_blocks(rows, rings, block_rows))
     key_of = lambda df, column: F.lit(None).cast(df.schema[column].dataType).alias("key")
-    g = materialise(_stored(block(placed).withColumnsRenamed({"lo": "g_lo", "hi": "g_hi"}), "g"))
-    asked = block(_placed(queries, key, vector, within, dimensions, pivots))
-    q = materialise(_stored(asked.withColumnsRenamed({"lo": "q_lo", "hi": "q_hi"}), "q"))
+    held = block(placed)
+    g = materialise(_stored(held.withColumnsRenamed({"lo": "g_lo", "hi": "g_hi"}), "g"))
+    if queries is gallery and key == target:  # a table with itself: its blocks are made once
+        asked, q = held, g.withColumnsRenamed({"g": "q", "g_lo": "q_lo", "g_hi": "q_hi"})
+    else:
+        asked = block(_placed(queries, key, vector, within, dimensions, pivots))
+        q = materialise(_stored(asked.withColumnsRenamed({"lo": "q_lo", "hi": "q_hi"}), "q"))
     g_places, q_places = g.select("g", "file", "at", "size", key_of(gallery, target)), q.select("q", "file", "at", "size", key_of(queries, key))
     slices = max(1, -(-g.count() // SLICE_BLOCKS))
     columns = lambda df, side: df.select(side, *(F.col(f"{side}.{c}").alias(f"{side}_{c}") for c in ("within", "cell", "ring", "salt")), f"{side}_lo", f"{side}_hi")

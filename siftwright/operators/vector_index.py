@@ -4,7 +4,7 @@ Building: coarse centres and the codebooks of residuals are fitted on a bounded
 gallery is then assigned to its list and coded, one byte a part, in one pass without a shuffle but the write's. Searching: a
 query goes to its ``probes`` nearest lists; a task holds some queries and reads the codes of their lists in blocks of bounded
 size; inner products with the decoded vectors rank the codes, and the best ``candidates`` of a query are ranked again by their
-exact cosine.
+exact cosine with the vectors, which lie beside the codes: the task passes them once more, so that none is shuffled.
 
 Vectors that are null, of another length, zero or not finite are in no list and find nothing.
 """
@@ -17,12 +17,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.dataset as ds
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from siftwright.functions import vectors
 from siftwright.operators import neighbours, similarity
 from siftwright.sources.filewriter import store_of
 
@@ -33,9 +32,12 @@ ENTRIES = 256
 ROUNDS = 10
 #: Rows that the settings of a search are measured on.
 TUNING_QUERIES = 300
-#: Codes and queries that a task compares at a time.
-CODE_ROWS = 4096
-QUERY_ROWS = 1024
+#: Codes that a task reads at a time; queries that it holds at most, and at least where there are more tasks than work.
+CODE_ROWS = 8192
+QUERY_ROWS = 4096
+FEWEST_QUERIES = 256
+#: Candidates that a task holds about; where a query has many, it holds fewer queries.
+HELD_ROWS = 1 << 20
 
 
 @dataclass
@@ -47,7 +49,7 @@ class Index:
     books: np.ndarray
 
     def codes(self, spark: SparkSession) -> DataFrame:
-        """The stored table: list, key, code."""
+        """The stored table: list, key, code and vector (in double precision)."""
         return spark.read.parquet(f"{self.folder}/codes")
 
 
@@ -97,10 +99,11 @@ def build(gallery: DataFrame, key: str, folder: str, vector: str = "embedding",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                own, code = _coded(neighbours.unit_rows(batch.column("v"), size.d), *shared.value)
-                yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), batch.column("key"), pa.array([row.tobytes() for row in code], pa.binary())], names=["list", "key", "code"])
+                units = neighbours.unit_rows(batch.column("v"), size.d)
+                own, code = _coded(units, *shared.value)
+                yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), batch.column("key"), *(pa.array([row.tobytes() for row in x], pa.binary()) for x in (code, units))], names=["list", "key", "code", "vector"])
 
-    schema = T.StructType([T.StructField("list", T.IntegerType()), good.schema["key"], T.StructField("code", T.BinaryType())])
+    schema = T.StructType([T.StructField("list", T.IntegerType()), good.schema["key"], T.StructField("code", T.BinaryType()), T.StructField("vector", T.BinaryType())])
     good.mapInArrow(run, schema).repartitionByRange("list", "key").sortWithinPartitions("list").write.parquet(f"{folder}/codes")
     spark.createDataFrame([(i, c) for i, c in enumerate(centres.tolist())], "list int, centre array<double>").coalesce(1).write.parquet(f"{folder}/centres")
     spark.createDataFrame([(p, e, v) for p, b in enumerate(books.tolist()) for e, v in enumerate(b)], "part int, entry int, centre array<double>").coalesce(1).write.parquet(f"{folder}/books")
@@ -114,74 +117,136 @@ def load(spark: SparkSession, folder: str) -> Index:
     return Index(folder, np.array(centres), np.array(books).reshape(len(books) // ENTRIES, ENTRIES, -1))
 
 
-def candidates_of(index: Index, queries: DataFrame, key: str, vector: str = "embedding", probes: int = 24, candidates: int = 100) -> DataFrame:
-    """query, target and estimated similarity of the best codes in a query's lists.
+class _Task:
+    """What a task of a search does with its queries: the codes of their lists are passed, then what lies beside the best."""
 
-    A task holds ``QUERY_ROWS`` queries and reads the codes of their lists from the index, so that nothing is shuffled but
-    the queries, and gives only the best codes of all lists.
-    """
+    def __init__(self, folder: str, centres: np.ndarray, books: np.ndarray, probes: int, candidates: int) -> None:
+        store, place = store_of(folder)
+        self.codes = ds.dataset(place, filesystem=store, format="parquet")
+        self.centres, self.books, self.probes, self.candidates = centres, books, probes, candidates
+
+    def _batches(self, lists: np.ndarray, columns: list[str]) -> Iterator[tuple[int, pa.RecordBatch]]:
+        """Batches of these lists, one after the other, each with the number of rows before it."""
+        before = 0
+        for batch in self.codes.to_batches(columns=columns, filter=ds.field("list").isin(lists.tolist()), batch_size=CODE_ROWS, use_threads=False, batch_readahead=1, fragment_readahead=1):
+            if batch.num_rows:
+                yield before, batch
+                before += batch.num_rows
+
+    def best(self, units: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray] | None]:
+        """The lists of some queries, and query, row among those of the lists and estimate of the best codes."""
+        near = np.argsort((self.centres * self.centres).sum(axis=1) - 2 * units @ self.centres.T, axis=1, kind="stable")[:, : self.probes]
+        lists = np.unique(near)
+        probed = np.zeros((len(self.centres), len(units)), bool)
+        probed[near.ravel(), np.repeat(np.arange(len(units)), near.shape[1])] = True
+        narrow, centres, most = units.astype(np.float32), self.centres.astype(np.float32), self.candidates
+        entries, parts = self.books.reshape(-1, self.books.shape[2]).astype(np.float32), np.arange(len(self.books)) * ENTRIES
+        best = neighbours.Best(len(units), most)
+        for before, batch in self._batches(lists, ["list", "code"]):
+            own = np.asarray(batch.column("list"))
+            code = neighbours.packed(batch.column("code"), np.uint8, len(self.books))
+            decoded = centres[own] + entries[code + parts].reshape(len(own), -1)
+            cuts = [0, *(np.flatnonzero(np.diff(own)) + 1), len(own)]
+            for low, high in zip(cuts, cuts[1:]):
+                asking = np.flatnonzero(probed[own[low]])
+                for first in range(0, len(asking), neighbours.TILE_ROWS):
+                    some = asking[first : first + neighbours.TILE_ROWS]
+                    estimate = narrow[some] @ decoded[low:high].T
+                    floor = best.least[some]
+                    fresh = ~np.isfinite(floor)
+                    if high - low > most and fresh.any():  # none below the list's own best is wanted
+                        floor[fresh] = np.partition(estimate[fresh], high - low - most, axis=1)[:, high - low - most]
+                    query, at = neighbours.above(estimate, floor.astype(np.float32))
+                    best.add(some[query], before + low + at, estimate[query, at])
+        return lists, best.settled()
+
+    def beside(self, lists: np.ndarray, rows: np.ndarray, columns: list[str]) -> Iterator[tuple[np.ndarray, pa.RecordBatch]]:
+        """Columns of rows, told by their places in order, and which of them a batch has."""
+        for before, batch in self._batches(lists, columns):
+            low, high = np.searchsorted(rows, (before, before + batch.num_rows))
+            if low < high:
+                yield np.arange(low, high), batch.take(pa.array(rows[low:high] - before))
+
+
+def _searched(index: Index, queries: DataFrame, key: str, vector: str, probes: int, candidates: int, columns: str, found) -> DataFrame:
+    """query, target and ``columns``: what ``found`` makes of a task, the keys and the unit vectors of up to ``QUERY_ROWS``
+    queries."""
     spark = queries.sparkSession
     shared, folder = spark.sparkContext.broadcast((index.centres, index.books)), f"{index.folder}/codes"
     dimensions = index.centres.shape[1]
     asked = queries.where(neighbours.usable(vector, dimensions)).select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v"))
-    schema = T.StructType([T.StructField("query", asked.schema["key"].dataType), T.StructField("target", index.codes(spark).schema["key"].dataType), T.StructField("estimate", T.DoubleType())])
-    types, query_rows, code_rows = [f.type for f in to_arrow_schema(schema)], QUERY_ROWS, CODE_ROWS
+    schema = T.StructType([T.StructField("query", asked.schema["key"].dataType), T.StructField("target", index.codes(spark).schema["key"].dataType), *T.StructType.fromDDL(columns).fields])
+    types, query_rows = [f.type for f in to_arrow_schema(schema)], max(1, min(QUERY_ROWS, HELD_ROWS // candidates))
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, place = store_of(folder)
-        codes = ds.dataset(place, filesystem=store, format="parquet")
-        centres, books = shared.value
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = _Task(folder, *shared.value, probes, candidates)
         held, n = [], 0
         for batch in batches:
             held, n = [*held, batch], n + batch.num_rows
             if n >= query_rows:
-                yield from found(pa.Table.from_batches(held), codes, centres, books)
+                yield from answered(task, pa.Table.from_batches(held))
                 held, n = [], 0
         if n:
-            yield from found(pa.Table.from_batches(held), codes, centres, books)
-
-    def found(wanted: pa.Table, codes: ds.Dataset, centres: np.ndarray, books: np.ndarray) -> Iterator[pa.RecordBatch]:
-        units = neighbours.unit_rows(wanted["v"].combine_chunks(), dimensions)
-        near = np.argsort((centres * centres).sum(axis=1) - 2 * units @ centres.T, axis=1, kind="stable")[:, :probes]
-        probed = np.zeros((len(units), len(centres)), bool)
-        np.put_along_axis(probed, near, True, axis=1)
-        units, width = units.astype(np.float32), books.shape[2]
-        least = np.full(len(units), -np.inf, np.float32)
-        q, ids, s = np.zeros(0, np.int64), np.zeros(0, object), np.zeros(0, np.float32)
-        for batch in codes.to_batches(columns=["list", "key", "code"], filter=ds.field("list").isin(np.unique(near).tolist()), batch_size=code_rows):
-            if not batch.num_rows:
-                continue
-            own = np.asarray(batch.column("list"))
-            code = np.frombuffer(b"".join(batch.column("code").to_pylist()), np.uint8).reshape(-1, len(books))
-            rest = np.concatenate([books[p][code[:, p]] for p in range(len(books))], axis=1)
-            estimate = np.where(probed[:, own], units @ (centres[own] + rest).astype(np.float32).T, np.float32(-np.inf))
-            if len(own) > candidates:  # none below the batch's own best is wanted
-                least = np.maximum(least, np.where(np.isfinite(least), least, np.partition(estimate, len(own) - candidates, axis=1)[:, len(own) - candidates]))
-            query, at = np.nonzero((estimate >= least[:, None]) & np.isfinite(estimate))
-            q, ids, s = np.concatenate([q, query]), np.concatenate([ids, np.array(batch.column("key").to_pylist(), object)[at]]), np.concatenate([s, estimate[query, at]])
-            order = np.lexsort((-s, q))
-            q, ids, s = q[order], ids[order], s[order]
-            place = np.arange(len(q)) - np.searchsorted(q, q)
-            full = place == candidates - 1
-            least[q[full]] = np.maximum(least[q[full]], s[full])
-            q, ids, s = q[place < candidates], ids[place < candidates], s[place < candidates]
+            yield from answered(task, pa.Table.from_batches(held))
+
+    def answered(task: _Task, wanted: pa.Table) -> Iterator[pa.RecordBatch]:
         keys = wanted["key"].combine_chunks()
-        yield pa.RecordBatch.from_arrays([keys.take(pa.array(q)).cast(types[0]), pa.array(ids.tolist(), types[1]), pa.array(s.astype(float))], names=schema.names)
+        rows = found(task, np.array(keys.to_pylist()), neighbours.unit_rows(wanted["v"].combine_chunks(), dimensions))
+        if rows is not None:
+            query, target, *others = rows
+            yield pa.RecordBatch.from_arrays([keys.take(pa.array(query)).cast(types[0]), pa.array(target.tolist(), types[1]), *(pa.array(x, t) for x, t in zip(others, types[2:]))], names=schema.names)
 
-    tasks = max(1, min(-(-asked.count() // query_rows) * 4, 100_000))
-    return asked.repartition(tasks, "key").mapInArrow(score, schema)
+    n = asked.count()
+    tasks = max(1, -(-n // query_rows), min(2 * spark.sparkContext.defaultParallelism, n // FEWEST_QUERIES))
+    return asked.repartition(tasks, "key").mapInArrow(run, schema)
+
+
+def candidates_of(index: Index, queries: DataFrame, key: str, vector: str = "embedding", probes: int = 24, candidates: int = 100) -> DataFrame:
+    """query, target and estimated similarity of the best codes in a query's lists.
+
+    A task holds up to ``QUERY_ROWS`` queries and reads the codes of their lists from the index, so that nothing is shuffled
+    but the queries, and gives only the best codes of all lists.
+    """
+
+    def found(task: _Task, keys: np.ndarray, units: np.ndarray):
+        lists, best = task.best(units)
+        if best is None:
+            return None
+        query, row, estimate = best
+        order = np.argsort(row, kind="stable")
+        target = np.concatenate([np.array(batch["key"].to_pylist()) for _, batch in task.beside(lists, row[order], ["key"])])
+        return query[order], target, estimate[order].astype(float)
+
+    return _searched(index, queries, key, vector, probes, candidates, "estimate double", found)
 
 
 def search(index: Index, queries: DataFrame, gallery: DataFrame, k: int, key: str, target: str, vector: str = "embedding", probes: int = 24, candidates: int = 100, exclude_self: bool = False) -> DataFrame:
-    """query, target, similarity, rank: about the k nearest gallery rows of every query, by exact cosine (ties by target)."""
-    found = candidates_of(index, queries, key, vector, probes, candidates + exclude_self)
-    if exclude_self:
-        found = found.where("query <> target")
-    q = queries.select(F.col(key).alias("query"), F.col(vector).alias("_q"))
-    g = gallery.select(F.col(target).alias("target"), F.col(vector).alias("_g"))
-    exact = found.join(g, "target").join(q, "query").select("query", "target", F.round(vectors.cosine(F.col("_q"), F.col("_g")), 12).alias("similarity"))
-    best = Window.partitionBy("query").orderBy(F.desc("similarity"), "target")
-    return exact.withColumn("rank", F.row_number().over(best).cast("bigint")).where(F.col("rank") <= k)
+    """query, target, similarity, rank: about the k nearest gallery rows of every query, by exact cosine (ties by target).
+
+    The vectors are those that the index was built of; rows that the gallery has lost since are left out.
+    """
+
+    def found(task: _Task, keys: np.ndarray, units: np.ndarray):
+        lists, rows = task.best(units)
+        if rows is None:
+            return None
+        order = np.argsort(rows[1], kind="stable")
+        asking, row = rows[0][order], rows[1][order]
+        best = neighbours.Best(len(units), k)
+        for part, batch in task.beside(lists, row, ["key", "vector"]):
+            query, ids = asking[part], np.array(batch["key"].to_pylist())
+            near = np.einsum("ij,ij->i", units[query], neighbours.packed(batch["vector"], float, units.shape[1])).round(12)
+            kept = near >= best.least[query]
+            if exclude_self:
+                kept &= keys[query] != ids
+            best.add(query[kept], ids[kept], near[kept])
+        if (nearest := best.settled()) is None:
+            return None
+        query, ids, near = nearest
+        return query, ids, near, np.arange(1, len(query) + 1) - np.searchsorted(query, query)
+
+    hits = _searched(index, queries, key, vector, probes, candidates + exclude_self, "similarity double, rank bigint", found)
+    return hits.join(gallery.select(F.col(target).alias("target")), "target", "left_semi").select("query", "target", "similarity", "rank")
 
 
 def tune(index: Index, gallery: DataFrame, k: int, key: str, vector: str = "embedding", goal: float = 0.97, queries: int = TUNING_QUERIES) -> tuple[int, int]:
