@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from siftwright.operators import neighbours, similarity
+from siftwright.session import materialise
 from siftwright.sources.filewriter import store_of
 
 #: Rows that centres and codebooks are fitted on, at most about.
@@ -255,7 +256,7 @@ def tune(index: Index, gallery: DataFrame, k: int, key: str, vector: str = "embe
     spark, dimensions = gallery.sparkSession, index.centres.shape[1]
     good = gallery.where(neighbours.usable(vector, dimensions))
     sample = good.orderBy(F.xxhash64(F.lit(41), F.col(key)), key).limit(queries)
-    exact = similarity.batch_neighbours(sample, good, k, key, key, vector, exclude_self=True).select("query", "target")
+    exact = materialise(similarity.batch_neighbours(sample, good, k, key, key, vector, exclude_self=True).select("query", "target"))
     placed = exact.join(index.codes(spark).select(F.col("key").alias("target"), "list"), "target").join(sample.select(F.col(key).alias("query"), F.col(vector).cast("array<double>").alias("v")), "query")
     rows = placed.select("v", "list").toArrow().combine_chunks()  # k rows a query of the sample
     if not rows.num_rows:
